@@ -6,9 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelforge.llm import url_rules
 from panelforge.llm.bpe import op6_bpe
+from panelforge.llm.decontaminate import op9_decontaminate
+from panelforge.llm.fingerprint import op2_fingerprint
 from panelforge.llm.language import op5_language
 from panelforge.llm.quality import op10_quality
+from panelforge.llm.secrets import op7_secrets
+from panelforge.llm.suffix_dedup import op8_suffix_dedup
 from panelforge.llm.toxicity import op1_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,11 +22,16 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_fingerprint": op2_fingerprint,
+        "op3_url_rules": url_rules.op3_url_rules,
         "op5_language": op5_language,
         "op6_bpe": op6_bpe,
+        "op7_secrets": op7_secrets,
+        "op8_suffix_dedup": op8_suffix_dedup,
+        "op9_decontaminate": op9_decontaminate,
         "op10_quality": op10_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_url_rules": url_rules.ORACLE_SQL}
