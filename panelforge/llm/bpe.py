@@ -194,12 +194,14 @@ def decode(ids_le: Column, path: str) -> Column:
     return texts(ids_le)
 
 
-def ids_array(ids_le: Column, path: str) -> Column:
+def ids_array(ids_le: Column) -> Column:
     """Ids as array<int>, for readers that want them apart."""
 
     @F.arrow_udf("array<int>")
     def arrays(ids: pa.Array) -> pa.Array:
-        return pa.array([list(memoryview(i.as_py() or b"").cast("I")) for i in ids], pa.list_(pa.int32()))
+        every = [i.as_py() or b"" for i in ids]
+        ends = np.cumsum([0, *(len(i) // 4 for i in every)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(every), "<i4")))
 
     return arrays(ids_le)
 
@@ -209,11 +211,10 @@ def tokenise(docs: DataFrame, path: str, text_col: str = "text", ids_col: str =
     return docs.withColumn(ids_col, encode(F.col(text_col), path)).withColumn(decoded_col, decode(F.col(ids_col), path))
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text."""
-    out = tokenise(docs.select("doc_id", "text"), path)
+def with_digests(out: DataFrame) -> DataFrame:
+    """n_tokens, ids_sha256 and decoded_sha256 beside the columns of ``tokenise``."""
     return out.select(
-        "doc_id",
+        "*",
         F.floor(F.octet_length("ids_le") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids_le", 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
@@ -225,4 +226,5 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
     bounded_batches(spark)
-    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), path("byte_bpe_50k.json"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return with_digests(tokenise(docs, path("byte_bpe_50k.json"))).drop("text", "ids_le", "decoded")

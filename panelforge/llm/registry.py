@@ -11,6 +11,7 @@ from panelforge.llm.bpe import op6_bpe
 from panelforge.llm.decontaminate import op9_decontaminate
 from panelforge.llm.fingerprint import op2_fingerprint
 from panelforge.llm.language import op5_language
+from panelforge.llm.ngram_join import op4_ngram_join
 from panelforge.llm.quality import op10_quality
 from panelforge.llm.secrets import op7_secrets
 from panelforge.llm.suffix_dedup import op8_suffix_dedup
@@ -24,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op1_toxicity": op1_toxicity,
         "op2_fingerprint": op2_fingerprint,
         "op3_url_rules": url_rules.op3_url_rules,
+        "op4_ngram_join": op4_ngram_join,
         "op5_language": op5_language,
         "op6_bpe": op6_bpe,
         "op7_secrets": op7_secrets,
