@@ -1 +1,16 @@
+"""Registered queries of the library: name -> (query, SQL or None)."""
 
+from __future__ import annotations
+
+from importlib import import_module
+
+MODULES = ("clean",)
+
+
+def registered() -> dict:
+    """All queries. ``round(`` in the SQL gets the same nudge off halfway points as the queries' results (``ROUND(`` is left alone)."""
+    out = {}
+    for name in MODULES:
+        module = import_module(f"panelforge.plans.{name}")
+        out |= {n: (query, sql and sql.replace("round(", "round(1.0000000000001::DOUBLE * ")) for n, (query, sql) in module.QUERIES.items()}
+    return out
