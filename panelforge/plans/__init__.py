@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("clean",)
+MODULES = ("clean", "score")
 
 
 def registered() -> dict:
