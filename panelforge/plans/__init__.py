@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("clean", "score")
+MODULES = ("clean", "score", "portfolios")
 
 
 def registered() -> dict:
