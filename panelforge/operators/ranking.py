@@ -40,11 +40,11 @@ def with_rank(df: DataFrame, value: str, by: list[str] | None = None, out: str =
     c = cumulative(df, by, value)
     up = F.col("below") + (F.col("n") + 1) / 2
     rank = F.col("total") - up + 1 if descending else up
-    ranks = c.select(*[F.col(b).alias(f"_k{k}") for k, b in enumerate(by)], F.col(value).alias("_v"), (rank / F.col("total") if pct else rank).alias(out))
-    same = F.col(value) == F.col("_v")
+    ranks = c.select(*[F.col(b).alias(f"__rank_key{k}") for k, b in enumerate(by)], F.col(value).alias("__rank_value"), (rank / F.col("total") if pct else rank).alias(out))
+    same = F.col(value) == F.col("__rank_value")
     for k, b in enumerate(by):
-        same = same & F.col(b).eqNullSafe(F.col(f"_k{k}"))
-    return df.join(ranks, same, "left").drop("_v", *[f"_k{k}" for k in range(len(by))])
+        same = same & F.col(b).eqNullSafe(F.col(f"__rank_key{k}"))
+    return df.join(ranks, same, "left").drop("__rank_value", *[f"__rank_key{k}" for k in range(len(by))])
 
 
 def rank_columns(df: DataFrame, key: str, columns: list[str], pct: bool = False, descending: bool = False, suffix: str = "_rank") -> DataFrame:
