@@ -88,6 +88,7 @@ class Words:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, kind: str = "space"):
         self.data = lower_table()[data]
         self.offsets = offsets
+        self._total: np.ndarray | None = None
         inside = ~separators(kind)[self.data]
         edge = np.zeros(len(data) + 1, np.int8)
         edge[:-1] = inside
@@ -105,12 +106,15 @@ class Words:
         self.doc = np.searchsorted(offsets, self.start, "right") - 1
         self.first = np.searchsorted(self.start, offsets)  # first word of each document, one more at the end
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, first: int | None = None) -> np.ndarray:
+        """64-bit hash of each word, or of its ``first`` bytes."""
         n = len(self.data)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_LUT[self.data] * powers(n), out=total[1:])
-        raw = (total[self.end] - total[self.start]) * powers(n + 1, inverse=True)[self.start]
-        return mix(raw + (self.end - self.start).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+        if self._total is None:
+            self._total = np.zeros(n + 1, np.uint64)
+            np.cumsum(_LUT[self.data] * powers(n), out=self._total[1:])
+        end = self.end if first is None else np.minimum(self.end, self.start + first)
+        raw = (self._total[end] - self._total[self.start]) * powers(n + 1, inverse=True)[self.start]
+        return mix(raw + (end - self.start).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 
 
 def combine(parts: list[np.ndarray], seed: int = 1) -> np.ndarray:

@@ -1,7 +1,7 @@
 """Toxicity scores: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-A document's features are the distinct hashed word unigrams, bigrams and skip-grams (one or two words left
-out) of its whole text, each with value 1. Per-coordinate learning rates and an L1 penalty leave few weights
+A document's features are the distinct hashed word unigrams (also of their first letters), bigrams and skip-grams
+(one or two words left out) of its whole text, each with value 1. Per-coordinate learning rates and an L1 penalty leave few weights
 other than zero, so the model is a small sorted array that each task carries.
 
 Null and empty texts have no feature: their score is that of the bias. Repeated rows score alike; labels that
@@ -27,6 +27,8 @@ SAMPLE_ROWS = 12_288
 SHARD_ROWS = 4_096
 ROUNDS = 4
 BUCKET_BITS = 22
+#: Longer words also count by their first bytes, so that inflected forms share a feature.
+STEMS = (4, 6)
 ALPHA, BETA, L2 = 1.0, 1.0, 0.0
 #: The L1 penalty of a shard is this times the root of its rows.
 L1_PER_ROOT = 0.1
@@ -48,6 +50,10 @@ def features(texts: pa.Array):
         w = Words(data, offsets)
         h, docs, found = w.hashes(), [w.doc], []
         found.append(combine([h], 11))
+        for size in STEMS:
+            longer = w.end - w.start > size
+            found.append(combine([w.hashes(size)[longer]], 20 + size))
+            docs.append(w.doc[longer])
         for gap in (1, 2, 3):
             if len(h) > gap:
                 same = w.doc[:-gap] == w.doc[gap:]
