@@ -18,8 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelforge.llm.common import settled
+
 EXACT = 8
-NEAR = 64
+NEAR = 32
 _LOW = 0xFFFFFFFF
 _TWO_LANES = 0x0000000100000001
 #: Ranges of doc_id for each shuffle partition, when documents are put in order.
@@ -104,13 +106,12 @@ def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("text")
     moved = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - moved), F.substring("next_text", F.lit(1), moved))
-    digest = lambda c: F.unhex(F.sha2(F.encode(c, "UTF-8"), 256))
     rows = docs.select("doc_id", "text", "next_id", "next_text", n.cast("long").alias("n_chars"), edited.alias("edited"), F.monotonically_increasing_id().alias("row"))
-    rows = rows.select("row", "doc_id", "n_chars", "next_id", digest(F.col("next_text")).alias("next_digest"), digest(F.col("text")).alias("digest"), digest(F.col("edited")).alias("edited_digest"), "text", "edited")
+    rows = rows.select("row", "doc_id", "n_chars", "next_id", F.xxhash64("next_text").alias("next_digest"), F.xxhash64("text").alias("digest"), F.unhex(F.sha2(F.encode("edited", "UTF-8"), 256)).alias("edited_digest"), "text", "edited")
     about = ["row", "doc_id", "n_chars", "next_id", "next_digest", "digest", "edited_digest"]
     each = rows.select(*about, F.posexplode(F.array("text", "edited")).alias("edit", "text"))
     lanes = fingerprints(each, [*about, "edit"])
-    both = lanes.groupBy(*about).agg(*[F.max(F.when(F.col("edit") == k, F.col("lanes"))).alias(name) for k, name in enumerate(("own", "changed"))])
+    both = settled(lanes.groupBy(*about).agg(*[F.max(F.when(F.col("edit") == k, F.col("lanes"))).alias(name) for k, name in enumerate(("own", "changed"))]), "fingerprints")
     of_next = both.groupBy(F.col("doc_id").alias("next_id"), F.col("digest").alias("next_digest")).agg(F.max("own").alias("following"))
     found = both.join(of_next, both["next_id"].eqNullSafe(of_next["next_id"]) & (both["next_digest"] == of_next["next_digest"]), "left")
     return found.select(
