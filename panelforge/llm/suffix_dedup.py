@@ -9,7 +9,7 @@ fragments is taken and intervals are extended backwards, breadth first: common p
 come out by increasing value (each neighbour is settled at the first extension that parts it) and the search stops
 at LENGTH; neighbours not parted by then start repeated strings.
 
-An anchor whose different fragments exceed a block's bytes goes another, equally exact way: their strings
+An anchor whose different fragments exceed ``GROUP_BYTES`` goes another, equally exact way: their strings
 are counted one by one by 128-bit hash in a shuffle that adds up early. Texts are known by a 128-bit key with their
 number of copies, so copies meet as one row, and null or repeated doc_ids do no harm. Null texts count as empty;
 texts shorter than LENGTH lose nothing.
@@ -30,6 +30,10 @@ from panelforge.llm.text_kernels import _LUT, chunks, content_key, mix, powers
 LENGTH = 200
 GRAM = 64
 BLOCK_BYTES = 1 << 20
+#: Bytes of an anchor's different fragments that go to a block at most.
+GROUP_BYTES = 1 << 18
+#: Keys of texts that a broadcast carries at most (16 MB); more are joined by a shuffle.
+CARRIED_TEXTS = 1_000_000
 _U = np.uint64
 _SEGMENT = 1 << 22
 _POSITION_BITS = 24
@@ -91,7 +95,7 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     for k in range(size):
         parted |= wide[k : n + k] == 0
         key = key << 9 | np.where(parted, 0, wide[k : n + k])
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     new = np.ones(n, bool)
     new[1:] = (key[order][1:] != key[order][:-1]) | parted[order][1:]
     rank = np.empty(n, np.int64)
@@ -104,8 +108,9 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
             break
         place = order[loose]
         following = np.where(place + size < n, rank[np.minimum(place + size, n - 1)], -1)
-        again = np.lexsort((following, rank[place]))
-        place, following, own = place[again], following[again], rank[place][again]
+        own = rank[place]
+        again = np.argsort(own * (n + 1) + following + 1)
+        place, following, own = place[again], following[again], own[again]
         order[loose] = place
         fresh = np.ones(len(loose), bool)
         fresh[1:] = (own[1:] != own[:-1]) | (following[1:] != following[:-1])
@@ -120,7 +125,7 @@ def unparted(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     n = len(text)
     bwt = text[order - 1].astype(np.int64)  # the symbol before the first place is the last, a parting 0
     lf = np.empty(n, np.int64)
-    lf[np.argsort(bwt, kind="stable")] = np.arange(n)
+    lf[np.argsort(bwt.astype(np.int16), kind="stable")] = np.arange(n)
     known = np.zeros(n + 1, bool)  # slots whose common prefix with the slot before is settled
     known[[0, n]] = True
     first = text[order]
@@ -216,7 +221,10 @@ def _fragment_rows(batches, whole: bool):
 
 
 def _search_block(block: pa.Table) -> pa.Table:
-    starts = repeated_starts(block.column("bytes").to_pylist())
+    # Strings with different anchors differ, so an anchor with one kind of fragment has nothing to find.
+    _, kind, times = np.unique(block.column("anchor").to_numpy(), return_inverse=True, return_counts=True)
+    block = block.filter(pa.array(times[kind] > 1))
+    starts = repeated_starts(block.column("bytes").to_pylist()) if len(block) else []
     ranges = pa.array(list(map(_ranges, starts)), pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))
     return pa.table({"anchor": block.column("anchor"), "f1": block.column("f1"), "f2": block.column("f2"), "ranges": ranges})
 
@@ -282,23 +290,30 @@ def repeats(documents: DataFrame) -> DataFrame:
     shared = texts.mapInArrow(lambda it: _anchor_rows(it, False), "anchor bigint").groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
     shared = settled(shared.where("n > 1").select("anchor"), "anchors")
     placed = texts.mapInArrow(lambda it: _anchor_rows(it, True), "anchor bigint, k1 bigint, k2 bigint")
-    marks = placed.join(shared, "anchor").groupBy("k1", "k2").agg(F.collect_set("anchor").alias("anchors"))
-    distinct = texts.mapInArrow(_with_key, "k1 bigint, k2 bigint, text string").groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    marks = settled(placed.join(shared, "anchor").groupBy("k1", "k2").agg(F.collect_set("anchor").alias("anchors")), "marks")
+    wanted = marks.select("k1", "k2")
+    if wanted.count() <= CARRIED_TEXTS:
+        wanted = F.broadcast(wanted)
+    some = texts.mapInArrow(_with_key, "k1 bigint, k2 bigint, text string").join(wanted, ["k1", "k2"])
+    distinct = some.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     marked = settled(distinct.join(marks, ["k1", "k2"]), "marked")
     bytes_of = marked.mapInArrow(lambda it: _fragment_rows(it, True), "anchor bigint, f1 bigint, f2 bigint, copies bigint, bytes binary")
     fragments = settled(bytes_of.groupBy("anchor", "f1", "f2").agg(F.sum("copies").alias("copies"), F.first("bytes").alias("bytes")), "fragments")
     size = F.octet_length("bytes")
-    groups = settled(fragments.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum(size + 1).alias("size")).where("kinds > 1"), "groups")
-    total = groups.agg(F.sum("size")).head()[0] or 0
+    groups = fragments.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum(size + 1).alias("size")).where("kinds > 1")
+    wide = settled(groups.where(F.col("size") > GROUP_BYTES).select("anchor"), "wide")
+    total = fragments.agg(F.sum(size + 1)).head()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
-    in_groups = fragments.select("anchor", "f1", "f2", "bytes").join(groups, "anchor")
-    block = F.pmod(F.xxhash64("anchor", F.lit(3)), F.lit(blocks)).alias("block")
-    small = in_groups.where(F.col("size") <= BLOCK_BYTES).select("anchor", "f1", "f2", "bytes", block)
+    small = kept = fragments.select("anchor", "f1", "f2", "bytes")
     ranges = "array<struct<lo:bigint,hi:bigint>>"
-    found = small.groupBy("block").applyInArrow(_search_block, f"anchor bigint, f1 bigint, f2 bigint, ranges {ranges}")
-    many = _many_fragments(in_groups.where(F.col("size") > BLOCK_BYTES).select("anchor", "f1", "f2", "bytes"))
+    many = None
+    if not wide.isEmpty():
+        small, many = kept.join(wide, "anchor", "left_anti"), _many_fragments(kept.join(wide, "anchor"))
+    block = F.pmod(F.xxhash64("anchor", F.lit(3)), F.lit(blocks)).alias("block")
+    found = small.select("*", block).groupBy("block").applyInArrow(_search_block, f"anchor bigint, f1 bigint, f2 bigint, ranges {ranges}")
+    found = found if many is None else found.union(many)
     copied = fragments.where("copies > 1").select("anchor", "f1", "f2", F.array(F.struct(F.lit(0).cast("bigint").alias("lo"), (size - LENGTH).cast("bigint").alias("hi"))).alias("ranges"))
-    all_found = settled(found.union(many).union(copied).where(F.size("ranges") > 0), "repeats")
+    all_found = settled(found.union(copied).where(F.size("ranges") > 0), "repeats")
     where = marked.mapInArrow(lambda it: _fragment_rows(it, False), "anchor bigint, f1 bigint, f2 bigint, k1 bigint, k2 bigint, start bigint")
     spans = where.join(all_found, ["anchor", "f1", "f2"]).select(
         "k1", "k2", F.explode(F.transform("ranges", lambda r: F.struct((F.col("start") + r["lo"]).alias("lo"), (F.col("start") + r["hi"] + LENGTH).alias("hi")))).alias("span")

@@ -136,7 +136,7 @@ def test_repeats(spark, folder):
 
 def test_repeats_with_too_many_fragments_for_a_block(spark, folder, monkeypatch):
     where, texts, _ = folder
-    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 600)
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 600)
     expected = cases.without_repeats([(t or "").encode() for t in texts])
     got = {r["doc_id"]: r for r in rows_of(suffix_dedup.op8_suffix_dedup(spark, where))}
     assert [(got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) for i in range(len(texts))] == expected
