@@ -8,12 +8,14 @@ a text of fewer words is one shingle). Two texts link when their sets' Jaccard s
    shingles of one node only are dropped by a count that adds up before the shuffle.
 3. In each group of nodes around a prefix shingle, every node is paired with the group's centre, the node with most
    shared prefix shingles; pairs whose bound fits are verified, and their links make first classes.
-4. Groups that still hold several classes are searched: shingles are hashed into ``GROUPS`` groups, a node's group
-   counts are a point, and an R-tree over the points bounds the overlap with a query by the summed minima of its
-   counts and a box's largest counts. Pairs of different classes whose bound fits are verified too. A group of more
-   than ``TILE`` nodes is searched in pairs of tiles, so no task takes a whole hot group.
-5. Components over all links give the classes. As every pair across first classes that can link is verified, no
-   link between different texts is lost.
+4. Groups that still hold several classes are searched (one of those with the same nodes): shingles are hashed into
+   groups, more of them for larger sets, a node's group counts are a point, and an R-tree over the points bounds the
+   overlap with a query by the summed minima of its counts and a box's largest counts. Pairs of different classes
+   whose bound fits are verified too: first the ``FIRST_PARTNERS`` likeliest of each pair of classes in a group, which
+   joins most of what belongs together, then all that are left between classes. A group of more than ``TILE`` nodes
+   is searched in pairs of tiles, so no task takes a whole hot group.
+5. Components over all links give the classes. As every pair across classes that can link is verified in the end,
+   no link between different texts is lost.
 
 Null and empty texts, and those without words, have an empty set and link with nothing. Repeated rows (and rows with
 repeated or null doc_ids) are in the class of their set; component_id is the smallest doc_id of the class.
@@ -28,14 +30,14 @@ from pyspark.sql import functions as F
 
 from panelforge.llm.common import bounded_batches, settled
 from panelforge.llm.components import components
-from panelforge.llm.text_kernels import Words, chunks, combine, mix
+from panelforge.llm.text_kernels import Words, chunks, combine, content_key, mix
 
 SHINGLE = 5
 PERCENT = 80
-#: Dimensions of the points in the tree, and of the finer ones that a pair is checked with: (largest set, dimensions).
-GROUPS = 64
-FINER = ((512, 64), (2048, 256), (1 << 62, 1024))
+#: Dimensions of a point: (largest set, groups).
+GROUPS = ((256, 64), (1024, 256), (4096, 1024), (1 << 62, 4096))
 TILE = 2048
+FIRST_PARTNERS = 3
 FANOUT = 16
 #: Rows of a search block.
 BLOCK_ROWS = 8192
@@ -65,18 +67,24 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(mix(s + _U(c)).sum(dtype=np.uint64).view(np.int64)) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 
 
-def counts(s: np.ndarray, groups: int) -> np.ndarray:
-    return np.bincount((s & _U(groups - 1)).astype(np.int64), minlength=groups)
+def point(s: np.ndarray) -> np.ndarray:
+    """Group counts of a set, 255 for any larger count."""
+    groups = next(g for most, g in GROUPS if len(s) <= most)
+    return np.minimum(np.bincount((s & _U(groups - 1)).astype(np.int64), minlength=groups), 255).astype(np.uint8)
 
 
-def finer(n: int) -> int:
-    return next(g for most, g in FINER if n <= most)
+def folded(points: np.ndarray, groups: int) -> np.ndarray:
+    """Points (rows) of more groups brought to fewer."""
+    if points.shape[-1] == groups:
+        return points
+    return np.minimum(points.reshape(len(points), -1, groups).sum(1, dtype=np.int64), 255).astype(np.uint8)
 
 
-def overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
-    """Summed coordinate minima of two count vectors; the finer one is folded to the other's dimensions."""
-    g = min(len(a), len(b))
-    return int(np.minimum(a.reshape(-1, g).sum(0), b.reshape(-1, g).sum(0)).sum())
+def overlap_bounds(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Summed coordinate minima of rows of points; no bound (a huge one) where both have a count that 255 stands for."""
+    bound = np.minimum(a, b).sum(1, dtype=np.int64)
+    bound[((a == 255) & (b == 255)).any(1)] = 1 << 40
+    return bound
 
 
 class CountTree:
@@ -91,8 +99,8 @@ class CountTree:
             high, least, most = np.maximum.reduceat(high, cut), np.minimum.reduceat(least, cut), np.maximum.reduceat(most, cut)
             self.levels.append((high, least, most))
 
-    def search(self, queries: np.ndarray, sizes: np.ndarray, batch: int = 256) -> tuple[np.ndarray, np.ndarray]:
-        """(query, point) pairs whose bound reaches the overlap that a link needs."""
+    def search(self, queries: np.ndarray, sizes: np.ndarray, batch: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, point, bound) of pairs whose bound reaches the overlap that a link needs."""
         found = []
         for lo in range(0, len(queries), batch):
             q_points, q_sizes = queries[lo : lo + batch], sizes[lo : lo + batch]
@@ -103,35 +111,46 @@ class CountTree:
                 n = q_sizes[q]
                 near = (100 * most[node] >= PERCENT * n) & (PERCENT * least[node] <= 100 * n)
                 q, node = q[near], node[near]
-                keep = np.zeros(len(q), bool)
-                for at in range(0, len(q), 1 << 16):
-                    part = slice(at, at + (1 << 16))
-                    bound = np.minimum(q_points[q[part]], high[node[part]]).sum(1, dtype=np.int64)
-                    # 255 stands for any larger count.
-                    full = (q_points[q[part]] == 255).any(1) & (high[node[part]] == 255).any(1)
-                    smallest = np.maximum(least[node[part]], -(-PERCENT * q_sizes[q[part]] // 100))
-                    keep[part] = full | ((100 + PERCENT) * bound >= PERCENT * (q_sizes[q[part]] + smallest))
-                q, node = q[keep], node[keep]
+                bound = np.zeros(len(q), np.int64)
+                step = max(1, (1 << 22) // q_points.shape[1])
+                for at in range(0, len(q), step):
+                    bound[at : at + step] = overlap_bounds(q_points[q[at : at + step]], high[node[at : at + step]])
+                smallest = np.maximum(least[node], -(-PERCENT * q_sizes[q] // 100))
+                keep = (100 + PERCENT) * bound >= PERCENT * (q_sizes[q] + smallest)
+                q, node, bound = q[keep], node[keep], bound[keep]
                 if level:
                     below = len(self.levels[level - 1][1])
                     q, node = np.repeat(q, FANOUT), (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
                     q, node = q[node < below], node[node < below]
-            found.append((q + lo, self.order[node]))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+            found.append((q + lo, self.order[node], bound))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
 
 
 def nodes_of(text: Column) -> Column:
-    """struct<h1, h2, n, point> of each text: its set's key, its size and its finer count vector."""
+    """struct<k1, k2, h1, h2, n, point> of each text: its own key, its set's key, size and point."""
 
-    @F.arrow_udf("h1 bigint, h2 bigint, n bigint, point binary")
+    @F.arrow_udf("k1 bigint, k2 bigint, h1 bigint, h2 bigint, n bigint, point binary")
     def of(texts: pa.Array) -> pa.Array:
+        own = np.array([content_key((t.as_py() or "").encode()) for t in texts], np.int64).reshape(-1, 2)
         keys, sizes, points = [], [], []
         for s in shingle_sets(texts):
             keys.append(set_key(s))
             sizes.append(len(s))
-            points.append(counts(s, finer(len(s))).astype("<u4").tobytes())
-        h1, h2 = np.array(keys, np.int64).reshape(-1, 2).T
-        return pa.StructArray.from_arrays([pa.array(h1), pa.array(h2), pa.array(sizes, pa.int64()), pa.array(points, pa.binary())], ["h1", "h2", "n", "point"])
+            points.append(point(s).tobytes())
+        h = np.array(keys, np.int64).reshape(-1, 2)
+        columns = [own[:, 0], own[:, 1], h[:, 0], h[:, 1], np.array(sizes, np.int64)]
+        return pa.StructArray.from_arrays([*map(pa.array, columns), pa.array(points, pa.binary())], ["k1", "k2", "h1", "h2", "n", "point"])
+
+    return of(text)
+
+
+def text_key(text: Column) -> Column:
+    """struct<k1, k2> of each text."""
+
+    @F.arrow_udf("k1 bigint, k2 bigint")
+    def of(texts: pa.Array) -> pa.Array:
+        own = np.array([content_key((t.as_py() or "").encode()) for t in texts], np.int64).reshape(-1, 2)
+        return pa.StructArray.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1])], ["k1", "k2"])
 
     return of(text)
 
@@ -163,24 +182,17 @@ def _fits(a: Column, na: Column, b: Column, nb: Column) -> Column:
 
     @F.arrow_udf("boolean")
     def of(a: pa.Array, na: pa.Array, b: pa.Array, nb: pa.Array) -> pa.Array:
-        vectors = lambda x: [np.frombuffer(v.as_py(), "<u4") for v in x]
         need = PERCENT * (na.to_numpy() + nb.to_numpy())
-        return pa.array([(100 + PERCENT) * overlap_bound(x, y) >= z for x, y, z in zip(vectors(a), vectors(b), need, strict=True)], pa.bool_())
+        out = []
+        for x, y, z in zip(a, b, need, strict=True):
+            x, y = (np.frombuffer(v.as_py(), np.uint8)[None] for v in (x, y))
+            g = min(x.shape[1], y.shape[1])
+            out.append(bool((100 + PERCENT) * overlap_bounds(folded(x, g), folded(y, g))[0] >= z))
+        return pa.array(out, pa.bool_())
 
     return of(a, na, b, nb)
 
 
-def _small_point(point: Column) -> Column:
-    """The tree's point: GROUPS counts of one byte, 255 for more."""
-
-    @F.arrow_udf("binary")
-    def of(points: pa.Array) -> pa.Array:
-        fold = lambda v: np.frombuffer(v.as_py(), "<u4").reshape(-1, GROUPS).sum(0)
-        return pa.array([np.minimum(fold(v), 255).astype(np.uint8).tobytes() for v in points], pa.binary())
-
-    return of(point)
-
-
 def _linked(texts_a: pa.Array, texts_b: pa.Array) -> np.ndarray:
     """Whether each pair of texts links, by its sets."""
     known: dict[str, np.ndarray] = {}
@@ -204,12 +216,14 @@ def _verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataF
     sized = pairs.join(point("a"), "a").join(point("b"), "b")
     near = (100 * F.col("an") >= PERCENT * F.col("bn")) & (100 * F.col("bn") >= PERCENT * F.col("an"))
     fitting = settled(sized.where(near).where(_fits(F.col("ap"), F.col("an"), F.col("bp"), F.col("bn"))).select("a", "a2", "b", "b2"), "fitting")
-    wanted = settled(fitting.select(F.explode(F.array(F.struct(F.col("a").alias("h1"), F.col("a2").alias("h2")), F.struct(F.col("b").alias("h1"), F.col("b2").alias("h2")))).alias("x")).select("x.*").distinct(), "wanted")
+    ends = F.explode(F.array(F.struct(F.col("a").alias("h1"), F.col("a2").alias("h2")), F.struct(F.col("b").alias("h1"), F.col("b2").alias("h2"))))
+    wanted = fitting.select(ends.alias("x")).select("x.*").distinct().join(nodes.select("h1", "h2", "key"), ["h1", "h2"])
+    wanted = settled(wanted.select("h1", "h2", F.col("key.k1").alias("k1"), F.col("key.k2").alias("k2")), "wanted")
     if wanted.count() <= CARRIED_NODES:
         wanted = F.broadcast(wanted)
-    keyed = documents.select("text").withColumn("_node", nodes_of(F.col("text"))).select("text", F.col("_node.h1").alias("h1"), F.col("_node.h2").alias("h2"))
-    # Texts with one set are equal for this purpose, whichever of them stands for it.
-    texts = settled(keyed.join(wanted, ["h1", "h2"]).groupBy("h1", "h2").agg(F.first("text").alias("text")), "texts")
+    # One text stands for all with its set.
+    keyed = documents.select("text", text_key(F.col("text")).alias("_key")).select("text", F.col("_key.k1").alias("k1"), F.col("_key.k2").alias("k2"))
+    texts = settled(keyed.join(wanted, ["k1", "k2"]).groupBy("h1", "h2").agg(F.first("text").alias("text")), "texts")
     text = lambda s: texts.select(F.col("h1").alias(s), F.col("h2").alias(f"{s}2"), F.col("text").alias(f"{s}_text"))
 
     @F.arrow_udf("boolean")
@@ -220,69 +234,100 @@ def _verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataF
     return both.where(linked(F.col("a_text"), F.col("b_text"))).select(F.col("a").alias("a1"), "a2", F.col("b").alias("b1"), "b2")
 
 
-def _search(block: pa.Table) -> pa.Table:
-    """Candidate pairs (a, b) of different classes in the groups of a block; in a pair of tiles, the first is searched for in the second."""
+def _search(block: pa.Table, partners: int | None) -> pa.Table:
+    """Candidate pairs (a, b) of different classes in the groups of a block; in a pair of tiles, the first is searched for in the second. With ``partners``, at most that many of each pair of classes in a group, those with the largest bounds."""
     sig, first, second, tile, h1, comp, n = (block.column(c).to_numpy() for c in ("sig", "i", "j", "tile", "h1", "comp", "n"))
-    points = np.frombuffer(b"".join(block.column("point").to_pylist()), np.uint8).reshape(-1, GROUPS)
+    raw = block.column("point").to_pylist()
+    groups = np.array([len(p) for p in raw])
     by = np.lexsort((h1, second, first, sig))
     part = np.flatnonzero(np.concatenate([[True], (sig[by][1:] != sig[by][:-1]) | (first[by][1:] != first[by][:-1]) | (second[by][1:] != second[by][:-1])]))
-    out = []
+    stacked = lambda rows, g: np.concatenate([folded(np.frombuffer(b"".join(raw[r] for r in rows[groups[rows] == k]), np.uint8).reshape(-1, k), g) for k in np.unique(groups[rows])])
+    out = [np.zeros((0, 2), np.int64)]
     for lo, hi in zip(part, np.append(part[1:], len(by)), strict=True):
         own = by[lo:hi]
-        inner, outer = own[tile[own] == second[own]], own[tile[own] == first[own]]
-        if not len(inner) or not len(outer):
+        if (comp[own] == comp[own[0]]).all():
             continue
-        q, p = CountTree(points[inner], n[inner]).search(points[outer], n[outer])
-        a, b = outer[q], inner[p]
-        keep = comp[a] != comp[b]
-        out.append(np.column_stack([np.minimum(h1[a], h1[b]), np.maximum(h1[a], h1[b])])[keep])
-    pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *out]), axis=0)
+        inner, outer = own[tile[own] == second[own]], own[tile[own] == first[own]]
+        for gi in np.unique(groups[inner]):
+            for go in np.unique(groups[outer]):
+                x, y = inner[groups[inner] == gi], outer[groups[outer] == go]
+                near = (100 * n[x].max() >= PERCENT * n[y].min()) and (100 * n[y].max() >= PERCENT * n[x].min())
+                if not near:
+                    continue
+                g = min(gi, go)
+                q, p, bound = CountTree(stacked(x, g), n[x]).search(stacked(y, g), n[y])
+                a, b = y[q], x[p]
+                keep = comp[a] != comp[b]
+                a, b, bound = a[keep], b[keep], bound[keep]
+                if partners is not None and len(a):
+                    one, two = np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])
+                    order = np.lexsort((-bound, two, one))
+                    a, b, one, two = a[order], b[order], one[order], two[order]
+                    new = np.ones(len(a), bool)
+                    new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+                    place = np.arange(len(a)) - np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
+                    a, b = a[place < partners], b[place < partners]
+                out.append(np.column_stack([np.minimum(h1[a], h1[b]), np.maximum(h1[a], h1[b])]))
+    pairs = np.unique(np.concatenate(out), axis=0)
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
-def _across_classes(shared: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
+def _across_classes(shared: DataFrame, nodes: DataFrame, classes: DataFrame, partners: int | None) -> DataFrame:
     """Distinct candidate pairs (a < b, h1) of nodes in different classes that share a prefix shingle and whose points allow a link."""
-    member = shared.join(classes, "h1", "left").select("sig", "h1", F.coalesce("component", "h1").alias("comp"))
-    member = settled(member.distinct(), "members")
-    mixed = member.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    member = settled(shared.join(classes, "h1", "left").select("sig", "h1", F.coalesce("component", "h1").alias("comp")), "members")
+    mixed = member.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor(F.xxhash64("h1", F.lit(1))).alias("x1"), F.bit_xor(F.xxhash64("h1", F.lit(2))).alias("x2"))
+    # Groups of the same nodes hold the same pairs: one of them is searched.
+    mixed = mixed.where("lo <> hi").groupBy("size", "x1", "x2").agg(F.min("sig").alias("sig"))
     mixed = settled(mixed.select("sig", F.ceil(F.col("size") / TILE).cast("long").alias("tiles"), "size"), "mixed")
     rows = mixed.agg(F.sum(F.col("size") * F.col("tiles"))).head()[0] or 0
     blocks = max(1, -(-rows // BLOCK_ROWS))
     small = nodes.groupBy("h1").agg(F.max("n").alias("n"), F.max("point").alias("point"), F.count(F.lit(1)).alias("same"))
-    points = settled(small.where("same = 1").select("h1", "n", _small_point(F.col("point")).alias("point")), "points")
-    inside = member.join(mixed, "sig").join(points, "h1")
+    inside = member.join(mixed, "sig").join(small.where("same = 1").select("h1", "n", "point"), "h1")
     tile = F.pmod(F.xxhash64("h1", F.lit(5)), F.col("tiles"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
     dealt = inside.select("sig", "h1", "comp", "n", "point", tile.alias("tile"), other.alias("other"))
     dealt = dealt.select("*", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")).drop("other")
     block = F.pmod(F.xxhash64("sig", "i", "j"), F.lit(blocks)).alias("block")
-    found = dealt.select("*", block).groupBy("block").applyInArrow(_search, "a bigint, b bigint")
+    found = dealt.select("*", block).groupBy("block").applyInArrow(lambda t: _search(t, partners), "a bigint, b bigint")
     # Keys that differ in their second half only are too rare to search by: their groups go on whole.
     twins = member.join(mixed, "sig").join(small.where("same > 1").select("h1"), "h1").select("sig", F.col("h1").alias("t"))
     beside = member.join(twins, "sig").where("h1 <> t").select(F.least("h1", "t").alias("a"), F.greatest("h1", "t").alias("b"))
     return found.union(beside).distinct()
 
 
-def classes(documents: DataFrame) -> DataFrame:
-    """(h1, h2, component) with the smallest doc_id of its class for every non-empty set of the documents, and n."""
-    keyed = documents.select("doc_id", "text").withColumn("_node", nodes_of(F.col("text"))).select("doc_id", "_node.*").where("n > 0")
-    nodes = settled(keyed.groupBy("h1", "h2").agg(F.min("doc_id").alias("label"), F.max("n").alias("n"), F.max("point").alias("point")), "nodes")
+def _nodes(documents: DataFrame) -> DataFrame:
+    """doc_id and node of every document, settled."""
+    return settled(documents.select("doc_id", nodes_of(F.col("text")).alias("_node")).select("doc_id", "_node.*"), "rows")
+
+
+def _struct(a: str, b: str) -> Column:
+    return F.struct(F.col(a).alias("h1"), F.col(b).alias("h2"))
+
+
+def _joined_by(links: DataFrame) -> DataFrame:
+    """(node, component) of links (a1, a2, b1, b2)."""
+    return components(links.select(_struct("a1", "a2").alias("a"), _struct("b1", "b2").alias("b")))
+
+
+def classes(documents: DataFrame, rows: DataFrame) -> DataFrame:
+    """(h1, h2, component_id) for every non-empty set of the documents, whose nodes are ``rows``: the smallest doc_id of its class."""
+    nodes = settled(rows.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("label"), F.max("n").alias("n"), F.max("point").alias("point"), F.min(F.struct("k1", "k2")).alias("key")), "nodes")
     texts = documents.select("text").where("text is not null")
     placed = texts.mapInArrow(lambda it: _gathered(_prefixes(it)), "sig bigint, h1 bigint")
     twice = settled(placed.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig"), "twice")
-    shared = settled(placed.join(twice, "sig"), "shared")
-    distinct = shared.distinct()
-    weight = settled(distinct.groupBy("h1").agg(F.count(F.lit(1)).alias("weight")), "weights")
+    shared = settled(placed.join(twice, "sig").distinct(), "shared")
+    weight = settled(shared.groupBy("h1").agg(F.count(F.lit(1)).alias("weight")), "weights")
     centres = settled(shared.join(weight, "h1").groupBy("sig").agg(F.max(F.struct("weight", "h1")).alias("c")).select("sig", F.col("c.h1").alias("centre")), "centres")
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    stars = settled(shared.join(centres, "sig").where("h1 <> centre").select(*pair("h1", "centre")).distinct(), "stars")
-    links = settled(_verified(stars, nodes, documents), "links")
-    first = components(links.select(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")).alias("a"), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2")).alias("b")))
-    first = settled(first.select(F.col("node.h1").alias("h1"), F.col("component.h1").alias("component")).distinct(), "first")
-    more = settled(_across_classes(shared, nodes, first).join(stars, ["a", "b"], "left_anti"), "more")
-    every = links.union(_verified(more, nodes, documents))
-    whole = components(every.select(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")).alias("a"), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2")).alias("b")))
-    of = settled(whole.select(F.col("node.h1").alias("h1"), F.col("node.h2").alias("h2"), "component"), "components")
+    tested = settled(shared.join(centres, "sig").where("h1 <> centre").select(F.least("h1", "centre").alias("a"), F.greatest("h1", "centre").alias("b")).distinct(), "stars")
+    links = settled(_verified(tested, nodes, documents), "links")
+    for partners in (FIRST_PARTNERS, None):
+        first = settled(_joined_by(links).select(F.col("node.h1").alias("h1"), F.col("component.h1").alias("component")).distinct(), "first")
+        more = settled(_across_classes(shared, nodes, first, partners).join(tested, ["a", "b"], "left_anti"), "more")
+        if partners is None and more.isEmpty():
+            break
+        links = settled(links.union(_verified(more, nodes, documents)), "links")
+        tested = tested.union(more)
+    of = settled(_joined_by(links).select(F.col("node.h1").alias("h1"), F.col("node.h2").alias("h2"), "component"), "components")
     named = nodes.select("h1", "h2", "label").join(of, ["h1", "h2"], "left")
     least = settled(named.where("component is not null").groupBy("component").agg(F.min("label").alias("least")), "least")
     return settled(named.join(least, "component", "left").select("h1", "h2", F.coalesce("least", "label").alias("component_id")), "classes")
@@ -290,15 +335,18 @@ def classes(documents: DataFrame) -> DataFrame:
 
 def joined(documents: DataFrame) -> DataFrame:
     """documents with a struct ``shingles`` (n, component_id) as last column."""
-    found = classes(documents)
-    keyed = documents.withColumn("_node", nodes_of(F.col("text")))
-    both = keyed.join(found.select(F.struct("h1", "h2").alias("_key"), F.col("component_id").alias("_component")), F.struct("_node.h1", "_node.h2") == F.col("_key"), "left")
-    component = F.when(F.col("_node.n") > 0, F.col("_component")).otherwise(documents["doc_id"])
-    return both.select(*[documents[c] for c in documents.columns], F.struct(F.col("_node.n").alias("n"), component.alias("component_id")).alias("shingles"))
+    rows = _nodes(documents)
+    found = rows.groupBy("k1", "k2").agg(F.max("h1").alias("h1"), F.max("h2").alias("h2"), F.max("n").alias("n")).join(classes(documents, rows), ["h1", "h2"], "left")
+    found = settled(found.select(F.struct("k1", "k2").alias("_key"), F.struct("n", "component_id").alias("_found")), "found")
+    both = documents.withColumn("_own", text_key(F.col("text"))).join(found, F.col("_own") == F.col("_key"), "left")
+    component = F.when(F.col("_found.n") > 0, F.col("_found.component_id")).otherwise(documents["doc_id"])
+    return both.select(*[documents[c] for c in documents.columns], F.struct(F.col("_found.n").alias("n"), component.alias("component_id")).alias("shingles"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and class of every document."""
     bounded_batches(spark)
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return joined(documents).select("doc_id", F.col("shingles.n").alias("n_shingles"), F.col("shingles.component_id").alias("component_id"))
+    rows = _nodes(documents)
+    found = rows.select("doc_id", "h1", "h2", "n").join(classes(documents, rows), ["h1", "h2"], "left")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
