@@ -113,7 +113,7 @@ def src_fuzzy(spark, sf_dir):
     """Customer names against names of suppliers that have the same legal form and number."""
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey < 100").select("c_custkey", F.concat(F.lit("Acme "), F.substring("c_name", 15, 4), F.lit(" Corp.")).alias("name"))
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("ACME "), F.substring("s_name", 15, 4), F.lit("x Inc")).alias("firm"))
-    return rounded(N.fuzzy_match(c, s, "name", "firm", prefix=4).select("c_custkey", "match", "ratio"))
+    return rounded(N.fuzzy_match(c, s, "name", "firm").select("c_custkey", "match", "ratio"))
 
 
 SRC_FUZZY = """WITH c AS (SELECT c_custkey, 'acme ' || lower(substr(c_name, 15, 4)) AS a FROM customer WHERE c_custkey < 100), s AS (SELECT DISTINCT 'ACME ' || substr(s_name, 15, 4) || 'x Inc' AS firm, 'acme ' || lower(substr(s_name, 15, 4)) || 'x' AS b FROM supplier),
@@ -121,6 +121,18 @@ p AS (SELECT c_custkey, firm, 1 - levenshtein(a, b) / greatest(length(a), length
 SELECT c_custkey, firm AS match, round(ratio, 5) AS ratio FROM c LEFT JOIN q USING (c_custkey)"""
 
 
+def src_fuzzy_all(spark, sf_dir):
+    """Every customer's name against the suppliers' names, with whole numbers."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.concat(F.lit("Acme "), F.substring("c_name", 10, 9), F.lit(" Corp.")).alias("name"))
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("ACME "), F.substring("s_name", 10, 9), F.lit("x Inc")).alias("firm"))
+    return rounded(N.fuzzy_match(c, s, "name", "firm").select("c_custkey", "match", "ratio"))
+
+
+SRC_FUZZY_ALL = """WITH c AS (SELECT c_custkey, 'acme ' || lower(substr(c_name, 10, 9)) AS a FROM customer), s AS (SELECT DISTINCT 'ACME ' || substr(s_name, 10, 9) || 'x Inc' AS firm, 'acme ' || lower(substr(s_name, 10, 9)) || 'x' AS b FROM supplier),
+p AS (SELECT c_custkey, firm, 1 - levenshtein(a, b) / greatest(length(a), length(b)) AS ratio FROM c, s), q AS (SELECT * FROM p WHERE ratio >= 0.78 QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY ratio DESC, firm) = 1)
+SELECT c_custkey, firm AS match, round(ratio, 5) AS ratio FROM c LEFT JOIN q USING (c_custkey)"""
+
+
 def src_keys(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
     return c.select("c_custkey", N.normalised_key(F.concat(F.lit(" x"), F.col("c_custkey").cast("string"), F.lit(".ns "))).alias("ticker"), N.padded(F.col("c_custkey")).alias("padded"))
@@ -301,7 +313,7 @@ RES_COSTS = f"WITH {PANEL_SQL}, c AS (SELECT sector, 1e4::DOUBLE * 0.1::DOUBLE *
 
 QUERIES = {
     "ts_measures": (ts_measures, TS_MEASURES), "ts_illiquidity": (ts_illiquidity, TS_ILLIQUIDITY), "ts_forward": (ts_forward, TS_FORWARD),
-    "src_facts": (src_facts, SRC_FACTS), "src_country_latest": (src_country_latest, SRC_COUNTRY), "src_facilities": (src_facilities, SRC_FACILITIES), "src_membership": (src_membership, SRC_MEMBERSHIP), "src_merge": (src_merge, SRC_MERGE), "src_fuzzy": (src_fuzzy, SRC_FUZZY), "src_keys": (src_keys, SRC_KEYS),
+    "src_facts": (src_facts, SRC_FACTS), "src_country_latest": (src_country_latest, SRC_COUNTRY), "src_facilities": (src_facilities, SRC_FACILITIES), "src_membership": (src_membership, SRC_MEMBERSHIP), "src_merge": (src_merge, SRC_MERGE), "src_fuzzy": (src_fuzzy, SRC_FUZZY), "src_fuzzy_all": (src_fuzzy_all, SRC_FUZZY_ALL), "src_keys": (src_keys, SRC_KEYS),
     "sim_target": (sim_target, SIM_TARGET), "sim_nearest": (sim_nearest, SIM_NEAREST), "sim_peer_excess": (sim_peer_excess, SIM_PEER_EXCESS),
     "res_grid": (res_grid, RES_GRID), "res_one_at_a_time": (_overlap(CHANGED), _overlap_sql(CHANGED)), "res_ablation": (_overlap(W.ablations(BASE)), _overlap_sql(W.ablations(BASE))), "res_perturbed": (res_perturbed, RES_PERTURBED), "res_bootstrap_ic": (res_bootstrap_ic, RES_BOOTSTRAP),
     "res_subsample": (res_subsample, RES_SUBSAMPLE), "res_folds": (res_folds, RES_FOLDS), "res_leave_sector_out": (res_leave_sector_out, RES_LOSO), "res_restandardised": (res_restandardised, RES_RESTANDARDISED), "res_turnover": (res_turnover, RES_TURNOVER), "res_capacity": (res_capacity, RES_CAPACITY), "res_costs": (res_costs, RES_COSTS),

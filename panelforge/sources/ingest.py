@@ -71,15 +71,55 @@ def plain_name(x: Column) -> Column:
     return F.array_join(words, " ")
 
 
-def fuzzy_match(left: DataFrame, right: DataFrame, left_name: str, right_name: str, least: float = 0.78, prefix: int = 4) -> DataFrame:
-    """left with the right name most like its own (1 - edit distance / longer length, at least ``least``), among names that share a word's first letters; ties go to the smaller name."""
-    block = lambda c: F.explode(F.array_distinct(F.transform(F.split(c, " "), lambda w: F.substring(w, 1, prefix))))
-    a = left.select(F.col(left_name).alias("_l")).distinct().select("_l", plain_name(F.col("_l")).alias("_a"))
-    b = right.select(F.col(right_name).alias("_r")).distinct().select("_r", plain_name(F.col("_r")).alias("_b"))
-    pairs = a.select("_l", "_a", block(F.col("_a")).alias("_k")).join(b.select("_r", "_b", block(F.col("_b")).alias("_k")), "_k").select("_l", "_a", "_r", "_b").distinct()
+#: Names of one side that a tile of a hot key holds at most.
+HOT_NAMES = 2_000
+
+
+def _likeness_keys(names: DataFrame, name: str, least: float, indexed: bool) -> DataFrame:
+    """(name, key): the pieces of an indexed name, or the substrings of a probing name that can equal them.
+
+    A name of n characters is at most ``t`` edits from any that is at least ``least`` like it; of its t + 1 pieces some piece i is then whole
+    with i edits at most before it and the others after it, which bounds its place in the probing name.
+    """
+    share, slack = 1 - least, 1e-9
+    floor = lambda c: F.floor(c + slack).cast("int")
+    own = F.length(name)
+    sizes = F.array(own) if indexed else F.sequence(F.ceil(own * least - slack).cast("int"), floor(own / least))
+    n, i = F.col("_n"), F.col("_i")
+    parts = floor(floor(n / least) * share) + 1
+    place = lambda j: F.floor(j * n / parts).cast("int")
+    edits = floor(F.greatest(own, n) * share)
+    k = names.select(name, F.explode(sizes).alias("_n")).select(name, "_n", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_i")).select(name, "_n", "_i", place(i).alias("_p"), (place(i + 1) - place(i)).alias("_s"))
+    if not indexed:
+        first = F.greatest(-i, own - n - edits + i, -F.col("_p"))
+        last = F.least(i, own - n + edits - i, own - F.col("_s") - F.col("_p"))
+        k = k.where(first <= last).select(name, "_n", "_i", "_s", F.explode(F.sequence(F.col("_p") + first, F.col("_p") + last)).alias("_p"))
+    return k.select(name, F.concat_ws("|", "_n", "_i", F.substring(F.col(name), F.col("_p") + 1, F.col("_s"))).alias("_k")).distinct()
+
+
+def fuzzy_match(left: DataFrame, right: DataFrame, left_name: str, right_name: str, least: float = 0.78) -> DataFrame:
+    """left with the right name most like its own (1 - edit distance / longer length, at least ``least``, which is above 0) among all; ties go to the smaller name.
+
+    Names meet by pieces of which every pair that is alike shares one; keys of many names are dealt to tiles.
+    """
+    a = left.select(F.col(left_name).alias("_l")).distinct().select("_l", plain_name(F.col("_l")).alias("_a")).where("_a is not null")
+    b = right.select(plain_name(F.col(right_name)).alias("_b"), F.col(right_name).alias("_r")).where("_b is not null").groupBy("_b").agg(F.min("_r").alias("_r"))
+    probes = _likeness_keys(a.select("_a").distinct(), "_a", least, indexed=False)
+    pieces = _likeness_keys(b.select("_b"), "_b", least, indexed=True)
+    tiles = lambda n: F.ceil(F.col(n) / HOT_NAMES).cast("int")
+    size = lambda df, n: df.groupBy("_k").agg(F.count(F.lit(1)).alias(n))
+    hot = size(probes, "_na").join(size(pieces, "_nb"), "_k").where(F.greatest("_na", "_nb") > HOT_NAMES).select("_k", tiles("_na").alias("_ta"), tiles("_nb").alias("_tb"))
+
+    def dealt(df: DataFrame, name: str, own: str, other: str) -> DataFrame:
+        t = lambda side: F.coalesce(f"_t{side}", F.lit(1))
+        return df.join(hot, "_k", "left").select(name, "_k", F.pmod(F.xxhash64(name), t(own)).cast("int").alias(f"_x{own}"), F.explode(F.sequence(F.lit(0), t(other) - 1)).alias(f"_x{other}"))
+
+    pairs = dealt(probes, "_a", "a", "b").join(dealt(pieces, "_b", "b", "a"), ["_k", "_xa", "_xb"])
     like = 1 - F.levenshtein("_a", "_b") / F.greatest(F.length("_a"), F.length("_b"), F.lit(1))
-    best = pairs.withColumn("ratio", like).where(F.col("ratio") >= least).groupBy("_l").agg(F.min_by(F.struct("_r", "ratio"), F.struct((-F.col("ratio")).alias("x"), "_r")).alias("_m"))
-    return left.join(best, left[left_name] == best["_l"], "left").select(left["*"], F.col("_m._r").alias("match"), F.col("_m.ratio").alias("ratio"))
+    near = pairs.select("_a", "_b", like.alias("ratio")).where(F.col("ratio") >= least).distinct()
+    best = near.join(b, "_b").groupBy("_a").agg(F.min_by(F.struct("_r", "ratio"), F.struct((-F.col("ratio")).alias("x"), "_r")).alias("_m"))
+    found = a.join(best, "_a").select("_l", "_m")
+    return left.join(found, left[left_name] == found["_l"], "left").select(left["*"], F.col("_m._r").alias("match"), F.col("_m.ratio").alias("ratio"))
 
 
 def merged(base: DataFrame, others: list[DataFrame], key: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import duckdb
 import pytest
@@ -150,3 +151,39 @@ def test_sources(spark, tmp_path):
     assert ingest.first_existing(spark, [f"{tmp_path}/c.csv"]).collect()[0].asDict() == {"a": "1", "b": "2"}
     with pytest.raises(FileNotFoundError):
         ingest.first_existing(spark, [f"{tmp_path}/absent"])
+
+
+def edits(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("hot", [2_000, 3])
+def test_fuzzy_names_equal_all_pairs(spark, monkeypatch, hot):
+    monkeypatch.setattr(ingest, "HOT_NAMES", hot)
+    rnd = random.Random(5)
+    stems = ["google", "acme steel works", "north sea oil", "zeta", "ab", "x", "", "general electric holdings of ohio"]
+
+    def changed(name: str) -> str:
+        for _ in range(rnd.randint(0, 1 + len(name) // 4)):
+            at = rnd.randint(0, len(name))
+            name = rnd.choice([name[:at] + rnd.choice("abeo ") + name[at:], name[:at] + name[at + 1 :], name[:at] + rnd.choice("abeo") + name[at + 1 :]])
+        return name
+
+    left, right = ([changed(rnd.choice(stems)) + end for _ in range(120)] for end in (" Inc", " Corp."))
+    left, right = [*left, "Gogle", None, "Inc"], [*right, "Google", None]
+    plain = lambda n: " ".join(w for w in n.lower().replace(".", " ").split() if w not in ingest.NAME_SUFFIXES)
+    like = lambda a, b: 1 - edits(a, b) / max(len(a), len(b), 1)
+    best = lambda n: min(((-r, m) for m in right if m is not None and (r := like(plain(n), plain(m))) >= 0.78), default=(None, None))[1]
+    frame = lambda names, c: spark.createDataFrame(list(enumerate(names)), f"id int, {c} string")
+    got = {r["id"]: r["match"] for r in ingest.fuzzy_match(frame(left, "name"), frame(right, "firm").drop("id"), "name", "firm").collect()}
+    assert got == {i: None if n is None else best(n) for i, n in enumerate(left)}
+    assert best("Gogle") is not None
+
+
+def test_fuzzy_query_reads_every_customer(spark, sf_dir):
+    test_query_equals_sql(spark, sf_dir, "src_fuzzy_all")
