@@ -3,9 +3,9 @@
 A page's url is judged by the longest allow or block rule that fits its host and path. A url that no rule fits
 takes the decision of its aliases: urls with the same canonical form (scheme, fragment, tracking parameters,
 ``www.`` and ``m.``, a last ``/``, ``.html`` or ``index.html`` left out), and forms joined by redirect or canonical-link edges,
-which are read from the pages (``<link rel=canonical>``, refresh in ``<meta>``) or given as a table. Decisions spread over
-connected components; one explicit allow among the aliases outweighs any block, and a component without a ruled
-url is allowed.
+which are read from the pages (``<link rel=canonical>``, refresh in ``<meta>``; a relative target is taken from the page's
+url) or given as a table. Rules judge every end of an edge, whether it is a page or not. Decisions spread over connected
+components; one explicit allow among the aliases outweighs any block, and a component without a ruled url is allowed.
 
 A null url and one without ``://`` have an empty host and path, no aliases and the verdict allow. Repeated pages are
 judged alike; other columns of the table are ignored.
@@ -53,27 +53,62 @@ def canonical(url: Column) -> Column:
     return F.when(host(url) != "", F.concat(name, way, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
 
 
+def without_dots(way: Column) -> Column:
+    """A path that starts with ``/`` without its ``.`` and ``..`` segments."""
+    parts = F.slice(F.split(way, "/"), F.lit(2), F.size(F.split(way, "/")))
+    step = lambda acc, p: F.when(p == ".", acc).when(p == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    folder = F.when(way.rlike(r"(?s)/\.\.?$") & (F.size(kept) > 0), F.lit("/")).otherwise("")
+    return F.when(way.rlike(r"(?s)/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"), folder)).otherwise(way)
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """A link's target as an absolute url, seen from the url ``base``; null for other schemes without ``//`` and where base has no host."""
+    scheme = F.regexp_extract(base, r"(?s)^(.*?)://", 1)
+    site = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    way = path(base)
+    bare, rest = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    query = F.regexp_extract(base, r"(?s)^[^?#]*(\?[^#]*)", 1)
+    folder = F.when(way == "", F.lit("/")).otherwise(F.regexp_extract(way, r"(?s)^(.*/)", 1))
+    inside = (
+        F.when(target.startswith("/"), F.concat(site, without_dots(bare), rest))
+        .when(bare != "", F.concat(site, without_dots(F.concat(folder, bare)), rest))
+        .when(target.startswith("?"), F.concat(site, way, rest))
+        .otherwise(F.concat(site, way, query))
+    )
+    return (
+        F.when(target.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(host(base) == "", F.lit(None))
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .when(~target.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*:"), inside)
+    )
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """Edges (a, b) between the canonical forms of a page and of the absolute urls it redirects or points to as canonical."""
+    """Distinct (from_url, to_url) of pages and the urls that they redirect or point to as canonical."""
     targets = F.concat(F.regexp_extract_all("html", F.lit(CANONICAL_LINK), F.lit(1)), F.regexp_extract_all("html", F.lit(REFRESH), F.lit(1)))
-    found = pages.select(canonical(F.col("url")).alias("a"), F.explode(targets).alias("target"))
-    return found.select("a", canonical(F.col("target")).alias("b")).where("a is not null and b is not null and a <> b").distinct()
+    found = pages.select("url", F.explode(targets).alias("target"))
+    return found.select(F.col("url").alias("from_url"), resolved(F.col("target"), F.col("url")).alias("to_url")).where("to_url is not null").distinct()
 
 
 def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
-    """page_id, host, path, rule, verdict, alias of every page; redirects: more edges (from_url, to_url)."""
+    """page_id, host, path, rule, verdict, alias of every page; redirects: more edges (from_url, to_url), absolute or relative to from_url."""
     url = F.col("url")
     judged = pages.select("page_id", host(url).alias("host"), path(url).alias("path"), canonical(url).alias("alias"))
     judged = judged.withColumn("ruled", rule(F.col("host"), F.col("path"), rules))
-    flag = lambda v: F.coalesce(F.max(F.col("ruled.verdict") == v), F.lit(False))
-    forms = judged.where("alias is not null").groupBy("alias").agg(flag("allow").alias("allowed"), flag("block").alias("blocked"))
-    edges = page_links(pages)
+    links = page_links(pages)
     if redirects is not None:
-        edges = edges.union(redirects.select(canonical(F.col("from_url")).alias("a"), canonical(F.col("to_url")).alias("b"))).distinct()
-    edges = settled(edges, "links")
+        links = links.union(redirects.select("from_url", resolved(F.col("to_url"), F.col("from_url")).alias("to_url"))).distinct()
+    end = lambda c: F.struct(canonical(F.col(c)).alias("alias"), rule(host(F.col(c)), path(F.col(c)), rules).alias("ruled"))
+    links = settled(links.select(end("from_url").alias("a"), end("to_url").alias("b")), "links")
+    edges = links.select(F.col("a.alias").alias("a"), F.col("b.alias").alias("b")).where("a is not null and b is not null and a <> b").distinct()
+    flag = lambda v: F.coalesce(F.max(F.col("ruled.verdict") == v), F.lit(False))
+    # Ends of links that are no page are judged too.
+    ruled = judged.select("alias", "ruled").union(links.select("a.alias", "a.ruled")).union(links.select("b.alias", "b.ruled"))
+    forms = ruled.where("alias is not null").groupBy("alias").agg(flag("allow").alias("allowed"), flag("block").alias("blocked"))
     spread = forms.select("alias", "blocked", "allowed")
     if not edges.isEmpty():
-        # Forms without an edge are components of their own; a target that is no page takes no part in the result but passes decisions on.
+        # Forms without an edge are components of their own.
         of = components(edges).withColumnRenamed("node", "alias")
         joined = forms.join(of, "alias", "right")
         decided = settled(joined.groupBy("component").agg(F.max("allowed").alias("any_allowed"), F.max("blocked").alias("any_blocked")), "decided")

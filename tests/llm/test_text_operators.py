@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import urljoin
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from panelforge.llm import bpe, decontaminate, fingerprint, secrets, suffix_dedup, url_rules
 from tests.llm import cases
@@ -166,3 +168,32 @@ def test_empty_tables(spark, tables):
     where = tables(documents=([], cases.SCHEMA), benchmark=([], "item_id bigint, text string"), pages=([], "page_id bigint, url string, html string"))
     for query in (bpe.op6_bpe, secrets.op7_secrets, fingerprint.op2_fingerprint, url_rules.op3_url_rules, suffix_dedup.op8_suffix_dedup, decontaminate.op9_decontaminate):
         assert query(spark, where).count() == 0
+
+
+def test_url_rules_judge_targets_that_are_no_page(spark):
+    pages = spark.createDataFrame(
+        [
+            (1, "http://a.net/x", '<link rel=canonical href="http://example.org/es/1">'),
+            (2, "http://b.net/x", '<link rel=canonical href="//x.com/de/3">'),
+            (3, "http://c.net/x", '<link rel=canonical href="//x.com/de/4"><meta http-equiv=refresh content="0; url=https://d.com/fr/4">'),
+            (4, "http://x.com/other", "<meta http-equiv=refresh content='0; url=/de/5'>"),
+            (5, "http://x.com/a/b", "<link rel=canonical href='../de/6'>"),
+            (6, "http://e.net/x", "<link rel=canonical href='mailto:a@x.com/de/'>"),
+            (7, "http://f.net/x", ""),
+            (8, "http://h.com/de", "<link rel=canonical href='/de/'>"),
+        ],
+        "page_id bigint, url string, html string",
+    )
+    redirects = spark.createDataFrame([("http://f.net/x", "http://g.net/y"), ("http://g.net/y", "http://x.com/de/9")], "from_url string, to_url string")
+    got = {r["page_id"]: r["verdict"] for r in url_rules.judge(pages, redirects=redirects).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "block", 5: "block", 6: "allow", 7: "block", 8: "block"}
+    assert {r["verdict"] for r in url_rules.judge(pages.where("page_id = 8")).collect()} == {"block"}
+
+
+def test_targets_are_resolved_as_urllib_does(spark):
+    bases = ["http://x.com/a/b/c?q=1", "https://x.com", "http://x.com/a/"]
+    targets = ["d", "./d", "../d", "../../../d", "/d/./e/../f", "//y.com/z", "?p=2", "d/..", "http://y.com/z", "..", "d?x=../y"]
+    rows = [(b, t) for b in bases for t in targets]
+    df = spark.createDataFrame(rows, "b string, t string")
+    got = [r[0] for r in df.select(url_rules.resolved(F.col("t"), F.col("b"))).collect()]
+    assert got == [urljoin(b, t) for b, t in rows]
