@@ -1,11 +1,12 @@
 """Secret scan in DataFrame functions only: three base patterns and two character Markov models.
 
 Base spans are the leftmost non-overlapping matches of each pattern. A further span, kind ``markov``, is a run
-of at least ``RUN`` token characters that overlaps no base span and whose bigrams are likelier under the model of
-random strings than under the one of ordinary identifiers by ``THRESHOLD`` nats for each character. Both models are
-bigram counts learned from labelled samples in at most ``SAMPLE_DOCS`` documents (those with the smallest hash of
-doc_id): values of base matches are random strings, longer words are ordinary. Without any base match in the
-sample no span is added.
+of at least ``RUN`` token characters, or what base spans leave of one if that is still as long, whose bigrams are
+likelier under the model of random strings than under the one of ordinary identifiers by ``THRESHOLD`` nats for each
+character. Both models are bigram counts learned from labelled samples: values of base matches are random strings,
+longer words of documents without a base match are ordinary. Base matches are looked for in all documents; each label
+is then sampled by itself, from the ``SAMPLE_DOCS`` documents of its kind with the smallest hash. Without any base
+match, or any ordinary word, in the whole table no span is added.
 
 Null texts count as empty and have no spans; positions are code points, ends exclusive. Repeated rows get the
 same spans.
@@ -19,6 +20,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelforge.llm.common import settled
+
 #: The base patterns.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # AKIA[A-Z0-9]+ of 18 characters or more
@@ -77,12 +80,17 @@ def _pairs(value: Column) -> Column:
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float] | None:
     """Log-likelihood ratio of each pair of characters, random against ordinary; None without samples of either kind."""
-    chosen = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    # The broadcast side has sample_docs rows of 8 bytes at most.
-    sample = base_spans(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text"))
+    hashed = docs.select("text", F.xxhash64("doc_id", "text").alias("h"))
     secret = F.transform("spans", lambda s: F.when(s["kind"] == 0, F.regexp_extract(s["value"], ASSIGN, 2)).otherwise(s["value"]))
-    labelled = F.array(F.struct(F.lit(1).alias("random"), secret.alias("values")), F.struct(F.lit(0).alias("random"), F.when(F.size("spans") == 0, _found(F.col("text"), ORDINARY)).alias("values")))
-    values = sample.select(F.explode(labelled).alias("x")).select("x.random", F.explode("x.values").alias("value")).where(F.length("value") > 1)
+    labels = settled(base_spans(hashed).select("h", F.when(F.size("spans") > 0, secret).alias("values")), "labels")
+    kept = labels.where("values is not null").orderBy("h").limit(sample_docs)
+    # Documents are taken up to the hash of the last that fits; copies of it come along.
+    last = labels.where("values is null").select("h").orderBy("h").limit(sample_docs).agg(F.max("h")).head()[0]
+    if last is None:
+        return None
+    plain = base_spans(hashed.where(F.col("h") <= last)).where(F.size("spans") == 0)
+    random, ordinary = kept.select(F.lit(1).alias("random"), "values"), plain.select(F.lit(0).alias("random"), _found(F.col("text"), ORDINARY).alias("values"))
+    values = random.union(ordinary).select("random", F.explode("values").alias("value")).where(F.length("value") > 1)
     counts = values.select("random", F.explode(_pairs(F.col("value"))).alias("pair")).groupBy("pair").agg(F.sum("random").alias("r"), F.sum(1 - F.col("random")).alias("o"))
     seen = {row["pair"]: (row["r"], row["o"]) for row in counts.collect()}  # WIDTH squared rows at most
     if not all(any(v[k] for v in seen.values()) for k in (0, 1)):
@@ -95,6 +103,20 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float] | None:
     return out
 
 
+def _left_over(run: Column, taken: Column) -> Column:
+    """The parts of a run of at least RUN characters that spans, sorted by start, leave."""
+
+    def part(start: Column, end: Column) -> Column:
+        value = F.substring(run["value"], start - run["start"] + 1, end - start)
+        return F.filter(F.array(F.struct(start.alias("start"), run["kind"].alias("kind"), end.alias("end"), value.alias("value"))), lambda p: p["end"] - p["start"] >= RUN)
+
+    def add(acc: Column, b: Column) -> Column:
+        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["parts"], part(acc["at"], b["start"])).alias("parts"))
+
+    cut = F.aggregate(taken, F.struct(run["start"].alias("at"), F.array().cast(SPANS).alias("parts")), add, lambda acc: F.concat(acc["parts"], part(acc["at"], run["end"])))
+    return F.when(F.size(taken) > 0, cut).otherwise(F.array(run))
+
+
 def scan(docs: DataFrame, model: list[float] | None, text: str = "text", spans: str = "spans") -> DataFrame:
     """docs with ``spans``: base spans and those that the models add, by start and kind."""
     base = base_spans(docs, text, spans)
@@ -103,9 +125,9 @@ def scan(docs: DataFrame, model: list[float] | None, text: str = "text", spans:
     t = F.coalesce(F.col(text), F.lit(""))
     ratios = F.from_json(F.lit(json.dumps(model)), "array<double>")
     runs = _spans(t, F.col(f"_{spans}_runs"), CANDIDATE, 3)
-    apart = lambda s: ~F.exists(spans, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    between = lambda s: F.flatten(F.transform(s, lambda r: _left_over(r, F.filter(spans, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))))
     mean = lambda s: F.aggregate(F.transform(_pairs(s["value"]), lambda p: F.get(ratios, p)), F.lit(0.0), lambda a, x: a + x) / (F.length(s["value"]) - 1)
-    added = F.filter(F.filter(runs, apart), lambda s: mean(s) >= THRESHOLD)
+    added = F.filter(between(runs), lambda s: mean(s) >= THRESHOLD)
     found = base.withColumn(f"_{spans}_runs", _found(t, CANDIDATE))
     return found.withColumn(spans, F.when(F.size(f"_{spans}_runs") > 0, F.array_sort(F.concat(spans, added))).otherwise(F.col(spans))).drop(f"_{spans}_runs")
 

@@ -197,3 +197,23 @@ def test_targets_are_resolved_as_urllib_does(spark):
     df = spark.createDataFrame(rows, "b string, t string")
     got = [r[0] for r in df.select(url_rules.resolved(F.col("t"), F.col("b"))).collect()]
     assert got == [urljoin(b, t) for b, t in rows]
+
+
+def test_rare_secrets_are_learned_from_all_documents(spark):
+    docs = [(i, f"ordinary paragraphs number {i} about gardening") for i in range(60)]
+    docs += [(100, "password=qX7zP0kLm2Vb9TnR4wYc8JdH1sGf and token: Zk9QwX3vB7nM1rT5yU8pL2"), (None, "api_key=J8dK2mQ9xV4bN7zR1tW6")]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    small, large = secrets.fit(frame, 4), secrets.fit(frame, 1_000)
+    assert small is not None and large is not None
+    random_one = spark.createDataFrame([(1, "qX7zP0kLm2Vb9TnR4wYc8JdH1sGf")], "doc_id bigint, text string")
+    assert [len(secrets.scan(random_one, m).head()["spans"]) for m in (small, large)] == [1, 1]
+
+
+def test_parts_of_runs_beside_base_spans_are_scored(spark, folder):
+    where, _, _ = folder
+    model = secrets.fit(spark.read.parquet(f"{where}/documents.parquet"))
+    random_one = "qX7zP0kLm2Vb9TnR4wYc8JdH1sGf"
+    text = f"{random_one}+0123456789abcdef0123+{random_one} short+0123456789abcdef0123"
+    spans = secrets.scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), model).head()["spans"]
+    assert [(s["kind"], s["value"]) for s in spans] == [(3, random_one + "+"), (2, "0123456789abcdef0123"), (3, "+" + random_one), (2, "0123456789abcdef0123")]
+    assert all(text[s["start"] : s["end"]] == s["value"] for s in spans)
