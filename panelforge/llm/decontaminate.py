@@ -9,6 +9,7 @@ words are compared with those that the posting carries, so a match is exact (64-
 
 Null and empty texts have no words and are not contaminated; items without words have no window. Repeated rows, of
 either table, count like any other; texts are told apart by a 128-bit key, so repeated or null doc_ids do no harm.
+Items with a null item_id contaminate like any other, but have no place in the list of items.
 """
 
 from __future__ import annotations
@@ -168,8 +169,8 @@ def _covered(spans: Column) -> Column:
 
 
 def find(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(k1, k2, n_hit, items) of every contaminated text; items: the ids of items with a window there."""
-    found = settled(windows(benchmark.where("item_id is not null")), "windows")
+    """(k1, k2, n_hit, items) of every contaminated text; items: the ids, where not null, of items with a window there."""
+    found = settled(windows(benchmark), "windows")
     texts = documents.select("text")
     counts = corpus_counts(texts, found.select(F.explode("window").alias("word")).distinct())
     keys = settled(keyed(found, counts), "keys")
