@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import bounded_batches, settled
+from panelforge.llm.common import bounded_batches, packed, settled
 from panelforge.llm.text_kernels import Words, chunks, content_key
 
 WINDOW = 10
@@ -184,20 +184,19 @@ def find(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def marked(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """documents with a struct ``contamination`` (n_words, n_hit, items) as last column."""
+    """(row, n_words, n_hit, items): every document as a struct, its words, those hit, and the ids of the items found in it."""
     hits = find(documents, benchmark)
-    keyed_docs = documents.withColumn("_facts", facts(F.col("text")))
-    both = keyed_docs.join(hits.select(F.struct("k1", "k2").alias("_key"), F.struct("n_hit", "items").alias("_hit")), F.struct("_facts.k1", "_facts.k2") == F.col("_key"), "left")
-    n_hit = F.coalesce("_hit.n_hit", F.lit(0).cast("bigint"))
-    items = F.coalesce("_hit.items", F.array().cast("array<string>"))
-    return both.select(*[documents[c] for c in documents.columns], F.struct(F.col("_facts.n_words").alias("n_words"), n_hit.alias("n_hit"), items.alias("items")).alias("contamination"))
+    own = documents.select(packed(documents).alias("row"), facts(F.col("text")).alias("own")).select("row", "own.*")
+    both = own.join(hits, ["k1", "k2"], "left")
+    zero, none = F.lit(0).cast("bigint"), F.array().cast("array<string>")
+    return both.select("row", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("items", none).alias("items"))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words hit, and items found, in every document."""
     bounded_batches(spark)
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = marked(documents, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id", "contamination.*")
+    out = marked(documents, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("row.doc_id", "n_words", "n_hit", "items")
     return out.select(
         "doc_id",
         "n_words",

@@ -3,44 +3,57 @@
 A text's set is that of its distinct 5-word shingles as 64-bit hashes (words part at white space, A-Z lower-cased;
 a text of fewer words is one shingle). Two texts link when their sets' Jaccard similarity is ``PERCENT``/100 or more.
 
-1. Texts with equal sets meet by a 128-bit key of the set and go on as one node.
-2. A pair that links shares one of the first ``n - ceil(0.8 n) + 1`` shingles by hash order (the prefix). Prefix
-   shingles of one node only are dropped by a count that adds up before the shuffle.
-3. In each group of nodes around a prefix shingle, every node is paired with the group's centre, the node with most
-   shared prefix shingles; pairs whose bound fits are verified, and their links make first classes.
-4. Groups that still hold several classes are searched (one of those with the same nodes): shingles are hashed into
-   groups, more of them for larger sets, a node's group counts are a point, and an R-tree over the points bounds the
-   overlap with a query by the summed minima of its counts and a box's largest counts. Pairs of different classes
-   whose bound fits are verified too: first the ``FIRST_PARTNERS`` likeliest of each pair of classes in a group, which
-   joins most of what belongs together, then all that are left between classes. A group of more than ``TILE`` nodes
-   is searched in pairs of tiles, so no task takes a whole hot group.
+1. Texts with equal sets meet by a 128-bit key of the set and go on as one node. The same pass counts the shingles of
+   all texts in a sketch of fixed size, which puts every shingle into a level: 0, or higher the more frequent it is.
+2. A pair that links shares one of the first ``n - ceil(0.8 n) + 1`` shingles of its sets (the prefix) in any fixed
+   order; this one is by (level, hash), so passages that many texts share come last. Prefix shingles of one node only
+   are dropped. Shingles of level 0 are few each, so they meet in one task; the others are spread by node.
+3. Nodes around a prefix shingle are a group (groups of the same nodes count once). Shingles are hashed into dimensions,
+   about as many as the set has shingles, and a node's counts are a point. An R-tree over a group's points bounds the
+   overlap with a query by the summed minima of its counts and a box's largest counts. A group gives all pairs whose
+   bound fits, or, where these are more than ``DENSE`` times its nodes, the likeliest partner of every node. Groups of
+   more than ``TILE`` nodes are cut into tiles, so no task takes a whole hot group.
+4. Every node's likeliest partner is verified on the texts; the links make first classes. Then all other pairs between
+   classes are verified: those that step 3 gave, and for groups that were dense or cut those of a second search,
+   in which nodes outside the group's largest class are compared with all.
 5. Components over all links give the classes. As every pair across classes that can link is verified in the end,
    no link between different texts is lost.
 
 Null and empty texts, and those without words, have an empty set and link with nothing. Repeated rows (and rows with
-repeated or null doc_ids) are in the class of their set; component_id is the smallest doc_id of the class.
+repeated or null doc_ids) are in the class of their set; component_id is the smallest doc_id of the class, null where all
+are null. Very long texts are cut into shingles in bounded segments. An empty table gives no rows. Other columns, whatever
+their names, are carried along unread. The search within a group of unlike texts takes time quadratic in its size.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import bounded_batches, settled
+from panelforge.llm.common import batch_rows, bounded_batches, packed, settled
 from panelforge.llm.components import components
 from panelforge.llm.text_kernels import Words, chunks, combine, content_key, mix
 
 SHINGLE = 5
 PERCENT = 80
-#: Dimensions of a point: (largest set, groups).
-GROUPS = ((256, 64), (1024, 256), (4096, 1024), (1 << 62, 4096))
+#: Counters of the sketch of shingle frequencies.
+SKETCH = 1 << 16
+#: Least and most dimensions of a point.
+DIMENSIONS = (64, 4096)
+#: Largest count that a point keeps in a dimension (4 bits).
+MOST = 15
 TILE = 2048
-FIRST_PARTNERS = 3
 FANOUT = 16
-#: Rows of a search block.
+DENSE = 4
+#: Rows of a search block, and bytes of texts (by 7 for a shingle) of a verification block.
 BLOCK_ROWS = 8192
+BLOCK_BYTES = 8 << 20
+#: Pairs of one node that meet in a verification block at most; more are spread over several.
+HUB = 256
 #: Nodes whose keys a broadcast carries at most (16 MB); more are joined by a shuffle.
 CARRIED_NODES = 1_000_000
 _U = np.uint64
@@ -67,81 +80,123 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(mix(s + _U(c)).sum(dtype=np.uint64).view(np.int64)) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 
 
-def point(s: np.ndarray) -> np.ndarray:
-    """Group counts of a set, 255 for any larger count."""
-    groups = next(g for most, g in GROUPS if len(s) <= most)
-    return np.minimum(np.bincount((s & _U(groups - 1)).astype(np.int64), minlength=groups), 255).astype(np.uint8)
+def sketch_place(s: np.ndarray) -> np.ndarray:
+    """Counter of each shingle."""
+    return ((s * _U(0xD6E8FEB86659FD93)) >> _U(48)).astype(np.int64) % SKETCH
 
 
-def folded(points: np.ndarray, groups: int) -> np.ndarray:
-    """Points (rows) of more groups brought to fewer."""
-    if points.shape[-1] == groups:
-        return points
-    return np.minimum(points.reshape(len(points), -1, groups).sum(1, dtype=np.int64), 255).astype(np.uint8)
+def levels(counts: np.ndarray) -> np.ndarray:
+    """Level of each counter: 0 up to five deviations above the median, then the logarithm of what is above."""
+    usual = max(1.0, float(np.median(counts)))
+    above = (counts - usual) / (5 * usual**0.5)
+    return np.where(above <= 1, 0, 1 + np.log2(np.maximum(above, 1))).astype(np.uint8)
 
 
-def overlap_bounds(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Summed coordinate minima of rows of points; no bound (a huge one) where both have a count that 255 stands for."""
-    bound = np.minimum(a, b).sum(1, dtype=np.int64)
-    bound[((a == 255) & (b == 255)).any(1)] = 1 << 40
-    return bound
+def prefix(s: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of a sorted set of which every linked set shares one, and the level of each."""
+    own = level[sketch_place(s)]
+    size = len(s) - -(-PERCENT * len(s) // 100) + 1
+    order = np.argsort(own, kind="stable")[:size]
+    return s[order], own[order]
+
+
+def point(s: np.ndarray) -> bytes:
+    """Counts of a set's shingles by dimension, two to a byte: dimension d in the lower half of byte d, d + half in the upper."""
+    size = DIMENSIONS[0]
+    while size < min(len(s), DIMENSIONS[1]):
+        size *= 2
+    counts = np.minimum(np.bincount((s & _U(size - 1)).astype(np.int64), minlength=size), MOST).astype(np.uint8)
+    return (counts[: size // 2] | counts[size // 2 :] << 4).tobytes()
+
+
+class Points:
+    """Unpacked points of one number of dimensions, from rows that have as many or twice as many; ``rest``: shingles that the counts leave out."""
+
+    def __init__(self, packed_points: list[bytes], rows: np.ndarray, sizes: np.ndarray, dimensions: int):
+        self.rows = rows
+        self.place = np.full(len(packed_points), -1, np.int64)
+        self.place[rows] = np.arange(len(rows))
+        self.counts = np.empty((len(rows), dimensions), np.uint8)
+        wide = np.array([2 * len(packed_points[r]) for r in rows]) > dimensions
+        for at, folded in ((np.flatnonzero(~wide), False), (np.flatnonzero(wide), True)):
+            if len(at):
+                raw = np.frombuffer(b"".join(packed_points[r] for r in rows[at]), np.uint8).reshape(len(at), -1)
+                self.counts[at] = (raw & 15) + (raw >> 4) if folded else np.concatenate([raw & 15, raw >> 4], 1)
+        self.sizes = sizes[rows]
+        self.rest = self.sizes - self.counts.sum(1, dtype=np.int64)
+
+
+def overlap_bounds(a: np.ndarray, rest_a: np.ndarray, b: np.ndarray, rest_b: np.ndarray) -> np.ndarray:
+    """Summed coordinate minima of rows of points, and what the counts that they leave out may add."""
+    return np.minimum(a, b).sum(1, dtype=np.int64) + np.minimum(rest_a, rest_b)
+
+
+def _reaches(bound: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    return (100 + PERCENT) * bound >= PERCENT * (n + m)
 
 
 class CountTree:
     """R-tree over count vectors in order of set size; inner nodes keep the largest counts and the range of sizes."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, rest: np.ndarray | None = None):
+        rest = sizes - points.sum(1, dtype=np.int64) if rest is None else rest
         self.order = np.lexsort((points.argmax(1), sizes))
-        high, least, most = points[self.order], sizes[self.order], sizes[self.order]
-        self.levels = [(high, least, most)]
-        while len(high) > FANOUT:
-            cut = np.arange(0, len(high), FANOUT)
-            high, least, most = np.maximum.reduceat(high, cut), np.minimum.reduceat(least, cut), np.maximum.reduceat(most, cut)
-            self.levels.append((high, least, most))
-
-    def search(self, queries: np.ndarray, sizes: np.ndarray, batch: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        level = (points[self.order], rest[self.order], sizes[self.order], sizes[self.order])
+        self.levels = [level]
+        while len(level[0]) > FANOUT:
+            cut = np.arange(0, len(level[0]), FANOUT)
+            level = tuple(f.reduceat(x, cut) for f, x in zip((np.maximum, np.maximum, np.minimum, np.maximum), level, strict=True))
+            self.levels.append(level)
+
+    def search(self, queries: np.ndarray, sizes: np.ndarray, rest: np.ndarray | None = None, batch: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, point, bound) of pairs whose bound reaches the overlap that a link needs."""
+        rest = sizes - queries.sum(1, dtype=np.int64) if rest is None else rest
         found = []
         for lo in range(0, len(queries), batch):
-            q_points, q_sizes = queries[lo : lo + batch], sizes[lo : lo + batch]
-            q = np.repeat(np.arange(len(q_points)), len(self.levels[-1][1]))
-            node = np.tile(np.arange(len(self.levels[-1][1])), len(q_points))
+            q_points, q_rest, q_sizes = queries[lo : lo + batch], rest[lo : lo + batch], sizes[lo : lo + batch]
+            q = np.repeat(np.arange(len(q_points)), len(self.levels[-1][0]))
+            node = np.tile(np.arange(len(self.levels[-1][0])), len(q_points))
             for level in range(len(self.levels) - 1, -1, -1):
-                high, least, most = self.levels[level]
+                high, high_rest, least, most = self.levels[level]
                 n = q_sizes[q]
                 near = (100 * most[node] >= PERCENT * n) & (PERCENT * least[node] <= 100 * n)
                 q, node = q[near], node[near]
                 bound = np.zeros(len(q), np.int64)
-                step = max(1, (1 << 22) // q_points.shape[1])
+                step = max(1, (1 << 21) // q_points.shape[1])
                 for at in range(0, len(q), step):
-                    bound[at : at + step] = overlap_bounds(q_points[q[at : at + step]], high[node[at : at + step]])
-                smallest = np.maximum(least[node], -(-PERCENT * q_sizes[q] // 100))
-                keep = (100 + PERCENT) * bound >= PERCENT * (q_sizes[q] + smallest)
+                    x, y = q[at : at + step], node[at : at + step]
+                    bound[at : at + step] = overlap_bounds(q_points[x], q_rest[x], high[y], high_rest[y])
+                keep = _reaches(bound, q_sizes[q], np.maximum(least[node], -(-PERCENT * q_sizes[q] // 100)))
                 q, node, bound = q[keep], node[keep], bound[keep]
                 if level:
-                    below = len(self.levels[level - 1][1])
+                    below = len(self.levels[level - 1][0])
                     q, node = np.repeat(q, FANOUT), (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
                     q, node = q[node < below], node[node < below]
             found.append((q + lo, self.order[node], bound))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
 
 
-def nodes_of(text: Column) -> Column:
-    """struct<k1, k2, h1, h2, n, point> of each text: its own key, its set's key, size and point."""
+_NODE = [("doc_id", pa.int64()), *[(c, pa.int64()) for c in ("k1", "k2", "h1", "h2", "n")], ("point", pa.binary()), ("sketch", pa.list_(pa.int32()))]
 
-    @F.arrow_udf("k1 bigint, k2 bigint, h1 bigint, h2 bigint, n bigint, point binary")
-    def of(texts: pa.Array) -> pa.Array:
-        own = np.array([content_key((t.as_py() or "").encode()) for t in texts], np.int64).reshape(-1, 2)
+
+def _node_rows(batches):
+    """doc_id, text in; each text's own key, its set's key, size and point out, and a last row (n -1) with the task's sketch."""
+    schema = pa.schema(_NODE)
+    sketch = np.zeros(SKETCH, np.int64)
+    for b in batches:
+        own = np.array([content_key((t.as_py() or "").encode()) for t in b.column("text")], np.int64).reshape(-1, 2)
         keys, sizes, points = [], [], []
-        for s in shingle_sets(texts):
+        for s in shingle_sets(b.column("text")):
             keys.append(set_key(s))
             sizes.append(len(s))
-            points.append(point(s).tobytes())
+            points.append(point(s))
+            sketch += np.bincount(sketch_place(s), minlength=SKETCH)
         h = np.array(keys, np.int64).reshape(-1, 2)
-        columns = [own[:, 0], own[:, 1], h[:, 0], h[:, 1], np.array(sizes, np.int64)]
-        return pa.StructArray.from_arrays([*map(pa.array, columns), pa.array(points, pa.binary())], ["k1", "k2", "h1", "h2", "n", "point"])
-
-    return of(text)
+        columns = [pa.array(x, pa.int64()) for x in (own[:, 0], own[:, 1], h[:, 0], h[:, 1], sizes)]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *columns, pa.array(points, pa.binary()), pa.nulls(len(own), schema.field("sketch").type)], schema=schema)
+    if sketch.any():
+        row = {"n": -1, "sketch": np.minimum(sketch, 2**31 - 1).astype(np.int32)}
+        yield pa.RecordBatch.from_arrays([pa.array([row.get(f.name)], f.type) for f in schema], schema=schema)
 
 
 def text_key(text: Column) -> Column:
@@ -155,15 +210,6 @@ def text_key(text: Column) -> Column:
     return of(text)
 
 
-def _prefixes(batches):
-    for b in batches:
-        for s in shingle_sets(b.column("text")):
-            n = len(s)
-            if n:
-                p = n - -(-PERCENT * n // 100) + 1
-                yield pa.RecordBatch.from_arrays([pa.array(s[:p].view(np.int64)), pa.array(np.full(p, set_key(s)[0]))], ["sig", "h1"])
-
-
 def _gathered(batches, rows: int = 1 << 15):
     """Fewer, larger batches."""
     held, n = [], 0
@@ -177,127 +223,235 @@ def _gathered(batches, rows: int = 1 << 15):
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _fits(a: Column, na: Column, b: Column, nb: Column) -> Column:
-    """Whether the bound of a pair's points reaches the overlap that a link needs."""
-
-    @F.arrow_udf("boolean")
-    def of(a: pa.Array, na: pa.Array, b: pa.Array, nb: pa.Array) -> pa.Array:
-        need = PERCENT * (na.to_numpy() + nb.to_numpy())
-        out = []
-        for x, y, z in zip(a, b, need, strict=True):
-            x, y = (np.frombuffer(v.as_py(), np.uint8)[None] for v in (x, y))
-            g = min(x.shape[1], y.shape[1])
-            out.append(bool((100 + PERCENT) * overlap_bounds(folded(x, g), folded(y, g))[0] >= z))
-        return pa.array(out, pa.bool_())
-
-    return of(a, na, b, nb)
+def _prefixes(batches, level: np.ndarray):
+    """(sig, h1, hot) for each prefix shingle of each text; copies in a task count once."""
+    seen = set()
+    for b in batches:
+        for s in shingle_sets(b.column("text")):
+            if len(s) and (key := set_key(s)) not in seen:
+                seen.add(key)
+                sig, own = prefix(s, level)
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.full(len(sig), key[0])), pa.array(own > 0)], ["sig", "h1", "hot"])
+
+
+def _shared(batches):
+    """Rows (sig, h1, hot), sorted, in; distinct (sig, h1) out, without those that are alone with a sig that is not hot."""
+    held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+    for b in itertools.chain(_gathered(batches), [None]):
+        if b is not None:
+            own = (b.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "h1", "hot"))
+            held = tuple(np.concatenate(x) for x in zip(held, own, strict=True))
+        sig, h1, hot = held
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (h1[1:] != h1[:-1])
+        sig, h1, hot = sig[new], h1[new], hot[new]
+        # The last sig can go on in the next batch: its rows are held back, of a hot one the last row only.
+        cut = len(sig)
+        if b is not None and cut:
+            cut = cut - 1 if hot[-1] else int(np.searchsorted(sig, sig[-1]))
+        held = (sig[cut:], h1[cut:], hot[cut:])
+        sig, h1, keep = sig[:cut], h1[:cut], hot[:cut].copy()
+        same = sig[1:] == sig[:-1]
+        keep[1:] |= same
+        keep[:-1] |= same
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(h1[keep])], ["sig", "h1"])
+
+
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("score", pa.float64()), ("dense", pa.int64())])
+
+
+def _dimensions(packed_points: list[bytes]) -> np.ndarray:
+    return np.array([2 * len(p) for p in packed_points], np.int64)
+
+
+def _tables(packed_points: list[bytes], sizes: np.ndarray, dims: np.ndarray) -> dict[int, Points]:
+    """For every number of dimensions, the points that have as many or twice as many."""
+    return {int(d): Points(packed_points, np.flatnonzero((dims == d) | (dims == 2 * d)), sizes, int(d)) for d in np.unique(dims)}
+
+
+def _pairs_within(rows: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows of the same small group; a group is ``count`` rows from ``first`` on."""
+    left, right = [], []
+    for k in range(1, int(count.max()) if len(count) else 0):
+        # Row i of a group meets row i + k.
+        many = np.maximum(count - k, 0)
+        at = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        left.append(rows[at])
+        right.append(rows[at + k])
+    return (np.concatenate(left), np.concatenate(right)) if left else (rows[:0], rows[:0])
+
+
+def _bounded(a: np.ndarray, b: np.ndarray, dims: np.ndarray, n: np.ndarray, tables: dict[int, Points]) -> np.ndarray:
+    """The bound on the overlap of each pair of rows, -1 where the sizes alone part them."""
+    bound = np.full(len(a), -1, np.int64)
+    near = (100 * n[a] >= PERCENT * n[b]) & (100 * n[b] >= PERCENT * n[a])
+    least = np.minimum(dims[a], dims[b])
+    for d, t in tables.items():
+        at = np.flatnonzero(near & (least == d))
+        for lo in range(0, len(at), step := max(1, (1 << 21) // d)):
+            some = at[lo : lo + step]
+            x, y = t.place[a[some]], t.place[b[some]]
+            bound[some] = overlap_bounds(t.counts[x], t.rest[x], t.counts[y], t.rest[y])
+    return bound
 
 
-def _linked(texts_a: pa.Array, texts_b: pa.Array) -> np.ndarray:
-    """Whether each pair of texts links, by its sets."""
-    known: dict[str, np.ndarray] = {}
+def _tree_pairs(inner: np.ndarray, outer: np.ndarray, dims: np.ndarray, n: np.ndarray, tables: dict[int, Points]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(inner row, outer row, bound) of the pairs that trees over the inner rows find."""
+    found = []
+    for gi in np.unique(dims[inner]):
+        for go in np.unique(dims[outer]):
+            x, y = inner[dims[inner] == gi], outer[dims[outer] == go]
+            if max(gi, go) > 2 * min(gi, go) or 100 * n[x].max() < PERCENT * n[y].min() or 100 * n[y].max() < PERCENT * n[x].min():
+                continue
+            t = tables[int(min(gi, go))]
+            px, py = t.place[x], t.place[y]
+            q, p, bound = CountTree(t.counts[px], n[x], t.rest[px]).search(t.counts[py], n[y], t.rest[py])
+            found.append((x[p], y[q], bound))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (inner[:0], inner[:0], inner[:0])
+
+
+def _search(block: pa.Table, most: int) -> pa.Table:
+    """Candidate pairs (a < b) in the groups (sig, tile) of a block; for a dense group, of more than ``most`` pairs a row, every row's likeliest partner, and a row that names it."""
+    sig, tile, h1, n = (block.column(c).to_numpy() for c in ("sig", "tile", "h1", "n"))
+    raw = block.column("point").to_pylist()
+    dims = _dimensions(raw)
+    tables = _tables(raw, n, dims)
+    by = np.lexsort((h1, tile, sig))
+    new = np.ones(len(by), bool)
+    new[1:] = (sig[by][1:] != sig[by][:-1]) | (tile[by][1:] != tile[by][:-1])
+    first = np.flatnonzero(new)
+    count = np.diff(np.append(first, len(by)))
+    small = count <= FANOUT
+    a, b = _pairs_within(by, first[small], count[small])
+    bound = _bounded(a, b, dims, n, tables)
+    fits = (bound >= 0) & _reaches(bound, n[a], n[b])
+    found, dense = [(a[fits], b[fits], bound[fits])], []
+    for lo, size in zip(first[~small], count[~small], strict=True):
+        own = by[lo : lo + size]
+        a, b, bound = _tree_pairs(own, own, dims, n, tables)
+        once = h1[a] < h1[b]
+        x, y, near = a[once], b[once], bound[once]
+        if len(x) > most * size:
+            dense.append(sig[own[0]])
+            other = a != b
+            a, b, bound = a[other], b[other], bound[other]
+            likely = np.lexsort((h1[a], -bound / (n[a] + n[b] - bound), b))
+            a, b, bound = a[likely], b[likely], bound[likely]
+            best = np.ones(len(b), bool)
+            best[1:] = b[1:] != b[:-1]
+            x, y, near = a[best], b[best], bound[best]
+        found.append((x, y, near))
+    a, b, bound = (np.concatenate(x) for x in zip(*found, strict=True))
+    one, two, score = np.minimum(h1[a], h1[b]), np.maximum(h1[a], h1[b]), bound / np.maximum(n[a] + n[b] - bound, 1)
+    _, once = np.unique(np.column_stack([one, two]), axis=0, return_index=True)
+    rows = pa.table([one[once], two[once], score[once], pa.nulls(len(once), pa.int64())], schema=_PAIRS)
+    marks = pa.table([pa.nulls(len(dense), pa.int64())] * 2 + [pa.nulls(len(dense), pa.float64()), pa.array(dense, pa.int64())], schema=_PAIRS)
+    return pa.concat_tables([rows, marks])
+
+
+def _search_across(block: pa.Table) -> pa.Table:
+    """Candidate pairs (a < b) of different classes, one of them an inner row, in the groups (sig, i, j) of a block."""
+    sig, i, j, h1, comp, n, inner = (block.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "i", "j", "h1", "comp", "n", "inner"))
+    raw = block.column("point").to_pylist()
+    dims = _dimensions(raw)
+    tables = _tables(raw, n, dims)
+    by = np.lexsort((h1, j, i, sig))
+    new = np.ones(len(by), bool)
+    new[1:] = (sig[by][1:] != sig[by][:-1]) | (i[by][1:] != i[by][:-1]) | (j[by][1:] != j[by][:-1])
+    first = np.flatnonzero(new)
+    out = [np.zeros((0, 2), np.int64)]
+    for lo, hi in zip(first, np.append(first[1:], len(by)), strict=True):
+        own = by[lo:hi]
+        a, b, _ = _tree_pairs(own[inner[own]], own[~inner[own]], dims, n, tables)
+        apart = comp[a] != comp[b]
+        out.append(np.column_stack([np.minimum(h1[a], h1[b])[apart], np.maximum(h1[a], h1[b])[apart]]))
+    pairs = np.unique(np.concatenate(out), axis=0)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    def sets(texts: pa.Array) -> list[np.ndarray]:
-        every = texts.to_pylist()
-        new = list({t for t in every if t not in known})
-        known.update(zip(new, shingle_sets(pa.array(new, pa.string())), strict=True))
-        return [known[t] for t in every]
 
-    out = []
-    for a, b in zip(sets(texts_a), sets(texts_b), strict=True):
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        out.append(len(a) > 0 and 100 * both >= PERCENT * (len(a) + len(b) - both))
-    return np.array(out, bool)
+def _once(batches):
+    """Rows (bucket, h1, h2, text) without those that the task has already given."""
+    seen = set()
+    for b in batches:
+        keep = []
+        for i, key in enumerate(zip(*(b.column(c).to_pylist() for c in ("bucket", "h1", "h2")), strict=True)):
+            if key not in seen:
+                seen.add(key)
+                keep.append(i)
+        yield b.take(pa.array(keep, pa.int64()))
+
+
+_LINK = pa.schema([(c, pa.int64()) for c in ("a1", "a2", "b1", "b2")])
+
+
+def _linked(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+    """Those of the pairs whose sets link."""
+    at: dict[tuple, int] = {}
+    for k, key in enumerate(zip(texts.column("h1").to_pylist(), texts.column("h2").to_pylist(), strict=True)):
+        at.setdefault(key, k)
+    rows = pa.array(list(at.values()), pa.int64())
+    sets = dict(zip(at, shingle_sets(texts.column("text").take(rows)), strict=True))
+    ends = [pairs.column(c).to_pylist() for c in ("a", "a2", "b", "b2")]
+    kept = []
+    for k, (a, a2, b, b2) in enumerate(zip(*ends, strict=True)):
+        x, y = sets[a, a2], sets[b, b2]
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        if len(x) and 100 * both >= PERCENT * (len(x) + len(y) - both):
+            kept.append(k)
+    return pa.table([pairs.column(c).take(pa.array(kept, pa.int64())) for c in ("a", "a2", "b", "b2")], schema=_LINK)
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
-    """Those of pairs (a, b: h1 of nodes) that link, as (a1, a2, b1, b2); nodes that share h1 are all tried."""
-    point = lambda s: nodes.select(F.col("h1").alias(s), F.col("h2").alias(f"{s}2"), F.col("n").alias(f"{s}n"), F.col("point").alias(f"{s}p"))
-    sized = pairs.join(point("a"), "a").join(point("b"), "b")
+    """Those of the distinct pairs (a, b: h1 of nodes) that link, as (a1, a2, b1, b2); nodes that share h1 are all tried.
+
+    Pairs are dealt into buckets by the end with more pairs, and the text of a node goes once to each bucket that needs it.
+    """
+    side = lambda s: nodes.select(F.col("h1").alias(s), F.col("h2").alias(f"{s}2"), F.col("n").alias(f"{s}n"), F.col("key").alias(f"{s}k"))
     near = (100 * F.col("an") >= PERCENT * F.col("bn")) & (100 * F.col("bn") >= PERCENT * F.col("an"))
-    fitting = settled(sized.where(near).where(_fits(F.col("ap"), F.col("an"), F.col("bp"), F.col("bn"))).select("a", "a2", "b", "b2"), "fitting")
-    ends = F.explode(F.array(F.struct(F.col("a").alias("h1"), F.col("a2").alias("h2")), F.struct(F.col("b").alias("h1"), F.col("b2").alias("h2"))))
-    wanted = fitting.select(ends.alias("x")).select("x.*").distinct().join(nodes.select("h1", "h2", "key"), ["h1", "h2"])
-    wanted = settled(wanted.select("h1", "h2", F.col("key.k1").alias("k1"), F.col("key.k2").alias("k2")), "wanted")
+    many = pairs.select(F.explode(F.array("a", "b")).alias("end")).groupBy("end").agg(F.count(F.lit(1)).alias("pairs"))
+    count = lambda s: many.select(F.col("end").alias(s), F.col("pairs").alias(f"{s}p"))
+    sized = settled(pairs.join(count("a"), "a").join(count("b"), "b").join(side("a"), "a").join(side("b"), "b").where(near), "sized")
+    shingles = sized.agg(F.sum(F.col("an") + F.col("bn"))).head()[0] or 0
+    buckets = max(1, -(-7 * shingles // BLOCK_BYTES))
+    first = F.col("ap") >= F.col("bp")
+    hub, leaf, most = F.when(first, F.col("a")).otherwise(F.col("b")), F.when(first, F.col("b")).otherwise(F.col("a")), F.greatest("ap", "bp")
+    bucket = F.pmod(F.xxhash64(hub, F.pmod(F.xxhash64(leaf, F.lit(11)), F.ceil(most / HUB))), F.lit(buckets)).alias("bucket")
+    dealt = sized.select(bucket, "a", "a2", "b", "b2", "ak", "bk")
+    end = lambda s: F.struct("bucket", F.col(s).alias("h1"), F.col(f"{s}2").alias("h2"), F.col(f"{s}k").alias("key"))
+    wanted = dealt.select(F.explode(F.array(end("a"), end("b"))).alias("x")).select("x.*").distinct()
+    wanted = settled(wanted.groupBy("key.k1", "key.k2").agg(F.collect_list(F.struct("bucket", "h1", "h2")).alias("to")), "wanted")
     if wanted.count() <= CARRIED_NODES:
         wanted = F.broadcast(wanted)
-    # One text stands for all with its set.
-    keyed = documents.select("text", text_key(F.col("text")).alias("_key")).select("text", F.col("_key.k1").alias("k1"), F.col("_key.k2").alias("k2"))
-    texts = settled(keyed.join(wanted, ["k1", "k2"]).groupBy("h1", "h2").agg(F.first("text").alias("text")), "texts")
-    text = lambda s: texts.select(F.col("h1").alias(s), F.col("h2").alias(f"{s}2"), F.col("text").alias(f"{s}_text"))
-
-    @F.arrow_udf("boolean")
-    def linked(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array(_linked(a, b))
-
-    both = fitting.join(text("b"), ["b", "b2"]).join(text("a"), ["a", "a2"])
-    return both.where(linked(F.col("a_text"), F.col("b_text"))).select(F.col("a").alias("a1"), "a2", F.col("b").alias("b1"), "b2")
+    keyed = documents.select("text", text_key(F.col("text")).alias("own")).select("text", F.col("own.k1").alias("k1"), F.col("own.k2").alias("k2"))
+    sent = keyed.join(wanted, ["k1", "k2"]).select(F.explode("to").alias("x"), "text").select("x.*", "text")
+    texts = sent.mapInArrow(_once, "bucket bigint, h1 bigint, h2 bigint, text string")
+    return dealt.select("bucket", "a", "a2", "b", "b2").groupBy("bucket").cogroup(texts.groupBy("bucket")).applyInArrow(_linked, "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
 
 
-def _search(block: pa.Table, partners: int | None) -> pa.Table:
-    """Candidate pairs (a, b) of different classes in the groups of a block; in a pair of tiles, the first is searched for in the second. With ``partners``, at most that many of each pair of classes in a group, those with the largest bounds."""
-    sig, first, second, tile, h1, comp, n = (block.column(c).to_numpy() for c in ("sig", "i", "j", "tile", "h1", "comp", "n"))
-    raw = block.column("point").to_pylist()
-    groups = np.array([len(p) for p in raw])
-    by = np.lexsort((h1, second, first, sig))
-    part = np.flatnonzero(np.concatenate([[True], (sig[by][1:] != sig[by][:-1]) | (first[by][1:] != first[by][:-1]) | (second[by][1:] != second[by][:-1])]))
-    stacked = lambda rows, g: np.concatenate([folded(np.frombuffer(b"".join(raw[r] for r in rows[groups[rows] == k]), np.uint8).reshape(-1, k), g) for k in np.unique(groups[rows])])
-    out = [np.zeros((0, 2), np.int64)]
-    for lo, hi in zip(part, np.append(part[1:], len(by)), strict=True):
-        own = by[lo:hi]
-        if (comp[own] == comp[own[0]]).all():
-            continue
-        inner, outer = own[tile[own] == second[own]], own[tile[own] == first[own]]
-        for gi in np.unique(groups[inner]):
-            for go in np.unique(groups[outer]):
-                x, y = inner[groups[inner] == gi], outer[groups[outer] == go]
-                near = (100 * n[x].max() >= PERCENT * n[y].min()) and (100 * n[y].max() >= PERCENT * n[x].min())
-                if not near:
-                    continue
-                g = min(gi, go)
-                q, p, bound = CountTree(stacked(x, g), n[x]).search(stacked(y, g), n[y])
-                a, b = y[q], x[p]
-                keep = comp[a] != comp[b]
-                a, b, bound = a[keep], b[keep], bound[keep]
-                if partners is not None and len(a):
-                    one, two = np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])
-                    order = np.lexsort((-bound, two, one))
-                    a, b, one, two = a[order], b[order], one[order], two[order]
-                    new = np.ones(len(a), bool)
-                    new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-                    place = np.arange(len(a)) - np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
-                    a, b = a[place < partners], b[place < partners]
-                out.append(np.column_stack([np.minimum(h1[a], h1[b]), np.maximum(h1[a], h1[b])]))
-    pairs = np.unique(np.concatenate(out), axis=0)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+def _nodes(documents: DataFrame) -> DataFrame:
+    """doc_id and node of every document (n at least 0), and rows that hold the sketch (n -1), settled."""
+    schema = "doc_id bigint, k1 bigint, k2 bigint, h1 bigint, h2 bigint, n bigint, point binary, sketch array<int>"
+    return settled(documents.select("doc_id", "text").mapInArrow(_node_rows, schema), "rows")
 
 
-def _across_classes(shared: DataFrame, nodes: DataFrame, classes: DataFrame, partners: int | None) -> DataFrame:
-    """Distinct candidate pairs (a < b, h1) of nodes in different classes that share a prefix shingle and whose points allow a link."""
-    member = settled(shared.join(classes, "h1", "left").select("sig", "h1", F.coalesce("component", "h1").alias("comp")), "members")
-    mixed = member.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor(F.xxhash64("h1", F.lit(1))).alias("x1"), F.bit_xor(F.xxhash64("h1", F.lit(2))).alias("x2"))
-    # Groups of the same nodes hold the same pairs: one of them is searched.
-    mixed = mixed.where("lo <> hi").groupBy("size", "x1", "x2").agg(F.min("sig").alias("sig"))
-    mixed = settled(mixed.select("sig", F.ceil(F.col("size") / TILE).cast("long").alias("tiles"), "size"), "mixed")
-    rows = mixed.agg(F.sum(F.col("size") * F.col("tiles"))).head()[0] or 0
-    blocks = max(1, -(-rows // BLOCK_ROWS))
-    small = nodes.groupBy("h1").agg(F.max("n").alias("n"), F.max("point").alias("point"), F.count(F.lit(1)).alias("same"))
-    inside = member.join(mixed, "sig").join(small.where("same = 1").select("h1", "n", "point"), "h1")
-    tile = F.pmod(F.xxhash64("h1", F.lit(5)), F.col("tiles"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
-    dealt = inside.select("sig", "h1", "comp", "n", "point", tile.alias("tile"), other.alias("other"))
-    dealt = dealt.select("*", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")).drop("other")
-    block = F.pmod(F.xxhash64("sig", "i", "j"), F.lit(blocks)).alias("block")
-    found = dealt.select("*", block).groupBy("block").applyInArrow(lambda t: _search(t, partners), "a bigint, b bigint")
-    # Keys that differ in their second half only are too rare to search by: their groups go on whole.
-    twins = member.join(mixed, "sig").join(small.where("same > 1").select("h1"), "h1").select("sig", F.col("h1").alias("t"))
-    beside = member.join(twins, "sig").where("h1 <> t").select(F.least("h1", "t").alias("a"), F.greatest("h1", "t").alias("b"))
-    return found.union(beside).distinct()
+def _levels(rows: DataFrame) -> np.ndarray:
+    """Level of every counter of the sketch, summed over all tasks."""
+    summed = rows.where("n < 0").select(F.posexplode("sketch").alias("place", "n")).groupBy("place").agg(F.sum("n").alias("n")).toArrow()  # SKETCH rows at most
+    counts = np.zeros(SKETCH, np.int64)
+    counts[summed.column("place").to_numpy()] = summed.column("n").to_numpy()
+    return levels(counts)
 
 
-def _nodes(documents: DataFrame) -> DataFrame:
-    """doc_id and node of every document, settled."""
-    return settled(documents.select("doc_id", nodes_of(F.col("text")).alias("_node")).select("doc_id", "_node.*"), "rows")
+def _groups(documents: DataFrame, level: np.ndarray) -> DataFrame:
+    """Distinct (sig, h1) of prefix shingles that several nodes share, settled."""
+    spark = documents.sparkSession
+    shared = spark.sparkContext.broadcast(level)
+    texts = documents.select("text").where("text is not null")
+    placed = texts.mapInArrow(lambda it: _gathered(_prefixes(it, shared.value)), "sig bigint, h1 bigint, hot boolean")
+    dealt = placed.repartition(F.when(F.col("hot"), F.xxhash64("sig", "h1")).otherwise(F.col("sig"))).sortWithinPartitions("sig", "h1")
+    with batch_rows(spark, 1 << 15):
+        return settled(dealt.mapInArrow(_shared, "sig bigint, h1 bigint"), "shared")
 
 
 def _struct(a: str, b: str) -> Column:
@@ -309,24 +463,68 @@ def _joined_by(links: DataFrame) -> DataFrame:
     return components(links.select(_struct("a1", "a2").alias("a"), _struct("b1", "b2").alias("b")))
 
 
+def _candidates(shared: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b, score, dense) of the first search, settled, and (sig, size) of the groups, one of those with the same nodes."""
+    marks = [F.bit_xor(F.xxhash64("h1", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    groups = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), *marks).where("size > 1")
+    groups = settled(groups.groupBy("size", "x1", "x2").agg(F.min("sig").alias("sig")).select("sig", "size"), "groups")
+    rows = groups.agg(F.sum("size")).head()[0] or 0
+    blocks = max(1, -(-rows // BLOCK_ROWS))
+    inside = shared.join(groups, "sig").join(points, "h1")
+    tile = F.pmod(F.xxhash64("h1", F.lit(5)), F.ceil(F.col("size") / TILE)).alias("tile")
+    dealt = inside.select("sig", "h1", "n", "point", tile).withColumn("block", F.pmod(F.xxhash64("sig", "tile"), F.lit(blocks)))
+    most = DENSE
+    found = dealt.groupBy("block").applyInArrow(lambda block: _search(block, most), "a bigint, b bigint, score double, dense bigint")
+    return settled(found, "candidates"), groups
+
+
+def _across(shared: DataFrame, points: DataFrame, of: DataFrame, groups: DataFrame, dense: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different classes in the groups that the first search did not give in full."""
+    again = groups.join(dense, "sig", "left").where(F.col("marked") | (F.col("size") > TILE)).select("sig", "size")
+    member = settled(shared.join(again, "sig").join(of, "h1", "left").select("sig", "h1", "size", F.coalesce("component", "h1").alias("comp")), "members")
+    by_class = member.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("many"), F.first("size").alias("size"))
+    largest = by_class.groupBy("sig").agg(F.max(F.struct("many", "comp")).alias("top"), F.first("size").alias("size"))
+    mixed = largest.select("sig", F.col("top.comp").alias("main"), (F.col("size") - F.col("top.many")).alias("others"), F.col("size").alias("all")).where("others > 0")
+    inner, outer = F.ceil(F.col("others") / TILE), F.ceil(F.col("all") / TILE)
+    rows = mixed.agg(F.sum(F.col("all") * inner + F.col("others") * outer)).head()[0] or 0
+    blocks = max(1, -(-rows // BLOCK_ROWS))
+    inside = member.join(mixed, "sig").join(points, "h1")
+    numbers = lambda n: F.sequence(F.lit(0).cast("bigint"), n - 1)
+    i, j = F.pmod(F.xxhash64("h1", F.lit(9)), inner), F.pmod(F.xxhash64("h1", F.lit(5)), outer)
+    cell = lambda i, j, inside: F.struct(i.cast("bigint").alias("i"), j.cast("bigint").alias("j"), F.lit(inside).alias("inner"))
+    as_outer = F.transform(numbers(inner), lambda x: cell(x, j, False))
+    as_inner = F.when(F.col("comp") != F.col("main"), F.transform(numbers(outer), lambda x: cell(i, x, True)))
+    cells = F.explode(F.concat(as_outer, F.coalesce(as_inner, F.array().cast("array<struct<i:bigint,j:bigint,inner:boolean>>"))))
+    dealt = inside.select("sig", "h1", "comp", "n", "point", cells.alias("cell")).select("sig", "h1", "comp", "n", "point", "cell.*")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("sig", "i", "j"), F.lit(blocks)))
+    return dealt.groupBy("block").applyInArrow(_search_across, "a bigint, b bigint")
+
+
 def classes(documents: DataFrame, rows: DataFrame) -> DataFrame:
     """(h1, h2, component_id) for every non-empty set of the documents, whose nodes are ``rows``: the smallest doc_id of its class."""
-    nodes = settled(rows.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("label"), F.max("n").alias("n"), F.max("point").alias("point"), F.min(F.struct("k1", "k2")).alias("key")), "nodes")
-    texts = documents.select("text").where("text is not null")
-    placed = texts.mapInArrow(lambda it: _gathered(_prefixes(it)), "sig bigint, h1 bigint")
-    twice = settled(placed.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig"), "twice")
-    shared = settled(placed.join(twice, "sig").distinct(), "shared")
-    weight = settled(shared.groupBy("h1").agg(F.count(F.lit(1)).alias("weight")), "weights")
-    centres = settled(shared.join(weight, "h1").groupBy("sig").agg(F.max(F.struct("weight", "h1")).alias("c")).select("sig", F.col("c.h1").alias("centre")), "centres")
-    tested = settled(shared.join(centres, "sig").where("h1 <> centre").select(F.least("h1", "centre").alias("a"), F.greatest("h1", "centre").alias("b")).distinct(), "stars")
+    own = rows.where("n > 0")
+    nodes = settled(own.groupBy("h1", "h2").agg(F.min("doc_id").alias("label"), F.max("n").alias("n"), F.min(F.struct("k1", "k2")).alias("key")), "nodes")
+    shared = _groups(documents, _levels(rows))
+    # Keys that differ in their second half only are too rare to search by: their groups go on whole.
+    twins = settled(nodes.groupBy("h1").count().where("count > 1").select("h1"), "twins")
+    points = own.select("h1", "n", "point").dropDuplicates(["h1"]).join(F.broadcast(twins), "h1", "left_anti")
+    found, groups = _candidates(shared, points)
+    pairs = found.where("a is not null")
+    likeliest = lambda x, y: pairs.select(F.col(x).alias("node"), F.struct("score", F.col(y).alias("other")).alias("to"))
+    best = likeliest("a", "b").union(likeliest("b", "a")).groupBy("node").agg(F.max("to").alias("to"))
+    ends = best.select(F.least("node", "to.other").alias("a"), F.greatest("node", "to.other").alias("b"))
+    tested = settled(ends.distinct(), "tested")
     links = settled(_verified(tested, nodes, documents), "links")
-    for partners in (FIRST_PARTNERS, None):
-        first = settled(_joined_by(links).select(F.col("node.h1").alias("h1"), F.col("component.h1").alias("component")).distinct(), "first")
-        more = settled(_across_classes(shared, nodes, first, partners).join(tested, ["a", "b"], "left_anti"), "more")
-        if partners is None and more.isEmpty():
-            break
-        links = settled(links.union(_verified(more, nodes, documents)), "links")
-        tested = tested.union(more)
+    of = settled(_joined_by(links).select(F.col("node.h1").alias("h1"), F.col("component.h1").alias("component")).dropDuplicates(["h1"]), "first")
+    class_of = lambda s: of.select(F.col("h1").alias(s), F.col("component").alias(f"{s}c"))
+    apart = F.coalesce("ac", "a") != F.coalesce("bc", "b")
+    rest = pairs.select("a", "b").join(class_of("a"), "a", "left").join(class_of("b"), "b", "left").where(apart).select("a", "b")
+    dense = found.where("dense is not null").select(F.col("dense").alias("sig"), F.lit(True).alias("marked")).distinct()
+    mates = shared.join(shared.join(F.broadcast(twins), "h1").select("sig", F.col("h1").alias("twin")), "sig").where("h1 <> twin")
+    beside = mates.select(F.least("h1", "twin").alias("a"), F.greatest("h1", "twin").alias("b"))
+    more = rest.union(_across(shared, points, of, groups, dense)).union(beside).distinct().join(tested, ["a", "b"], "left_anti")
+    more = settled(more, "more")
+    links = settled(links.union(_verified(more, nodes, documents)), "links")
     of = settled(_joined_by(links).select(F.col("node.h1").alias("h1"), F.col("node.h2").alias("h2"), "component"), "components")
     named = nodes.select("h1", "h2", "label").join(of, ["h1", "h2"], "left")
     least = settled(named.where("component is not null").groupBy("component").agg(F.min("label").alias("least")), "least")
@@ -334,13 +532,13 @@ def classes(documents: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def joined(documents: DataFrame) -> DataFrame:
-    """documents with a struct ``shingles`` (n, component_id) as last column."""
+    """(row, n, component_id): every document as a struct, the size of its set and the smallest doc_id of its class (its own for an empty set)."""
     rows = _nodes(documents)
-    found = rows.groupBy("k1", "k2").agg(F.max("h1").alias("h1"), F.max("h2").alias("h2"), F.max("n").alias("n")).join(classes(documents, rows), ["h1", "h2"], "left")
-    found = settled(found.select(F.struct("k1", "k2").alias("_key"), F.struct("n", "component_id").alias("_found")), "found")
-    both = documents.withColumn("_own", text_key(F.col("text"))).join(found, F.col("_own") == F.col("_key"), "left")
-    component = F.when(F.col("_found.n") > 0, F.col("_found.component_id")).otherwise(documents["doc_id"])
-    return both.select(*[documents[c] for c in documents.columns], F.struct(F.col("_found.n").alias("n"), component.alias("component_id")).alias("shingles"))
+    keys = rows.where("n >= 0").groupBy("k1", "k2").agg(F.max("h1").alias("h1"), F.max("h2").alias("h2"), F.max("n").alias("n"))
+    found = settled(keys.join(classes(documents, rows), ["h1", "h2"], "left").select("k1", "k2", "n", "component_id"), "found")
+    own = documents.select(packed(documents).alias("row"), text_key(F.col("text")).alias("own"))
+    both = own.select("row", F.col("own.k1").alias("k1"), F.col("own.k2").alias("k2")).join(found, ["k1", "k2"], "left")
+    return both.select("row", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("row.doc_id")).alias("component_id"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -348,5 +546,5 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     rows = _nodes(documents)
-    found = rows.select("doc_id", "h1", "h2", "n").join(classes(documents, rows), ["h1", "h2"], "left")
+    found = rows.where("n >= 0").select("doc_id", "h1", "h2", "n").join(classes(documents, rows), ["h1", "h2"], "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -29,9 +29,11 @@ def near_copies(seed: int = 5) -> list[str]:
     return out
 
 
-@pytest.mark.parametrize("tile", [2048, 6])
-def test_classes_equal_all_pairs(spark, sf_dir, tables, monkeypatch, tile):
-    monkeypatch.setattr(ngram_join, "TILE", tile)
+@pytest.mark.parametrize(("tile", "dense", "hub"), [(2048, 4, 256), (6, 0, 2)])
+def test_classes_equal_all_pairs(spark, sf_dir, tables, monkeypatch, tile, dense, hub):
+    """The second case cuts groups into tiles, takes every larger one as dense and spreads a node's pairs over buckets."""
+    for name, value in (("TILE", tile), ("DENSE", dense), ("HUB", hub)):
+        monkeypatch.setattr(ngram_join, name, value)
     texts = cases.awkward() + near_copies() + [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()]
     rows = list(enumerate(texts))
     where = tables(documents=(cases.documents(texts), cases.SCHEMA))

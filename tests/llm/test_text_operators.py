@@ -222,6 +222,6 @@ def test_parts_of_runs_beside_base_spans_are_scored(spark, folder):
 def test_items_without_an_id_contaminate(spark):
     passage = "one two three four five six seven eight nine ten eleven"
     docs = spark.createDataFrame([(1, f"so {passage} end"), (2, "nothing of it")], "doc_id bigint, text string")
-    found = lambda ids: {r["doc_id"]: r["contamination"] for r in decontaminate.marked(docs, spark.createDataFrame([(i, passage) for i in ids], "item_id bigint, text string")).collect()}
+    found = lambda ids: {r["row"]["doc_id"]: r for r in decontaminate.marked(docs, spark.createDataFrame([(i, passage) for i in ids], "item_id bigint, text string")).collect()}
     assert [(found([None])[i]["n_hit"], found([None])[i]["items"]) for i in (1, 2)] == [(11, []), (0, [])]
     assert found([None, 7])[1]["items"] == ["7"]
