@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.llm import bpe, decontaminate, language, ngram_join, secrets
-from panelforge.llm.common import bounded_batches, settled
+from panelforge.llm.common import bounded_batches, packed, settled, unpacked
 
 #: Below this probability of its likeliest language a document is rejected.
 LEAST_LANGUAGE = 0.4
@@ -23,28 +23,27 @@ REDACTED = "[REDACTED]"
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows; those without a letter or with a doubtful language go."""
     bounded_batches(spark)
-    found = docs.withColumn("_language", language.identify(F.col("text"), language.learned(docs), spark))
-    kept = found.where((F.col("_language.lang") != language.NONE) & (F.col("_language.score") >= LEAST_LANGUAGE))
-    return kept.select(*[docs[c] for c in docs.columns])
+    found = docs.select(packed(docs).alias("row"), language.identify(F.col("text"), language.learned(docs), spark).alias("found"))
+    kept = found.where((F.col("found.lang") != language.NONE) & (F.col("found.score") >= LEAST_LANGUAGE))
+    return kept.select(*unpacked("row", docs.columns))
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of every near-duplicate class; rows with one doc_id that stay are told apart by their text."""
     bounded_batches(spark)
     joined = ngram_join.joined(docs)
-    kept = settled(joined.where((F.col("shingles.n") == 0) | F.col("doc_id").eqNullSafe(F.col("shingles.component_id"))).drop("shingles"), "kept")
-    again = settled(kept.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "again")
-    if again.isEmpty():
-        return kept
-    same = kept["doc_id"].eqNullSafe(again["_again"])
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    kept = settled(joined.where((F.col("n") == 0) | F.col("row.doc_id").eqNullSafe(F.col("component_id"))).select("row"), "kept")
+    again = settled(kept.groupBy("row.doc_id").count().where("count > 1").select("doc_id"), "again")
+    same = kept["row.doc_id"].eqNullSafe(again["doc_id"])
+    repeated = kept.join(again, same, "left_semi").withColumn("id", F.col("row.doc_id")).withColumn("text", F.col("row.text")).dropDuplicates(["id", "text"])
+    return kept.join(again, same, "left_anti").union(repeated.select("row")).select(*unpacked("row", docs.columns))
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
     bounded_batches(spark)
     marked = decontaminate.marked(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return marked.where("contamination.n_hit = 0").drop("contamination")
+    return marked.where("n_hit = 0").select(*unpacked("row", docs.columns))
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
