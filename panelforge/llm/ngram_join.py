@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from panelforge.llm.common import batch_rows, bounded_batches, packed, settled
 from panelforge.llm.components import components
-from panelforge.llm.text_kernels import Words, chunks, combine, content_key, mix
+from panelforge.llm.text_kernels import Words, chunks, combine, mix
 
 SHINGLE = 5
 PERCENT = 80
@@ -50,7 +50,7 @@ TILE = 2048
 FANOUT = 16
 DENSE = 4
 #: Rows of a search block, and bytes of texts (by 7 for a shingle) of a verification block.
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 4096
 BLOCK_BYTES = 8 << 20
 #: Pairs of one node that meet in a verification block at most; more are spread over several.
 HUB = 256
@@ -180,11 +180,10 @@ _NODE = [("doc_id", pa.int64()), *[(c, pa.int64()) for c in ("k1", "k2", "h1", "
 
 
 def _node_rows(batches):
-    """doc_id, text in; each text's own key, its set's key, size and point out, and a last row (n -1) with the task's sketch."""
+    """doc_id, k1, k2, text in; each text's own key, its set's key, size and point out, and a last row (n -1) with the task's sketch."""
     schema = pa.schema(_NODE)
     sketch = np.zeros(SKETCH, np.int64)
     for b in batches:
-        own = np.array([content_key((t.as_py() or "").encode()) for t in b.column("text")], np.int64).reshape(-1, 2)
         keys, sizes, points = [], [], []
         for s in shingle_sets(b.column("text")):
             keys.append(set_key(s))
@@ -192,22 +191,18 @@ def _node_rows(batches):
             points.append(point(s))
             sketch += np.bincount(sketch_place(s), minlength=SKETCH)
         h = np.array(keys, np.int64).reshape(-1, 2)
-        columns = [pa.array(x, pa.int64()) for x in (own[:, 0], own[:, 1], h[:, 0], h[:, 1], sizes)]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *columns, pa.array(points, pa.binary()), pa.nulls(len(own), schema.field("sketch").type)], schema=schema)
+        columns = [pa.array(x, pa.int64()) for x in (h[:, 0], h[:, 1], sizes)]
+        own = [b.column(c).cast(pa.int64()) for c in ("doc_id", "k1", "k2")]
+        yield pa.RecordBatch.from_arrays([*own, *columns, pa.array(points, pa.binary()), pa.nulls(len(sizes), schema.field("sketch").type)], schema=schema)
     if sketch.any():
         row = {"n": -1, "sketch": np.minimum(sketch, 2**31 - 1).astype(np.int32)}
         yield pa.RecordBatch.from_arrays([pa.array([row.get(f.name)], f.type) for f in schema], schema=schema)
 
 
-def text_key(text: Column) -> Column:
-    """struct<k1, k2> of each text."""
-
-    @F.arrow_udf("k1 bigint, k2 bigint")
-    def of(texts: pa.Array) -> pa.Array:
-        own = np.array([content_key((t.as_py() or "").encode()) for t in texts], np.int64).reshape(-1, 2)
-        return pa.StructArray.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1])], ["k1", "k2"])
-
-    return of(text)
+def text_key(text: Column) -> list[Column]:
+    """k1, k2: 128-bit key of each text; null texts count as empty."""
+    t = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(t).alias("k1"), F.xxhash64(F.lit(7), t).alias("k2")]
 
 
 def _gathered(batches, rows: int = 1 << 15):
@@ -423,7 +418,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataF
     wanted = settled(wanted.groupBy("key.k1", "key.k2").agg(F.collect_list(F.struct("bucket", "h1", "h2")).alias("to")), "wanted")
     if wanted.count() <= CARRIED_NODES:
         wanted = F.broadcast(wanted)
-    keyed = documents.select("text", text_key(F.col("text")).alias("own")).select("text", F.col("own.k1").alias("k1"), F.col("own.k2").alias("k2"))
+    keyed = documents.select("text", *text_key(F.col("text")))
     sent = keyed.join(wanted, ["k1", "k2"]).select(F.explode("to").alias("x"), "text").select("x.*", "text")
     texts = sent.mapInArrow(_once, "bucket bigint, h1 bigint, h2 bigint, text string")
     return dealt.select("bucket", "a", "a2", "b", "b2").groupBy("bucket").cogroup(texts.groupBy("bucket")).applyInArrow(_linked, "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
@@ -432,7 +427,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataF
 def _nodes(documents: DataFrame) -> DataFrame:
     """doc_id and node of every document (n at least 0), and rows that hold the sketch (n -1), settled."""
     schema = "doc_id bigint, k1 bigint, k2 bigint, h1 bigint, h2 bigint, n bigint, point binary, sketch array<int>"
-    return settled(documents.select("doc_id", "text").mapInArrow(_node_rows, schema), "rows")
+    return settled(documents.select("doc_id", *text_key(F.col("text")), "text").mapInArrow(_node_rows, schema), "rows")
 
 
 def _levels(rows: DataFrame) -> np.ndarray:
@@ -536,8 +531,7 @@ def joined(documents: DataFrame) -> DataFrame:
     rows = _nodes(documents)
     keys = rows.where("n >= 0").groupBy("k1", "k2").agg(F.max("h1").alias("h1"), F.max("h2").alias("h2"), F.max("n").alias("n"))
     found = settled(keys.join(classes(documents, rows), ["h1", "h2"], "left").select("k1", "k2", "n", "component_id"), "found")
-    own = documents.select(packed(documents).alias("row"), text_key(F.col("text")).alias("own"))
-    both = own.select("row", F.col("own.k1").alias("k1"), F.col("own.k2").alias("k2")).join(found, ["k1", "k2"], "left")
+    both = documents.select(packed(documents).alias("row"), *text_key(F.col("text"))).join(found, ["k1", "k2"], "left")
     return both.select("row", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("row.doc_id")).alias("component_id"))
 
 
