@@ -50,6 +50,27 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fold(key: Column, parts: int) -> Column:
-    """crc32 of the key as text modulo parts; a null key falls into no fold (null)."""
-    return F.crc32(F.encode(key.cast("string"), "UTF-8")) % parts
+def text_key(text: Column) -> list[Column]:
+    """k1, k2: 128-bit key of each text; null texts count as empty."""
+    t = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(t).alias("k1"), F.xxhash64(F.lit(7), t).alias("k2")]
+
+
+def in_fold(key: str, parts: int, number: int) -> Column:
+    """Whether the remainder of the key's crc32 (of its text) by ``parts`` is ``number``; false for a null key."""
+    return F.coalesce(F.crc32(F.encode(F.col(key).cast("string"), "UTF-8")) % parts == number, F.lit(False))
+
+
+def training_rows(documents: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
+    """At most ``sample_rows`` rows (text, label), settled: documents with labels (doc_id, label), those with the smallest ``priority`` of
+    labels if it has such a column, else with the smallest hash of doc_id. Rows with one doc_id, text and label count as one; null ids and labels are left out.
+
+    The bound holds whatever repeats: it is applied to the labels before the texts are read (once), and to the rows found."""
+    order = [*(["priority"] if "priority" in labels.columns else []), F.xxhash64("doc_id"), "doc_id", "label"]
+    wanted = labels.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).distinct().orderBy(*order).limit(sample_rows)
+    # The broadcast side has sample_rows short rows at most.
+    own = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = settled(own.join(F.broadcast(wanted), "doc_id").withColumn("h", F.xxhash64("text")), "labelled")
+    keys = ["doc_id", "label", "h"]
+    kept = found.select(*keys, *[c for c in ("priority",) if c in found.columns]).distinct().orderBy(*order, "h").limit(sample_rows).select(*keys)
+    return settled(found.join(F.broadcast(kept), keys).dropDuplicates(keys).select("text", "label"), "sample")

@@ -34,14 +34,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import batch_rows, bounded_batches, packed, settled
+from panelforge.llm import sketches
+from panelforge.llm.common import batch_rows, bounded_batches, packed, settled, text_key
 from panelforge.llm.components import components
 from panelforge.llm.text_kernels import Words, chunks, combine, mix
 
 SHINGLE = 5
 PERCENT = 80
-#: Counters of the sketch of shingle frequencies.
-SKETCH = 1 << 16
 #: Least and most dimensions of a point.
 DIMENSIONS = (64, 4096)
 #: Largest count that a point keeps in a dimension (4 bits).
@@ -80,21 +79,9 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(mix(s + _U(c)).sum(dtype=np.uint64).view(np.int64)) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 
 
-def sketch_place(s: np.ndarray) -> np.ndarray:
-    """Counter of each shingle."""
-    return ((s * _U(0xD6E8FEB86659FD93)) >> _U(48)).astype(np.int64) % SKETCH
-
-
-def levels(counts: np.ndarray) -> np.ndarray:
-    """Level of each counter: 0 up to five deviations above the median, then the logarithm of what is above."""
-    usual = max(1.0, float(np.median(counts)))
-    above = (counts - usual) / (5 * usual**0.5)
-    return np.where(above <= 1, 0, 1 + np.log2(np.maximum(above, 1))).astype(np.uint8)
-
-
 def prefix(s: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The shingles of a sorted set of which every linked set shares one, and the level of each."""
-    own = level[sketch_place(s)]
+    own = level[sketches.place(s)]
     size = len(s) - -(-PERCENT * len(s) // 100) + 1
     order = np.argsort(own, kind="stable")[:size]
     return s[order], own[order]
@@ -182,29 +169,24 @@ _NODE = [("doc_id", pa.int64()), *[(c, pa.int64()) for c in ("k1", "k2", "h1", "
 def _node_rows(batches):
     """doc_id, k1, k2, text in; each text's own key, its set's key, size and point out, and a last row (n -1) with the task's sketch."""
     schema = pa.schema(_NODE)
-    sketch = np.zeros(SKETCH, np.int64)
+    sketch = np.zeros(sketches.SKETCH, np.int64)
     for b in batches:
-        keys, sizes, points = [], [], []
+        keys, sizes, points, places = [], [], [], [np.zeros(0, np.int64)]
         for s in shingle_sets(b.column("text")):
             keys.append(set_key(s))
             sizes.append(len(s))
             points.append(point(s))
-            sketch += np.bincount(sketch_place(s), minlength=SKETCH)
+            places.append(sketches.place(s))
+        sketch += np.bincount(np.concatenate(places), minlength=sketches.SKETCH)
         h = np.array(keys, np.int64).reshape(-1, 2)
         columns = [pa.array(x, pa.int64()) for x in (h[:, 0], h[:, 1], sizes)]
         own = [b.column(c).cast(pa.int64()) for c in ("doc_id", "k1", "k2")]
         yield pa.RecordBatch.from_arrays([*own, *columns, pa.array(points, pa.binary()), pa.nulls(len(sizes), schema.field("sketch").type)], schema=schema)
     if sketch.any():
-        row = {"n": -1, "sketch": np.minimum(sketch, 2**31 - 1).astype(np.int32)}
+        row = {"n": -1, "sketch": sketches.as_row(sketch)}
         yield pa.RecordBatch.from_arrays([pa.array([row.get(f.name)], f.type) for f in schema], schema=schema)
 
 
-def text_key(text: Column) -> list[Column]:
-    """k1, k2: 128-bit key of each text; null texts count as empty."""
-    t = F.coalesce(text, F.lit(""))
-    return [F.xxhash64(t).alias("k1"), F.xxhash64(F.lit(7), t).alias("k2")]
-
-
 def _gathered(batches, rows: int = 1 << 15):
     """Fewer, larger batches."""
     held, n = [], 0
@@ -430,14 +412,6 @@ def _nodes(documents: DataFrame) -> DataFrame:
     return settled(documents.select("doc_id", *text_key(F.col("text")), "text").mapInArrow(_node_rows, schema), "rows")
 
 
-def _levels(rows: DataFrame) -> np.ndarray:
-    """Level of every counter of the sketch, summed over all tasks."""
-    summed = rows.where("n < 0").select(F.posexplode("sketch").alias("place", "n")).groupBy("place").agg(F.sum("n").alias("n")).toArrow()  # SKETCH rows at most
-    counts = np.zeros(SKETCH, np.int64)
-    counts[summed.column("place").to_numpy()] = summed.column("n").to_numpy()
-    return levels(counts)
-
-
 def _groups(documents: DataFrame, level: np.ndarray) -> DataFrame:
     """Distinct (sig, h1) of prefix shingles that several nodes share, settled."""
     spark = documents.sparkSession
@@ -499,7 +473,7 @@ def classes(documents: DataFrame, rows: DataFrame) -> DataFrame:
     """(h1, h2, component_id) for every non-empty set of the documents, whose nodes are ``rows``: the smallest doc_id of its class."""
     own = rows.where("n > 0")
     nodes = settled(own.groupBy("h1", "h2").agg(F.min("doc_id").alias("label"), F.max("n").alias("n"), F.min(F.struct("k1", "k2")).alias("key")), "nodes")
-    shared = _groups(documents, _levels(rows))
+    shared = _groups(documents, sketches.summed_levels(rows.where("n < 0")))
     # Keys that differ in their second half only are too rare to search by: their groups go on whole.
     twins = settled(nodes.groupBy("h1").count().where("count > 1").select("h1"), "twins")
     points = own.select("h1", "n", "point").dropDuplicates(["h1"]).join(F.broadcast(twins), "h1", "left_anti")

@@ -6,7 +6,8 @@ numpy walks for all rows of a batch at once. The forest is fitted on at most ``S
 with the smallest hash of doc_id; only their statistics (not their texts) reach the driver.
 
 Null and empty texts have statistics 0 and get a score like any other. Repeated rows score alike; rows with
-a null label are left out of the training; without labels every score is 0.5.
+a null label are left out of the training; without labels every score is 0.5. A null doc_id is in no fold: it is not held out and has no label. Very
+long texts are scored whole; an empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,9 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import bounded_batches, fold
+from panelforge.llm.common import bounded_batches, in_fold, training_rows
 from panelforge.llm.text_kernels import Words, chunks
-from panelforge.llm.toxicity import training_rows
 
 SAMPLE_ROWS = 16_384
 TREES, DEPTH, BINS, RATE, L2, LEAST = 80, 4, 64, 0.15, 1.0, 8
@@ -190,6 +190,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    forest = fit(training_rows(documents, labels, "quality", fold(F.col("doc_id"), 4) != 2, SAMPLE_ROWS))
-    out = documents.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), score(F.col("text"), forest, spark).alias("score"))
+    forest = fit(training_rows(documents, labels.select("doc_id", F.col("quality").alias("label")).where(~in_fold("doc_id", 4, 2)), SAMPLE_ROWS))
+    out = documents.select("doc_id", in_fold("doc_id", 4, 2).alias("held_out"), score(F.col("text"), forest, spark).alias("score"))
     return out.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))

@@ -1,7 +1,7 @@
 """Numpy kernels over Arrow string batches: bounded chunks, word spans, 64-bit word and shingle hashes.
 
 Every kernel sees whole texts. Chunks hold whole documents and end at about ``CHUNK_BYTES``; a longer
-document is a chunk of its own, so memory is bounded by the longest document, not by the batch.
+document is a chunk of its own, whose bytes are hashed in segments of that size.
 """
 
 from __future__ import annotations
@@ -25,10 +25,10 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     name = "inverse" if inverse else "base"
     have = _powers.get(name)
     if have is None or len(have) < n:
-        step = np.full(max(n, 2 * CHUNK_BYTES) + 1, _U(_BASE_INVERSE if inverse else _BASE))
+        step = np.full(max(n, CHUNK_BYTES + 1) + 1, _U(_BASE_INVERSE if inverse else _BASE))
         step[0] = 1
         have = np.cumprod(step, dtype=np.uint64)
-        if n <= 4 * CHUNK_BYTES:
+        if n <= 2 * CHUNK_BYTES:
             _powers[name] = have
     return have[:n]
 
@@ -90,33 +90,69 @@ class Words:
         self.offsets = offsets
         self._total: np.ndarray | None = None
         inside = ~separators(kind)[self.data]
-        edge = np.zeros(len(data) + 1, np.int8)
-        edge[:-1] = inside
-        before = np.zeros(len(data) + 1, np.int8)
-        before[1:] = inside
-        breaks = offsets[1:-1]
-        start = (edge == 1) & (before == 0)
-        end = (edge == 0) & (before == 1)
-        cut = breaks[(breaks > 0) & (breaks < len(data))]
-        cut = cut[(edge[cut] == 1) & (before[cut] == 1)]
-        start[cut] = True
-        end[cut] = True
-        self.start = np.flatnonzero(start)
-        self.end = np.flatnonzero(end)
+        begins, stops = inside.copy(), np.zeros(len(data) + 1, bool)
+        begins[1:] &= ~inside[:-1]
+        stops[1:] = inside
+        stops[1:-1] &= ~inside[1:]
+        # A word ends where its document does.
+        cut = offsets[1:-1]
+        cut = cut[(cut > 0) & (cut < len(data))]
+        cut = cut[inside[cut] & inside[cut - 1]]
+        begins[cut] = True
+        stops[cut] = True
+        self.start = np.flatnonzero(begins)
+        self.end = np.flatnonzero(stops)
         self.doc = np.searchsorted(offsets, self.start, "right") - 1
         self.first = np.searchsorted(self.start, offsets)  # first word of each document, one more at the end
 
     def hashes(self, first: int | None = None) -> np.ndarray:
-        """64-bit hash of each word, or of its ``first`` bytes."""
-        n = len(self.data)
-        if self._total is None:
-            self._total = np.zeros(n + 1, np.uint64)
-            np.cumsum(_LUT[self.data] * powers(n), out=self._total[1:])
+        """64-bit hash of each word, or of its ``first`` bytes; data beyond a chunk's size is taken in segments of whole words."""
         end = self.end if first is None else np.minimum(self.end, self.start + first)
-        raw = (self._total[end] - self._total[self.start]) * powers(n + 1, inverse=True)[self.start]
+        if len(self.data) <= CHUNK_BYTES:
+            if self._total is None:
+                self._total = running_hash(self.data)
+            raw = (self._total[end] - self._total[self.start]) * powers(len(self.data) + 1, inverse=True)[self.start]
+        else:
+            raw, i = np.empty(len(end), np.uint64), 0
+            while i < len(end):
+                lo = self.start[i]
+                j = int(np.searchsorted(end, lo + CHUNK_BYTES, "right"))
+                if j > i:
+                    total = running_hash(self.data[lo : end[j - 1]])
+                    raw[i:j] = (total[end[i:j] - lo] - total[self.start[i:j] - lo]) * powers(CHUNK_BYTES + 1, inverse=True)[self.start[i:j] - lo]
+                else:
+                    j, raw[i] = i + 1, long_hash(self.data[lo : end[i]])
+                i = j
         return mix(raw + (end - self.start).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 
 
+def running_hash(data: np.ndarray) -> np.ndarray:
+    """Sums of the bytes' values times rising powers of the rolling base, from 0 on."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_LUT[data] * powers(len(data)), out=total[1:])
+    return total
+
+
+def long_hash(data: np.ndarray) -> np.uint64:
+    """The last of ``running_hash``, piece by piece."""
+    out = 0
+    for lo in range(0, len(data), CHUNK_BYTES):
+        piece = int(running_hash(data[lo : lo + CHUNK_BYTES])[-1])
+        out = (out + piece * pow(_BASE, lo, 1 << 64)) % (1 << 64)
+    return _U(out)
+
+
+def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hash of the ``size`` bytes from each place on."""
+    n = len(data) - size + 1
+    out = np.empty(max(n, 0), np.uint64)
+    for lo in range(0, n, CHUNK_BYTES):
+        hi = min(lo + CHUNK_BYTES, n)
+        total = running_hash(data[lo : hi + size - 1])
+        out[lo:hi] = mix((total[size:] - total[:-size]) * powers(CHUNK_BYTES + 1, inverse=True)[: hi - lo])
+    return out
+
+
 def combine(parts: list[np.ndarray], seed: int = 1) -> np.ndarray:
     """Order-dependent 64-bit hash of aligned hash columns."""
     out = np.full(len(parts[0]), _U(seed))

@@ -4,11 +4,13 @@ A document's features are the distinct hashed word unigrams (also of their first
 (one or two words left out) of its whole text, each with value 1. Per-coordinate learning rates and an L1 penalty leave few weights
 other than zero, so the model is a small sorted array that each task carries.
 
-Null and empty texts have no feature: their score is that of the bias. Repeated rows score alike; labels that
-are null are left out, and a document with several labels counts once for each.
+The model is fitted on at most ``SAMPLE_ROWS`` labelled rows, those with the smallest hash of doc_id (``common.training_rows``). Rows are
+dealt into shards by hash; every round goes through each shard once by FTRL-proximal, from the averaged state (gradient sums and squared
+gradient sums of every feature, so that learning rates carry over), and averages the shards' states again.
 
-The model is fitted on at most ``SAMPLE_ROWS`` labelled rows, those with the smallest hash of doc_id; they are
-split into shards, each trained on an executor, and the shards' weights are averaged after every round.
+Null and empty texts have no feature: their score is that of the bias. Repeated rows score alike; labels that
+are null are left out, and a document with several labels counts once for each. Very long texts are read in bounded segments. Without any label
+every score is 0.5; an empty table gives no rows. A null doc_id is in no fold, so it is not held out, and has no label. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,21 +22,38 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import bounded_batches, fold
+from panelforge.llm.common import bounded_batches, in_fold, settled, training_rows
 from panelforge.llm.text_kernels import Words, chunks, combine
 
 SAMPLE_ROWS = 12_288
 SHARD_ROWS = 4_096
 ROUNDS = 4
 BUCKET_BITS = 22
+#: The bucket of the bias, which has no penalty.
+BIAS = 1 << BUCKET_BITS
 #: Longer words also count by their first bytes, so that inflected forms share a feature.
 STEMS = (4, 6)
 ALPHA, BETA, L2 = 1.0, 1.0, 0.0
-#: The L1 penalty of a shard is this times the root of its rows.
+#: The L1 penalty is this times the root of a shard's rows.
 L1_PER_ROOT = 0.1
 _U = np.uint64
 
 
+@dataclass
+class State:
+    """Sorted buckets with their gradient sums (less the weights' part) and squared gradient sums; features that are not there have 0."""
+
+    buckets: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    z: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    n: np.ndarray = field(default_factory=lambda: np.zeros(0))
+
+    def at(self, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """z and n of sorted buckets."""
+        place = np.searchsorted(self.buckets, buckets)
+        there = np.append(self.buckets, -1)[place] == buckets
+        return tuple(np.where(there, np.append(x, 0.0)[place], 0.0) for x in (self.z, self.n))
+
+
 @dataclass
 class Linear:
     """Sorted buckets with a weight other than zero, their weights, and the bias."""
@@ -44,6 +63,11 @@ class Linear:
     bias: float = 0.0
 
 
+def proximal(z: np.ndarray, n: np.ndarray, penalty: np.ndarray | float) -> np.ndarray:
+    """The weights of a state."""
+    return np.where(np.abs(z) <= penalty, 0.0, -(z - np.sign(z) * penalty) / ((BETA + np.sqrt(n)) / ALPHA + L2))
+
+
 def features(texts: pa.Array):
     """(first row, rows, document of each feature, bucket of each feature) for chunks of whole texts; features of a document can repeat."""
     for row, data, offsets in chunks(texts):
@@ -62,71 +86,81 @@ def features(texts: pa.Array):
         yield row, len(offsets) - 1, np.concatenate(docs), (np.concatenate(found) >> _U(64 - BUCKET_BITS)).astype(np.int64)
 
 
+def distinct_features(text: Column) -> Column:
+    """The sorted distinct buckets of each text."""
+
+    @F.arrow_udf("array<int>")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array(_distinct(texts), pa.list_(pa.int32()))
+
+    return of(text)
+
+
 def _distinct(texts: pa.Array) -> list[np.ndarray]:
-    """The distinct buckets of each text."""
     out: list[np.ndarray] = []
     for _, rows, doc, bucket in features(texts):
         key = np.unique(doc << BUCKET_BITS | bucket)
         at = np.searchsorted(key, np.arange(rows + 1) << BUCKET_BITS)
-        out += [key[a:b] & ((1 << BUCKET_BITS) - 1) for a, b in zip(at[:-1], at[1:], strict=True)]
+        out += [(key[a:b] & ((1 << BUCKET_BITS) - 1)).astype(np.int32) for a, b in zip(at[:-1], at[1:], strict=True)]
     return out
 
 
-def _train_shard(texts: list[pa.Array], labels: np.ndarray, start: Linear) -> tuple[np.ndarray, np.ndarray, float]:
-    """One pass of FTRL-proximal over a shard, from the averaged model: weights of the buckets it touched."""
-    rows = [r for t in texts for r in _distinct(t)]
-    l1 = L1_PER_ROOT * max(1, len(rows)) ** 0.5
-    # A gradient is below 1, so a feature in fewer rows than the penalty keeps weight 0 unless it starts with another.
-    seen, times = np.unique(np.concatenate(rows), return_counts=True)
-    used = np.union1d(seen[times >= l1], start.buckets)
-    index = [np.append(np.searchsorted(used, r[np.isin(r, used, assume_unique=True)]), len(used)) for r in rows]
-    weight = np.zeros(len(used) + 1)
-    weight[np.searchsorted(used, start.buckets)] = start.weights
-    weight[-1] = start.bias
-    squares = np.zeros(len(used) + 1)
-    # Begin where the averaged weights are the proximal solution.
-    z = -weight * (BETA / ALPHA + L2) - np.sign(weight) * l1
-    z[-1] = -weight[-1] * (BETA / ALPHA + L2)
-    penalty = np.full(len(used) + 1, l1)
-    penalty[-1] = 0.0
-    for at, y in zip(index, labels, strict=True):
-        zi, ni = z[at], squares[at]
-        w = np.where(np.abs(zi) <= penalty[at], 0.0, -(zi - np.sign(zi) * penalty[at]) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
-        p = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35)))
-        g = p - y
-        step = (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA
-        z[at] = zi + g - step * w
-        squares[at] = ni + g * g
-    w = np.where(np.abs(z) <= penalty, 0.0, -(z - np.sign(z) * penalty) / ((BETA + np.sqrt(squares)) / ALPHA + L2))
-    keep = np.flatnonzero(w[:-1])
-    return used[keep], w[:-1][keep], float(w[-1])
+def train_shard(rows: list[np.ndarray], labels: np.ndarray, start: State, l1: float) -> State:
+    """One pass of FTRL-proximal over a shard's rows of distinct buckets, from a state to the next.
+
+    A gradient is below 1, so a feature in fewer rows of the shard than the penalty, with nothing gathered yet, would keep weight 0: it is left out."""
+    seen, times = np.unique(np.concatenate(rows), return_counts=True) if rows else (np.zeros(0, np.int64), np.zeros(0))
+    used = np.union1d(np.union1d(seen[times >= l1], start.buckets[start.buckets < BIAS]), [BIAS]).astype(np.int64)
+    z, n = (x.copy() for x in start.at(used))
+    penalty = np.where(used == BIAS, 0.0, l1)
+    for row, y in zip(rows, labels, strict=True):
+        place = np.searchsorted(used, row)
+        at = np.append(place[used[place] == row], len(used) - 1)
+        zi, ni = z[at], n[at]
+        w = proximal(zi, ni, penalty[at])
+        g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
+        z[at] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA * w
+        n[at] = ni + g * g
+    return State(used, z, n)
+
+
+def averaged(states: list[State], start: State) -> State:
+    """The mean of shards' states; a shard that left a feature out has its value of the start."""
+    buckets = np.unique(np.concatenate([s.buckets for s in states]))
+    z, n = np.zeros(len(buckets)), np.zeros(len(buckets))
+    for s in states:
+        there = np.isin(buckets, s.buckets, assume_unique=True)
+        for total, own, before in zip((z, n), s.at(buckets), start.at(buckets), strict=True):
+            total += np.where(there, own, before)
+    return State(buckets, z / len(states), n / len(states))
+
+
+def _trainer(start, l1: float):
+    def train(shard):
+        shard = shard.sort_by("h").combine_chunks()
+        new = train_shard([np.asarray(x.values) for x in shard.column("row").chunk(0)], shard.column("label").to_numpy(), start.value, l1)
+        return pa.table({"buckets": pa.array([new.buckets]), "z": pa.array([new.z]), "n": pa.array([new.n])})
+
+    return train
 
 
 def fit(labelled: DataFrame, rounds: int = ROUNDS) -> Linear:
-    """The averaged model of a bounded frame (text, label 0 or 1); ``training_rows`` makes one."""
+    """The model of a bounded frame (text, label 0 or 1); ``training_rows`` makes one."""
     spark = labelled.sparkSession
-    rows = labelled.count()
+    kept = labelled.select(F.xxhash64("text", "label").alias("h"), distinct_features(F.col("text")).alias("row"), F.col("label").cast("double").alias("label"))
+    examples = settled(kept, "examples")
+    rows = examples.count()
     shards = max(1, -(-rows // SHARD_ROWS))
-    placed = labelled.select("text", F.col("label").cast("double").alias("label")).repartition(shards)
-    model = Linear()
+    l1 = L1_PER_ROOT * max(1.0, rows / shards) ** 0.5
+    dealt = examples.withColumn("shard", F.pmod(F.xxhash64("h", F.lit(3)), F.lit(shards)))
+    state = State()
     for _ in range(rounds if rows else 0):
-        start = spark.sparkContext.broadcast(model)
-
-        def train(batches, start=start):
-            texts, labels = [], []
-            for b in batches:
-                texts.append(b.column("text"))
-                labels.append(b.column("label").to_numpy(zero_copy_only=False))
-            if texts:
-                buckets, weights, bias = _train_shard(texts, np.concatenate(labels), start.value)
-                yield pa.RecordBatch.from_arrays([pa.array([buckets]), pa.array([weights]), pa.array([bias])], ["buckets", "weights", "bias"])
-
-        parts = placed.mapInArrow(train, "buckets array<long>, weights array<double>, bias double").collect()  # bounded: one sparse model for each shard of the sample
-        every = np.concatenate([np.array(p["buckets"], np.int64) for p in parts])
-        buckets, at = np.unique(every, return_inverse=True)
-        weights = np.bincount(at, np.concatenate([np.array(p["weights"], float) for p in parts]), len(buckets)) / len(parts)
-        model = Linear(buckets, weights, float(np.mean([p["bias"] for p in parts])))
-    return model
+        train = _trainer(spark.sparkContext.broadcast(state), l1)
+        parts = dealt.groupBy("shard").applyInArrow(train, "buckets array<long>, z array<double>, n array<double>").collect()  # bounded: one sparse state for each shard of the sample
+        state = averaged([State(np.array(p["buckets"], np.int64), np.array(p["z"]), np.array(p["n"])) for p in parts], state)
+    weights = proximal(state.z, state.n, np.where(state.buckets == BIAS, 0.0, l1))
+    keep = (weights != 0) & (state.buckets < BIAS)
+    return Linear(state.buckets[keep], weights[keep], float(weights[state.buckets == BIAS].sum()))
 
 
 def score(text: Column, model: Linear, spark: SparkSession) -> Column:
@@ -148,19 +182,11 @@ def score(text: Column, model: Linear, spark: SparkSession) -> Column:
     return probability(text)
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, label_col: str, allowed: Column, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """At most sample_rows rows (text, label): labelled documents for which ``allowed`` (of doc_id) holds, by smallest hash of doc_id."""
-    chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & allowed).select("doc_id", F.col(label_col).alias("label")).distinct()
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample_rows)
-    # The broadcast side has sample_rows rows of 16 bytes at most.
-    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
-
-
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored; rows of fold 0 of 5 are held out of the training."""
     bounded_batches(spark)
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = fit(training_rows(documents, labels, "toxic", fold(F.col("doc_id"), 5) != 0))
-    out = documents.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), score(F.col("text"), model, spark).alias("score"))
+    model = fit(training_rows(documents, labels.select("doc_id", F.col("toxic").alias("label")).where(~in_fold("doc_id", 5, 0)), SAMPLE_ROWS))
+    out = documents.select("doc_id", in_fold("doc_id", 5, 0).alias("held_out"), score(F.col("text"), model, spark).alias("score"))
     return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
