@@ -1,14 +1,14 @@
 """URL filter with redirect equivalence.
 
 A page's url is judged by the longest allow or block rule that fits its host and path. A url that no rule fits
-takes the decision of its aliases: urls with the same canonical form (scheme, fragment, tracking parameters,
-``www.`` and ``m.``, a last ``/``, ``.html`` or ``index.html`` left out), and forms joined by redirect or canonical-link edges,
-which are read from the pages (``<link rel=canonical>``, refresh in ``<meta>``; a relative target is taken from the page's
-url) or given as a table. Rules judge every end of an edge, whether it is a page or not. Decisions spread over connected
-components; one explicit allow among the aliases outweighs any block, and a component without a ruled url is allowed.
+takes the decision of its aliases: the urls of its connected component over edges from every url to its canonical form (scheme,
+fragment, tracking parameters, ``www.`` and ``m.``, a last ``/``, ``.html`` or ``index.html`` left out) and over redirect and canonical-link
+edges, which are read from the pages (``<link rel=canonical>``, refresh in ``<meta>``; a relative target is taken from the page's
+url) or given as a table. Rules judge every url of a component, whether it is a page or not; one explicit allow among them outweighs
+any block, and a component without a ruled url is allowed. Of rules of equal length that fit a url the last of the list wins.
 
 A null url and one without ``://`` have an empty host and path, no aliases and the verdict allow. Repeated pages are
-judged alike; other columns of the table are ignored.
+judged alike; other columns of the table are ignored. Very long pages are searched whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -92,37 +92,29 @@ def page_links(pages: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
-    """page_id, host, path, rule, verdict, alias of every page; redirects: more edges (from_url, to_url), absolute or relative to from_url."""
-    url = F.col("url")
-    judged = pages.select("page_id", host(url).alias("host"), path(url).alias("path"), canonical(url).alias("alias"))
-    judged = judged.withColumn("ruled", rule(F.col("host"), F.col("path"), rules))
+    """page_id, host, path, rule, verdict of every page; redirects: more edges (from_url, to_url), absolute or relative to from_url."""
     links = page_links(pages)
     if redirects is not None:
         links = links.union(redirects.select("from_url", resolved(F.col("to_url"), F.col("from_url")).alias("to_url"))).distinct()
-    end = lambda c: F.struct(canonical(F.col(c)).alias("alias"), rule(host(F.col(c)), path(F.col(c)), rules).alias("ruled"))
-    links = settled(links.select(end("from_url").alias("a"), end("to_url").alias("b")), "links")
-    edges = links.select(F.col("a.alias").alias("a"), F.col("b.alias").alias("b")).where("a is not null and b is not null and a <> b").distinct()
-    flag = lambda v: F.coalesce(F.max(F.col("ruled.verdict") == v), F.lit(False))
-    # Ends of links that are no page are judged too.
-    ruled = judged.select("alias", "ruled").union(links.select("a.alias", "a.ruled")).union(links.select("b.alias", "b.ruled"))
-    forms = ruled.where("alias is not null").groupBy("alias").agg(flag("allow").alias("allowed"), flag("block").alias("blocked"))
-    spread = forms.select("alias", "blocked", "allowed")
-    if not edges.isEmpty():
-        # Forms without an edge are components of their own.
-        of = components(edges).withColumnRenamed("node", "alias")
-        joined = forms.join(of, "alias", "right")
-        decided = settled(joined.groupBy("component").agg(F.max("allowed").alias("any_allowed"), F.max("blocked").alias("any_blocked")), "decided")
-        wide = of.join(decided, "component").select("alias", "any_allowed", "any_blocked")
-        spread = forms.join(wide, "alias", "left").select("alias", F.coalesce("any_blocked", "blocked").alias("blocked"), F.coalesce("any_allowed", "allowed").alias("allowed"))
+    links = settled(links, "links")
+    ends = pages.select("url").union(links.select("from_url")).union(links.select("to_url")).distinct()
+    url = F.col("url")
+    judged = ends.select("url", canonical(url).alias("form"), rule(host(url), path(url), rules)["verdict"].alias("own")).where("form is not null")
+    # A form has no ``://``, so it is no url; marked, it can't be taken for one.
+    forms = judged.select(url.alias("a"), F.concat(F.lit("form "), "form").alias("b"))
+    of = components(forms.union(links.select(F.col("from_url").alias("a"), F.col("to_url").alias("b"))))
+    judged = judged.join(of.withColumnRenamed("node", "url"), "url")
+    flag = lambda v: F.coalesce(F.max(F.col("own") == v), F.lit(False))
     # Only a component that blocks matters: whatever else no rule fits is allowed.
-    blocked = settled(spread.where("blocked and not allowed").select("alias", F.lit("block").alias("spread")), "blocked")
-    own = judged.select("page_id", "host", "path", "alias", "ruled.rule", "ruled.verdict")
-    return own.join(blocked, "alias", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", "spread", F.lit("allow")).alias("verdict"), "alias")
+    decided = judged.groupBy("component").agg(flag("allow").alias("allowed"), flag("block").alias("blocked")).where("blocked and not allowed")
+    blocked = settled(judged.where("own is null").join(decided, "component").select("url", F.lit("block").alias("spread")), "blocked")
+    own = pages.select("page_id", "url", host(url).alias("host"), path(url).alias("path")).withColumn("ruled", rule(F.col("host"), F.col("path"), rules))
+    return own.join(blocked, "url", "left").select("page_id", "host", "path", "ruled.rule", F.coalesce("ruled.verdict", "spread", F.lit("allow")).alias("verdict"))
 
 
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every page's url."""
-    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("alias")
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def _sql() -> str:
