@@ -1,20 +1,23 @@
 """Byte-pair encoding by per-prefix dynamic programming, and decoding.
 
-For every prefix of a piece of text exactly one token can be the last one of its encoding. The tokens that
-end at a position come from an Aho-Corasick automaton over the vocabulary, longest first; the one whose pair
-with the last token before it would survive encoding is stored, and back-pointers give the ids.
+For every prefix of a piece of text exactly one token can be the last one of its encoding. A suffix automaton of the vocabulary
+reads the piece byte by byte and knows the longest part of any token that ends there, and so the tokens that end there, longest first; the one
+whose pair with the last token before it would survive encoding is stored, and back-pointers give the ids.
 
-Null texts count as empty; an empty text has no ids and decodes to the empty string. The vocabulary file is
-read on each executor from a path that is a parameter; nothing is trained.
+Texts are cut into pieces by one pattern, whose classes of letters, numbers and white space are read off the tokenizer library's own
+splitter, character by character, so that they follow its version of Unicode.
+
+Null texts count as empty; an empty text has no ids and decodes to the empty string. Repeated rows get the same ids, whatever their doc_id; very long
+texts and pieces take time in proportion to their length. An empty table gives no rows. Columns of the input that are named like the added ones are
+replaced. The vocabulary file is read on each executor from a path that is a parameter; nothing is trained.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import re
-import unicodedata
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,19 +26,94 @@ from tokenizers import pre_tokenizers
 
 from panelforge.llm.common import bounded_batches
 
-#: Above this code point letters and numbers follow different Unicode versions; texts that reach it are cut by the tokenizer library's own splitter.
-_SAME_CLASSES_BELOW = 0x530
 #: Pieces, and pairs of tokens, kept in a worker; each cache is emptied when full.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
+#: Code points with letters, numbers or white space; the planes between have none assigned.
+PLANES = (range(0xD800), range(0xE000, 0x40000), range(0xE0000, 0xE1000))
+
+
+def _joined(before: str, splitter) -> set[str]:
+    """The characters that the splitter leaves in one piece with the character before."""
+    chars = [chr(c) for plane in PLANES for c in plane if c != 10]
+    probe = "".join(f"{before}{c}\n" for c in chars)
+    starts = {at for _, (at, _) in splitter.pre_tokenize_str(probe)}
+    return {c for k, c in enumerate(chars) if 3 * k + 1 not in starts}
+
+
+def _ranges(chars: set[str]) -> str:
+    """A character class of sorted characters, neighbours as ranges."""
+    points = np.array(sorted(map(ord, chars)))
+    cut = np.flatnonzero(np.diff(points) > 1) + 1
+    return "".join(f"{re.escape(chr(r[0]))}-{re.escape(chr(r[-1]))}" for r in np.split(points, cut))
 
 
-def _pieces() -> re.Pattern:
+@functools.cache
+def piece_pattern() -> str:
     """How the byte-level scheme cuts a text before merging: contractions, then letters, numbers or other symbols after at most one space, then white space."""
-    chars = [chr(c) for c in range(_SAME_CLASSES_BELOW)]
-    some = lambda test: "".join(map(re.escape, filter(test, chars)))
-    letter, number = (some(lambda c, k=k: unicodedata.category(c)[0] == k) for k in "LN")
-    space = some(lambda c: c.isspace() and not "\x1c" <= c <= "\x1f")
-    return re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
+    splitter = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
+    letters, numbers, others = (_joined(c, splitter) for c in "a1!")
+    every = {chr(c) for plane in PLANES for c in plane}
+    letter, number, space = _ranges(letters), _ranges(numbers), _ranges(every - letters - numbers - others)
+    return f"'(?:[sdmt]|ll|ve|re)| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+"
+
+
+class SuffixAutomaton:
+    """All parts of the words of a vocabulary (bytes -> id), and for each the longest word that is a suffix of it."""
+
+    def __init__(self, words: dict[bytes, int]):
+        self.next: list[dict[int, int]] = [{}]
+        self.link, self.length = [-1], [0]
+        ends = {}
+        for word in sorted(words):
+            state = 0
+            for byte in word:
+                state = self._extended(state, byte)
+        for word in words:
+            state = 0
+            for byte in word:
+                state = self.next[state][byte]
+            ends.setdefault(state, []).append(word)
+        #: Of each state the longest word that ends in it or, where none does, in the nearest state of its suffixes; -1 without.
+        self.longest = [-1] * len(self.link)
+        for state in sorted(range(len(self.link)), key=self.length.__getitem__):
+            if state in ends:
+                self.longest[state] = words[max(ends[state], key=len)]
+            elif state:
+                self.longest[state] = self.longest[self.link[state]]
+        self.size = {i: len(w) for w, i in words.items()}
+        #: Of each word the next shorter one that is a suffix of it.
+        self.shorter = {i: next((words[w[k:]] for k in range(1, len(w)) if w[k:] in words), -1) for w, i in words.items()}
+        self.step = {state << 8 | byte: to for state, steps in enumerate(self.next) for byte, to in steps.items()}
+        del self.next
+
+    def _new(self, steps: dict[int, int], link: int, length: int) -> int:
+        self.next.append(steps)
+        self.link.append(link)
+        self.length.append(length)
+        return len(self.link) - 1
+
+    def _split(self, state: int, byte: int) -> int:
+        """The state that ``byte`` leads to from ``state``, holding no string longer than that way makes it."""
+        to = self.next[state][byte]
+        if self.length[to] == self.length[state] + 1:
+            return to
+        copy = self._new(dict(self.next[to]), self.link[to], self.length[state] + 1)
+        self.link[to] = copy
+        while state >= 0 and self.next[state].get(byte) == to:
+            self.next[state][byte] = copy
+            state = self.link[state]
+        return copy
+
+    def _extended(self, last: int, byte: int) -> int:
+        if byte in self.next[last]:
+            return self._split(last, byte)
+        new, state = self._new({}, 0, self.length[last] + 1), last
+        while state >= 0 and byte not in self.next[state]:
+            self.next[state][byte] = new
+            state = self.link[state]
+        if state >= 0:
+            self.link[new] = self._split(state, byte)
+        return new
 
 
 def _byte_symbols() -> dict[str, int]:
@@ -48,7 +126,7 @@ def _byte_symbols() -> dict[str, int]:
 class Encoder:
     """One vocabulary: ``encode_le(text)`` gives ids as little-endian 32-bit bytes, ``decode(ids)`` the text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pieces: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         symbols = _byte_symbols()
@@ -64,17 +142,14 @@ class Encoder:
             self.merged[pair_ids] = r
             if whole not in self.rank:
                 self.rank[whole], self.halves[whole] = r, pair_ids
-        self.automaton = ahocorasick.Automaton()
-        for token, i in vocab.items():
-            if len(token) == 1 or i in self.rank:
-                self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
-        self.automaton.make_automaton()
+        words = {token: i for token, i in vocab.items() if len(token) == 1 or i in self.rank}
+        if any(bytes([byte]) not in words for byte in range(256)):
+            raise ValueError(f"{path}: not every byte has a token")
+        self.automaton = SuffixAutomaton(words)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.find = _pieces().findall
-        self.other = re.compile(f"[{chr(_SAME_CLASSES_BELOW)}-\U0010ffff]").search
-        self.splitter = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
+        self.find = re.compile(pieces).findall
         self.cache: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
         size = max(self.bytes_of) + 1
@@ -101,31 +176,39 @@ class Encoder:
 
     def piece(self, piece: bytes) -> list[int]:
         n = len(piece)
-        last = [-2] * (n + 1)  # -2: no prefix ends here yet; -1: the empty prefix
-        sizes = [0] * (n + 1)
+        last = [-2] * (n + 1)  # -2: no prefix ends here; -1: the empty prefix
         last[0] = -1
-        pairs = self.pairs
-        for end, (token, length) in self.automaton.iter(piece.decode("latin-1")):
-            end += 1
-            if last[end] == -2:
-                before = last[end - length]
-                if before >= 0:
-                    key = before << 32 | token
-                    fits = pairs.get(key)
-                    if fits is None:
-                        if len(pairs) >= CACHE_PIECES:
-                            pairs.clear()
-                        fits = pairs[key] = self.compatible(before, token)
+        pairs, fa = self.pairs, self.automaton
+        step, link, length, longest, shorter, size = fa.step.get, fa.link, fa.length, fa.longest, fa.shorter, fa.size
+        state = known = 0
+        for end, byte in enumerate(piece, 1):
+            to = step(state << 8 | byte)
+            while to is None:  # every byte is a token, so the first state has a step
+                state = link[state]
+                known = length[state]
+                to = step(state << 8 | byte)
+            state, known = to, known + 1
+            token = longest[state]
+            while token >= 0:
+                if size[token] <= known:
+                    before = last[end - size[token]]
+                    if before >= 0:
+                        key = before << 32 | token
+                        fits = pairs.get(key)
+                        if fits is None:
+                            if len(pairs) >= CACHE_PIECES:
+                                pairs.clear()
+                            fits = pairs[key] = self.compatible(before, token)
+                    else:
+                        fits = before == -1
                     if fits:
                         last[end] = token
-                        sizes[end] = length
-                elif before == -1:
-                    last[end] = token
-                    sizes[end] = length
+                        break
+                token = shorter[token]
         ids = []
         while n:
             ids.append(last[n])
-            n -= sizes[n]
+            n -= size[last[n]]
         return ids[::-1]
 
     def _missing(self, piece: str) -> bytes:
@@ -137,10 +220,7 @@ class Encoder:
         return ids
 
     def _plain_le(self, text: str) -> bytes:
-        if self.other(text):
-            pieces = [text[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(text)]
-        else:
-            pieces = self.find(text)
+        pieces = self.find(text)
         get, missing = self.cache.get, self._missing
         return b"".join([get(p) or missing(p) for p in pieces])
 
@@ -165,19 +245,20 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, pieces: str) -> Encoder:
     """The encoder of a vocabulary file, built once in each worker."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, pieces)
     return _encoders[path]
 
 
 def encode(text: Column, path: str) -> Column:
     """Ids of each text as little-endian unsigned 32-bit integers in a binary column."""
+    pieces = piece_pattern()
 
     @F.arrow_udf("binary")
     def ids(texts: pa.Array) -> pa.Array:
-        code = encoder(path).encode_le
+        code = encoder(path, pieces).encode_le
         return pa.array([code(t.as_py()) for t in texts], pa.binary())
 
     return ids(text)
@@ -185,10 +266,11 @@ def encode(text: Column, path: str) -> Column:
 
 def decode(ids_le: Column, path: str) -> Column:
     """The text of each row of ids."""
+    pieces = piece_pattern()
 
     @F.arrow_udf("string")
     def texts(ids: pa.Array) -> pa.Array:
-        read = encoder(path).decode
+        read = encoder(path, pieces).decode
         return pa.array([read(i.as_py()) for i in ids], pa.string())
 
     return texts(ids_le)
