@@ -1,18 +1,18 @@
 """Removal of repeated byte strings, by threshold-bounded interval expansion on a Burrows-Wheeler transform.
 
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts anywhere else in the corpus. Texts are cut
-so that equal strings meet: every such string has one anchor, the ``GRAM``-byte piece in it with the smallest hash
-(the last of equals), so equal strings have equal anchors at equal places, and the strings of a text fall into runs
-with a common anchor. Only runs whose anchor occurs twice can hold a repeat. Their fragments are counted by content
-and, with one of each content kept, dealt by anchor into blocks. In a block the Burrows-Wheeler transform of all
+so that equal strings meet: every such string has one anchor, of the ``GRAM``-byte pieces in it the rarest by a sketch of all pieces, then the one with
+the smallest hash (the last of equals), so equal strings have equal anchors at equal places, and the strings of a text fall into runs
+with a common anchor. As the rarest piece of a string that reaches over the edge of a frequent passage lies at that edge, frequent anchors stand only for
+strings inside of frequent passages, whose fragments are equal and count as one. Only runs whose anchor occurs twice can hold a repeat. Their fragments
+are counted by content and, with one of each content kept, dealt by anchor into blocks; an anchor with more than ``GROUP_BYTES`` of different fragments
+is dealt in pairs of tiles. In a block the Burrows-Wheeler transform of all
 fragments is taken and intervals are extended backwards, breadth first: common prefixes between neighbouring suffixes
 come out by increasing value (each neighbour is settled at the first extension that parts it) and the search stops
 at LENGTH; neighbours not parted by then start repeated strings.
 
-An anchor whose different fragments exceed ``GROUP_BYTES`` goes another, equally exact way: their strings
-are counted one by one by 128-bit hash in a shuffle that adds up early. Texts are known by a 128-bit key with their
-number of copies, so copies meet as one row, and null or repeated doc_ids do no harm. Null texts count as empty;
-texts shorter than LENGTH lose nothing.
+Texts are known by a 128-bit key with their number of copies, so copies meet as one row, and null or repeated doc_ids do no harm. Null texts count as
+empty; texts shorter than LENGTH lose nothing. Very long texts are hashed and cut in segments. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,31 +24,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import bounded_batches, settled
-from panelforge.llm.text_kernels import _LUT, chunks, content_key, mix, powers
+from panelforge.llm import sketches
+from panelforge.llm.common import bounded_batches, settled, text_key
+from panelforge.llm.text_kernels import chunks, content_key, gram_hashes
 
 LENGTH = 200
 GRAM = 64
 BLOCK_BYTES = 1 << 20
-#: Bytes of an anchor's different fragments that go to a block at most.
+#: Bytes of a tile of an anchor's different fragments, about.
 GROUP_BYTES = 1 << 18
 #: Keys of texts that a broadcast carries at most (16 MB); more are joined by a shuffle.
 CARRIED_TEXTS = 1_000_000
 _U = np.uint64
-_SEGMENT = 1 << 22
+_SEGMENT = 1 << 18
 _POSITION_BITS = 24
 
 
-def _gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
-    """64-bit hash of the ``size`` bytes from each place on."""
-    n = len(data)
-    if n < size:
-        return np.zeros(0, np.uint64)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_LUT[data] * powers(n), out=total[1:])
-    return mix((total[size:] - total[:-size]) * powers(n + 1, inverse=True)[: n - size + 1])
-
-
 def _least(keys: np.ndarray, width: int) -> np.ndarray:
     """The smallest of each ``width`` neighbouring keys, by prefix and suffix minima of blocks."""
     n = len(keys) - width + 1
@@ -60,31 +51,27 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, first start, number of starts, anchor hash) of all runs of strings with a common anchor."""
-    hashes = _gram_hashes(data, gram)
+def runs(data: np.ndarray, offsets: np.ndarray, level: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first start, number of starts, anchor hash) of all runs of strings with a common anchor, no run longer than a segment."""
     width = length - gram + 1
     starts = len(data) - length + 1
-    none = np.zeros(0, np.int64)
-    if starts <= 0:
-        return none, none, none, none
-    anchor = np.empty(starts, np.int64)
+    found = []
     for lo in range(0, starts, _SEGMENT):
         hi = min(lo + _SEGMENT, starts)
-        part = hashes[lo : hi + width - 1]
-        place = np.arange(len(part), dtype=np.uint64)
-        keys = (part >> _U(_POSITION_BITS)) << _U(_POSITION_BITS) | (_U((1 << _POSITION_BITS) - 1) - place)
-        anchor[lo:hi] = lo + ((1 << _POSITION_BITS) - 1 - (_least(keys, width) & _U((1 << _POSITION_BITS) - 1)).astype(np.int64))
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:starts]
-    fits = np.arange(starts) + length <= offsets[doc + 1]
-    at = np.flatnonzero(fits)
-    if not len(at):
-        return none, none, none, none
-    new = np.ones(len(at), bool)
-    new[1:] = (anchor[at][1:] != anchor[at][:-1]) | (doc[at][1:] != doc[at][:-1])
-    first = np.flatnonzero(new)
-    number = np.diff(np.append(first, len(at)))
-    return doc[at[first]], at[first], number, hashes[anchor[at[first]]].view(np.int64)
+        hashes = gram_hashes(data[lo : hi + length - 1], gram)
+        place = np.arange(len(hashes), dtype=np.uint64)
+        last = _U((1 << _POSITION_BITS) - 1)
+        keys = level[sketches.place(hashes)].astype(np.uint64) << _U(58) | (hashes >> _U(30)) << _U(_POSITION_BITS) | (last - place)
+        anchor = (last - (_least(keys, width) & last)).astype(np.int64)
+        doc = np.searchsorted(offsets, np.arange(lo, hi), "right") - 1
+        at = np.flatnonzero(np.arange(lo, hi) + length <= offsets[doc + 1])
+        if not len(at):
+            continue
+        new = np.ones(len(at), bool)
+        new[1:] = (anchor[at][1:] != anchor[at][:-1]) | (doc[at][1:] != doc[at][:-1])
+        first = np.flatnonzero(new)
+        found.append((doc[at[first]], lo + at[first], np.diff(np.append(first, len(at))), hashes[anchor[at[first]]].view(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -185,68 +172,58 @@ def _ranges(starts: np.ndarray) -> list[dict]:
     return [{"lo": int(a), "hi": int(b)} for a, b in zip(starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)], strict=True)]
 
 
-def _anchor_rows(batches, keyed: bool):
+def _sketch_rows(batches):
+    """One row with the counts of all pieces of GRAM bytes that a task sees."""
+    counts = np.zeros(sketches.SKETCH, np.int64)
     for b in batches:
-        for _, data, offsets in chunks(b.column(0)):
-            doc, _, _, anchor = runs(data, offsets)
-            if not keyed:
-                yield pa.RecordBatch.from_arrays([pa.array(anchor)], ["anchor"])
-                continue
-            keys = np.array([content_key(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(keys[doc, 0]), pa.array(keys[doc, 1])], ["anchor", "k1", "k2"])
+        for _, data, _ in chunks(b.column("text")):
+            # Pieces that reach over the end of a text count too: that only blurs the sketch.
+            counts += np.bincount(sketches.place(gram_hashes(data, GRAM)), minlength=sketches.SKETCH)
+    yield pa.RecordBatch.from_arrays([pa.array([sketches.as_row(counts)])], ["sketch"])
 
 
-def _fragment_rows(batches, whole: bool):
-    """Occurrences of fragments with a shared anchor in rows (k1, k2, copies, text, anchors); whole: with their bytes."""
+_RUN = pa.struct([("anchor", pa.int64()), ("start", pa.int64()), ("number", pa.int64())])
+RUNS = "array<struct<anchor:bigint,start:bigint,number:bigint>>"
+
+
+def _run_rows(batches, level: np.ndarray):
+    """k1, k2, text in; the runs of each text out, starts counted from its first byte."""
     for b in batches:
-        row = 0
-        k1, k2, copies = (b.column(c).to_numpy() for c in ("k1", "k2", "copies"))
-        wanted = b.column("anchors").to_pylist()
         for row, data, offsets in chunks(b.column("text")):
-            doc, start, number, anchor = runs(data, offsets)
-            keep = np.zeros(len(doc), bool)
-            cut = np.searchsorted(doc, np.arange(len(offsets)))
-            for d, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-                keep[x:y] = np.isin(anchor[x:y], np.array(wanted[row + d], np.int64))
-            at = np.flatnonzero(keep)
-            parts = [data[start[i] : start[i] + number[i] + LENGTH - 1].tobytes() for i in at]
+            doc, start, number, anchor = runs(data, offsets, level)
+            rows = len(offsets) - 1
+            ends = np.searchsorted(doc, np.arange(rows + 1))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(x) for x in (anchor, start - offsets[doc], number)], fields=list(_RUN)))
+            yield pa.RecordBatch.from_arrays([b.column("k1").slice(row, rows), b.column("k2").slice(row, rows), lists], ["k1", "k2", "runs"])
+
+
+def _fragment_rows(batches, whole: bool):
+    """Occurrences of fragments in rows (k1, k2, copies, text, runs); whole: with their bytes."""
+    for b in batches:
+        for k1, k2, copies, text, found in zip(*(b.column(c) for c in ("k1", "k2", "copies", "text", "runs")), strict=True):
+            data = text.as_py().encode()
+            anchor, start, number = (np.asarray(found.values.field(k)) for k in range(3))
+            parts = [data[a : a + n + LENGTH - 1] for a, n in zip(start, number, strict=True)]
             keys = np.array([content_key(p) for p in parts], np.int64).reshape(-1, 2)
-            columns = {"anchor": anchor[at], "f1": keys[:, 0], "f2": keys[:, 1]}
-            d = row + doc[at]
-            if whole:
-                columns |= {"copies": copies[d], "bytes": parts}
-            else:
-                columns |= {"k1": k1[d], "k2": k2[d], "start": start[at] - offsets[doc[at]]}
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) if n == "bytes" else pa.array(c) for n, c in columns.items()], list(columns))
+            columns = {"anchor": anchor, "f1": keys[:, 0], "f2": keys[:, 1]}
+            many = lambda x: np.full(len(parts), x.as_py(), np.int64)  # noqa: E731, B023
+            columns |= {"copies": many(copies), "bytes": pa.array(parts, pa.binary())} if whole else {"k1": many(k1), "k2": many(k2), "start": start}
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], list(columns))
 
 
 def _search_block(block: pa.Table) -> pa.Table:
+    """Ranges of repeated starts of each different fragment in a block, by its anchor's groups together."""
+    anchor, f1, f2 = (block.column(c).to_numpy() for c in ("anchor", "f1", "f2"))
+    # A fragment can stand in several pairs of tiles of the block.
+    _, once = np.unique(np.column_stack([anchor, f1, f2]), axis=0, return_index=True)
     # Strings with different anchors differ, so an anchor with one kind of fragment has nothing to find.
-    _, kind, times = np.unique(block.column("anchor").to_numpy(), return_inverse=True, return_counts=True)
-    block = block.filter(pa.array(times[kind] > 1))
+    _, kind, times = np.unique(anchor[once], return_inverse=True, return_counts=True)
+    block = block.take(pa.array(once[times[kind] > 1]))
     starts = repeated_starts(block.column("bytes").to_pylist()) if len(block) else []
     ranges = pa.array(list(map(_ranges, starts)), pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))
     return pa.table({"anchor": block.column("anchor"), "f1": block.column("f1"), "f2": block.column("f2"), "ranges": ranges})
 
 
-def _string_rows(batches):
-    """(h1, h2, anchor, f1, f2, at) of every string of LENGTH bytes in fragments."""
-    for b in batches:
-        for anchor, f1, f2, data in zip(*(b.column(c).to_pylist() for c in ("anchor", "f1", "f2", "bytes")), strict=True):
-            keys = np.array([content_key(data[i : i + LENGTH]) for i in range(len(data) - LENGTH + 1)], np.int64)
-            n = len(keys)
-            columns = [keys[:, 0], keys[:, 1], np.full(n, anchor), np.full(n, f1), np.full(n, f2), np.arange(n)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h1", "h2", "anchor", "f1", "f2", "at"])
-
-
-def _many_fragments(wide: DataFrame) -> DataFrame:
-    """(anchor, f1, f2, ranges) for anchors with too many fragments for a block: strings are counted one by one."""
-    strings = wide.mapInArrow(_string_rows, "h1 bigint, h2 bigint, anchor bigint, f1 bigint, f2 bigint, at bigint")
-    twice = settled(strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2"), "strings")
-    found = strings.join(twice, ["h1", "h2"])
-    return found.groupBy("anchor", "f1", "f2").agg(F.transform(F.array_sort(F.collect_list("at")), lambda x: F.struct(x.alias("lo"), x.alias("hi"))).alias("ranges"))
-
-
 def _cut(batches):
     """What is left of marked texts: rows (k1, k2, text, spans) in, removed bytes and the digest of the rest out."""
     for b in batches:
@@ -264,60 +241,41 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest)], ["k1", "k2", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _keys(batches):
-    """doc_id, text in; the text's key, length and digest out."""
-    for b in batches:
-        keys, digest, size = [], [], []
-        for t in b.column("text"):
-            data = (t.as_py() or "").encode()
-            keys.append(content_key(data))
-            digest.append(hashlib.sha256(data).hexdigest())
-            size.append(len(data))
-        k1, k2 = np.array(keys, np.int64).reshape(-1, 2).T
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(k1), pa.array(k2), pa.array(size, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "k1", "k2", "n_bytes", "sha256"])
-
-
-def _with_key(batches):
-    for b in batches:
-        keys = [content_key(t.as_py().encode()) for t in b.column("text")]
-        k1, k2 = np.array(keys, np.int64).reshape(-1, 2).T
-        yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), b.column("text")], ["k1", "k2", "text"])
-
-
 def repeats(documents: DataFrame) -> DataFrame:
     """(k1, k2, text, spans) of every text that loses bytes; spans: byte ranges (lo, hi exclusive) to remove, which may overlap."""
+    spark = documents.sparkSession
     texts = documents.select("text").where(F.octet_length("text") >= LENGTH)
-    shared = texts.mapInArrow(lambda it: _anchor_rows(it, False), "anchor bigint").groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
-    shared = settled(shared.where("n > 1").select("anchor"), "anchors")
-    placed = texts.mapInArrow(lambda it: _anchor_rows(it, True), "anchor bigint, k1 bigint, k2 bigint")
-    marks = settled(placed.join(shared, "anchor").groupBy("k1", "k2").agg(F.collect_set("anchor").alias("anchors")), "marks")
+    counted = settled(texts.mapInArrow(_sketch_rows, "sketch array<int>"), "sketch")
+    level = spark.sparkContext.broadcast(sketches.summed_levels(counted))
+    keyed = texts.select(*text_key(F.col("text")), "text")
+    cut = settled(keyed.mapInArrow(lambda it: _run_rows(it, level.value), f"k1 bigint, k2 bigint, runs {RUNS}"), "runs")
+    each = cut.select("k1", "k2", F.explode("runs").alias("run"))
+    shared = settled(each.groupBy("run.anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
+    placed = each.select("k1", "k2", "run", "run.anchor").join(shared, "anchor")
+    marks = settled(placed.groupBy("k1", "k2").agg(F.collect_set("run").alias("runs")), "marks")
     wanted = marks.select("k1", "k2")
     if wanted.count() <= CARRIED_TEXTS:
         wanted = F.broadcast(wanted)
-    some = texts.mapInArrow(_with_key, "k1 bigint, k2 bigint, text string").join(wanted, ["k1", "k2"])
-    distinct = some.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    distinct = keyed.join(wanted, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     marked = settled(distinct.join(marks, ["k1", "k2"]), "marked")
     bytes_of = marked.mapInArrow(lambda it: _fragment_rows(it, True), "anchor bigint, f1 bigint, f2 bigint, copies bigint, bytes binary")
     fragments = settled(bytes_of.groupBy("anchor", "f1", "f2").agg(F.sum("copies").alias("copies"), F.first("bytes").alias("bytes")), "fragments")
     size = F.octet_length("bytes")
     groups = fragments.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum(size + 1).alias("size")).where("kinds > 1")
-    wide = settled(groups.where(F.col("size") > GROUP_BYTES).select("anchor"), "wide")
-    total = fragments.agg(F.sum(size + 1)).head()[0] or 0
+    groups = settled(groups.select("anchor", "size", F.ceil(F.col("size") / GROUP_BYTES).cast("bigint").alias("tiles")), "groups")
+    total = groups.agg(F.sum(F.col("size") * F.col("tiles"))).head()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
-    small = kept = fragments.select("anchor", "f1", "f2", "bytes")
-    ranges = "array<struct<lo:bigint,hi:bigint>>"
-    many = None
-    if not wide.isEmpty():
-        small, many = kept.join(wide, "anchor", "left_anti"), _many_fragments(kept.join(wide, "anchor"))
-    block = F.pmod(F.xxhash64("anchor", F.lit(3)), F.lit(blocks)).alias("block")
-    found = small.select("*", block).groupBy("block").applyInArrow(_search_block, f"anchor bigint, f1 bigint, f2 bigint, ranges {ranges}")
-    found = found if many is None else found.union(many)
-    copied = fragments.where("copies > 1").select("anchor", "f1", "f2", F.array(F.struct(F.lit(0).cast("bigint").alias("lo"), (size - LENGTH).cast("bigint").alias("hi"))).alias("ranges"))
+    tile = F.pmod(F.xxhash64("f1", F.lit(5)), F.col("tiles"))
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1)).alias("other")
+    tiled = fragments.select("anchor", "f1", "f2", "bytes").join(groups, "anchor").select("anchor", "f1", "f2", "bytes", tile.alias("tile"), other)
+    block = F.pmod(F.xxhash64("anchor", F.least("tile", "other"), F.greatest("tile", "other")), F.lit(blocks)).alias("block")
+    found = tiled.select("anchor", "f1", "f2", "bytes", block).groupBy("block").applyInArrow(_search_block, "anchor bigint, f1 bigint, f2 bigint, ranges array<struct<lo:bigint,hi:bigint>>")
+    whole = F.array(F.struct(F.lit(0).cast("bigint").alias("lo"), (size - LENGTH).cast("bigint").alias("hi")))
+    copied = fragments.where("copies > 1").select("anchor", "f1", "f2", whole.alias("ranges"))
     all_found = settled(found.union(copied).where(F.size("ranges") > 0), "repeats")
     where = marked.mapInArrow(lambda it: _fragment_rows(it, False), "anchor bigint, f1 bigint, f2 bigint, k1 bigint, k2 bigint, start bigint")
-    spans = where.join(all_found, ["anchor", "f1", "f2"]).select(
-        "k1", "k2", F.explode(F.transform("ranges", lambda r: F.struct((F.col("start") + r["lo"]).alias("lo"), (F.col("start") + r["hi"] + LENGTH).alias("hi")))).alias("span")
-    )
+    span = lambda r: F.struct((F.col("start") + r["lo"]).alias("lo"), (F.col("start") + r["hi"] + LENGTH).alias("hi"))
+    spans = where.join(all_found, ["anchor", "f1", "f2"]).select("k1", "k2", F.explode(F.transform("ranges", span)).alias("span"))
     return marked.select("k1", "k2", "text").join(spans.groupBy("k1", "k2").agg(F.collect_list("span").alias("spans")), ["k1", "k2"])
 
 
@@ -326,7 +284,8 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     cut = settled(repeats(documents).mapInArrow(_cut, "k1 bigint, k2 bigint, n_removed bigint, n_spans bigint, kept_sha256 string"), "cut")
-    docs = documents.mapInArrow(_keys, "doc_id bigint, k1 bigint, k2 bigint, n_bytes bigint, sha256 string")
+    data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    docs = documents.select("doc_id", *text_key(F.col("text")), F.octet_length(data).cast("bigint").alias("n_bytes"), F.sha2(data, 256).alias("sha256"))
     zero = F.lit(0).cast("bigint")
     return docs.join(cut, ["k1", "k2"], "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256")

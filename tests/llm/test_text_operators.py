@@ -136,9 +136,12 @@ def test_repeats(spark, folder):
     assert [got[i]["n_bytes"] for i in range(len(texts))] == [len((t or "").encode()) for t in texts]
 
 
-def test_repeats_with_too_many_fragments_for_a_block(spark, folder, monkeypatch):
+@pytest.mark.parametrize("size", [600, 5_000])
+def test_repeats_in_tiles(spark, folder, monkeypatch, size):
+    """Anchors with more different fragments than a tile holds are searched in pairs of tiles."""
     where, texts, _ = folder
-    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 600)
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", size)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 4 * size)
     expected = cases.without_repeats([(t or "").encode() for t in texts])
     got = {r["doc_id"]: r for r in rows_of(suffix_dedup.op8_suffix_dedup(spark, where))}
     assert [(got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) for i in range(len(texts))] == expected
