@@ -13,9 +13,10 @@ a text of fewer words is one shingle). Two texts link when their sets' Jaccard s
    overlap with a query by the summed minima of its counts and a box's largest counts. A group gives all pairs whose
    bound fits, or, where these are more than ``DENSE`` times its nodes, the likeliest partner of every node. Groups of
    more than ``TILE`` nodes are cut into tiles, so no task takes a whole hot group.
-4. Every node's likeliest partner is verified on the texts; the links make first classes. Then all other pairs between
-   classes are verified: those that step 3 gave, and for groups that were dense or cut those of a second search,
-   in which nodes outside the group's largest class are compared with all.
+4. Every node's likeliest partner is verified on the texts; the links make first classes. Then the other pairs between
+   classes are verified: those that step 3 gave, and for groups that were dense or cut those of further searches,
+   in which nodes outside the group's largest class are compared with all. Searches go on while a group is dense, every row
+   giving its likeliest partner of another class, so that classes grow together; the last of ``SEARCHES`` gives all pairs.
 5. Components over all links give the classes. As every pair across classes that can link is verified in the end,
    no link between different texts is lost.
 
@@ -48,6 +49,7 @@ MOST = 15
 TILE = 2048
 FANOUT = 16
 DENSE = 4
+SEARCHES = 5
 #: Rows of a search block, and bytes of texts (by 7 for a shingle) of a verification block.
 BLOCK_ROWS = 4096
 BLOCK_BYTES = 8 << 20
@@ -312,14 +314,24 @@ def _search(block: pa.Table, most: int) -> pa.Table:
         if len(x) > most * size:
             dense.append(sig[own[0]])
             other = a != b
-            a, b, bound = a[other], b[other], bound[other]
-            likely = np.lexsort((h1[a], -bound / (n[a] + n[b] - bound), b))
-            a, b, bound = a[likely], b[likely], bound[likely]
-            best = np.ones(len(b), bool)
-            best[1:] = b[1:] != b[:-1]
-            x, y, near = a[best], b[best], bound[best]
+            x, y, near = _likeliest(a[other], b[other], bound[other], n, h1)
         found.append((x, y, near))
-    a, b, bound = (np.concatenate(x) for x in zip(*found, strict=True))
+    return _as_pairs(found, dense, n, h1)
+
+
+def _likeliest(a: np.ndarray, b: np.ndarray, bound: np.ndarray, n: np.ndarray, h1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every b the pair with the largest bound on the similarity."""
+    order = np.lexsort((h1[a], -bound / (n[a] + n[b] - bound), b))
+    a, b, bound = a[order], b[order], bound[order]
+    best = np.ones(len(b), bool)
+    best[1:] = b[1:] != b[:-1]
+    return a[best], b[best], bound[best]
+
+
+def _as_pairs(found: list[tuple], dense: list[int], n: np.ndarray, h1: np.ndarray) -> pa.Table:
+    """Distinct pairs of rows (a, b, bound) with their score, and the names of dense groups."""
+    none = np.zeros(0, np.int64)
+    a, b, bound = (np.concatenate(x) for x in zip((none, none, none), *found, strict=True))
     one, two, score = np.minimum(h1[a], h1[b]), np.maximum(h1[a], h1[b]), bound / np.maximum(n[a] + n[b] - bound, 1)
     _, once = np.unique(np.column_stack([one, two]), axis=0, return_index=True)
     rows = pa.table([one[once], two[once], score[once], pa.nulls(len(once), pa.int64())], schema=_PAIRS)
@@ -327,8 +339,9 @@ def _search(block: pa.Table, most: int) -> pa.Table:
     return pa.concat_tables([rows, marks])
 
 
-def _search_across(block: pa.Table) -> pa.Table:
-    """Candidate pairs (a < b) of different classes, one of them an inner row, in the groups (sig, i, j) of a block."""
+def _search_across(block: pa.Table, most: float) -> pa.Table:
+    """Candidate pairs (a < b) of different classes, one of them an inner row, in the groups (sig, i, j) of a block; for a dense group, of more
+    than ``most`` pairs a row, every row's likeliest partner, and a row that names it."""
     sig, i, j, h1, comp, n, inner = (block.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "i", "j", "h1", "comp", "n", "inner"))
     raw = block.column("point").to_pylist()
     dims = _dimensions(raw)
@@ -337,14 +350,18 @@ def _search_across(block: pa.Table) -> pa.Table:
     new = np.ones(len(by), bool)
     new[1:] = (sig[by][1:] != sig[by][:-1]) | (i[by][1:] != i[by][:-1]) | (j[by][1:] != j[by][:-1])
     first = np.flatnonzero(new)
-    out = [np.zeros((0, 2), np.int64)]
+    found, dense = [], []
     for lo, hi in zip(first, np.append(first[1:], len(by)), strict=True):
         own = by[lo:hi]
-        a, b, _ = _tree_pairs(own[inner[own]], own[~inner[own]], dims, n, tables)
+        a, b, bound = _tree_pairs(own[inner[own]], own[~inner[own]], dims, n, tables)
         apart = comp[a] != comp[b]
-        out.append(np.column_stack([np.minimum(h1[a], h1[b])[apart], np.maximum(h1[a], h1[b])[apart]]))
-    pairs = np.unique(np.concatenate(out), axis=0)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        a, b, bound = a[apart], b[apart], bound[apart]
+        if len(a) > most * len(own):
+            dense.append(sig[own[0]])
+            found.append(_likeliest(a, b, bound, n, h1))
+            a, b, bound = _likeliest(b, a, bound, n, h1)
+        found.append((a, b, bound))
+    return _as_pairs(found, dense, n, h1)
 
 
 def _once(batches):
@@ -447,9 +464,8 @@ def _candidates(shared: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFr
     return settled(found, "candidates"), groups
 
 
-def _across(shared: DataFrame, points: DataFrame, of: DataFrame, groups: DataFrame, dense: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different classes in the groups that the first search did not give in full."""
-    again = groups.join(dense, "sig", "left").where(F.col("marked") | (F.col("size") > TILE)).select("sig", "size")
+def _across(shared: DataFrame, points: DataFrame, of: DataFrame, again: DataFrame, most: float) -> DataFrame:
+    """(a, b, score, dense) of pairs of different classes in some groups (sig, size), settled."""
     member = settled(shared.join(again, "sig").join(of, "h1", "left").select("sig", "h1", "size", F.coalesce("component", "h1").alias("comp")), "members")
     by_class = member.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("many"), F.first("size").alias("size"))
     largest = by_class.groupBy("sig").agg(F.max(F.struct("many", "comp")).alias("top"), F.first("size").alias("size"))
@@ -466,7 +482,13 @@ def _across(shared: DataFrame, points: DataFrame, of: DataFrame, groups: DataFra
     cells = F.explode(F.concat(as_outer, F.coalesce(as_inner, F.array().cast("array<struct<i:bigint,j:bigint,inner:boolean>>"))))
     dealt = inside.select("sig", "h1", "comp", "n", "point", cells.alias("cell")).select("sig", "h1", "comp", "n", "point", "cell.*")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("sig", "i", "j"), F.lit(blocks)))
-    return dealt.groupBy("block").applyInArrow(_search_across, "a bigint, b bigint")
+    found = dealt.groupBy("block").applyInArrow(lambda block: _search_across(block, most), "a bigint, b bigint, score double, dense bigint")
+    return settled(found, "across")
+
+
+def _first_classes(links: DataFrame) -> DataFrame:
+    """(h1, component) of the nodes that links join."""
+    return settled(_joined_by(links).select(F.col("node.h1").alias("h1"), F.col("component.h1").alias("component")).dropDuplicates(["h1"]), "first")
 
 
 def classes(documents: DataFrame, rows: DataFrame) -> DataFrame:
@@ -484,16 +506,26 @@ def classes(documents: DataFrame, rows: DataFrame) -> DataFrame:
     ends = best.select(F.least("node", "to.other").alias("a"), F.greatest("node", "to.other").alias("b"))
     tested = settled(ends.distinct(), "tested")
     links = settled(_verified(tested, nodes, documents), "links")
-    of = settled(_joined_by(links).select(F.col("node.h1").alias("h1"), F.col("component.h1").alias("component")).dropDuplicates(["h1"]), "first")
+    of = _first_classes(links)
     class_of = lambda s: of.select(F.col("h1").alias(s), F.col("component").alias(f"{s}c"))
     apart = F.coalesce("ac", "a") != F.coalesce("bc", "b")
-    rest = pairs.select("a", "b").join(class_of("a"), "a", "left").join(class_of("b"), "b", "left").where(apart).select("a", "b")
-    dense = found.where("dense is not null").select(F.col("dense").alias("sig"), F.lit(True).alias("marked")).distinct()
+    more = pairs.select("a", "b").join(class_of("a"), "a", "left").join(class_of("b"), "b", "left").where(apart).select("a", "b")
     mates = shared.join(shared.join(F.broadcast(twins), "h1").select("sig", F.col("h1").alias("twin")), "sig").where("h1 <> twin")
-    beside = mates.select(F.least("h1", "twin").alias("a"), F.greatest("h1", "twin").alias("b"))
-    more = rest.union(_across(shared, points, of, groups, dense)).union(beside).distinct().join(tested, ["a", "b"], "left_anti")
-    more = settled(more, "more")
-    links = settled(links.union(_verified(more, nodes, documents)), "links")
+    more = more.union(mates.select(F.least("h1", "twin").alias("a"), F.greatest("h1", "twin").alias("b")))
+    marked = lambda found: found.where("dense is not null").select(F.col("dense").alias("sig"), F.lit(True).alias("marked")).distinct()
+    again = settled(groups.join(marked(found), "sig", "left").where(F.col("marked") | (F.col("size") > TILE)).select("sig", "size"), "again")
+    for search in range(1, SEARCHES + 1):
+        there = not again.isEmpty()
+        if there:
+            found = _across(shared, points, of, again, DENSE if search < SEARCHES else float("inf"))
+            more = more.union(found.where("a is not null").select("a", "b"))
+            again = settled(again.join(marked(found), "sig", "left_semi"), "again")
+        more = settled(more.distinct().join(tested, ["a", "b"], "left_anti"), "more")
+        links = settled(links.union(_verified(more, nodes, documents)), "links")
+        if not there or again.isEmpty():
+            break
+        of, tested = _first_classes(links), settled(tested.union(more), "tested")
+        more = more.limit(0)
     of = settled(_joined_by(links).select(F.col("node.h1").alias("h1"), F.col("node.h2").alias("h2"), "component"), "components")
     named = nodes.select("h1", "h2", "label").join(of, ["h1", "h2"], "left")
     least = settled(named.where("component is not null").groupBy("component").agg(F.min("label").alias("least")), "least")
