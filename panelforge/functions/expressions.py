@@ -16,11 +16,6 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 
 
-def uniform_sql(*parts: str) -> str:
-    """A portable uniform number in [0, 1) from the text of its parts, for Spark."""
-    return f"conv(substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8), 16, 10) / 4294967296.0D"
-
-
 def uniform(*parts: Column | str) -> Column:
     """A portable uniform number in [0, 1): the first 8 hexadecimal digits of the md5 of the parts joined by '|'."""
     digits = F.substring(F.md5(F.concat_ws("|", *[p if isinstance(p, Column) else F.lit(p) for p in parts]).cast("binary")), 1, 8)

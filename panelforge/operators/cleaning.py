@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.functions.expressions import clip
@@ -89,14 +89,17 @@ def modes(long: DataFrame, by: list[str], out: str = "mode") -> DataFrame:
 
 
 def filled_by_type(long: DataFrame, types: DataFrame, group: str) -> DataFrame:
-    """long with null values filled by type: binary by the group's mode (0 if it has none), ordinal by the rounded median, the rest by the median, of the group and then of all."""
+    """long with null values filled by type: binary by the group's mode (0 if it has none; without a group by the mode of all), ordinal by the median, the rest by the median, of the group and then of all; ordinal values are rounded, filled or not."""
     local = medians(long, ["indicator", group], "value", "_gm")
     everywhere = medians(long, ["indicator"], "value", "_am")
     mode = modes(long, ["indicator", group], "_gx")
-    joined = long.join(local, ["indicator", group], "left").join(mode, ["indicator", group], "left").join(F.broadcast(everywhere), "indicator", "left").join(F.broadcast(types.select("indicator", "vtype")), "indicator", "left")
+    common = modes(long, ["indicator"], "_ax")
+    joined = long.join(local, ["indicator", group], "left").join(mode, ["indicator", group], "left").join(everywhere, "indicator", "left").join(common, "indicator", "left").join(F.broadcast(types.select("indicator", "vtype")), "indicator", "left")
     t, middle = F.coalesce("vtype", F.lit("continuous")), F.coalesce("_gm", "_am")
-    fill = F.when(t == "binary", F.coalesce("_gx", F.lit(0.0))).when(t == "ordinal", F.round(middle)).otherwise(middle)
-    return joined.select(*[c if c != "value" else F.coalesce("value", fill).alias("value") for c in long.columns])
+    binary = F.coalesce("_gx", F.when(F.col(group).isNull(), F.col("_ax")), F.lit(0.0))
+    filled = F.coalesce("value", F.when(t == "binary", binary).otherwise(middle))
+    filled = F.when(t == "ordinal", F.round(filled)).otherwise(filled)
+    return joined.select(*[c if c != "value" else filled.alias("value") for c in long.columns])
 
 
 def filled_by_tier(candidates: DataFrame, cells: DataFrame, group: str, least: int = 3) -> DataFrame:
@@ -139,10 +142,14 @@ def calibrated(df: DataFrame, value: str, group: list[str], out: str, centre: fl
     return df.join(F.broadcast(s), group, "left").withColumn(out, scaled).drop("_m", "_s", "_n")
 
 
+#: The least score of each letter bucket; CCC below.
+RATINGS = ((42, "B"), (46, "BB"), (50, "BBB"), (54, "A"), (57, "AA"), (60, "AAA"))
+
+
 def rating(score: Column) -> Column:
     """Letter bucket of a 0..100 score."""
     out = F.lit("CCC")
-    for limit, name in ((42, "B"), (46, "BB"), (50, "BBB"), (54, "A"), (57, "AA"), (60, "AAA")):
+    for limit, name in RATINGS:
         out = F.when(score >= limit, name).otherwise(out)
     return F.when(score.isNotNull(), out)
 
@@ -150,8 +157,3 @@ def rating(score: Column) -> Column:
 def latest(df: DataFrame, by: list[str], order: str, value: str, out: str) -> DataFrame:
     """The value at the largest ``order`` of each group, nulls passed over."""
     return df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.max_by(value, order).alias(out))
-
-
-def running(by: list[str], order: str):
-    """Window over all rows up to this one."""
-    return Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

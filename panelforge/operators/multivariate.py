@@ -9,13 +9,12 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.operators.inference import normal_equations
+from panelforge.operators.inference import moments
 
 
 def correlation(df: DataFrame, columns: list[str]) -> np.ndarray:
-    """Correlation matrix over complete rows, from one aggregate of k squared sums."""
-    xx, _, _, n = normal_equations(df.withColumn("_zero", F.lit(0.0)), columns, "_zero")
-    cov = xx[1:, 1:] - np.outer(xx[0, 1:], xx[0, 1:]) / max(n, 1)
+    """Correlation matrix over complete rows, from one aggregate of k squared moments."""
+    _, cov, _ = moments(df, columns)
     sd = np.sqrt(np.maximum(np.diag(cov), 1e-300))
     return cov / np.outer(sd, sd)
 
@@ -34,8 +33,9 @@ def principal_components(df: DataFrame, columns: list[str]) -> DataFrame:
 def projected(df: DataFrame, key: str, columns: list[str], k: int) -> DataFrame:
     """(key, pc1..pck) of complete rows, as expressions on standardised columns."""
     loadings = principal_components(df, columns).orderBy("component").limit(k).collect()  # k rows
-    s = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in columns], *[F.stddev_samp(c).alias(f"_s_{c}") for c in columns])
-    z = df.dropna(subset=columns).crossJoin(F.broadcast(s))
+    whole = df.dropna(subset=columns)
+    s = whole.agg(*[F.avg(c).alias(f"_m_{c}") for c in columns], *[F.stddev_samp(c).alias(f"_s_{c}") for c in columns])
+    z = whole.crossJoin(F.broadcast(s))
     return z.select(key, *[sum(((F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}") * F.lit(row[c]) for c in columns), F.lit(0.0)).alias(f"pc{i + 1}") for i, row in enumerate(loadings)])
 
 

@@ -90,12 +90,15 @@ def overlaps(membership: DataFrame, strategy: str = "strategy", key: str = "enti
 
 
 def gini(df: DataFrame, value: str) -> DataFrame:
-    """(gini) of a value shifted to be at least 0, as a sum over its distinct values."""
+    """(gini) of a value less its minimum (and 1e-6 more), by trapezoids under the Lorenz curve at every row, as a sum over distinct values; null below 5 rows."""
     low = df.agg(F.min(value).alias("_lo"))
-    shifted = df.crossJoin(F.broadcast(low)).select((F.col(value) - F.least(F.col("_lo"), F.lit(0.0))).alias("_x"))
+    shifted = df.crossJoin(F.broadcast(low)).select((F.col(value) - F.col("_lo") + 1e-6).alias("_x"))
     c = cumulative(shifted, [], "_x")
-    middle = F.col("below") + (F.col("n") + 1) / 2
-    return c.agg((2 * F.sum(middle * F.col("n") * F.col("_x")) / (F.max("total") * F.sum(F.col("n") * F.col("_x"))) - (F.max("total") + 1) / F.max("total")).alias("gini"))
+    middle, n = F.col("below") + (F.col("n") + 1) / 2, F.max("total")
+    sums = F.sum(F.col("n") * F.col("_x"))
+    # The curve's first trapezoid begins at the first row, not at 0.
+    area = 2 * F.sum(middle * F.col("n") * F.col("_x")) / (n * sums) - (n + 1) / n + F.min("_x") / sums / n
+    return c.agg(F.when(n >= 5, area).alias("gini"))
 
 
 def ecdf(df: DataFrame, value: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
@@ -151,9 +150,9 @@ def turnover(scores: DataFrame, replicates: int, share: float, n: int, seed: int
     return o.select("replicate", (1 - F.col("overlap")).alias("turnover"), ((1 - F.col("overlap")) * 2 * cost).alias("cost"))
 
 
-def market_impact(value: Column, volume: Column, volatility: Column, factor: float = 0.1) -> Column:
-    """Square-root impact in basis points of trading ``value`` against daily ``volume``."""
-    return 1e4 * factor * volatility * F.sqrt(value / F.when(volume > 0, volume))
+def market_impact(value: Column, volume: Column, volatility: Column) -> Column:
+    """Square-root impact in basis points of trading ``value`` against daily ``volume``, sigma * 1e4 * sqrt(participation); 0 without value or volume."""
+    return F.when((volume > 0) & (value > 0), 1e4 * volatility * F.sqrt(value / volume)).otherwise(0.0)
 
 
 def capacity(df: DataFrame, tiers: list[float], weight: str, volume: str, most: float = 0.1) -> DataFrame:
@@ -161,7 +160,3 @@ def capacity(df: DataFrame, tiers: list[float], weight: str, volume: str, most:
     t = df.select(F.col(weight).alias("_w"), F.col(volume).alias("_v"), F.explode(F.array(*map(F.lit, tiers))).alias("tier"))
     p = F.col("tier") * F.col("_w") / F.when(F.col("_v") > 0, F.col("_v"))
     return t.groupBy("tier").agg(F.avg(p).alias("mean_participation"), F.avg((p <= most).cast("int")).alias("pass_rate"))
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)

@@ -112,11 +112,14 @@ def composite(df: DataFrame, weights: DataFrame, group: str, columns: list[str],
     return joined.withColumn(out, F.when(there > 0, total / there)).drop("_g", *[f"_w_{c}" for c in columns])
 
 
-def shrunk(df: DataFrame, score: str, confidence: str, group: str, least: float, out: str) -> DataFrame:
-    """df with scores of low confidence drawn to their group's median: c * score + (1 - c) * median where c = confidence / least < 1."""
+def shrunk(df: DataFrame, score: str, confidence: str, group: str, out: str, least: float = 0.4) -> DataFrame:
+    """df with scores of a confidence c below ``least`` drawn to c * score + (1 - c) * median, that of their group, or of all rows where it has none."""
     middle = quantiles(df, [group], score, {"_median": 0.5})
-    c = F.least(F.lit(1.0), F.col(confidence) / least)
-    return df.join(F.broadcast(middle), group, "left").withColumn(out, c * F.col(score) + (1 - c) * F.col("_median")).drop("_median")
+    everywhere = quantiles(df, [], score, {"_all": 0.5})
+    c = F.col(confidence)
+    drawn = c * F.col(score) + (1 - c) * F.coalesce("_median", "_all")
+    joined = df.join(middle, group, "left").join(F.broadcast(everywhere), how="left")  # one row
+    return joined.withColumn(out, F.when(c < least, drawn).otherwise(F.col(score))).drop("_median", "_all")
 
 
 def harmonised(df: DataFrame, score: str, source: str, out: str, least: int = 5) -> DataFrame:
@@ -128,8 +131,9 @@ def harmonised(df: DataFrame, score: str, source: str, out: str, least: int = 5)
 
 
 def sector_blend(df: DataFrame, score: str, group: str, out: str, share: float = 0.3) -> DataFrame:
-    """(1 - share) of the score and share of its percentile rank (0..100) in its group."""
-    return with_rank(df, score, [group], "_p", pct=True).withColumn(out, (1 - share) * F.col(score) + share * 100 * F.col("_p")).drop("_p")
+    """(1 - share) of the score and share of its percentile rank (0..100; 50 without one) in its group, kept in 0..100."""
+    blend = (1 - share) * F.col(score) + share * 100 * F.coalesce("_p", F.lit(0.5))
+    return with_rank(df, score, [group], "_p", pct=True).withColumn(out, clip(blend, 0.0, 100.0)).drop("_p")
 
 
 def sector_position(df: DataFrame, columns: list[str], group: str, key: str, out: str = "sector_position") -> DataFrame:
@@ -160,10 +164,10 @@ def preference(norms: DataFrame, key: str, profiles: dict[str, dict[str, float]]
 
 
 def gated(df: DataFrame, score: str, gate: str, share: float = 0.3, power: float = 1.5, least: int = 20) -> DataFrame:
-    """df with the score raised to ``power`` on 0..100, and 0 below the gate column's ``share`` quantile in universes of at least ``least`` rows."""
+    """df with the score raised to ``power`` on 0..100, and 0 below the gate column's ``share`` quantile, or without a gate value, in universes of at least ``least`` rows (unless no row has one)."""
     q = quantiles(df, [], gate, {"_q": share}).crossJoin(df.agg(F.count(F.lit(1)).alias("_n")))
     lifted = 100 * F.pow(clip(F.col(score), 0.0, 100.0) / 100, F.lit(power))
-    shut = (F.col("_n") >= least) & (F.col(gate) < F.col("_q"))
+    shut = (F.col("_n") >= least) & F.col("_q").isNotNull() & (F.col(gate).isNull() | (F.col(gate) < F.col("_q")))
     return df.crossJoin(F.broadcast(q)).withColumn("gated", F.when(shut, 0.0).otherwise(lifted)).drop("_q", "_n")
 
 

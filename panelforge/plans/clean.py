@@ -67,7 +67,7 @@ def dq_variable_types(spark, sf_dir):
     return P.variable_types(names, {"momentum": "ratio"})
 
 
-DQ_VARIABLE_TYPES = f"""{LONG_SQL}, t AS (SELECT DISTINCT indicator, CASE WHEN indicator = 'momentum' THEN 'ratio' WHEN indicator LIKE '%\\_flag' ESCAPE '\\' THEN 'binary' WHEN indicator LIKE '%\\_rank' ESCAPE '\\' THEN 'ordinal'
+DQ_VARIABLE_TYPES = f"""{LONG_SQL}, t AS (SELECT DISTINCT indicator, CASE WHEN indicator = 'momentum' THEN 'ratio' WHEN indicator LIKE '%\\_pct' ESCAPE '\\' OR indicator LIKE '%\\_percent' ESCAPE '\\' THEN 'bounded_pct' WHEN indicator LIKE '%\\_policy' ESCAPE '\\' OR indicator LIKE '%\\_target' ESCAPE '\\' OR indicator LIKE '%\\_flag' ESCAPE '\\' THEN 'binary' WHEN indicator LIKE '%\\_rank' ESCAPE '\\' THEN 'ordinal'
   WHEN indicator LIKE '%\\_share' ESCAPE '\\' OR indicator LIKE '%\\_rate' ESCAPE '\\' THEN 'bounded_pct' WHEN indicator LIKE '%\\_ratio' ESCAPE '\\' THEN 'ratio' WHEN starts_with(indicator, 'n_') THEN 'count' ELSE 'continuous' END AS vtype FROM cells)
 SELECT indicator, vtype, CASE vtype {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in P.TREATMENTS.items())} END AS treatment FROM t"""
 
@@ -114,11 +114,11 @@ def dq_range_verdicts(spark, sf_dir):
 
 DQ_RANGE_VERDICTS = f"""{LONG_SQL}, r(indicator, low, high, hard_low, hard_high) AS (VALUES {", ".join(f"('{a}', {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE, {e}::DOUBLE)" for a, b, c, d, e in RANGES)}),
 k AS (SELECT indicator, count(*) AS n, sum((value < low)::INT)::BIGINT AS n_below, sum((value > high)::INT)::BIGINT AS n_above, sum((value < hard_low OR value > hard_high)::INT)::BIGINT AS n_hard FROM cells JOIN r USING (indicator) WHERE value IS NOT NULL GROUP BY indicator)
-SELECT *, round(1 - (n_below + n_above) / n, 5) AS in_range, CASE WHEN 1 - (n_below + n_above) / n >= 0.8 AND n_hard <= 0.05 * n THEN 'PASS' WHEN 1 - (n_below + n_above) / n >= 0.6 THEN 'WARN' ELSE 'FAIL' END AS verdict FROM k"""
+SELECT *, round(1 - (n_below + n_above) / n, 5) AS in_range, CASE WHEN n_hard > 0.05 * n THEN 'FAIL' WHEN 1 - (n_below + n_above) / n >= 0.8 THEN 'PASS' WHEN 1 - (n_below + n_above) / n >= 0.6 THEN 'WARN' ELSE 'FAIL' END AS verdict FROM k"""
 
 
 def dq_currency_plausibility(spark, sf_dir):
-    """Quartiles of a monetary column by country and the entities beyond three interquartile ranges."""
+    """Quartiles of a monetary column by country and the entities beyond 1.5 interquartile ranges."""
     from panelforge.operators.ranking import quantiles
 
     panel = entity_panel(spark, sf_dir)
@@ -185,7 +185,7 @@ def imp_by_type(spark, sf_dir):
 IMP_BY_TYPE = f"""WITH {PANEL_SQL}, p2 AS (SELECT *, (momentum > 0)::INT::DOUBLE AS momentum_flag FROM panel), cells AS ({long_sql(["momentum_flag", "momentum", "balance_ratio"], "p2")}),
 m AS (SELECT indicator, sector, quantile_cont(value, 0.5) AS gm FROM cells GROUP BY ALL), a AS (SELECT indicator, quantile_cont(value, 0.5) AS am FROM cells GROUP BY ALL),
 v AS (SELECT indicator, sector, value, count(*) AS n FROM cells WHERE value IS NOT NULL GROUP BY ALL), x AS (SELECT indicator, sector, value AS gx FROM v QUALIFY row_number() OVER (PARTITION BY indicator, sector ORDER BY n DESC, value) = 1)
-SELECT entity_id, indicator, round(coalesce(value, CASE indicator WHEN 'momentum_flag' THEN coalesce(gx, 0) WHEN 'momentum' THEN ROUND(coalesce(gm, am)) ELSE coalesce(gm, am) END), 4) AS value
+SELECT entity_id, indicator, round(CASE indicator WHEN 'momentum_flag' THEN coalesce(value, gx, 0) WHEN 'momentum' THEN ROUND(coalesce(value, gm, am)) ELSE coalesce(value, gm, am) END, 4) AS value
 FROM cells LEFT JOIN m USING (indicator, sector) LEFT JOIN x USING (indicator, sector) LEFT JOIN a USING (indicator)"""
 
 

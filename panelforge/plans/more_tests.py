@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelforge.functions.expressions import normal_cdf
+from panelforge.functions.tails import chi_square_tail, chi_square_tail_sql, f_tail, f_tail_sql, t_two_sided, t_two_sided_sql
 from panelforge.operators import inference as I
 from panelforge.plans.clean import rounded
 from panelforge.plans.tests_and_fits import IC_SQL, XS, YS, normal_cdf_sql
@@ -41,26 +42,29 @@ TEST_EFFECTS = f"""WITH {PANEL_SQL}, r AS ({" UNION ALL ".join(f"SELECT country,
 
 
 def reg_breusch_pagan(spark, sf_dir):
-    """Lagrange statistic of squared residuals regressed on the regressor, by factor."""
+    """Lagrange statistic of squared residuals regressed on the regressor, by factor, and the F test of that fit, with p-values."""
     rows = I.pair_rows(entity_panel(spark, sf_dir), "entity_id", XS, ["momentum"])
     fit = I.simple_regression(rows, ["factor"]).select("factor", "slope", "intercept")
     e = F.col("y") - F.col("intercept") - F.col("slope") * F.col("x")
     squared = rows.join(F.broadcast(fit), "factor").select("factor", "x", (e * e).alias("y"))
-    return rounded(I.simple_regression(squared, ["factor"]).select("factor", "n", (F.col("n") * F.col("r2")).alias("lm")))
+    fit = I.simple_regression(squared, ["factor"]).withColumn("lm", F.col("n") * F.col("r2"))
+    f = F.col("r2") / ((1 - F.col("r2")) / (F.col("n") - 2))
+    return rounded(fit.select("factor", "n", "lm", chi_square_tail(F.col("lm"), F.lit(1)).alias("lm_p"), f.alias("f"), f_tail(f, F.lit(1), F.col("n") - 2).alias("f_p")))
 
 
 REG_BP = f"""WITH {PANEL_SQL}, w AS ({" UNION ALL ".join(f"SELECT '{x}' AS factor, {x} AS x, momentum AS y FROM panel WHERE {x} IS NOT NULL AND momentum IS NOT NULL" for x in XS)}), f AS (SELECT factor, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM w GROUP BY factor),
-e AS (SELECT factor, x, (y - a - b * x) ** 2 AS e FROM w JOIN f USING (factor)) SELECT factor, count(*) AS n, round(count(*) * regr_r2(e, x), 5) AS lm FROM e GROUP BY factor"""
+e AS (SELECT factor, x, (y - a - b * x) ** 2 AS e FROM w JOIN f USING (factor)), s AS (SELECT factor, count(*) AS n, regr_r2(e, x) AS r2 FROM e GROUP BY factor), t AS (SELECT *, n * r2 AS lm, r2 / ((1 - r2) / (n - 2)) AS f FROM s)
+SELECT factor, n, round(lm, 5) AS lm, round({chi_square_tail_sql("lm", "1")}, 5) AS lm_p, round(f, 5) AS f, round({f_tail_sql("f", "1", "n - 2")}, 5) AS f_p FROM t"""
 
 
 def agg_design_effect(spark, sf_dir):
-    """Mean over deviation of sector means, adjusted by the effective share of unequal sectors."""
+    """Mean over deviation of sector means, adjusted by the root of effective over all rows."""
     g = entity_panel(spark, sf_dir).where("momentum is not null").groupBy("sector").agg(F.count(F.lit(1)).alias("n"), F.avg("momentum").alias("m"))
-    s = g.agg((F.sum("n") * F.sum("n") / F.sum(F.col("n") * F.col("n"))).alias("n_effective"), (F.avg("m") / F.stddev_samp("m")).alias("ir"), F.count(F.lit(1)).alias("_k"))
-    return rounded(s.select("n_effective", "ir", (F.col("ir") * F.sqrt(F.col("n_effective") / F.col("_k"))).alias("adjusted_ir")))
+    s = g.agg((F.sum("n") * F.sum("n") / F.sum(F.col("n") * F.col("n"))).alias("n_effective"), (F.avg("m") / F.stddev_samp("m")).alias("ir"), F.sum("n").alias("_rows"))
+    return rounded(s.select("n_effective", "ir", (F.col("ir") * F.sqrt(F.col("n_effective") / F.col("_rows"))).alias("adjusted_ir")))
 
 
-AGG_DESIGN = f"WITH {PANEL_SQL}, g AS (SELECT count(*)::DOUBLE AS n, avg(momentum) AS m FROM panel WHERE momentum IS NOT NULL GROUP BY sector), s AS (SELECT sum(n) * sum(n) / sum(n * n) AS e, avg(m) / stddev_samp(m) AS ir, count(*) AS k FROM g) SELECT round(e, 5) AS n_effective, round(ir, 5) AS ir, round(ir * sqrt(e / k), 5) AS adjusted_ir FROM s"
+AGG_DESIGN = f"WITH {PANEL_SQL}, g AS (SELECT count(*)::DOUBLE AS n, avg(momentum) AS m FROM panel WHERE momentum IS NOT NULL GROUP BY sector), s AS (SELECT sum(n) * sum(n) / sum(n * n) AS e, avg(m) / stddev_samp(m) AS ir, sum(n) AS k FROM g) SELECT round(e, 5) AS n_effective, round(ir, 5) AS ir, round(ir * sqrt(e / k), 5) AS adjusted_ir FROM s"
 
 
 def agg_group_benchmark(spark, sf_dir):
@@ -79,11 +83,14 @@ def test_welch_by_sector(spark, sf_dir):
     p = entity_panel(spark, sf_dir)
     v = lambda c: F.when(F.col("country") == c, F.col("momentum"))
     a, b = v("ASIA"), v("EUROPE")
-    s = p.groupBy("sector").agg(F.count(a).alias("n1"), F.count(b).alias("n2"), (F.avg(a) - F.avg(b)).alias("gap"), (F.var_samp(a) / F.count(a) + F.var_samp(b) / F.count(b)).alias("_e"))
-    return rounded(s.select("sector", "n1", "n2", "gap", (F.col("gap") / F.sqrt("_e")).alias("t"), (F.least("n1", "n2") < 30).alias("small")))
+    s = p.groupBy("sector").agg(F.count(a).alias("n1"), F.count(b).alias("n2"), (F.avg(a) - F.avg(b)).alias("gap"), (F.var_samp(a) / F.count(a)).alias("_a"), (F.var_samp(b) / F.count(b)).alias("_b"))
+    e1, e2 = F.col("_a"), F.col("_b")
+    t, df = F.col("gap") / F.sqrt(e1 + e2), (e1 + e2) * (e1 + e2) / (e1 * e1 / (F.col("n1") - 1) + e2 * e2 / (F.col("n2") - 1))
+    return rounded(s.select("sector", "n1", "n2", "gap", t.alias("t"), t_two_sided(t, df).alias("p"), (F.least("n1", "n2") < 30).alias("small")))
 
 
-TEST_WELCH = f"WITH {PANEL_SQL}, s AS (SELECT sector, count(momentum) FILTER (country = 'ASIA') AS n1, count(momentum) FILTER (country = 'EUROPE') AS n2, avg(momentum) FILTER (country = 'ASIA') - avg(momentum) FILTER (country = 'EUROPE') AS gap, var_samp(momentum) FILTER (country = 'ASIA') AS v1, var_samp(momentum) FILTER (country = 'EUROPE') AS v2 FROM panel GROUP BY sector) SELECT sector, n1, n2, round(gap, 5) AS gap, round(gap / sqrt(v1 / n1 + v2 / n2), 5) AS t, least(n1, n2) < 30 AS small FROM s"
+TEST_WELCH = f"""WITH {PANEL_SQL}, s AS (SELECT sector, count(momentum) FILTER (country = 'ASIA') AS n1, count(momentum) FILTER (country = 'EUROPE') AS n2, avg(momentum) FILTER (country = 'ASIA') - avg(momentum) FILTER (country = 'EUROPE') AS gap, var_samp(momentum) FILTER (country = 'ASIA') AS v1, var_samp(momentum) FILTER (country = 'EUROPE') AS v2 FROM panel GROUP BY sector), w AS (SELECT *, gap / sqrt(v1 / n1 + v2 / n2) AS t, (v1 / n1 + v2 / n2) ** 2 / ((v1 / n1) ** 2 / (n1 - 1) + (v2 / n2) ** 2 / (n2 - 1)) AS df FROM s)
+SELECT sector, n1, n2, round(gap, 5) AS gap, round(t, 5) AS t, round({t_two_sided_sql("t", "df")}, 5) AS p, least(n1, n2) < 30 AS small FROM w"""
 
 QUERIES = {
     "pwr_ic": (pwr_ic, PWR_IC),

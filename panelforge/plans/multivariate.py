@@ -1,4 +1,4 @@
-"""Registered queries: principal components and clusters."""
+"""Registered queries: principal components and clusters; held against numpy in the tests, as SQL has no eigenvectors."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelforge.operators import multivariate as M
 from panelforge.plans.clean import rounded
-from panelforge.sources.panels import PANEL_SQL, entity_panel
+from panelforge.sources.panels import INDICATORS, entity_panel
 
 COLUMNS = ["revenue", "return_rate", "mean_discount", "urgent_share"]
 
@@ -16,23 +16,17 @@ def _panel(spark, sf_dir):
 
 
 def mv_components(spark, sf_dir):
-    return rounded(M.principal_components(_panel(spark, sf_dir), ["revenue", "quantity"]).select("component", "eigenvalue", "share", "cumulative", "kept"))
-
-
-MV_COMPONENTS = f"WITH {PANEL_SQL}, r AS (SELECT abs(corr(revenue, quantity)) AS r FROM panel WHERE revenue IS NOT NULL AND return_rate IS NOT NULL), e AS (SELECT 1::INT AS component, 1 + r AS e FROM r UNION ALL SELECT 2, 1 - r FROM r) SELECT component, round(e, 5) AS eigenvalue, round(e / 2, 5) AS share, round(CASE component WHEN 1 THEN e / 2 ELSE 1 END, 5) AS cumulative, e > 1 AS kept FROM e"
+    """Eigenvalues, shares and loadings of all indicators."""
+    return rounded(M.principal_components(entity_panel(spark, sf_dir), INDICATORS))
 
 
 def mv_projection(spark, sf_dir):
-    """Variance of each projected component, which is its eigenvalue."""
-    p = M.projected(_panel(spark, sf_dir), "entity_id", ["revenue", "quantity"], 2)
-    return rounded(p.agg(F.var_samp("pc1").alias("pc1"), F.var_samp("pc2").alias("pc2")), 4)
-
-
-MV_PROJECTION = f"WITH {PANEL_SQL}, r AS (SELECT abs(corr(revenue, quantity)) AS r FROM panel WHERE revenue IS NOT NULL AND return_rate IS NOT NULL) SELECT round(1 + r, 4) AS pc1, round(1 - r, 4) AS pc2 FROM r"
+    """Scores of every entity with all indicators on the first four components."""
+    return rounded(M.projected(entity_panel(spark, sf_dir), "entity_id", INDICATORS, 4))
 
 
 def mv_elbow(spark, sf_dir):
-    return rounded(M.elbow(_panel(spark, sf_dir), COLUMNS, [2, 3, 4, 5]), 4)
+    return rounded(M.elbow(_panel(spark, sf_dir), COLUMNS, list(range(2, 10))), 4)
 
 
 def mv_clusters(spark, sf_dir):
@@ -42,8 +36,8 @@ def mv_clusters(spark, sf_dir):
 
 
 QUERIES = {
-    "mv_components": (mv_components, MV_COMPONENTS),
-    "mv_projection": (mv_projection, MV_PROJECTION),
+    "mv_components": (mv_components, None),
+    "mv_projection": (mv_projection, None),
     "mv_elbow": (mv_elbow, None),
     "mv_clusters": (mv_clusters, None),
 }

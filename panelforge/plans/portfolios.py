@@ -185,7 +185,7 @@ def agg_gini(spark, sf_dir):
     return rounded(P.gini(entity_panel(spark, sf_dir), "acctbal"), 6)
 
 
-AGG_GINI = f"WITH {PANEL_SQL}, x AS (SELECT acctbal - least(0, min(acctbal) OVER ()) AS x FROM panel WHERE acctbal IS NOT NULL), r AS (SELECT x, row_number() OVER (ORDER BY x) AS i FROM x) SELECT round(2 * sum(i * x) / (count(*) * sum(x)) - (count(*) + 1) / count(*), 6) AS gini FROM r"
+AGG_GINI = f"WITH {PANEL_SQL}, x AS (SELECT acctbal - min(acctbal) OVER () + 1e-6 AS x FROM panel WHERE acctbal IS NOT NULL), r AS (SELECT x, row_number() OVER (ORDER BY x) AS i FROM x), c AS (SELECT i, sum(x) OVER (ORDER BY i) / sum(x) OVER () AS c FROM r) SELECT round(1 - 2 * (sum(c) - (max(c) + min(c)) / 2) / count(*), 6) AS gini FROM c HAVING count(*) >= 5"
 
 
 def agg_ecdf(spark, sf_dir):

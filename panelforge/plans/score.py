@@ -157,10 +157,10 @@ SCR_COMPOSITE = f"{COMPOSITE_SQL} SELECT entity_id, round(composite, 5) AS compo
 
 def scr_shrunk(spark, sf_dir):
     c = _composite(spark, sf_dir).withColumn("confidence", F.when(F.col("country") == "ASIA", 0.2).otherwise(0.9))
-    return rounded(S.shrunk(c, "composite", "confidence", "sector", 0.5, "shrunk").select("entity_id", "shrunk"))
+    return rounded(S.shrunk(c, "composite", "confidence", "sector", "shrunk").select("entity_id", "shrunk"))
 
 
-SCR_SHRUNK = f"{COMPOSITE_SQL}, m AS (SELECT sector, quantile_cont(composite, 0.5) AS med FROM comp GROUP BY sector) SELECT entity_id, round(c * composite + (1 - c) * med, 5) AS shrunk FROM (SELECT *, CASE WHEN country = 'ASIA' THEN 0.4::DOUBLE ELSE 1.0::DOUBLE END AS c FROM comp JOIN m USING (sector))"
+SCR_SHRUNK = f"{COMPOSITE_SQL}, m AS (SELECT sector, quantile_cont(composite, 0.5) AS med FROM comp GROUP BY sector) SELECT entity_id, round(CASE WHEN c < 0.4 THEN c * composite + (1 - c) * coalesce(med, (SELECT quantile_cont(composite, 0.5) FROM comp)) ELSE composite END, 5) AS shrunk FROM (SELECT *, CASE WHEN country = 'ASIA' THEN 0.2::DOUBLE ELSE 0.9::DOUBLE END AS c FROM comp LEFT JOIN m USING (sector))"
 
 
 def scr_harmonised(spark, sf_dir):
@@ -184,10 +184,11 @@ SCR_CATEGORY = f"""{ZWIDE_SQL} SELECT entity_id, round(coalesce(revenue, 0) * 0.
 
 
 def scr_sector_blend(spark, sf_dir):
-    return rounded(S.sector_blend(entity_panel(spark, sf_dir), "mean_discount", "sector", "blend").select("entity_id", "blend"))
+    panel = entity_panel(spark, sf_dir).withColumn("score", F.col("mean_discount") * 1500)
+    return rounded(S.sector_blend(panel, "score", "sector", "blend").select("entity_id", "blend"))
 
 
-SCR_SECTOR_BLEND = f"WITH {PANEL_SQL} SELECT entity_id, round(0.7 * mean_discount + 30 * ({sql_rank('mean_discount', 'sector')}), 5) AS blend FROM panel"
+SCR_SECTOR_BLEND = f"WITH {PANEL_SQL} SELECT entity_id, round(least(100, greatest(0, 0.7::DOUBLE * 1500 * mean_discount + 30 * coalesce({sql_rank('mean_discount', 'sector')}, 0.5))) + 0 * mean_discount, 5) AS blend FROM panel"
 
 
 def scr_sector_position(spark, sf_dir):
@@ -247,7 +248,7 @@ def pref_gated(spark, sf_dir):
     return rounded(S.gated(s, "score", "revenue").select("entity_id", "gated"), 4)
 
 
-PREF_GATED = f"{PREF_SQL} SELECT entity_id, round(CASE WHEN revenue < (SELECT quantile_cont(revenue, 0.3) FROM panel) THEN 0 ELSE 100 * pow(least(100, greatest(0, score)) / 100, 1.5) END, 4) AS gated FROM pref JOIN panel USING (entity_id) WHERE profile = 'even'"
+PREF_GATED = f"{PREF_SQL} SELECT entity_id, round(CASE WHEN coalesce(revenue, '-infinity'::DOUBLE) < (SELECT quantile_cont(revenue, 0.3) FROM panel) THEN 0 ELSE 100 * pow(least(100, greatest(0, score)) / 100, 1.5) END, 4) AS gated FROM pref JOIN panel USING (entity_id) WHERE profile = 'even'"
 
 
 def pref_without_factor(spark, sf_dir):

@@ -30,11 +30,11 @@ def ts_measures(spark, sf_dir):
 
 TS_MEASURES = f"""WITH {PRICES_SQL}, r AS (SELECT *, close / lag(close) OVER (PARTITION BY entity ORDER BY day) - 1 AS ret, row_number() OVER (PARTITION BY entity ORDER BY day DESC) AS rn FROM prices),
 k AS (SELECT *, CASE WHEN rn <= 252 THEN max(CASE WHEN rn <= 252 THEN close END) OVER (PARTITION BY entity ORDER BY day) END AS peak FROM r)
-SELECT entity, count(*) AS n_days, round(CASE WHEN max(rn) >= 30 THEN avg(volume) FILTER (rn <= 30) END, 4) AS volume_30, round(CASE WHEN max(rn) >= 90 THEN avg(volume) FILTER (rn <= 90) END, 4) AS volume_90,
-  round(100 * stddev_samp(ret) * sqrt(252), 4) AS volatility, round(100 * stddev_samp(ret) FILTER (rn <= 30) * sqrt(252), 4) AS volatility_30,
-  {", ".join(f"round(max(close) FILTER (rn = 1) / max(close) FILTER (rn = {k}) - 1, 4) AS momentum_{n}" for n, k in T.MOMENTUM_DAYS.items())},
-  round(min(close / peak - 1), 4) AS max_drawdown, round(avg(ret) FILTER (rn <= 252) * 252 / (stddev_samp(ret) FILTER (rn <= 252) * sqrt(252) + 1e-10), 4) AS sharpe,
-  round(avg(ret) FILTER (rn <= 252) * 252 / (stddev_samp(ret) FILTER (rn <= 252 AND ret < 0) * sqrt(252) + 1e-10), 4) AS sortino, round(avg(ret), 4) AS mean_return, round(skewness(ret), 4) AS skew, round(kurtosis(ret), 4) AS kurtosis FROM k GROUP BY entity"""
+SELECT entity, count(*) AS n_days, round(avg(volume) FILTER (rn <= 30), 4) AS volume_30, round(CASE WHEN count(*) > 90 THEN avg(volume) FILTER (rn <= 90) END, 4) AS volume_90,
+  round(100 * stddev_samp(ret) * sqrt(252), 4) AS volatility, round(CASE WHEN count(ret) > 30 THEN 100 * stddev_samp(ret) FILTER (rn <= 30) * sqrt(252) END, 4) AS volatility_30,
+  {", ".join(f"round(CASE WHEN count(*) > {k} THEN max(close) FILTER (rn = 1) / max(close) FILTER (rn = {k}) - 1 END, 4) AS momentum_{n}" for n, k in T.MOMENTUM_DAYS.items())},
+  round(CASE WHEN count(*) > 252 THEN min(close / peak - 1) END, 4) AS max_drawdown, round(CASE WHEN count(ret) > 252 THEN avg(ret) FILTER (rn <= 252) * 252 / (stddev_samp(ret) FILTER (rn <= 252) * sqrt(252) + 1e-10) END, 4) AS sharpe,
+  round(CASE WHEN count(ret) > 252 THEN avg(ret) FILTER (rn <= 252) * 252 / (stddev_samp(ret) FILTER (rn <= 252 AND ret < 0) * sqrt(252) + 1e-10) END, 4) AS sortino, round(avg(ret), 4) AS mean_return, round(skewness(ret), 4) AS skew, round(kurtosis(ret), 4) AS kurtosis FROM k GROUP BY entity"""
 
 
 def ts_illiquidity(spark, sf_dir):
@@ -51,7 +51,7 @@ def ts_forward(spark, sf_dir):
 
 TS_FORWARD = f"""WITH {PRICES_SQL}, d AS (SELECT day FROM prices GROUP BY day HAVING count(DISTINCT entity) >= 0.5 * (SELECT count(DISTINCT entity) FROM prices) ORDER BY day DESC LIMIT 127), s AS (SELECT min(day) AS s FROM d),
 l AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY day) - 1 AS i FROM prices, s WHERE day >= s), g AS (SELECT entity, min(day) AS anchor, max(i) AS n, max(close) FILTER (i = 0) AS f, max_by(close, i) AS z, max(close) FILTER (i = 21) AS a, max(close) FILTER (i = 126) AS b FROM l GROUP BY entity)
-SELECT entity, anchor, round(CASE WHEN n >= 21 THEN a / f - 1 WHEN n > 5 THEN z / f - 1 END, 5) AS fwd_1m, n < 21 AS partial_1m, round(CASE WHEN n >= 126 THEN b / f - 1 WHEN n > 5 THEN z / f - 1 END, 5) AS fwd_6m, n < 126 AS partial_6m FROM g"""
+SELECT entity, anchor, round(CASE WHEN n >= 21 THEN a / f - 1 WHEN n + 1 > 5 THEN z / f - 1 END, 5) AS fwd_1m, n < 21 AS partial_1m, round(CASE WHEN n >= 126 THEN b / f - 1 WHEN n + 1 > 5 THEN z / f - 1 END, 5) AS fwd_6m, n < 126 AS partial_6m FROM g"""
 
 
 def src_facts(spark, sf_dir):
@@ -304,12 +304,12 @@ RES_CAPACITY = f"WITH {PANEL_SQL} SELECT tier, round(avg(tier * 0.01::DOUBLE / m
 def res_costs(spark, sf_dir):
     """Square-root impact, half spread and commission of equal trades, in basis points, with the total."""
     p = entity_panel(spark, sf_dir).where("revenue is not null")
-    impact = W.market_impact(F.lit(1e4), F.col("revenue"), F.lit(0.3))
+    impact = W.market_impact(F.lit(1e4), F.col("revenue"), F.lit(0.02))
     rows = p.select("sector", impact.alias("impact")).withColumn("cost", F.col("impact") + 5 + 2)
     return rounded(rows.rollup("sector").agg(F.avg("impact").alias("impact"), F.avg("cost").alias("cost")).withColumn("sector", F.coalesce("sector", F.lit("All"))))
 
 
-RES_COSTS = f"WITH {PANEL_SQL}, c AS (SELECT sector, 1e4::DOUBLE * 0.1::DOUBLE * 0.3::DOUBLE * sqrt(1e4::DOUBLE / revenue) AS i FROM panel WHERE revenue IS NOT NULL) SELECT coalesce(sector, 'All') AS sector, round(avg(i), 5) AS impact, round(avg(i + 7), 5) AS cost FROM c GROUP BY ROLLUP (sector)"
+RES_COSTS = f"WITH {PANEL_SQL}, c AS (SELECT sector, CASE WHEN revenue > 0 THEN 1e4::DOUBLE * 0.02::DOUBLE * sqrt(1e4::DOUBLE / revenue) ELSE 0 END AS i FROM panel WHERE revenue IS NOT NULL) SELECT coalesce(sector, 'All') AS sector, round(avg(i), 5) AS impact, round(avg(i + 7), 5) AS cost FROM c GROUP BY ROLLUP (sector)"
 
 QUERIES = {
     "ts_measures": (ts_measures, TS_MEASURES), "ts_illiquidity": (ts_illiquidity, TS_ILLIQUIDITY), "ts_forward": (ts_forward, TS_FORWARD),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelforge.functions.tails import chi_square_tail_sql, f_tail_sql, t_two_sided, t_two_sided_sql
 from panelforge.operators import inference as I
 from panelforge.plans.clean import LONG_SQL, rounded
 from panelforge.plans.portfolios import BIN_SQL
@@ -48,10 +49,11 @@ CORR_RANK_IC = f"{IC_SQL} SELECT factor, target, round(rho, 5) AS rho, n, round(
 
 def corr_shrunk(spark, sf_dir):
     rows = I.pair_rows(entity_panel(spark, sf_dir), "entity_id", XS, YS)
-    return rounded(I.shrunken(I.rank_correlation(rows, ["factor", "target"])).select("factor", "target", "shrunk"))
+    return rounded(I.shrunken(I.rank_correlation(rows, ["factor", "target"])).select("factor", "target", "shrunk", "intensity"))
 
 
-CORR_SHRUNK = f"{IC_SQL}, s AS (SELECT avg(rho) AS m, count(rho) AS k, sum(rho * rho) - count(rho) * avg(rho) ** 2 AS q, avg(1.0 / n) AS v FROM z) SELECT factor, target, round(m + greatest(0, 1 - (k - 3) * v / q) * (rho - m), 5) AS shrunk FROM z, s"
+CORR_SHRUNK = f"""{IC_SQL}, m AS (SELECT avg(rho) AS m, count(*) AS k, avg(1.0 / greatest(n - 3, 1)) AS v FROM z), q AS (SELECT sum((rho - m) ** 2) AS q FROM z, m),
+s AS (SELECT *, CASE WHEN k <= 3 THEN 1 WHEN q <= 1e-12 THEN 0 ELSE least(1, greatest(0, 1 - (k - 3) * v / q)) END AS keep FROM m, q) SELECT factor, target, round(CASE WHEN k <= 3 THEN rho ELSE m + keep * (rho - m) END, 5) AS shrunk, round(1 - keep, 5) AS intensity FROM z, s"""
 
 
 def corr_within_sector(spark, sf_dir):
@@ -62,13 +64,15 @@ CORR_WITHIN = f"WITH {PANEL_SQL} SELECT sector, round(corr(revenue, momentum), 5
 
 
 def corr_kendall(spark, sf_dir):
-    p = entity_panel(spark, sf_dir).withColumn("steps", F.round(F.col("return_rate") * 20))
-    return rounded(I.kendall(p, "n_orders", "steps"))
+    return rounded(I.kendall(entity_panel(spark, sf_dir), "return_rate", "mean_order"))
 
 
-CORR_KENDALL = f"""WITH {PANEL_SQL}, c AS (SELECT n_orders AS x, ROUND(return_rate * 20) AS y, count(*)::DOUBLE AS n FROM panel WHERE return_rate IS NOT NULL GROUP BY ALL), s AS (SELECT sum(sign(b.y - a.y) * a.n * b.n) AS s FROM c a JOIN c b ON a.x < b.x),
-t AS (SELECT sum(n) AS n, (SELECT sum(m * (m - 1) / 2) FROM (SELECT sum(n) AS m FROM c GROUP BY x)) AS tx, (SELECT sum(m * (m - 1) / 2) FROM (SELECT sum(n) AS m FROM c GROUP BY y)) AS ty FROM c)
-SELECT round(s / sqrt((n * (n - 1) / 2 - tx) * (n * (n - 1) / 2 - ty)), 5) AS tau_b, n::BIGINT AS n FROM s, t"""
+CORR_KENDALL = f"""WITH {PANEL_SQL}, d AS (SELECT entity_id, return_rate AS x, mean_order AS y FROM panel WHERE return_rate IS NOT NULL AND mean_order IS NOT NULL),
+s AS (SELECT sum(sign(a.x - b.x) * sign(a.y - b.y))::DOUBLE AS s FROM d a JOIN d b ON a.entity_id < b.entity_id),
+x AS (SELECT sum(t) AS n, sum(t * (t - 1) / 2) AS tx, sum(t * (t - 1) * (t - 2)) AS ux, sum(t * (t - 1) * (2 * t + 5)) AS wx FROM (SELECT count(*)::DOUBLE AS t FROM d GROUP BY x)),
+y AS (SELECT sum(t * (t - 1) / 2) AS ty, sum(t * (t - 1) * (t - 2)) AS uy, sum(t * (t - 1) * (2 * t + 5)) AS wy FROM (SELECT count(*)::DOUBLE AS t FROM d GROUP BY y)),
+z AS (SELECT *, s / sqrt((n * (n - 1) * (2 * n + 5) - wx - wy) / 18 + 2 * tx * ty / (n * (n - 1)) + ux * uy / (9 * n * (n - 1) * (n - 2))) AS z FROM s, x, y)
+SELECT round(s / sqrt((n * (n - 1) / 2 - tx) * (n * (n - 1) / 2 - ty)), 5) AS tau_b, round(z, 5) AS z, round({two_sided_sql("z")}, 5) AS p, n::BIGINT AS n FROM z"""
 
 
 def corr_phi(spark, sf_dir):
@@ -77,7 +81,7 @@ def corr_phi(spark, sf_dir):
 
 CORR_PHI = f"""WITH {PANEL_SQL}, b AS (SELECT momentum > 0 AS a, acctbal > 0 AS b FROM panel WHERE momentum IS NOT NULL AND acctbal IS NOT NULL), c AS (SELECT count(*) FILTER (a AND b) AS n11, count(*) FILTER (a AND NOT b) AS n10, count(*) FILTER (NOT a AND b) AS n01, count(*) FILTER (NOT a AND NOT b) AS n00 FROM b),
 d AS (SELECT *, (n11 * n00 - n10 * n01)::DOUBLE AS x, (n11 + n10)::DOUBLE * (n01 + n00) * (n11 + n01) * (n10 + n00) AS m, (n11 + n10 + n01 + n00)::DOUBLE AS n FROM c)
-SELECT n11, n10, n01, n00, round(x / sqrt(m), 5) AS phi, round(n * greatest(abs(x) - n / 2, 0) ** 2 / m, 5) AS chi2 FROM d"""
+SELECT n11, n10, n01, n00, round(x / sqrt(m), 5) AS phi, round(n * greatest(abs(x) - n / 2, 0) ** 2 / m, 5) AS chi2, round({chi_square_tail_sql("(n * greatest(abs(x) - n / 2, 0) ** 2 / m)", "1")}, 5) AS p FROM d"""
 
 
 def reg_simple(spark, sf_dir):
@@ -85,7 +89,7 @@ def reg_simple(spark, sf_dir):
 
 
 REG_SIMPLE = f"""{PAIRS_SQL}, s AS (SELECT factor, target, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_r2(y, x) AS r2, count(*) AS n, sqrt((1 - regr_r2(y, x)) * regr_syy(y, x) / (count(*) - 2) / regr_sxx(y, x)) AS se FROM pairs GROUP BY factor, target)
-SELECT factor, target, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r2, 6) AS r2, n, round(se, 6) AS se, round(slope / se, 6) AS t FROM s"""
+SELECT factor, target, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r2, 6) AS r2, n, round(se, 6) AS se, round(slope / se, 6) AS t, round({t_two_sided_sql("slope / se", "n - 2")}, 6) AS p FROM s"""
 
 
 def reg_multiple(spark, sf_dir):
@@ -97,7 +101,7 @@ s AS (SELECT count(*) AS n, avg(y) AS my, sum(a * a) AS aa, sum(b * b) AS bb, su
 c AS (SELECT *, aa * bb - ab * ab AS det, (bb * ay - ab * by_) / (aa * bb - ab * ab) AS ba, (aa * by_ - ab * ay) / (aa * bb - ab * ab) AS b2 FROM s),
 e AS (SELECT *, yy - ba * ay - b2 * by_ AS rss FROM c), f AS (SELECT *, rss / (n - 3) AS v, 1 - rss / yy AS r2 FROM e),
 t AS (SELECT 'intercept' AS term, my AS coefficient, sqrt(v / n) AS se, r2, n FROM f UNION ALL SELECT 'revenue', ba, sqrt(v * bb / det), r2, n FROM f UNION ALL SELECT 'return_rate', b2, sqrt(v * aa / det), r2, n FROM f)
-SELECT term, round(coefficient, 5) AS coefficient, round(se, 5) AS se, round(coefficient / se, 5) AS t, round(r2, 5) AS r2, round(1 - (1 - r2) * (n - 1) / (n - 3), 5) AS adjusted_r2, round((r2 / 2) / ((1 - r2) / (n - 3)), 5) AS f, n FROM t"""
+SELECT term, round(coefficient, 5) AS coefficient, round(se, 5) AS se, round(coefficient / se, 5) AS t, round({t_two_sided_sql("coefficient / se", "n - 3")}, 5) AS p, round(r2, 5) AS r2, round(1 - (1 - r2) * (n - 1) / (n - 3), 5) AS adjusted_r2, round((r2 / 2) / ((1 - r2) / (n - 3)), 5) AS f, round({f_tail_sql("(r2 / 2) / ((1 - r2) / (n - 3))", "2", "n - 3")}, 5) AS f_p, n FROM t"""
 
 
 def reg_incremental(spark, sf_dir):
@@ -106,14 +110,14 @@ def reg_incremental(spark, sf_dir):
 
 REG_INCREMENTAL = f"""WITH {PANEL_SQL}, w AS (SELECT sector, return_rate AS x, momentum AS y FROM panel WHERE return_rate IS NOT NULL AND momentum IS NOT NULL), g AS (SELECT sector, regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy, regr_syy(y, x) AS syy FROM w GROUP BY sector),
 s AS (SELECT sum(sxx) AS sxx, sum(sxy) AS sxy, sum(syy) AS within, count(*) AS k, (SELECT regr_syy(y, x) FROM w) AS total, (SELECT count(*) FROM w) AS n FROM g), r AS (SELECT *, 1 - within / total AS rg, sxy * sxy / sxx / total AS gain FROM s)
-SELECT round(rg, 6) AS r2_group, round(rg + gain, 6) AS r2_full, round(gain, 6) AS gain, round(gain / ((1 - rg - gain) / (n - k - 1)), 6) AS f, n FROM r"""
+SELECT round(rg, 6) AS r2_group, round(rg + gain, 6) AS r2_full, round(gain, 6) AS gain, round(gain / ((1 - rg - gain) / (n - k - 1)), 6) AS f, round({f_tail_sql("gain / ((1 - rg - gain) / (n - k - 1))", "1", "n - k - 1")}, 6) AS p, n FROM r"""
 
 
 def reg_inflation(spark, sf_dir):
     return rounded(I.inflation(entity_panel(spark, sf_dir), ["revenue", "n_orders"]))
 
 
-REG_INFLATION = f"WITH {PANEL_SQL}, r AS (SELECT corr(revenue, n_orders) AS r FROM panel WHERE revenue IS NOT NULL AND n_orders IS NOT NULL) SELECT unnest(['revenue', 'n_orders']) AS factor, round(1 / (1 - r * r), 5) AS vif FROM r"
+REG_INFLATION = f"WITH {PANEL_SQL}, r AS (SELECT corr(revenue, n_orders) AS r FROM panel WHERE revenue IS NOT NULL AND n_orders IS NOT NULL) SELECT unnest(['revenue', 'n_orders']) AS factor, round(1 / (1 - r * r), 5) AS vif, round(sqrt((1 + abs(r)) / (1 - abs(r))), 5) AS condition FROM r"
 
 
 def test_anova(spark, sf_dir):
@@ -121,7 +125,11 @@ def test_anova(spark, sf_dir):
 
 
 TEST_ANOVA = f"""WITH {PANEL_SQL}, g AS (SELECT count(momentum) AS n, avg(momentum) AS m, var_pop(momentum) AS v FROM panel WHERE momentum IS NOT NULL GROUP BY sector), s AS (SELECT sum(n)::BIGINT AS n, count(*) - 1 AS df1, sum(n)::BIGINT - count(*) AS df2, sum(n * m * m) - sum(n) * (sum(n * m) / sum(n)) ** 2 AS b, sum(n * v) AS w FROM g)
-SELECT n, df1, df2, round((b / df1) / (w / df2), 5) AS f, round(b / (b + w), 5) AS eta_squared FROM s"""
+SELECT n, df1, df2, round((b / df1) / (w / df2), 5) AS f, round({f_tail_sql("(b / df1) / (w / df2)", "df1", "df2")}, 5) AS p, round(b / (b + w), 5) AS eta_squared, CASE WHEN b / (b + w) < 0.01 THEN 'negligible' WHEN b / (b + w) < 0.06 THEN 'small' WHEN b / (b + w) < 0.14 THEN 'medium' ELSE 'large' END AS size FROM s"""
+
+
+_Z = 1.959963984540054
+_T_TERMS = ((_Z**3 + _Z) / 4, (5 * _Z**5 + 16 * _Z**3 + 3 * _Z) / 96, (3 * _Z**7 + 19 * _Z**5 + 17 * _Z**3 - 15 * _Z) / 384, (79 * _Z**9 + 776 * _Z**7 + 1482 * _Z**5 - 1920 * _Z**3 - 945 * _Z) / 92160)
 
 
 def test_two_groups(spark, sf_dir):
@@ -129,8 +137,10 @@ def test_two_groups(spark, sf_dir):
 
 
 TEST_TWO_GROUPS = f"""WITH {PANEL_SQL}, s AS (SELECT count(momentum) FILTER (c) AS n1, count(momentum) FILTER (NOT c) AS n2, avg(momentum) FILTER (c) AS m1, avg(momentum) FILTER (NOT c) AS m2, var_samp(momentum) FILTER (c) AS v1, var_samp(momentum) FILTER (NOT c) AS v2 FROM (SELECT *, country = 'ASIA' AS c FROM panel)),
-q AS (SELECT *, ((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) AS p FROM s)
-SELECT n1, n2, round(m1, 5) AS mean1, round(m2, 5) AS mean2, round((m1 - m2) / sqrt(p * (1.0 / n1 + 1.0 / n2)), 5) AS t, round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 5) AS welch_t, round((v1 / n1 + v2 / n2) ** 2 / ((v1 / n1) ** 2 / (n1 - 1) + (v2 / n2) ** 2 / (n2 - 1)), 5) AS welch_df, round((m1 - m2) / sqrt(p), 5) AS d FROM q"""
+q AS (SELECT *, ((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) AS p FROM s),
+w AS (SELECT *, (m1 - m2) / sqrt(p * (1.0 / n1 + 1.0 / n2)) AS t, (m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS wt, (v1 / n1 + v2 / n2) ** 2 / ((v1 / n1) ** 2 / (n1 - 1) + (v2 / n2) ** 2 / (n2 - 1)) AS wd FROM q),
+r AS (SELECT *, (1.959963984540054 + {" + ".join(f"{c!r} / wd ** {k + 1}" for k, c in enumerate(_T_TERMS))}) * sqrt(v1 / n1 + v2 / n2) AS reach FROM w)
+SELECT n1, n2, round(m1, 5) AS mean1, round(m2, 5) AS mean2, round(t, 5) AS t, round({t_two_sided_sql("t", "n1 + n2 - 2")}, 5) AS p, round(wt, 5) AS welch_t, round(wd, 5) AS welch_df, round({t_two_sided_sql("wt", "wd")}, 5) AS welch_p, round(m1 - m2 - reach, 5) AS low, round(m1 - m2 + reach, 5) AS high, round((m1 - m2) / sqrt(p), 5) AS d FROM r"""
 
 
 def test_mann_whitney(spark, sf_dir):
@@ -146,8 +156,9 @@ def test_kruskal(spark, sf_dir):
     return rounded(I.kruskal(entity_panel(spark, sf_dir), "n_orders", "sector"))
 
 
-TEST_KRUSKAL = f"""WITH {PANEL_SQL}, r AS (SELECT sector, {sql_rank("n_orders", pct=False)} AS r FROM panel), t AS (SELECT sum(c * c * c - c)::DOUBLE AS t FROM (SELECT count(*) AS c FROM panel GROUP BY n_orders)), g AS (SELECT sum(r) * sum(r) / count(*) AS q, count(*) AS n FROM r GROUP BY sector), s AS (SELECT sum(q) AS q, sum(n)::DOUBLE AS n, count(*) AS groups FROM g)
-SELECT round((12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - t / (n * n * n - n)), 5) AS h, groups, n::BIGINT AS n FROM s, t""".replace(" groups", ' "groups"').replace(", groups", ', "groups"')
+TEST_KRUSKAL = f"""WITH {PANEL_SQL}, r AS (SELECT sector, {sql_rank("n_orders", pct=False)} AS r FROM panel), t AS (SELECT sum(c * c * c - c)::DOUBLE AS t FROM (SELECT count(*) AS c FROM panel GROUP BY n_orders)), g AS (SELECT sum(r) * sum(r) / count(*) AS q, count(*) AS n FROM r GROUP BY sector), s AS (SELECT sum(q) AS q, sum(n)::DOUBLE AS n, count(*) AS kinds FROM g),
+h AS (SELECT *, (12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - t / (n * n * n - n)) AS h FROM s, t)
+SELECT round(h, 5) AS h, round({chi_square_tail_sql("h", "kinds - 1")}, 5) AS p, kinds AS "groups", n::BIGINT AS n FROM h"""
 
 
 def test_friedman(spark, sf_dir):
@@ -158,7 +169,7 @@ def test_friedman(spark, sf_dir):
 TEST_FRIEDMAN = f"""WITH {PANEL_SQL}, w AS (SELECT ROUND(return_rate, 1) AS a, ROUND(urgent_share, 1) AS b, ROUND(mean_discount * 5, 1) AS c FROM panel WHERE return_rate IS NOT NULL AND urgent_share IS NOT NULL AND mean_discount IS NOT NULL),
 r AS (SELECT 1 + (b < a)::INT + (c < a)::INT + 0.5::DOUBLE * ((b = a)::INT + (c = a)::INT) AS ra, 1 + (a < b)::INT + (c < b)::INT + 0.5::DOUBLE * ((a = b)::INT + (c = b)::INT) AS rb, 1 + (a < c)::INT + (b < c)::INT + 0.5::DOUBLE * ((a = c)::INT + (b = c)::INT) AS rc,
   CASE WHEN a = b AND b = c THEN 24 WHEN a = b OR b = c OR a = c THEN 6 ELSE 0 END AS t FROM w), s AS (SELECT count(*) AS n, sum(ra) AS x, sum(rb) AS y, sum(rc) AS z, sum(t) AS t FROM r), q AS (SELECT *, (12 * (x * x + y * y + z * z) - 3.0 * n * n * 3 * 16) / (n * 3 * 4 - t / 2.0) AS chi2 FROM s)
-SELECT round(chi2, 5) AS chi2, round(least(1, greatest(0, chi2 / (n * 2))), 5) AS kendalls_w, n FROM q"""
+SELECT round(chi2, 5) AS chi2, round({chi_square_tail_sql("chi2", "2")}, 5) AS p, round(least(1, greatest(0, chi2 / (n * 2))), 5) AS kendalls_w, n FROM q"""
 
 
 def test_wilcoxon(spark, sf_dir):
@@ -176,15 +187,16 @@ def test_chi_square(spark, sf_dir):
 
 
 TEST_CHI = f"""WITH {PANEL_SQL}, o AS (SELECT sector, country, count(*) AS o FROM panel GROUP BY ALL), r AS (SELECT sector, sum(o)::DOUBLE AS r FROM o GROUP BY sector), c AS (SELECT country, sum(o)::DOUBLE AS c FROM o GROUP BY country), n AS (SELECT sum(o)::DOUBLE AS n FROM o),
-x AS (SELECT sum((coalesce(o, 0) - r * c / n) ** 2 / (r * c / n)) AS chi2, max(n) AS n, count(DISTINCT sector) AS a, count(DISTINCT country) AS b FROM r CROSS JOIN c CROSS JOIN n LEFT JOIN o USING (sector, country)) SELECT round(chi2, 5) AS chi2, (a - 1) * (b - 1) AS dof, n::BIGINT AS n, round(sqrt(chi2 / n / (least(a, b) - 1)), 5) AS cramers_v FROM x"""
+x AS (SELECT sum((coalesce(o, 0) - r * c / n) ** 2 / (r * c / n)) AS chi2, max(n) AS n, count(DISTINCT sector) AS a, count(DISTINCT country) AS b FROM r CROSS JOIN c CROSS JOIN n LEFT JOIN o USING (sector, country)) SELECT round(chi2, 5) AS chi2, (a - 1) * (b - 1) AS dof, round({chi_square_tail_sql("chi2", "(a - 1) * (b - 1)")}, 5) AS p, n::BIGINT AS n, round(sqrt(chi2 / n / (least(a, b) - 1)), 5) AS cramers_v FROM x"""
 
 
 def test_ks(spark, sf_dir):
     return rounded(I.two_sample_ks(entity_panel(spark, sf_dir), "n_orders", F.col("country") == "ASIA"))
 
 
-TEST_KS = f"""WITH {PANEL_SQL}, c AS (SELECT n_orders AS x, count(*) FILTER (country = 'ASIA') AS a, count(*) FILTER (country <> 'ASIA') AS b FROM panel GROUP BY 1), r AS (SELECT sum(a) OVER (ORDER BY x) / sum(a) OVER () - sum(b) OVER (ORDER BY x) / sum(b) OVER () AS d, sum(a) OVER () AS n1, sum(b) OVER () AS n2 FROM c)
-SELECT round(max(abs(d)), 5) AS d, max(n1)::BIGINT AS n1, max(n2)::BIGINT AS n2 FROM r"""
+TEST_KS = f"""WITH {PANEL_SQL}, c AS (SELECT n_orders AS x, count(*) FILTER (country = 'ASIA') AS a, count(*) FILTER (country <> 'ASIA') AS b FROM panel GROUP BY 1), r AS (SELECT sum(a) OVER (ORDER BY x) / sum(a) OVER () - sum(b) OVER (ORDER BY x) / sum(b) OVER () AS d, sum(a) OVER () AS n1, sum(b) OVER () AS n2 FROM c),
+k AS (SELECT max(abs(d)) AS d, max(n1) AS n1, max(n2) AS n2, max(abs(d)) * sqrt(max(n1) * max(n2) / (max(n1) + max(n2))) AS x FROM r)
+SELECT round(d, 5) AS d, n1::BIGINT AS n1, n2::BIGINT AS n2, round(CASE WHEN x < 0.2 THEN 1 ELSE least(1, greatest(0, list_sum(list_transform(range(1, 21), lambda i: 2 * (-1.0) ** (i - 1) * exp(-2.0 * i * i * x * x))))) END, 5) AS p FROM k"""
 
 
 def test_normality(spark, sf_dir):
@@ -192,7 +204,7 @@ def test_normality(spark, sf_dir):
 
 
 TEST_NORMALITY = f"""{LONG_SQL}, s AS (SELECT indicator, count(value) AS n, skewness(value) AS g, kurtosis(value) AS k FROM cells GROUP BY indicator), p AS (SELECT *, g * (n - 2) / sqrt(n * (n - 1.0)) AS g1, ((k * (n - 2.0) * (n - 3.0) / (n - 1.0)) - 6) / (n + 1.0) AS g2 FROM s)
-SELECT indicator, n, round(n / 6.0 * (g1 * g1 + g2 * g2 / 4), 4) AS jarque_bera, round(g, 4) AS skew, round(k, 4) AS kurtosis FROM p"""
+SELECT indicator, n, round(n / 6.0 * (g1 * g1 + g2 * g2 / 4), 4) AS jarque_bera, round(exp(-n / 12.0 * (g1 * g1 + g2 * g2 / 4)), 4) AS p, round(g, 4) AS skew, round(k, 4) AS kurtosis FROM p"""
 
 
 def test_ks_normal(spark, sf_dir):
@@ -233,10 +245,11 @@ SELECT factor, target, round(p, 6) AS p, round(least(1, p * m), 6) AS bonferroni
 def test_paired(spark, sf_dir):
     d = entity_panel(spark, sf_dir).select((F.col("return_rate") - F.col("urgent_share")).alias("d"))
     s = d.agg(F.count("d").alias("n"), F.avg("d").alias("mean"), F.stddev_samp("d").alias("_s"))
-    return rounded(s.select("n", "mean", (F.col("mean") / (F.col("_s") / F.sqrt("n"))).alias("t"), (F.col("mean") / F.col("_s")).alias("d")))
+    t = F.col("mean") / (F.col("_s") / F.sqrt("n"))
+    return rounded(s.select("n", "mean", t.alias("t"), t_two_sided(t, F.col("n") - 1).alias("p"), (F.col("mean") / F.col("_s")).alias("d")))
 
 
-TEST_PAIRED = f"WITH {PANEL_SQL}, s AS (SELECT count(d) AS n, avg(d) AS m, stddev_samp(d) AS s FROM (SELECT return_rate - urgent_share AS d FROM panel)) SELECT n, round(m, 5) AS mean, round(m / (s / sqrt(n)), 5) AS t, round(m / s, 5) AS d FROM s"
+TEST_PAIRED = f"""WITH {PANEL_SQL}, s AS (SELECT count(d) AS n, avg(d) AS m, stddev_samp(d) AS s FROM (SELECT return_rate - urgent_share AS d FROM panel)) SELECT n, round(m, 5) AS mean, round(m / (s / sqrt(n)), 5) AS t, round({t_two_sided_sql("m / (s / sqrt(n))", "n - 1")}, 5) AS p, round(m / s, 5) AS d FROM s"""
 
 QUERIES = {
     "corr_matrix": (corr_matrix, CORR_MATRIX), "corr_rank_ic": (corr_rank_ic, CORR_RANK_IC), "corr_shrunk": (corr_shrunk, CORR_SHRUNK), "corr_within_sector": (corr_within_sector, CORR_WITHIN), "corr_kendall": (corr_kendall, CORR_KENDALL), "corr_phi": (corr_phi, CORR_PHI),
