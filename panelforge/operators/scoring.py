@@ -175,3 +175,136 @@ def without_factor(weights: dict[str, float], factor: str) -> dict[str, float]:
     """A profile without one factor, its weight dealt to the others in proportion."""
     left = {f: w for f, w in weights.items() if f != factor}
     return {f: w / sum(left.values()) for f, w in left.items()}
+
+
+def config_score(z: DataFrame, section: dict[str, tuple[float, dict[str, float]]], fallbacks: dict[str, str] | None = None, restandardise: bool = False, out: str = "score") -> DataFrame:
+    """z (columns of z values, inverse ones flipped) with a two-level score: section maps a category to (weight, indicator -> weight).
+
+    An absent indicator is replaced by its fallback or left out, a category without any by the others; null z values count as 0. With ``restandardise``
+    category values are standardised before they are weighted. 50 + 20 times the weighted value, kept in 0..100; 50 without any category."""
+    resolved = lambda c: c if c in z.columns else (fallbacks or {}).get(c, c)
+    values, weights = {}, {}
+    for category, (weight, indicators) in section.items():
+        used = {resolved(c): w for c, w in indicators.items() if resolved(c) in z.columns and w > 0}
+        if weight > 0 and used:
+            values[f"_{category}"] = sum((F.coalesce(F.col(c), F.lit(0.0)) * (w / sum(used.values())) for c, w in used.items()), F.lit(0.0))
+            weights[f"_{category}"] = weight
+    if not values:
+        return z.withColumn(out, F.lit(50.0))
+    made = z.withColumns(values)
+    if restandardise:
+        s = made.agg(*[f(c).alias(f"{c}{k}") for c in values for k, f in (("_m", F.avg), ("_s", F.stddev_samp))])
+        made = made.crossJoin(F.broadcast(s)).withColumns({c: F.when(F.col(f"{c}_s") > 1e-10, (F.col(c) - F.col(f"{c}_m")) / F.col(f"{c}_s")).otherwise(F.col(c)) for c in values})
+        made = made.drop(*[f"{c}{k}" for c in values for k in ("_m", "_s")])
+    total = sum((F.col(c) * (w / sum(weights.values())) for c, w in weights.items()), F.lit(0.0))
+    return made.withColumn(out, F.coalesce(clip(50 + 20 * total, 0.0, 100.0), F.lit(50.0))).drop(*values)
+
+
+def market_score(norms: DataFrame, categories: dict[str, tuple[float, dict[str, float]]]) -> DataFrame:
+    """norms (columns of z values, inverse ones negated before) with ``market_<category>_score``, weighted sums over the category's whole weight,
+    and ``market_score``, 50 + 20 times their weighted mean, kept in 0..100; null values count as 0, an absent category as 0."""
+    per = {}
+    for name, (_, indicators) in categories.items():
+        used = {c: w for c, w in indicators.items() if c in norms.columns}
+        per[f"market_{name}_score"] = sum((F.coalesce(F.col(c), F.lit(0.0)) * (w / sum(used.values())) for c, w in used.items()), F.lit(0.0))
+    weight = sum(w for w, _ in categories.values())
+    out = norms.withColumns(per)
+    total = sum((F.col(f"market_{name}_score") * (w / weight) for name, (w, _) in categories.items()), F.lit(0.0)) if weight else F.lit(0.0)
+    return out.withColumn("market_score", clip(50 + 20 * total, 0.0, 100.0))
+
+
+#: Weights of the market score's categories without momentum.
+EX_MOMENTUM = {"market_liquidity_score": 0.40 / 0.70, "market_volatility_score": 0.30 / 0.70}
+
+
+def market_ex_momentum(df: DataFrame, weights: dict[str, float] = EX_MOMENTUM, out: str = "market_score_ex_momentum") -> DataFrame:
+    """df with the market score of the categories without momentum; null category values count as 0."""
+    total = sum((F.coalesce(F.col(c), F.lit(0.0)) * w for c, w in weights.items()), F.lit(0.0))
+    return df.withColumn(out, clip(50 + 20 * total, 0.0, 100.0))
+
+
+#: Provenance weights by what a source's name contains; the last that fits wins.
+PROVENANCE = (("proxy|calibrated", 0.5), ("imput", 0.4), ("epa|sec|real|yahoo|sbti|cdp|ungc", 1.0))
+
+
+def provenance_weight(source: Column) -> Column:
+    out = F.lit(1.0)
+    for pattern, weight in PROVENANCE:
+        out = F.when(F.lower(source).rlike(pattern), F.lit(weight)).otherwise(out)
+    return out
+
+
+def pillar_table(wide: DataFrame, pillars: dict[str, dict[str, tuple[float, list[str]]]], uncalibrated: set[str] | None = None) -> DataFrame:
+    """wide (columns of z values) with ``<pillar>_score``, ``_coverage`` and ``_confidence``: category means of columns that are not constant, each
+    category's weight cut by 0.7 times its share of ``uncalibrated`` columns, renormalised over the categories that a row has; scores stay on the z scale."""
+    columns = sorted({c for categories in pillars.values() for _, cols in categories.values() for c in cols})
+    row = wide.agg(*[F.count_distinct(c).alias(c) for c in columns]).head()
+    varied = {c for c in columns if row[c] > 1}
+    out = wide
+    for pillar, categories in pillars.items():
+        names, weights = {}, {}
+        for category, (weight, cols) in categories.items():
+            used = [c for c in cols if c in varied]
+            if used:
+                names[f"_{pillar}_{category}"] = row_mean(used)
+                weights[f"_{pillar}_{category}"] = weight * (1 - 0.7 * len(set(used) & (uncalibrated or set())) / len(used))
+        total = sum(w for w, _ in categories.values())
+        there = lambda c, w: F.when(F.col(c).isNotNull(), F.lit(w)).otherwise(0.0)
+        out = out.withColumns(names)
+        got = sum((there(c, w) for c, w in weights.items()), F.lit(0.0))
+        coverage = got / total
+        summed = sum((F.coalesce(F.col(c), F.lit(0.0)) * w for c, w in weights.items()), F.lit(0.0))
+        out = out.withColumns({f"{pillar}_score": F.when(got > 0, summed / got), f"{pillar}_coverage": coverage, f"{pillar}_confidence": clip(coverage, 0.0, 1.0)}).drop(*names)
+    return out
+
+
+def decoupled(df: DataFrame, score: str, against: str, group: str) -> DataFrame:
+    """df with ``score`` less what ``against`` explains of it, then as percentile rank in its group, then standardised; 0 where ranks don't vary."""
+    both = F.col(score).isNotNull() & F.col(against).isNotNull()
+    beta = df.where(both).agg(F.when(F.var_samp(against) > 1e-12, F.covar_samp(score, against) / F.var_samp(against)).alias("_beta"))
+    rest = F.when(both, F.col(score) - F.coalesce("_beta", F.lit(0.0)) * F.col(against)).otherwise(F.col(score))
+    ranked = with_rank(df.crossJoin(F.broadcast(beta)).withColumn(score, rest).drop("_beta"), score, [group], "_p", pct=True)
+    s = ranked.agg(F.avg("_p").alias("_m"), F.stddev_samp("_p").alias("_s"))
+    z = F.when(F.coalesce(F.col("_s"), F.lit(0.0)) <= 1e-12, 0.0).otherwise((F.col("_p") - F.col("_m")) / (F.col("_s") + 1e-10))
+    return ranked.crossJoin(F.broadcast(s)).withColumn(score, z).drop("_p", "_m", "_s")
+
+
+def empirical_weights(df: DataFrame, columns: list[str], against: str) -> DataFrame:
+    """One row of weights for columns: the inverse of their absolute correlation with ``against``, scaled to add up to 1."""
+    inverse = {c: 1 / (F.abs(F.corr(c, against)) + 1e-6) for c in columns}
+    one = df.agg(*[F.coalesce(v, F.lit(0.0)).alias(c) for c, v in inverse.items()])
+    total = sum((F.col(c) for c in columns), F.lit(0.0))
+    return one.select(*[(F.col(c) / total).alias(c) for c in columns])
+
+
+def quality_proxy(df: DataFrame, key: str, metrics: list[str], fallback: list[str], least: int = 20) -> DataFrame:
+    """(key, proxy): mean percentile rank (0..100) of the metrics with more than ``least`` values; the first fallback column with a value if fewer than two have."""
+    row = df.agg(*[F.count(c).alias(c) for c in [*metrics, *fallback]]).head()
+    used = [c for c in metrics if row[c] > least]
+    if len(used) >= 2:
+        ranks = rank_columns(df, key, used, pct=True, suffix="")
+        mean = row_mean([f"_{c}" for c in used])
+        return df.select(key).join(ranks.select(key, *[(100 * F.col(c)).alias(f"_{c}") for c in used]), key, "left").select(key, mean.alias("proxy"))
+    there = next((c for c in fallback if row[c] > 0), None)
+    return df.select(key, (F.col(there) if there else F.lit(None).cast("double")).alias("proxy"))
+
+
+def momentum_percentile(df: DataFrame, momenta: list[str], out: str = "momentum_percentile") -> DataFrame:
+    """df with the percentile rank (0..100) of the mean of the momentum columns, the median standing in for a row without any."""
+    mean = df.withColumn("_mean", row_mean(momenta))
+    middle = quantiles(mean, [], "_mean", {"_med": 0.5})
+    full = mean.join(F.broadcast(middle), how="left").withColumn("_mean", F.coalesce("_mean", "_med", F.lit(0.0)))  # one row
+    return with_rank(full, "_mean", out="_p", pct=True).withColumn(out, 100 * F.col("_p")).drop("_mean", "_med", "_p")
+
+
+def tilted(score: Column, percentile: Column, share: float = 0.15) -> Column:
+    """A preference score drawn to the momentum percentile, kept in 0..100."""
+    return clip((1 - share) * score + share * percentile, 0.0, 100.0)
+
+
+def reranked(norms: DataFrame, key: str, base: dict[str, float], own: dict[str, float]) -> DataFrame:
+    """(key, score, rank, change): ranks by a user's weights, scaled to 1, and how many places up from those of the base weights."""
+    scores = preference(norms, key, {"base": base, "own": own}).withColumn("score", F.round("score", 8))
+    ranked = with_rank(scores, "score", ["profile"], "rank", descending=True)
+    of = lambda profile, c: F.max(F.when(F.col("profile") == profile, F.col(c)))
+    return ranked.groupBy(key).agg(of("own", "score").alias("score"), of("own", "rank").alias("rank"), (of("base", "rank") - of("own", "rank")).alias("change"))

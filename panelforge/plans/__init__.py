@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("clean", "score", "portfolios", "tests_and_fits", "series_and_weights", "multivariate", "more_tests")
+MODULES = ("clean", "score", "wider_scores", "portfolios", "tests_and_fits", "series_and_weights", "multivariate", "more_tests")
 
 
 def registered() -> dict:
