@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from panelforge.functions.tables import settled
 
 
-def cumulative(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """(by, value, n, below, total): the rows of each distinct non-null value, those with smaller values, and all rows of its group."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+def cumulative(df: DataFrame, by: list[str], value: str, weight: str | None = None) -> DataFrame:
+    """(by, value, n, below, total): the rows of each distinct non-null value, those with smaller values, and all rows of its group; with ``weight``, rows count as often as it says."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # The ranges are settled, as sampling could draw them otherwise when the plan runs again.
     ranged = settled(counts.repartitionByRange(parts, *by, value).withColumn("_range", F.spark_partition_id()), "ranges")

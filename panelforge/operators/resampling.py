@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.expressions import uniform
+from panelforge.functions.tables import settled
+from panelforge.operators.ranking import cumulative, with_bin, with_rank
 
 #: Rows (replicates x entities) that one batch of replicates makes at most.
 BATCH_ROWS = 200_000_000
@@ -40,9 +43,9 @@ def ablations(base: dict[str, float]) -> dict[str, dict[str, float]]:
     return {f"without_{f}": {g: w for g, w in base.items() if g != f} for f in base}
 
 
-def perturbed(weights: DataFrame, replicates: int, share: float, seed: int) -> DataFrame:
-    """(candidate, replicate, factor, w): weights changed by a uniform share of up to +-share and scaled to 1 again."""
-    r = weights.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+def perturbed(weights: DataFrame, replicates: tuple[int, int], share: float, seed: int) -> DataFrame:
+    """(candidate, replicate, factor, w) of replicates first to last: weights changed by a uniform share of up to +-share and scaled to 1 again."""
+    r = _repeated(weights, *replicates)
     moved = r.withColumn("w", F.col("w") * (1 + share * (2 * uniform(F.lit(seed), F.col("replicate"), F.col("candidate"), F.col("factor")) - 1)))
     return moved.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("candidate", "replicate")))
 
@@ -78,6 +81,16 @@ def batches(rows: int, replicates: int) -> list[tuple[int, int]]:
     return [(a, min(a + size, replicates) - 1) for a in range(0, replicates, size)]
 
 
+def in_batches(rows: DataFrame, replicates: int, of) -> DataFrame:
+    """``of(first, last)``, a frame for a range of replicates, for all of them: batch by batch, each settled, where one frame would be too large."""
+    parts = [of(*b) for b in batches(rows.count(), replicates)]
+    return parts[0] if len(parts) == 1 else reduce(lambda a, b: a.unionByName(b), [settled(p, "replicates") for p in parts])
+
+
+def _repeated(rows: DataFrame, first: int, last: int) -> DataFrame:
+    return rows.withColumn("replicate", F.explode(F.sequence(F.lit(first), F.lit(last))))
+
+
 def poisson_weight(u: Column, most: int = 8) -> Column:
     """Number of times a row is drawn in a bootstrap replicate: the Poisson(1) quantile of a uniform number."""
     out, total = F.lit(most), 0.0
@@ -92,37 +105,102 @@ def poisson_weight(u: Column, most: int = 8) -> Column:
     return out
 
 
-def bootstrap(rows: DataFrame, replicates: int, seed: int, key: str = "entity_id") -> DataFrame:
-    """rows for each replicate that draws them, with the number of draws ``m`` (Poisson bootstrap: replicates need no count of rows)."""
-    r = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    return r.withColumn("m", poisson_weight(uniform(F.lit(seed), F.col("replicate"), F.col(key)))).where("m > 0")
+def bootstrap(rows: DataFrame, replicates: tuple[int, int], seed: int, key: str = "entity_id") -> DataFrame:
+    """rows for each replicate (first to last) that draws them, with the number of draws ``m`` (Poisson bootstrap: replicates need no count of rows)."""
+    return _repeated(rows, *replicates).withColumn("m", poisson_weight(uniform(F.lit(seed), F.col("replicate"), F.col(key)))).where("m > 0")
 
 
 def weighted_rank_correlation(rows: DataFrame, by: list[str]) -> DataFrame:
     """(by, rho, n) of (x, y, m): rank correlation where a row counts m times."""
 
     def ranked(df: DataFrame, c: str) -> DataFrame:
-        totals = df.groupBy(*by, c).agg(F.sum("m").alias("_t"))
-        w = Window.partitionBy(*by).orderBy(c)
-        return df.join(totals.withColumn(f"_r{c}", F.sum("_t").over(w) - F.col("_t") + (F.col("_t") + 1) / 2).drop("_t"), [*by, c])
+        rank = F.col("below") + (F.col("n") + 1) / 2
+        return df.join(cumulative(df, by, c, "m").select(*by, c, rank.alias(f"_r{c}")), [*by, c])
 
-    r = ranked(ranked(rows, "x"), "y")
+    r = ranked(ranked(settled(rows, "draws"), "x"), "y")
     m, x, y = F.col("m"), F.col("_rx"), F.col("_ry")
     s = r.groupBy(*by).agg(F.sum(m).alias("n"), *[F.sum(m * e).alias(n) for n, e in (("sx", x), ("sy", y), ("sxx", x * x), ("syy", y * y), ("sxy", x * y))])
     n = F.col("n")
     return s.select(*by, ((n * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt((n * F.col("sxx") - F.col("sx") * F.col("sx")) * (n * F.col("syy") - F.col("sy") * F.col("sy")))).alias("rho"), "n")
 
 
-def subsample(rows: DataFrame, replicates: int, share: float, seed: int, key: str = "entity_id") -> DataFrame:
-    """rows in each replicate whose uniform number is below ``share``."""
-    r = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    return r.where(uniform(F.lit(seed), F.col("replicate"), F.col(key)) < share)
+def subsample(rows: DataFrame, replicates: tuple[int, int], share: float, seed: int, key: str = "entity_id") -> DataFrame:
+    """rows in each replicate (first to last) whose uniform number is below ``share``."""
+    return _repeated(rows, *replicates).where(uniform(F.lit(seed), F.col("replicate"), F.col(key)) < share)
+
+
+def rank_stability(long: DataFrame, weights: DataFrame, replicates: int, share: float, n: int, seed: int, steady: float = 5.0, key: str = "entity_id") -> DataFrame:
+    """(key, mean_rank, std_rank, low_rank, high_rank, kept, stable) of every entity over replicates of changed weights: ``kept`` is the share that has it among the n best, ``stable`` a deviation below ``steady``."""
+
+    def of(first: int, last: int) -> DataFrame:
+        s = settled(evaluated(long, perturbed(weights, (first, last), share, seed), key), "scores")
+        ranked = with_rank(s, "score", ["replicate"], "rank", descending=True)
+        sums = ranked.groupBy(key).agg(F.count("rank").alias("k"), F.sum("rank").alias("s"), F.sum(F.col("rank") * F.col("rank")).alias("q"), F.min("rank").alias("lo"), F.max("rank").alias("hi"))
+        return sums.join(top_sets(s, n, ["replicate"], key).groupBy(key).agg(F.count(F.lit(1)).alias("in")), key, "left")
+
+    each = in_batches(long, replicates, of).groupBy(key).agg(*[f(c).alias(c) for c, f in (("k", F.sum), ("s", F.sum), ("q", F.sum), ("lo", F.min), ("hi", F.max), ("in", F.sum))])
+    mean = F.col("s") / F.col("k")
+    std = F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("k") - mean * mean))
+    return each.select(key, mean.alias("mean_rank"), std.alias("std_rank"), F.col("lo").alias("low_rank"), F.col("hi").alias("high_rank"), (F.coalesce("in", F.lit(0)) / replicates).alias("kept"), (std < steady).alias("stable"))
+
+
+def draw_stability(scores: DataFrame, replicates: int, seed: int, tops: tuple[int, ...] = (10, 20), near: int = 10, key: str = "entity_id") -> DataFrame:
+    """(metric, value) over bootstrap draws of scores (key, score), every entity counted once: mean overlap of each draw's best with the best of all, and
+    mean and deviation of the rank correlation of successive draws and of the share of entities within ``near`` ranks."""
+    present = 1 - 2.718281828459045**-1  # of a Poisson(1) draw
+
+    def of(first: int, last: int) -> DataFrame:
+        drawn = settled(subsample(scores, (max(first - 1, 0), last), present, seed, key), "drawn")
+        ranked = settled(with_rank(drawn, "score", ["replicate"], "rank", descending=True), "ranked")
+        frames = []
+        for n in tops:
+            best = scores.orderBy(F.desc("score"), key).limit(n).select(key, F.lit(1).alias("_in"))
+            inside = top_sets(drawn.where(F.col("replicate") >= first), n, ["replicate"], key).join(F.broadcast(best), key, "left")
+            frames.append(inside.groupBy("replicate").agg(F.count("_in").cast("double").alias("value")).withColumn("metric", F.lit(f"top{n}_overlap")))
+        before = ranked.select(key, (F.col("replicate") + 1).alias("replicate"), F.col("rank").alias("_before"))
+        pairs = ranked.join(before, [key, "replicate"]).where(F.col("replicate") >= max(first, 1))
+        both = settled(pairs.select("replicate", F.col("rank").alias("y"), F.col("_before").alias("x"), F.lit(1).alias("m")), "pairs")
+        frames.append(weighted_rank_correlation(both, ["replicate"]).select("replicate", F.col("rho").alias("value"), F.lit("successive_correlation").alias("metric")))
+        within = (100 * F.avg((F.abs(F.col("y") - F.col("x")) <= near).cast("int"))).alias("value")
+        frames.append(both.groupBy("replicate").agg(within).withColumn("metric", F.lit(f"pct_within_{near}")))
+        return reduce(lambda a, b: a.unionByName(b), frames)
+
+    return in_batches(scores, replicates, of).groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+
+
+def double_halve(base: dict[str, float], most: float = 0.5, least: float = 0.01) -> dict[str, dict[str, float]]:
+    """Candidates with one factor's share doubled (to ``most`` at most) and another's halved."""
+    share = {f: w / sum(base.values()) for f, w in base.items()}
+    return {f"{a}+{b}-": share | {a: min(most, 2 * share[a]), b: max(least, share[b] / 2)} for a in share for b in share if a != b}
+
+
+def random_weights(spark, factors: list[str], n: int, seed: int, name: str = "") -> DataFrame:
+    """(candidate, factor, w): n evenly random weight vectors (Dirichlet with parameters 1, from exponential numbers)."""
+    names = spark.range(n).select(F.concat(F.lit(name), F.col("id").cast("string")).alias("candidate"), F.explode(F.array(*map(F.lit, factors))).alias("factor"))
+    drawn = names.withColumn("w", -F.log(F.greatest(uniform(F.lit(seed), F.col("candidate"), F.col("factor")), F.lit(1e-12))))
+    return drawn.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("candidate")))
+
+
+def best_candidates(table: DataFrame) -> DataFrame:
+    """(goal, candidate, mean, std, cs_ir) of a table of candidates: largest ratio, least deviation, largest mean; the first name among equals."""
+    pick = lambda goal, order: table.where("std is not null").orderBy(order, "candidate").limit(1).select(F.lit(goal).alias("goal"), "candidate", "mean", "std", "cs_ir")
+    return pick("best_ratio", F.desc("cs_ir")).union(pick("least_risk", F.asc("std"))).union(pick("largest_return", F.desc("mean")))
+
+
+def weights_cross_validated(scores: DataFrame, returns: DataFrame, folds: DataFrame, weights: DataFrame, n: int, key: str = "entity_id") -> DataFrame:
+    """(fold, candidate, train_ir, test_ir, hhi, overfit) of the candidate with the best ratio outside each fold, judged inside it; scores (key, candidate, score), folds (key, fold)."""
+    places = scores.join(folds, key)
+    number = folds.select(F.col("fold").alias("held")).distinct()
+    tagged = settled(places.join(F.broadcast(number), F.lit(True)).withColumn("test", F.col("fold") == F.col("held")), "folds")  # a few folds
+    table = settled(ratio_of_top(tagged.select(key, "candidate", "score", "held", "test"), returns, n, ["held", "test", "candidate"], key), "fold_ratios")
+    train = table.where("not test").groupBy("held").agg(F.max(F.struct(F.col("cs_ir"), F.col("candidate"))).alias("b")).select("held", F.col("b.candidate").alias("candidate"), F.col("b.cs_ir").alias("train_ir"))
+    out = train.join(table.where("test").select("held", "candidate", F.col("cs_ir").alias("test_ir")), ["held", "candidate"], "left")
+    hhi = weights.groupBy("candidate").agg(F.sum(F.col("w") * F.col("w")).alias("hhi"))
+    return out.join(hhi, "candidate").select(F.col("held").alias("fold"), "candidate", "train_ir", "test_ir", "hhi", (F.col("train_ir") / F.when(F.col("test_ir") != 0, F.col("test_ir"))).alias("overfit"))
 
 
 def folds(df: DataFrame, size: str, k: int, bins: int, key: str = "entity_id") -> DataFrame:
     """df with ``fold`` 0..k-1: entities numbered by a hash within size bins, modulo k."""
-    from panelforge.operators.ranking import with_bin
-
     binned = with_bin(df, size, bins, out="_bin")
     return binned.withColumn("fold", (F.row_number().over(Window.partitionBy("_bin").orderBy(uniform(F.lit("fold"), F.col(key)), key)) - 1) % k).drop("_bin")
 

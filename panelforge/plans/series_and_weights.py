@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelforge.functions.expressions import uniform
+from panelforge.functions.tables import settled
 from panelforge.operators import resampling as W
 from panelforge.operators import scoring as S
 from panelforge.operators import series as T
 from panelforge.operators import similarity as M
 from panelforge.operators.inference import rank_correlation
-from panelforge.operators.ranking import with_rank
 from panelforge.plans.clean import rounded
 from panelforge.plans.portfolios import BIN_SQL
 from panelforge.plans.score import FACTORS, PROFILES, RANKED_SQL, sql_rank
@@ -110,13 +111,13 @@ SRC_MERGE = f"WITH {PANEL_SQL} SELECT entity_id, round(CASE WHEN entity_id % 3 <
 
 
 def src_fuzzy(spark, sf_dir):
-    """Customer names against names of suppliers that have the same legal form and number."""
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey < 100").select("c_custkey", F.concat(F.lit("Acme "), F.substring("c_name", 15, 4), F.lit(" Corp.")).alias("name"))
+    """Every customer's name against names of suppliers that have the same legal form and number."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.concat(F.lit("Acme "), F.substring("c_name", 15, 4), F.lit(" Corp.")).alias("name"))
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("ACME "), F.substring("s_name", 15, 4), F.lit("x Inc")).alias("firm"))
     return rounded(N.fuzzy_match(c, s, "name", "firm").select("c_custkey", "match", "ratio"))
 
 
-SRC_FUZZY = """WITH c AS (SELECT c_custkey, 'acme ' || lower(substr(c_name, 15, 4)) AS a FROM customer WHERE c_custkey < 100), s AS (SELECT DISTINCT 'ACME ' || substr(s_name, 15, 4) || 'x Inc' AS firm, 'acme ' || lower(substr(s_name, 15, 4)) || 'x' AS b FROM supplier),
+SRC_FUZZY = """WITH c AS (SELECT c_custkey, 'acme ' || lower(substr(c_name, 15, 4)) AS a FROM customer), s AS (SELECT DISTINCT 'ACME ' || substr(s_name, 15, 4) || 'x Inc' AS firm, 'acme ' || lower(substr(s_name, 15, 4)) || 'x' AS b FROM supplier),
 p AS (SELECT c_custkey, firm, 1 - levenshtein(a, b) / greatest(length(a), length(b)) AS ratio FROM c, s), q AS (SELECT * FROM p WHERE ratio >= 0.78 QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY ratio DESC, firm) = 1)
 SELECT c_custkey, firm AS match, round(ratio, 5) AS ratio FROM c LEFT JOIN q USING (c_custkey)"""
 
@@ -210,26 +211,29 @@ def _overlap_sql(candidates) -> str:
     return f"{_candidates_sql(candidates | {'base': BASE})}, b AS (SELECT entity_id FROM top WHERE candidate = 'base' AND position <= {TOP}) SELECT candidate, round(count(b.entity_id) / {TOP}.0, 5) AS overlap FROM top LEFT JOIN b USING (entity_id) WHERE candidate <> 'base' AND position <= {TOP} GROUP BY candidate"
 
 
+REPLICATES = 100
+
+
 def res_perturbed(spark, sf_dir):
-    """Share of replicates of changed weights that keep an entity among the 20 best, and its mean rank."""
-    w = W.perturbed(W.weight_rows(spark, {"even": BASE}), 25, 0.2, 42)
-    s = W.evaluated(_factors(spark, sf_dir), w)
-    ranked = with_rank(s, "score", ["replicate"], "rank", descending=True)
-    inside = W.top_sets(s, TOP, ["replicate"]).groupBy("entity_id").agg((F.count(F.lit(1)) / 25).alias("kept"))
-    stats = ranked.groupBy("entity_id").agg(F.avg("rank").alias("mean_rank"), F.stddev_pop("rank").alias("std_rank"))
-    return rounded(stats.join(inside, "entity_id"), 4)
+    """Ranks of every entity over replicates of changed weights."""
+    long = settled(_factors(spark, sf_dir), "factors")
+    return rounded(W.rank_stability(long, W.weight_rows(spark, {"even": BASE}), REPLICATES, 0.2, TOP, 42), 4)
 
 
-RES_PERTURBED = f"""{RANKED_SQL}, long AS ({" UNION ALL ".join(f"SELECT entity_id, '{f}' AS factor, {f} AS x FROM f" for f in FACTORS)}), r AS (SELECT unnest(range(25))::INT AS replicate), b AS (SELECT DISTINCT factor FROM long),
+RES_PERTURBED = f"""{RANKED_SQL}, long AS ({" UNION ALL ".join(f"SELECT entity_id, '{f}' AS factor, {f} AS x FROM f" for f in FACTORS)}), r AS (SELECT unnest(range({REPLICATES}))::INT AS replicate), b AS (SELECT DISTINCT factor FROM long),
 u AS (SELECT replicate, factor, 0.2::DOUBLE * (1 + 0.2::DOUBLE * (2 * {uniform_sql("'42'", "replicate::VARCHAR", "'even'", "factor")} - 1)) AS w FROM r, b), w AS (SELECT replicate, factor, w / sum(w) OVER (PARTITION BY replicate) AS w FROM u),
 s AS (SELECT entity_id, replicate, ROUND(sum(w * x), 8) AS score FROM long JOIN w USING (factor) GROUP BY ALL), k AS (SELECT *, rank() OVER (PARTITION BY replicate ORDER BY score DESC) + (count(*) OVER (PARTITION BY replicate, score) - 1) / 2.0 AS rank, row_number() OVER (PARTITION BY replicate ORDER BY score DESC, entity_id) AS pos FROM s)
-SELECT entity_id, round(avg(rank), 4) AS mean_rank, round(stddev_pop(rank), 4) AS std_rank, round(sum((pos <= {TOP})::INT) / 25.0, 4) AS kept FROM k GROUP BY entity_id HAVING sum((pos <= {TOP})::INT) > 0"""
+SELECT entity_id, round(avg(rank), 4) AS mean_rank, round(stddev_pop(rank), 4) AS std_rank, round(min(rank), 4) AS low_rank, round(max(rank), 4) AS high_rank, round(sum((pos <= {TOP})::INT) / {REPLICATES}.0, 4) AS kept, stddev_pop(rank) < 5 AS stable FROM k GROUP BY entity_id"""
+
+
+DRAWS = 1000
 
 
 def res_bootstrap_ic(spark, sf_dir):
     """Percentile interval of a rank correlation over bootstrap replicates."""
     rows = entity_panel(spark, sf_dir).select("entity_id", F.col("return_rate").alias("x"), F.col("momentum").alias("y")).where("x is not null and y is not null")
-    ics = W.weighted_rank_correlation(W.bootstrap(rows, 40, 42), ["replicate"])
+    rows = settled(rows, "pairs")
+    ics = W.in_batches(rows, DRAWS, lambda first, last: W.weighted_rank_correlation(W.bootstrap(rows, (first, last), 42), ["replicate"]))
     return rounded(ics.agg(F.avg("rho").alias("mean"), F.stddev_samp("rho").alias("se"), F.expr("percentile(rho, 0.025)").alias("low"), F.expr("percentile(rho, 0.975)").alias("high")))
 
 
@@ -239,21 +243,89 @@ for _k in range(8):
     _t += _p
     _limits.append(_t)
     _p /= _k + 1
-RES_BOOTSTRAP = f"""WITH {PANEL_SQL}, d AS (SELECT entity_id, return_rate AS x, momentum AS y, replicate FROM panel, (SELECT unnest(range(40))::INT AS replicate) WHERE return_rate IS NOT NULL AND momentum IS NOT NULL), m AS (SELECT *, CASE {" ".join(f"WHEN {_U} < {limit!r}::DOUBLE THEN {k}" for k, limit in enumerate(_limits))} ELSE 8 END AS m FROM d),
+RES_BOOTSTRAP = f"""WITH {PANEL_SQL}, d AS (SELECT entity_id, return_rate AS x, momentum AS y, replicate FROM panel, (SELECT unnest(range({DRAWS}))::INT AS replicate) WHERE return_rate IS NOT NULL AND momentum IS NOT NULL), m AS (SELECT *, CASE {" ".join(f"WHEN {_U} < {limit!r}::DOUBLE THEN {k}" for k, limit in enumerate(_limits))} ELSE 8 END AS m FROM d),
 b AS (SELECT * FROM m WHERE m > 0), tx AS (SELECT replicate, x, sum(m) AS t, sum(sum(m)) OVER (PARTITION BY replicate ORDER BY x) AS c FROM b GROUP BY replicate, x), ty AS (SELECT replicate, y, sum(m) AS t, sum(sum(m)) OVER (PARTITION BY replicate ORDER BY y) AS c FROM b GROUP BY replicate, y),
 r AS (SELECT b.replicate, b.m, (tx.c - tx.t + (tx.t + 1) / 2.0)::DOUBLE AS rx, (ty.c - ty.t + (ty.t + 1) / 2.0)::DOUBLE AS ry FROM b JOIN tx USING (replicate, x) JOIN ty USING (replicate, y)), s AS (SELECT replicate, sum(m)::DOUBLE AS n, sum(m * rx) AS sx, sum(m * ry) AS sy, sum(m * rx * rx) AS sxx, sum(m * ry * ry) AS syy, sum(m * rx * ry) AS sxy FROM r GROUP BY replicate),
 i AS (SELECT (n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)) AS rho FROM s) SELECT round(avg(rho), 5) AS mean, round(stddev_samp(rho), 5) AS se, round(quantile_cont(rho, 0.025), 5) AS low, round(quantile_cont(rho, 0.975), 5) AS high FROM i"""
 
 
+SUBSAMPLES = 500
+
+
+def _even(spark, sf_dir):
+    return settled(W.evaluated(_factors(spark, sf_dir), W.weight_rows(spark, {"even": BASE})).select("entity_id", "score"), "scores")
+
+
 def res_subsample(spark, sf_dir):
-    """How often an entity is among the 20 best of 80 pct subsamples that it is in."""
-    base = W.evaluated(_factors(spark, sf_dir), W.weight_rows(spark, {"even": BASE})).select("entity_id", "score")
-    sub = W.subsample(base, 20, 0.8, 7)
-    return rounded(W.top_sets(sub, TOP, ["replicate"]).groupBy("entity_id").agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.col("n") / 20))
+    """How often an entity is among the 20 best of 80 pct subsamples, of all of them and of those that it is in."""
+    base = _even(spark, sf_dir)
+
+    def of(first, last):
+        sub = W.subsample(base, (first, last), 0.8, 7)
+        inside = W.top_sets(sub, TOP, ["replicate"]).groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
+        return sub.groupBy("entity_id").agg(F.count(F.lit(1)).alias("drawn")).join(inside, "entity_id", "left")
+
+    out = W.in_batches(base, SUBSAMPLES, of).groupBy("entity_id").agg(F.sum("drawn").alias("drawn"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return rounded(out.select("entity_id", "n", (F.col("n") / SUBSAMPLES).alias("share"), (F.col("n") / F.col("drawn")).alias("share_where_drawn")))
+
+
+RES_SUBSAMPLE = f"""{_candidates_sql({"even": BASE})}, r AS (SELECT entity_id, score, replicate FROM s, (SELECT unnest(range({SUBSAMPLES}))::INT AS replicate) WHERE {uniform_sql("'7'", "replicate::VARCHAR", "entity_id::VARCHAR")} < 0.8), t AS (SELECT *, row_number() OVER (PARTITION BY replicate ORDER BY score DESC, entity_id) AS pos FROM r)
+SELECT entity_id, sum((pos <= {TOP})::INT)::BIGINT AS n, round(sum((pos <= {TOP})::INT) / {SUBSAMPLES}.0, 5) AS share, round(sum((pos <= {TOP})::INT) / count(*), 5) AS share_where_drawn FROM t GROUP BY entity_id"""
+STABILITY_DRAWS = 500
+
+
+def res_rank_stability(spark, sf_dir):
+    """Overlap of the best and rank agreement of successive bootstrap draws."""
+    return rounded(W.draw_stability(_even(spark, sf_dir), STABILITY_DRAWS, 11), 3)
+
+
+RES_RANK_STABILITY = f"""{_candidates_sql({"even": BASE})}, d AS (SELECT entity_id, score, replicate FROM s, (SELECT unnest(range({STABILITY_DRAWS}))::INT AS replicate) WHERE {uniform_sql("'11'", "replicate::VARCHAR", "entity_id::VARCHAR")} < {1 - 2.718281828459045**-1!r}::DOUBLE),
+k AS (SELECT *, rank() OVER (PARTITION BY replicate ORDER BY score DESC) + (count(*) OVER (PARTITION BY replicate, score) - 1) / 2.0 AS rank, row_number() OVER (PARTITION BY replicate ORDER BY score DESC, entity_id) AS pos FROM d),
+o AS (SELECT replicate, n, count(*) FILTER (position <= n)::DOUBLE AS value FROM k JOIN top USING (entity_id), (SELECT unnest([10, 20]) AS n) WHERE pos <= n GROUP BY ALL),
+j AS (SELECT a.replicate, b.rank AS x, a.rank AS y FROM k a JOIN k b ON a.entity_id = b.entity_id AND a.replicate = b.replicate + 1),
+q AS (SELECT replicate, abs(y - x) <= 10 AS near, {sql_rank("x", "replicate", False)} AS rx, {sql_rank("y", "replicate", False)} AS ry FROM j), p AS (SELECT replicate, corr(rx, ry) AS rho, 100 * avg(near::INT) AS near FROM q GROUP BY replicate),
+v AS (SELECT 'top' || n || '_overlap' AS metric, value FROM o UNION ALL SELECT 'successive_correlation', rho FROM p UNION ALL SELECT 'pct_within_10', near FROM p) SELECT metric, round(avg(value), 3) AS mean, round(stddev_pop(value), 3) AS std FROM v GROUP BY metric"""
+HALVED = W.double_halve(BASE)
+
+
+def res_double_halve(spark, sf_dir):
+    """Change of the ratio of the 20 best when one factor's weight is doubled and another's halved."""
+    s = settled(W.evaluated(_factors(spark, sf_dir), W.weight_rows(spark, HALVED | {"base": BASE})), "scores")
+    table = settled(W.ratio_of_top(s, _returns(spark, sf_dir), TOP, ["candidate"]), "ratios")
+    base = table.where("candidate = 'base'").select(F.col("cs_ir").alias("_base"))
+    return rounded(table.where("candidate <> 'base'").crossJoin(F.broadcast(base)).select("candidate", "cs_ir", (F.col("cs_ir") - F.col("_base")).alias("change")))
+
+
+_RATIOS_SQL = f"ratios AS (SELECT candidate, avg(momentum) AS mean, stddev_samp(momentum) AS std, CASE WHEN stddev_samp(momentum) > 1e-12 THEN avg(momentum) / stddev_samp(momentum) ELSE 0 END AS cs_ir FROM top JOIN panel USING (entity_id) WHERE position <= {TOP} GROUP BY candidate)"
+RES_DOUBLE_HALVE = f"{_candidates_sql(HALVED | {'base': BASE})}, {_RATIOS_SQL} SELECT candidate, round(cs_ir, 5) AS cs_ir, round(cs_ir - (SELECT cs_ir FROM ratios WHERE candidate = 'base'), 5) AS change FROM ratios WHERE candidate <> 'base'"
+TILTS = 1000
+
+
+def res_tilts(spark, sf_dir):
+    """Of 1,000 random weight vectors those with the best ratio, the least deviation and the largest mean return of the 20 best."""
+    long = settled(_factors(spark, sf_dir), "factors")
+    s = W.evaluated(long, W.random_weights(spark, FACTORS, TILTS, 13))
+    return rounded(W.best_candidates(settled(W.ratio_of_top(s, _returns(spark, sf_dir), TOP, ["candidate"]), "ratios")))
+
+
+RES_TILTS = f"""{RANKED_SQL}, long AS ({" UNION ALL ".join(f"SELECT entity_id, '{f}' AS factor, {f} AS x FROM f" for f in FACTORS)}), u AS (SELECT i::VARCHAR AS candidate, factor, -ln(greatest({uniform_sql("'13'", "i::VARCHAR", "factor")}, 1e-12)) AS w FROM range({TILTS}) t(i), (SELECT DISTINCT factor FROM long)),
+w AS (SELECT candidate, factor, w / sum(w) OVER (PARTITION BY candidate) AS w FROM u), s AS (SELECT entity_id, candidate, ROUND(sum(w * x), 8) AS score FROM long JOIN w USING (factor) GROUP BY ALL), top AS (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY score DESC, entity_id) AS position FROM s), {_RATIOS_SQL},
+b AS ((SELECT 'best_ratio' AS goal, * FROM ratios ORDER BY cs_ir DESC, candidate LIMIT 1) UNION ALL (SELECT 'least_risk', * FROM ratios ORDER BY std, candidate LIMIT 1) UNION ALL (SELECT 'largest_return', * FROM ratios ORDER BY mean DESC, candidate LIMIT 1))
+SELECT goal, candidate, round(mean, 5) AS mean, round(std, 5) AS std, round(cs_ir, 5) AS cs_ir FROM b"""
+
+
+def res_weight_cv(spark, sf_dir):
+    """The grid's best weights outside each of five folds, judged inside it."""
+    weights = W.weight_rows(spark, GRID)
+    s = settled(W.evaluated(_factors(spark, sf_dir), weights), "scores")
+    folds = entity_panel(spark, sf_dir).select("entity_id", F.floor(5 * uniform(F.lit("cv"), F.col("entity_id").cast("string"))).cast("int").alias("fold"))
+    return rounded(W.weights_cross_validated(s, _returns(spark, sf_dir), folds, weights, 10), 4)
 
 
-RES_SUBSAMPLE = f"""{_candidates_sql({"even": BASE})}, r AS (SELECT entity_id, score, replicate FROM s, (SELECT unnest(range(20))::INT AS replicate) WHERE {uniform_sql("'7'", "replicate::VARCHAR", "entity_id::VARCHAR")} < 0.8), t AS (SELECT *, row_number() OVER (PARTITION BY replicate ORDER BY score DESC, entity_id) AS pos FROM r)
-SELECT entity_id, count(*) AS n, round(count(*) / 20.0, 5) AS share FROM t WHERE pos <= {TOP} GROUP BY entity_id"""
+RES_WEIGHT_CV = f"""{_candidates_sql(GRID)}, o AS (SELECT entity_id, floor(5 * {uniform_sql("'cv'", "entity_id::VARCHAR")})::INT AS fold FROM panel), g AS (SELECT s.*, h.fold AS held, o.fold = h.fold AS test FROM s JOIN o USING (entity_id), (SELECT DISTINCT fold FROM o) h),
+t AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY held, test, candidate ORDER BY score DESC, entity_id) <= 10), r AS (SELECT held, test, candidate, CASE WHEN stddev_samp(momentum) > 1e-12 THEN avg(momentum) / stddev_samp(momentum) ELSE 0 END AS ir FROM t JOIN panel USING (entity_id) GROUP BY ALL),
+b AS (SELECT held, candidate, ir FROM r WHERE NOT test QUALIFY row_number() OVER (PARTITION BY held ORDER BY ir DESC, candidate DESC) = 1), h AS (SELECT candidate, sum(w * w) AS hhi FROM w GROUP BY candidate)
+SELECT b.held AS fold, b.candidate, round(b.ir, 4) AS train_ir, round(r.ir, 4) AS test_ir, round(hhi, 4) AS hhi, round(b.ir / nullif(r.ir, 0), 4) AS overfit FROM b LEFT JOIN r ON r.held = b.held AND r.candidate = b.candidate AND r.test JOIN h ON h.candidate = b.candidate"""
 
 
 def res_folds(spark, sf_dir):
@@ -316,5 +388,5 @@ QUERIES = {
     "src_facts": (src_facts, SRC_FACTS), "src_country_latest": (src_country_latest, SRC_COUNTRY), "src_facilities": (src_facilities, SRC_FACILITIES), "src_membership": (src_membership, SRC_MEMBERSHIP), "src_merge": (src_merge, SRC_MERGE), "src_fuzzy": (src_fuzzy, SRC_FUZZY), "src_fuzzy_all": (src_fuzzy_all, SRC_FUZZY_ALL), "src_keys": (src_keys, SRC_KEYS),
     "sim_target": (sim_target, SIM_TARGET), "sim_nearest": (sim_nearest, SIM_NEAREST), "sim_peer_excess": (sim_peer_excess, SIM_PEER_EXCESS),
     "res_grid": (res_grid, RES_GRID), "res_one_at_a_time": (_overlap(CHANGED), _overlap_sql(CHANGED)), "res_ablation": (_overlap(W.ablations(BASE)), _overlap_sql(W.ablations(BASE))), "res_perturbed": (res_perturbed, RES_PERTURBED), "res_bootstrap_ic": (res_bootstrap_ic, RES_BOOTSTRAP),
-    "res_subsample": (res_subsample, RES_SUBSAMPLE), "res_folds": (res_folds, RES_FOLDS), "res_leave_sector_out": (res_leave_sector_out, RES_LOSO), "res_restandardised": (res_restandardised, RES_RESTANDARDISED), "res_turnover": (res_turnover, RES_TURNOVER), "res_capacity": (res_capacity, RES_CAPACITY), "res_costs": (res_costs, RES_COSTS),
+    "res_subsample": (res_subsample, RES_SUBSAMPLE), "res_rank_stability": (res_rank_stability, RES_RANK_STABILITY), "res_double_halve": (res_double_halve, RES_DOUBLE_HALVE), "res_tilts": (res_tilts, RES_TILTS), "res_weight_cv": (res_weight_cv, RES_WEIGHT_CV), "res_folds": (res_folds, RES_FOLDS), "res_leave_sector_out": (res_leave_sector_out, RES_LOSO), "res_restandardised": (res_restandardised, RES_RESTANDARDISED), "res_turnover": (res_turnover, RES_TURNOVER), "res_capacity": (res_capacity, RES_CAPACITY), "res_costs": (res_costs, RES_COSTS),
 }
