@@ -7,18 +7,22 @@ grow with the logarithm of a component's width. Nothing is collected but one cou
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.llm.common import settled
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node of edges (a, b); component is the smallest node that links reach. Null ends and loops are left out."""
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(node, component) of every node of edges (a, b); component is the smallest node that links reach. Null ends and loops are left out.
+
+    With ``rounds`` only so many are done: nodes with one label are connected, but a wide component can have several labels."""
     edges = edges.where("a is not null and b is not null and a <> b").select("a", "b")
     both = settled(edges.union(edges.select("b", "a")).distinct(), "edges")
     labels = settled(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "labels")
-    while True:
+    for done in itertools.count(1):
         above = labels.select(F.col("node").alias("label"), F.col("label").alias("top"))
         ranked = settled(labels.join(above, "label").select("node", "label", "top"), "ranked")
         left = ranked.select(F.col("node").alias("a"), F.col("label").alias("parent"))
@@ -30,6 +34,11 @@ def components(edges: DataFrame) -> DataFrame:
             .groupBy("node").agg(F.min("label").alias("label"))
         )
         new = settled(offered, "labels")
+        if done == rounds:
+            return new.withColumnRenamed("label", "component")
+        if rounds is not None:
+            labels = new
+            continue
         changed = new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count()
         labels = new
         if not changed:

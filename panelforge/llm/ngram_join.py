@@ -12,11 +12,12 @@ a text of fewer words is one shingle). Two texts link when their sets' Jaccard s
    about as many as the set has shingles, and a node's counts are a point. An R-tree over a group's points bounds the
    overlap with a query by the summed minima of its counts and a box's largest counts. A group gives all pairs whose
    bound fits, or, where these are more than ``DENSE`` times its nodes, the likeliest partner of every node. Groups of
-   more than ``TILE`` nodes are cut into tiles, so no task takes a whole hot group.
-4. Every node's likeliest partner is verified on the texts; the links make first classes. Then the other pairs between
-   classes are verified: those that step 3 gave, and for groups that were dense or cut those of further searches,
-   in which nodes outside the group's largest class are compared with all. Searches go on while a group is dense, every row
-   giving its likeliest partner of another class, so that classes grow together; the last of ``SEARCHES`` gives all pairs.
+   more than ``LARGE`` nodes also give likeliest partners only, each node in its largest group, and are cut into tiles of
+   ``TILE`` nodes, so no task takes a whole hot group.
+4. Every node's likeliest partner is verified on the texts, and the links make first classes; in dense and large groups every node
+   then gives its likeliest partner of another class, which is verified too, so that classes grow together. Last, all other pairs
+   between classes are verified: those that step 3 gave, and those of a full search of dense and large groups,
+   in which nodes outside the group's largest class are compared with all.
 5. Components over all links give the classes. As every pair across classes that can link is verified in the end,
    no link between different texts is lost.
 
@@ -49,7 +50,9 @@ MOST = 15
 TILE = 2048
 FANOUT = 16
 DENSE = 4
-SEARCHES = 5
+LARGE = 256
+#: Rounds of joining labels between searches; the last components are complete.
+CLASS_ROUNDS = 3
 #: Rows of a search block, and bytes of texts (by 7 for a shingle) of a verification block.
 BLOCK_ROWS = 4096
 BLOCK_BYTES = 8 << 20
@@ -120,6 +123,12 @@ def overlap_bounds(a: np.ndarray, rest_a: np.ndarray, b: np.ndarray, rest_b: np.
     return np.minimum(a, b).sum(1, dtype=np.int64) + np.minimum(rest_a, rest_b)
 
 
+def coarse(points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Points in the least number of dimensions, and what their counts leave out."""
+    few = np.minimum(points.reshape(len(points), -1, DIMENSIONS[0]).sum(1, dtype=np.int32), 255).astype(np.uint8)
+    return few, sizes - few.sum(1, dtype=np.int64)
+
+
 def _reaches(bound: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return (100 + PERCENT) * bound >= PERCENT * (n + m)
 
@@ -130,11 +139,11 @@ class CountTree:
     def __init__(self, points: np.ndarray, sizes: np.ndarray, rest: np.ndarray | None = None):
         rest = sizes - points.sum(1, dtype=np.int64) if rest is None else rest
         self.order = np.lexsort((points.argmax(1), sizes))
-        level = (points[self.order], rest[self.order], sizes[self.order], sizes[self.order])
+        level = (points[self.order], rest[self.order], *coarse(points[self.order], sizes[self.order]), sizes[self.order], sizes[self.order])
         self.levels = [level]
         while len(level[0]) > FANOUT:
             cut = np.arange(0, len(level[0]), FANOUT)
-            level = tuple(f.reduceat(x, cut) for f, x in zip((np.maximum, np.maximum, np.minimum, np.maximum), level, strict=True))
+            level = tuple(f.reduceat(x, cut) for f, x in zip((*[np.maximum] * 4, np.minimum, np.maximum), level, strict=True))
             self.levels.append(level)
 
     def search(self, queries: np.ndarray, sizes: np.ndarray, rest: np.ndarray | None = None, batch: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,20 +152,23 @@ class CountTree:
         found = []
         for lo in range(0, len(queries), batch):
             q_points, q_rest, q_sizes = queries[lo : lo + batch], rest[lo : lo + batch], sizes[lo : lo + batch]
+            q_coarse, q_coarse_rest = coarse(q_points, q_sizes)
             q = np.repeat(np.arange(len(q_points)), len(self.levels[-1][0]))
             node = np.tile(np.arange(len(self.levels[-1][0])), len(q_points))
             for level in range(len(self.levels) - 1, -1, -1):
-                high, high_rest, least, most = self.levels[level]
+                high, high_rest, high_coarse, high_coarse_rest, least, most = self.levels[level]
                 n = q_sizes[q]
                 near = (100 * most[node] >= PERCENT * n) & (PERCENT * least[node] <= 100 * n)
                 q, node = q[near], node[near]
-                bound = np.zeros(len(q), np.int64)
-                step = max(1, (1 << 21) // q_points.shape[1])
-                for at in range(0, len(q), step):
-                    x, y = q[at : at + step], node[at : at + step]
-                    bound[at : at + step] = overlap_bounds(q_points[x], q_rest[x], high[y], high_rest[y])
-                keep = _reaches(bound, q_sizes[q], np.maximum(least[node], -(-PERCENT * q_sizes[q] // 100)))
-                q, node, bound = q[keep], node[keep], bound[keep]
+                # Few dimensions first, all of them for what these leave.
+                for ours, our_rest, theirs, their_rest in ((q_coarse, q_coarse_rest, high_coarse, high_coarse_rest), (q_points, q_rest, high, high_rest)):
+                    bound = np.zeros(len(q), np.int64)
+                    step = max(1, (1 << 21) // ours.shape[1])
+                    for at in range(0, len(q), step):
+                        x, y = q[at : at + step], node[at : at + step]
+                        bound[at : at + step] = overlap_bounds(ours[x], our_rest[x], theirs[y], their_rest[y])
+                    keep = _reaches(bound, q_sizes[q], np.maximum(least[node], -(-PERCENT * q_sizes[q] // 100)))
+                    q, node, bound = q[keep], node[keep], bound[keep]
                 if level:
                     below = len(self.levels[level - 1][0])
                     q, node = np.repeat(q, FANOUT), (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
@@ -290,9 +302,10 @@ def _tree_pairs(inner: np.ndarray, outer: np.ndarray, dims: np.ndarray, n: np.nd
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (inner[:0], inner[:0], inner[:0])
 
 
-def _search(block: pa.Table, most: int) -> pa.Table:
-    """Candidate pairs (a < b) in the groups (sig, tile) of a block; for a dense group, of more than ``most`` pairs a row, every row's likeliest partner, and a row that names it."""
-    sig, tile, h1, n = (block.column(c).to_numpy() for c in ("sig", "tile", "h1", "n"))
+def _search(block: pa.Table, most: float, large: int) -> pa.Table:
+    """Candidate pairs (a < b) in the groups (sig, tile) of a block; for a dense group, of more than ``most`` pairs a row, every row's likeliest partner, and a row
+    that names it; the likeliest partners alone for groups of more than ``large`` nodes (column size)."""
+    sig, tile, h1, n, nodes = (block.column(c).to_numpy() for c in ("sig", "tile", "h1", "n", "size"))
     raw = block.column("point").to_pylist()
     dims = _dimensions(raw)
     tables = _tables(raw, n, dims)
@@ -311,8 +324,10 @@ def _search(block: pa.Table, most: int) -> pa.Table:
         a, b, bound = _tree_pairs(own, own, dims, n, tables)
         once = h1[a] < h1[b]
         x, y, near = a[once], b[once], bound[once]
-        if len(x) > most * size:
-            dense.append(sig[own[0]])
+        wide = nodes[own[0]] > large
+        if wide or len(x) > most * size:
+            if not wide:
+                dense.append(sig[own[0]])
             other = a != b
             x, y, near = _likeliest(a[other], b[other], bound[other], n, h1)
         found.append((x, y, near))
@@ -444,9 +459,16 @@ def _struct(a: str, b: str) -> Column:
     return F.struct(F.col(a).alias("h1"), F.col(b).alias("h2"))
 
 
-def _joined_by(links: DataFrame) -> DataFrame:
+def _joined_by(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, component) of links (a1, a2, b1, b2)."""
-    return components(links.select(_struct("a1", "a2").alias("a"), _struct("b1", "b2").alias("b")))
+    return components(links.select(_struct("a1", "a2").alias("a"), _struct("b1", "b2").alias("b")), rounds)
+
+
+def _largest_only(members: DataFrame, large: int) -> DataFrame:
+    """members (sig, h1, size) in which a node stands in one of its groups of more than ``large`` nodes only, the largest."""
+    wide = members.where(F.col("size") > large)
+    own = wide.groupBy("h1").agg(F.max(F.struct("size", "sig")).alias("own")).select("h1", F.col("own.sig").alias("sig"))
+    return members.where(F.col("size") <= large).unionByName(wide.join(own, ["h1", "sig"]))
 
 
 def _candidates(shared: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -456,17 +478,20 @@ def _candidates(shared: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFr
     groups = settled(groups.groupBy("size", "x1", "x2").agg(F.min("sig").alias("sig")).select("sig", "size"), "groups")
     rows = groups.agg(F.sum("size")).head()[0] or 0
     blocks = max(1, -(-rows // BLOCK_ROWS))
-    inside = shared.join(groups, "sig").join(points, "h1")
+    most, large = DENSE, LARGE
+    inside = _largest_only(settled(shared.join(groups, "sig"), "inside"), large).join(points, "h1")
     tile = F.pmod(F.xxhash64("h1", F.lit(5)), F.ceil(F.col("size") / TILE)).alias("tile")
-    dealt = inside.select("sig", "h1", "n", "point", tile).withColumn("block", F.pmod(F.xxhash64("sig", "tile"), F.lit(blocks)))
-    most = DENSE
-    found = dealt.groupBy("block").applyInArrow(lambda block: _search(block, most), "a bigint, b bigint, score double, dense bigint")
+    dealt = inside.select("sig", "size", "h1", "n", "point", tile).withColumn("block", F.pmod(F.xxhash64("sig", "tile"), F.lit(blocks)))
+    found = dealt.groupBy("block").applyInArrow(lambda block: _search(block, most, large), "a bigint, b bigint, score double, dense bigint")
     return settled(found, "candidates"), groups
 
 
-def _across(shared: DataFrame, points: DataFrame, of: DataFrame, again: DataFrame, most: float) -> DataFrame:
-    """(a, b, score, dense) of pairs of different classes in some groups (sig, size), settled."""
-    member = settled(shared.join(again, "sig").join(of, "h1", "left").select("sig", "h1", "size", F.coalesce("component", "h1").alias("comp")), "members")
+def _across(shared: DataFrame, points: DataFrame, of: DataFrame, again: DataFrame, likeliest: bool) -> DataFrame:
+    """(a, b) of pairs of different classes in some groups (sig, size), settled: all whose bound fits, or every node's likeliest in its largest group."""
+    most = -1.0 if likeliest else float("inf")
+    inside = shared.join(again, "sig")
+    inside = _largest_only(settled(inside, "inside"), 0) if likeliest else inside
+    member = settled(inside.join(of, "h1", "left").select("sig", "h1", "size", F.coalesce("component", "h1").alias("comp")), "members")
     by_class = member.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("many"), F.first("size").alias("size"))
     largest = by_class.groupBy("sig").agg(F.max(F.struct("many", "comp")).alias("top"), F.first("size").alias("size"))
     mixed = largest.select("sig", F.col("top.comp").alias("main"), (F.col("size") - F.col("top.many")).alias("others"), F.col("size").alias("all")).where("others > 0")
@@ -483,12 +508,12 @@ def _across(shared: DataFrame, points: DataFrame, of: DataFrame, again: DataFram
     dealt = inside.select("sig", "h1", "comp", "n", "point", cells.alias("cell")).select("sig", "h1", "comp", "n", "point", "cell.*")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("sig", "i", "j"), F.lit(blocks)))
     found = dealt.groupBy("block").applyInArrow(lambda block: _search_across(block, most), "a bigint, b bigint, score double, dense bigint")
-    return settled(found, "across")
+    return settled(found.where("a is not null").select("a", "b"), "across")
 
 
 def _first_classes(links: DataFrame) -> DataFrame:
-    """(h1, component) of the nodes that links join."""
-    return settled(_joined_by(links).select(F.col("node.h1").alias("h1"), F.col("component.h1").alias("component")).dropDuplicates(["h1"]), "first")
+    """(h1, component) of the nodes that links join; parts of a class that are far apart can still have different labels."""
+    return settled(_joined_by(links, CLASS_ROUNDS).select(F.col("node.h1").alias("h1"), F.col("component.h1").alias("component")).dropDuplicates(["h1"]), "first")
 
 
 def classes(documents: DataFrame, rows: DataFrame) -> DataFrame:
@@ -507,25 +532,22 @@ def classes(documents: DataFrame, rows: DataFrame) -> DataFrame:
     tested = settled(ends.distinct(), "tested")
     links = settled(_verified(tested, nodes, documents), "links")
     of = _first_classes(links)
+    marked = found.where("dense is not null").select(F.col("dense").alias("sig"), F.lit(True).alias("marked")).distinct()
+    again = settled(groups.join(marked, "sig", "left").where(F.col("marked") | (F.col("size") > min(LARGE, TILE))).select("sig", "size"), "again")
+    there = not again.isEmpty()
+    if there:
+        likely = settled(_across(shared, points, of, again, True).distinct().join(tested, ["a", "b"], "left_anti"), "likely")
+        links, tested = settled(links.union(_verified(likely, nodes, documents)), "links"), tested.union(likely)
+        of = _first_classes(links)
     class_of = lambda s: of.select(F.col("h1").alias(s), F.col("component").alias(f"{s}c"))
     apart = F.coalesce("ac", "a") != F.coalesce("bc", "b")
     more = pairs.select("a", "b").join(class_of("a"), "a", "left").join(class_of("b"), "b", "left").where(apart).select("a", "b")
     mates = shared.join(shared.join(F.broadcast(twins), "h1").select("sig", F.col("h1").alias("twin")), "sig").where("h1 <> twin")
     more = more.union(mates.select(F.least("h1", "twin").alias("a"), F.greatest("h1", "twin").alias("b")))
-    marked = lambda found: found.where("dense is not null").select(F.col("dense").alias("sig"), F.lit(True).alias("marked")).distinct()
-    again = settled(groups.join(marked(found), "sig", "left").where(F.col("marked") | (F.col("size") > TILE)).select("sig", "size"), "again")
-    for search in range(1, SEARCHES + 1):
-        there = not again.isEmpty()
-        if there:
-            found = _across(shared, points, of, again, DENSE if search < SEARCHES else float("inf"))
-            more = more.union(found.where("a is not null").select("a", "b"))
-            again = settled(again.join(marked(found), "sig", "left_semi"), "again")
-        more = settled(more.distinct().join(tested, ["a", "b"], "left_anti"), "more")
-        links = settled(links.union(_verified(more, nodes, documents)), "links")
-        if not there or again.isEmpty():
-            break
-        of, tested = _first_classes(links), settled(tested.union(more), "tested")
-        more = more.limit(0)
+    if there:
+        more = more.union(_across(shared, points, of, again, False))
+    more = settled(more.distinct().join(tested, ["a", "b"], "left_anti"), "more")
+    links = settled(links.union(_verified(more, nodes, documents)), "links")
     of = settled(_joined_by(links).select(F.col("node.h1").alias("h1"), F.col("node.h2").alias("h2"), "component"), "components")
     named = nodes.select("h1", "h2", "label").join(of, ["h1", "h2"], "left")
     least = settled(named.where("component is not null").groupBy("component").agg(F.min("label").alias("least")), "least")

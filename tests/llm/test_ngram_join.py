@@ -29,10 +29,10 @@ def near_copies(seed: int = 5) -> list[str]:
     return out
 
 
-@pytest.mark.parametrize(("tile", "dense", "hub"), [(2048, 4, 256), (6, 0, 2)])
-def test_classes_equal_all_pairs(spark, sf_dir, tables, monkeypatch, tile, dense, hub):
-    """The second case cuts groups into tiles, takes every larger one as dense and spreads a node's pairs over buckets."""
-    for name, value in (("TILE", tile), ("DENSE", dense), ("HUB", hub)):
+@pytest.mark.parametrize(("tile", "dense", "hub", "large"), [(2048, 4, 256, 256), (6, 0, 2, 1 << 30), (8, 4, 2, 16)])
+def test_classes_equal_all_pairs(spark, sf_dir, tables, monkeypatch, tile, dense, hub, large):
+    """The second case cuts groups into tiles, takes every one beyond a leaf as dense and spreads a node's pairs over buckets; the third has large groups."""
+    for name, value in (("TILE", tile), ("DENSE", dense), ("HUB", hub), ("LARGE", large)):
         monkeypatch.setattr(ngram_join, name, value)
     texts = cases.awkward() + near_copies() + [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()]
     rows = list(enumerate(texts))
