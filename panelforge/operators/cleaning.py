@@ -65,7 +65,7 @@ def quantile_clipped(long: DataFrame, low: float, high: float, by: list[str]) ->
     """long with ``value`` kept within two quantiles of its group."""
     q = quantiles(long, by, "value", {"_lo": low, "_hi": high})
     v = F.col("value")
-    return long.join(F.broadcast(q), by, "left").select(*[c if c != "value" else F.when(v < F.col("_lo"), F.col("_lo")).when(v > F.col("_hi"), F.col("_hi")).otherwise(v).alias("value") for c in long.columns])
+    return long.join(q, by, "left").select(*[c if c != "value" else F.when(v < F.col("_lo"), F.col("_lo")).when(v > F.col("_hi"), F.col("_hi")).otherwise(v).alias("value") for c in long.columns])
 
 
 def binarised(x: Column, limit: float = 0.5) -> Column:
@@ -139,7 +139,7 @@ def calibrated(df: DataFrame, value: str, group: list[str], out: str, centre: fl
     s = df.groupBy(*group).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"), F.count(value).alias("_n"))
     z = (F.col(value) - F.col("_m")) / F.when(F.col("_s") > 1e-10, F.col("_s"))
     scaled = F.when(F.col("_n") < least, F.col(value)).otherwise(clip(centre + spread * F.coalesce(z, F.when(F.col(value).isNotNull(), 0.0)), low, high))
-    return df.join(F.broadcast(s), group, "left").withColumn(out, scaled).drop("_m", "_s", "_n")
+    return df.join(s, group, "left").withColumn(out, scaled).drop("_m", "_s", "_n")
 
 
 #: The least score of each letter bucket; CCC below.

@@ -42,8 +42,12 @@ def group_table(df: DataFrame, by: list[str], values: list[str]) -> DataFrame:
 
 
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
-    """(a, b, n) with margins, where the margin's label is All."""
-    return df.cube(a, b).agg(F.count(F.lit(1)).alias("n")).select(F.coalesce(a, F.lit("All")).alias(a), F.coalesce(b, F.lit("All")).alias(b), "n")
+    """(a, b, n, margin, share) with margins, where the margin's label is All and ``margin`` says which rows are: 0 a cell, 1 over b, 2 over a, 3 over both. A null
+    group stays null. share: of its row's total (1 for row totals)."""
+    cube = df.cube(a, b).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().cast("int").alias("margin"), F.grouping(a).alias("_a"), F.grouping(b).alias("_b"))
+    label = lambda c, g: F.when(F.col(g) == 1, "All").otherwise(F.col(c).cast("string")).alias(c)
+    row = F.sum(F.when(F.col("_b") == 1, F.col("n"))).over(Window.partitionBy("_a", a))  # as many rows as b has groups
+    return cube.withColumn("share", F.col("n") / row).select(label(a, "_a"), label(b, "_b"), "n", "margin", "share")
 
 
 def bin_table(df: DataFrame, score: str, bins: int, values: list[str]) -> DataFrame:

@@ -86,7 +86,7 @@ def with_bin(df: DataFrame, value: str, bins: int, by: list[str] | None = None,
     by = by or []
     names = {f"_q{k}": k / bins for k in range(1, bins)}
     edges = quantiles(df, by, value, names)
-    joined = df.join(F.broadcast(edges), by, "left") if by else df.crossJoin(F.broadcast(edges))
+    joined = df.join(edges, by, "left") if by else df.crossJoin(F.broadcast(edges))
     number = sum(((F.col(value) > F.col(q)).cast("int") for q in names), F.lit(1))
     return joined.withColumn(out, F.when(F.col(value).isNotNull(), number)).drop(*names)
 

@@ -217,7 +217,7 @@ def restandardised(df: DataFrame, column: str, group: str) -> DataFrame:
     t = g.agg(F.sum("n").alias("tn"), F.sum("s").alias("ts"), F.sum("q").alias("tq"))
     rest = g.crossJoin(F.broadcast(t)).select(group, (F.col("tn") - F.col("n")).alias("_n"), (F.col("ts") - F.col("s")).alias("_s"), (F.col("tq") - F.col("q")).alias("_q"))
     var = (F.col("_q") - F.col("_s") * F.col("_s") / F.col("_n")) / (F.col("_n") - 1)
-    return df.join(F.broadcast(rest), group).withColumn("z", (F.col(column) - F.col("_s") / F.col("_n")) / F.sqrt(var)).drop("_n", "_s", "_q")
+    return df.join(rest, group).withColumn("z", (F.col(column) - F.col("_s") / F.col("_n")) / F.sqrt(var)).drop("_n", "_s", "_q")
 
 
 def turnover(scores: DataFrame, replicates: int, share: float, n: int, seed: int, cost: float, key: str = "entity_id") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.functions.expressions import clip, probit
+from panelforge.functions.tables import settled
 from panelforge.operators.ranking import median_deviation, quantiles, rank_columns, with_rank
 
 DIRECTIONS = {"zscore": lambda x: -x, "robust": lambda x: -x, "minmax": lambda x: 1 - x, "percentile": lambda x: 100 - x}
@@ -23,7 +24,7 @@ def normalised(long: DataFrame, method: str, by: list[str] | None = None, invers
         s = long.groupBy(*keys).agg(F.avg(v).alias("_m"), F.stddev_samp(v).alias("_s"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
         spread = F.col("_hi") - F.col("_lo")
         norm = (v - F.col("_m")) / (F.col("_s") + 1e-10) if method == "zscore" else F.when(spread > 0, (v - F.col("_lo")) / spread).otherwise(F.when(v.isNotNull(), 0.0))
-        out = long.join(F.broadcast(s), keys, "left").withColumn("norm", norm).drop("_m", "_s", "_lo", "_hi")
+        out = long.join(s, keys, "left").withColumn("norm", norm).drop("_m", "_s", "_lo", "_hi")
     if inverse:
         out = out.withColumn("norm", F.when(F.col("indicator").isin(inverse), DIRECTIONS[method](F.col("norm"))).otherwise(F.col("norm")))
     return out
@@ -35,7 +36,7 @@ def robust_z(long: DataFrame, by: list[str], limit: float = 3.0, value: str = "v
     s = long.groupBy(*by).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s")).join(middle, by) if by else long.agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s")).crossJoin(middle)
     v = F.col(value)
     z = F.when(F.col("mad") > 1e-10, (v - F.col("median")) / (1.4826 * F.col("mad"))).when(F.col("_s") > 1e-10, (v - F.col("_m")) / F.col("_s")).otherwise(F.when(v.isNotNull(), 0.0))
-    joined = long.join(F.broadcast(s), by, "left") if by else long.crossJoin(F.broadcast(s))
+    joined = long.join(s, by, "left") if by else long.crossJoin(F.broadcast(s))
     return joined.withColumn(out, clip(z, -limit, limit)).drop("_m", "_s", "median", "mad")
 
 
@@ -54,7 +55,7 @@ def normal_scores(df: DataFrame, column: str, out: str, by: list[str] | None = N
 def adaptive_z(long: DataFrame, inverse: list[str], small: int = 20, medium: int = 100, skewed: float = 2.0) -> DataFrame:
     """long with ``norm``: normal scores for columns of fewer than ``small`` values or an absolute skewness over ``skewed``, robust z below ``medium`` values, else z; clipped to +-3, flipped for ``inverse``, 0 for nulls."""
     n = long.groupBy("indicator").agg(F.count("value").alias("_n"), F.skewness("value").alias("_g"), F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s"))
-    each = normal_scores(robust_z(long, ["indicator"], out="_robust"), "value", "_normal", ["indicator"]).join(F.broadcast(n), "indicator")
+    each = normal_scores(robust_z(long, ["indicator"], out="_robust"), "value", "_normal", ["indicator"]).join(n, "indicator")
     plain = F.when(F.col("_s") > 1e-10, (F.col("value") - F.col("_m")) / F.col("_s")).otherwise(F.when(F.col("value").isNotNull(), 0.0))
     z = F.when((F.col("_n") < small) | (F.abs("_g") > skewed), F.col("_normal")).when(F.col("_n") < medium, F.col("_robust")).otherwise(plain)
     z = F.coalesce(clip(z, -3.0, 3.0), F.lit(0.0))
@@ -105,7 +106,7 @@ def pillar_scores(wide: DataFrame, pillars: dict[str, dict[str, tuple[float, lis
 def composite(df: DataFrame, weights: DataFrame, group: str, columns: list[str], out: str = "composite") -> DataFrame:
     """df with the mean of columns weighted by its group's weights (group, one column for each), equal weights where the group has none; null columns are left out."""
     w = weights.select(F.col(group).alias("_g"), *[F.col(c).alias(f"_w_{c}") for c in columns])
-    joined = df.join(F.broadcast(w), F.col(group) == F.col("_g"), "left")
+    joined = df.join(w, F.col(group) == F.col("_g"), "left")
     weight = lambda c: F.coalesce(f"_w_{c}", F.lit(1.0 / len(columns)))
     there = sum((F.when(F.col(c).isNotNull(), weight(c)).otherwise(0.0) for c in columns), F.lit(0.0))
     total = sum((F.coalesce(F.col(c), F.lit(0.0)) * weight(c) for c in columns), F.lit(0.0))
@@ -126,7 +127,7 @@ def harmonised(df: DataFrame, score: str, source: str, out: str, least: int = 5)
     """df with normal scores within each source of at least ``least`` rows, rescaled to the overall mean and deviation; rows of smaller sources keep their score."""
     s = df.agg(F.avg(score).alias("_m"), F.stddev_samp(score).alias("_s"))
     n = df.groupBy(source).agg(F.count(score).alias("_n"))
-    joined = normal_scores(df, score, "_z", [source]).join(F.broadcast(n), source).crossJoin(F.broadcast(s))
+    joined = normal_scores(df, score, "_z", [source]).join(n, source).crossJoin(F.broadcast(s))
     return joined.withColumn(out, F.when(F.col("_n") >= least, F.col("_m") + F.col("_s") * F.col("_z")).otherwise(F.col(score))).drop("_m", "_s", "_n", "_z")
 
 
@@ -141,16 +142,16 @@ def sector_position(df: DataFrame, columns: list[str], group: str, key: str, out
     long = df.select(key, group, *columns).unpivot([key, group], columns, "indicator", "value")
     middle = quantiles(long, ["indicator", group], "value", {"_med": 0.5}).join(long.groupBy("indicator", group).agg(F.stddev_samp("value").alias("_s")), ["indicator", group])
     z = (F.col("value") - F.col("_med")) / F.when(F.col("_s") > 1e-10, F.col("_s"))
-    mean = long.join(F.broadcast(middle), ["indicator", group], "left").groupBy(key, group).agg(F.avg(z).alias("_z"))
+    mean = long.join(middle, ["indicator", group], "left").groupBy(key, group).agg(F.avg(z).alias("_z"))
     return with_rank(mean, "_z", [group], "_p", pct=True).select(key, group, F.coalesce("_p", F.lit(0.5)).alias(out))
 
 
 def factor_norms(df: DataFrame, key: str, factors: list[str], mode: str) -> DataFrame:
     """(key, factors): null factors filled by the median, then as percentile ranks 0..100 (rank), z brought to 50 and 10 (variance_equalized), or as they are (raw)."""
-    long = df.select(key, *factors).unpivot(key, factors, "indicator", "value")
+    long = settled(df.select(key, *factors).unpivot(key, factors, "indicator", "value"), "factors")
     middle = quantiles(long, ["indicator"], "value", {"_med": 0.5})
     full = long.join(F.broadcast(middle), "indicator", "left").select(key, "indicator", F.coalesce("value", "_med").alias("value"))
-    wide = wide_norms(full, [key], factors, "value")
+    wide = settled(wide_norms(full, [key], factors, "value"), "filled")
     if mode == "rank":
         ranked = rank_columns(wide, key, factors, pct=True, suffix="")
         return ranked.select(key, *[(100 * F.col(f)).alias(f) for f in factors])

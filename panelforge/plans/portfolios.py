@@ -64,10 +64,10 @@ AGG_GROUP_TABLE = f"WITH {PANEL_SQL} SELECT sector, country, count(*) AS n, roun
 
 
 def agg_crosstab(spark, sf_dir):
-    return P.crosstab(entity_panel(spark, sf_dir), "sector", "country")
+    return rounded(P.crosstab(entity_panel(spark, sf_dir), "sector", "country"))
 
 
-AGG_CROSSTAB = f"WITH {PANEL_SQL} SELECT coalesce(sector, 'All') AS sector, coalesce(country, 'All') AS country, count(*) AS n FROM panel GROUP BY CUBE (sector, country)"
+AGG_CROSSTAB = f"WITH {PANEL_SQL}, c AS (SELECT sector, country, count(*) AS n, grouping(sector) AS a, grouping(country) AS b FROM panel GROUP BY CUBE (sector, country)) SELECT CASE WHEN a = 1 THEN 'All' ELSE sector END AS sector, CASE WHEN b = 1 THEN 'All' ELSE country END AS country, n, (2 * a + b)::INT AS margin, round(n / sum(n) FILTER (b = 1) OVER (PARTITION BY a, sector), 5) AS share FROM c"
 
 
 def agg_pivot_difference(spark, sf_dir):

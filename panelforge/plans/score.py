@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelforge.functions.tables import settled
 from panelforge.operators import ranking as R
 from panelforge.operators import scoring as S
 from panelforge.operators.profiling import enough_coverage
@@ -37,7 +38,8 @@ def probit_sql(p: str) -> str:
 def rank_global(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice")
     out = R.with_rank(orders, "o_totalprice", out="rank")
-    return R.with_rank(out, "o_totalprice", out="pct", pct=True).select("o_orderkey", "rank", F.round("pct", 6).alias("pct"))
+    rows = orders.agg(F.count("o_totalprice").alias("_n"))
+    return out.crossJoin(F.broadcast(rows)).select("o_orderkey", "rank", F.round(F.col("rank") / F.col("_n"), 6).alias("pct"))
 
 
 RANK_GLOBAL = f"SELECT o_orderkey, {sql_rank('o_totalprice', pct=False)} AS rank, ROUND({sql_rank('o_totalprice')}, 6) AS pct FROM orders"
@@ -53,7 +55,7 @@ RANK_DESCENDING = f"SELECT l_returnflag, l_quantity, max(c - r + 1) AS rank, cou
 
 def _norm(method, by=None, inverse=None):
     def query(spark, sf_dir):
-        out = S.normalised(long_panel(entity_panel(spark, sf_dir)), method, by, inverse)
+        out = S.normalised(settled(long_panel(entity_panel(spark, sf_dir)), "cells"), method, by, inverse)
         return rounded(out.select("entity_id", "indicator", "norm"))
 
     return query
@@ -265,9 +267,10 @@ SELECT entity_id, (rank() OVER (ORDER BY a DESC) + (count(*) OVER (PARTITION BY
 
 def flagship(spark, sf_dir):
     """Panel to preference ranks: coverage filter, group-median fill, caps, robust z, two-level score, 50/10 standardising, top 20."""
-    panel = enough_coverage(entity_panel(spark, sf_dir), INDICATORS, 0.5)
-    long = quantile_clipped(filled_by_group(long_panel(panel), "sector").drop("filled"), 0.01, 0.99, ["indicator"])
-    z = S.robust_z(long, ["indicator"])
+    # Every frame that several passes read is written once.
+    cells = settled(long_panel(enough_coverage(entity_panel(spark, sf_dir), INDICATORS, 0.5)), "cells")
+    filled = settled(filled_by_group(cells, "sector").drop("filled"), "filled")
+    z = S.robust_z(settled(quantile_clipped(filled, 0.01, 0.99, ["indicator"]), "clipped"), ["indicator"])
     z = z.withColumn("norm", F.when(F.col("indicator").isin(INVERSE), -F.col("norm")).otherwise(F.col("norm")))
     scores = S.pillar_scores(S.wide_norms(z, ["entity_id", "sector"], INDICATORS), PILLARS)
     scores = S.standardised(scores, ["activity_score", "care_score"]).withColumn("score", F.round(0.6 * F.col("activity_score") + 0.4 * F.col("care_score"), 6))
