@@ -1,15 +1,17 @@
 """Secret scan in DataFrame functions only: three base patterns and two character Markov models.
 
 Base spans are the leftmost non-overlapping matches of each pattern. A further span, kind ``markov``, is a run
-of at least ``RUN`` token characters, or what base spans leave of one if that is still as long, whose bigrams are
+of at least ``RUN`` token characters, or what base spans leave of one if that is still as long, with a part of at least ``PART`` characters
+between ``-``, ``_`` and ``/`` (so that dates, UUIDs and most paths have none), whose bigrams are
 likelier under the model of random strings than under the one of ordinary identifiers by ``THRESHOLD`` nats for each
 character. Both models are bigram counts learned from labelled samples: values of base matches are random strings,
-longer words of documents without a base match are ordinary. Base matches are looked for in all documents; each label
+longer words, identifiers and paths of documents without a base match are ordinary. Base matches are looked for in all documents; each label
 is then sampled by itself, from the ``SAMPLE_DOCS`` documents of its kind with the smallest hash. Without any base
 match, or any ordinary word, in the whole table no span is added.
 
 Null texts count as empty and have no spans; positions are code points, ends exclusive. Repeated rows get the
-same spans.
+same spans, whatever their doc_id. Very long texts are scanned whole; an empty table gives no rows. Columns named ``_<spans>_...`` and the
+one for spans are replaced, others carried along.
 """
 
 from __future__ import annotations
@@ -30,14 +32,15 @@ ASSIGN_VALUE = 12
 KINDS = ("assign", "access", "hex", "markov")
 
 RUN = 20
+PART = 16
 SAMPLE_DOCS = 16_384
 THRESHOLD = 0.5
-SMOOTH = 0.5
+SMOOTH = 4.0
 SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 WIDTH = len(ALPHABET) + 1
 CANDIDATE = f"[A-Za-z0-9+/_=-]{{{RUN},}}"
-ORDINARY = "[A-Za-z]{8,}"
+ORDINARY = "[A-Za-z0-9+/_=-]{8,}"
 
 
 def _found(text: Column, pattern: str) -> Column:
@@ -95,12 +98,15 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float] | None:
     seen = {row["pair"]: (row["r"], row["o"]) for row in counts.collect()}  # WIDTH squared rows at most
     if not all(any(v[k] for v in seen.values()) for k in (0, 1)):
         return None
-    out = []
-    for first in range(WIDTH):
-        own = [seen.get(first * WIDTH + second, (0, 0)) for second in range(WIDTH)]
-        r, o = (sum(v[k] for v in own) + SMOOTH * WIDTH for k in (0, 1))
-        out += [math.log((a + SMOOTH) / r) - math.log((b + SMOOTH) / o) for a, b in own]
-    return out
+    random, ordinary = (_conditional([[seen.get(a * WIDTH + b, (0, 0))[k] for b in range(WIDTH)] for a in range(WIDTH)]) for k in (0, 1))
+    return [math.log(r / o) for r, o in zip(random, ordinary, strict=True)]
+
+
+def _conditional(counts: list[list[int]]) -> list[float]:
+    """Probability of each second character after each first one, from counts of pairs, drawn to that of the second alone as if by SMOOTH more pairs."""
+    total = sum(map(sum, counts)) + 0.5 * WIDTH
+    alone = [(sum(row[b] for row in counts) + 0.5) / total for b in range(WIDTH)]
+    return [(row[b] + SMOOTH * alone[b]) / (sum(row) + SMOOTH) for row in counts for b in range(WIDTH)]
 
 
 def _left_over(run: Column, taken: Column) -> Column:
@@ -126,8 +132,10 @@ def scan(docs: DataFrame, model: list[float] | None, text: str = "text", spans:
     ratios = F.from_json(F.lit(json.dumps(model)), "array<double>")
     runs = _spans(t, F.col(f"_{spans}_runs"), CANDIDATE, 3)
     between = lambda s: F.flatten(F.transform(s, lambda r: _left_over(r, F.filter(spans, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))))
-    mean = lambda s: F.aggregate(F.transform(_pairs(s["value"]), lambda p: F.get(ratios, p)), F.lit(0.0), lambda a, x: a + x) / (F.length(s["value"]) - 1)
-    added = F.filter(between(runs), lambda s: mean(s) >= THRESHOLD)
+    parts = lambda s: F.filter(F.split(s["value"], "[-_/]"), lambda p: F.length(p) >= PART)
+    sums = lambda s: F.aggregate(F.flatten(F.transform(parts(s), _pairs)), F.lit(0.0), lambda a, p: a + F.get(ratios, p))
+    pairs = lambda s: F.aggregate(parts(s), F.lit(0), lambda a, p: a + F.length(p) - 1)
+    added = F.filter(between(runs), lambda s: (pairs(s) > 0) & (sums(s) >= THRESHOLD * pairs(s)))
     found = base.withColumn(f"_{spans}_runs", _found(t, CANDIDATE))
     return found.withColumn(spans, F.when(F.size(f"_{spans}_runs") > 0, F.array_sort(F.concat(spans, added))).otherwise(F.col(spans))).drop(f"_{spans}_runs")
 
