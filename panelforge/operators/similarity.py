@@ -40,8 +40,29 @@ def to_target(df: DataFrame, key: str, vector: str, target, n: int) -> DataFrame
     return top(near, "similarity", key, n)
 
 
-def nearest(df: DataFrame, key: str, vector: str, k: int, block: int = BLOCK) -> DataFrame:
-    """(key, peer, similarity): the k rows most like each row by cosine, exact.
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    unit = lambda v: np.divide(v, n := np.linalg.norm(v, axis=1, keepdims=True), out=np.zeros_like(v), where=n > 0)
+    return unit(a) @ unit(b).T
+
+
+def _closeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """1 / (1 + distance), some rows at a time."""
+    return np.concatenate([np.zeros((0, len(b))), *[1 / (1 + np.sqrt(((a[lo : lo + 64, None] - b[None]) ** 2).sum(2))) for lo in range(0, len(a), 64)]])
+
+
+def _jaccards(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Share of dimensions above 0 in both among those above 0 in one."""
+    a, b = (a > 0).astype(float), (b > 0).astype(float)
+    both = a @ b.T
+    either = a.sum(1)[:, None] + b.sum(1)[None] - both
+    return np.divide(both, either, out=np.zeros_like(both), where=either > 0)
+
+
+METRICS = {"cosine": _cosines, "euclidean": _closeness, "jaccard": _jaccards}
+
+
+def nearest(df: DataFrame, key: str, vector: str, k: int, block: int = BLOCK, metric: str = "cosine", weights: list[float] | None = None) -> DataFrame:
+    """(key, peer, similarity): the k rows most like each row by ``metric``, exact; with ``weights`` for the dimensions.
 
     Rows are dealt into blocks; every pair of blocks is one group, in which a matrix product gives the k best of
     each row, and the best of all its groups are kept. Groups grow in number with the square of the rows, which an exact
@@ -59,9 +80,8 @@ def nearest(df: DataFrame, key: str, vector: str, k: int, block: int = BLOCK) ->
         ids = t.column("id").to_numpy()
         v = np.array(t.column("v").to_pylist(), float).reshape(len(ids), -1)
         q = t.column("query").to_numpy(zero_copy_only=False).astype(bool)
-        norm = np.linalg.norm(v, axis=1, keepdims=True)
-        v = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
-        sim = np.round(v[q] @ v[~q].T, 9)
+        v = v * np.array(weights) if weights is not None and len(v) else v
+        sim = np.round(METRICS[metric](v[q], v[~q]), 9)
         sim[ids[q][:, None] == ids[~q][None]] = -np.inf
         order = np.lexsort((np.broadcast_to(ids[~q], sim.shape), -sim), axis=1)[:, :k] if sim.size else np.zeros((q.sum(), 0), int)
         peer, s = ids[~q][order], np.take_along_axis(sim, order, 1)
