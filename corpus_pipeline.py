@@ -4,7 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 docs of the next. All but the last return the columns of ``documents``. Each stage is judged on its own input:
 models and statistics are learned from the documents it is given.
 
-A null text has no letter and goes in the first stage; so do empty texts.
+A null text has no letter and goes in the first stage; so do empty texts. Later stages keep null and empty texts: they have no near copies, leaks or
+secrets and no tokens. Nulls in other columns are carried along; rows with a null doc_id are learned from by no model. Repeated rows count as near copies. Very long texts are
+read whole, in segments. Empty tables give no rows. Columns of any further name are carried along: every stage packs the row it is given.
 """
 
 from __future__ import annotations
@@ -48,8 +50,7 @@ def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each run of secret spans replaced by a mark and n_chars brought up to date."""
-    names = [c for c in docs.columns if c not in ("text", "n_chars")]
-    found = secrets.scan(docs.select(F.struct(*names).alias("_rest"), "text", "n_chars"), secrets.fit(docs), spans="_secrets")
+    found = secrets.scan(docs.select(packed(docs).alias("row"), "text"), secrets.fit(docs), spans="_secrets")
     text = F.col("text")
 
     def cut(acc, s):
@@ -58,9 +59,10 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], before, mark).alias("out"))
 
     done = F.aggregate("_secrets", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    clean = F.when(F.size("_secrets") > 0, done).otherwise(text)
-    out = found.select("_rest.*", clean.alias("text"), "n_chars", (F.size("_secrets") > 0).alias("_changed"))
-    return out.withColumn("n_chars", F.when(F.col("_changed"), F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    hit = F.size("_secrets") > 0
+    out = found.select("row", F.when(hit, done).otherwise(text).alias("clean"), hit.alias("hit"))
+    new = {"text": F.col("clean"), "n_chars": F.when(F.col("hit"), F.length("clean").cast("bigint")).otherwise(F.col("row.n_chars"))}
+    return out.select(*[new[c].alias(c) if c in new else one for c, one in zip(docs.columns, unpacked("row", docs.columns), strict=True)])
 
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
