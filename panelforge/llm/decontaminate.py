@@ -9,7 +9,8 @@ words are compared with those that the posting carries, so a match is exact (64-
 
 Null and empty texts have no words and are not contaminated; items without words have no window. Repeated rows, of
 either table, count like any other; texts are told apart by a 128-bit key, so repeated or null doc_ids do no harm.
-Items with a null item_id contaminate like any other, but have no place in the list of items.
+Items with a null item_id contaminate like any other, but have no place in the list of items. Very long texts are read whole, hashed in segments; an
+empty table of documents gives no rows, an empty benchmark no hits. Other columns of documents are carried along packed, so their names don't matter.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from panelforge.llm.common import bounded_batches, packed, settled
 from panelforge.llm.text_kernels import Words, chunks, content_key
 
 WINDOW = 10
-#: Words of the benchmark that a task carries at most; a larger vocabulary goes through a join instead.
+#: Words of the benchmark that a task carries at most; a larger vocabulary takes one more pass over the corpus for each so many.
 CARRIED_WORDS = 2_000_000
 #: Windows that a broadcast carries at most (some 20 MB); more are joined by a shuffle.
 CARRIED_WINDOWS = 100_000

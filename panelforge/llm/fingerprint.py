@@ -9,7 +9,8 @@ paragraph is put in or taken out by adding or subtracting its vector (``combine`
   it, and a lane with their number. Twice the count less the number is a random projection, so the cosine of two
   such vectors estimates how much of their word pairs two texts share.
 
-Null texts count as empty; an empty text is one empty paragraph. Repeated rows have equal fingerprints. Where
+Null texts count as empty; an empty text is one empty paragraph. Very long texts are taken whole, paragraph by paragraph; an empty table gives no rows, and
+other columns are ignored. Repeated rows have equal fingerprints. Where
 doc_id repeats or is null, the order of documents goes by (doc_id descending, nulls last, SHA-256 of the text).
 """
 
