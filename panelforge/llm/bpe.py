@@ -27,7 +27,7 @@ from tokenizers import pre_tokenizers
 from panelforge.llm.common import bounded_batches
 
 #: Pieces, and pairs of tokens, kept in a worker; each cache is emptied when full.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 400_000
 #: Code points with letters, numbers or white space; the planes between have none assigned.
 PLANES = (range(0xD800), range(0xE000, 0x40000), range(0xE0000, 0xE1000))
 
@@ -41,20 +41,30 @@ def _joined(before: str, splitter) -> set[str]:
 
 
 def _ranges(chars: set[str]) -> str:
-    """A character class of sorted characters, neighbours as ranges."""
+    """The inside of a character class of sorted characters, neighbours as ranges."""
+    if not chars:
+        return ""
     points = np.array(sorted(map(ord, chars)))
     cut = np.flatnonzero(np.diff(points) > 1) + 1
     return "".join(f"{re.escape(chr(r[0]))}-{re.escape(chr(r[-1]))}" for r in np.split(points, cut))
 
 
+#: Characters above the basic plane; a class that lists them is slow to refuse others, so they are looked at by themselves.
+_HIGH = "\U00010000-\U0010ffff"
+
+
 @functools.cache
 def piece_pattern() -> str:
     """How the byte-level scheme cuts a text before merging: contractions, then letters, numbers or other symbols after at most one space, then white space."""
     splitter = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
     letters, numbers, others = (_joined(c, splitter) for c in "a1!")
     every = {chr(c) for plane in PLANES for c in plane}
-    letter, number, space = _ranges(letters), _ranges(numbers), _ranges(every - letters - numbers - others)
-    return f"'(?:[sdmt]|ll|ve|re)| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+"
+    space = _ranges(every - letters - numbers - others)
+    low = lambda chars: _ranges({c for c in chars if ord(c) < 0x10000})
+    high = lambda chars: _ranges({c for c in chars if ord(c) >= 0x10000})
+    run = lambda chars: f"(?:[{low(chars)}]+|[{_HIGH}](?<=[{high(chars)}]))+"
+    other = f"(?:[^{space}{low(letters)}{low(numbers)}{_HIGH}]+|[{_HIGH}](?<![{high(letters)}{high(numbers)}]))+"
+    return f"'(?:[sdmt]|ll|ve|re)| ?{run(letters)}| ?{run(numbers)}| ?{other}|[{space}]+(?![^{space}])|[{space}]+"
 
 
 class SuffixAutomaton:
