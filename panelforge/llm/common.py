@@ -62,7 +62,7 @@ def in_fold(key: str, parts: int, number: int) -> Column:
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
-    """At most ``sample_rows`` rows (text, label), settled: documents with labels (doc_id, label), those with the smallest ``priority`` of
+    """At most ``sample_rows`` rows (text, label), read from a settled table: documents with labels (doc_id, label), those with the smallest ``priority`` of
     labels if it has such a column, else with the smallest hash of doc_id. Rows with one doc_id, text and label count as one; null ids and labels are left out.
 
     The bound holds whatever repeats: it is applied to the labels before the texts are read (once), and to the rows found."""
@@ -70,7 +70,8 @@ def training_rows(documents: DataFrame, labels: DataFrame, sample_rows: int) ->
     wanted = labels.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).distinct().orderBy(*order).limit(sample_rows)
     # The broadcast side has sample_rows short rows at most.
     own = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = settled(own.join(F.broadcast(wanted), "doc_id").withColumn("h", F.xxhash64("text")), "labelled")
-    keys = ["doc_id", "label", "h"]
-    kept = found.select(*keys, *[c for c in ("priority",) if c in found.columns]).distinct().orderBy(*order, "h").limit(sample_rows).select(*keys)
-    return settled(found.join(F.broadcast(kept), keys).dropDuplicates(keys).select("text", "label"), "sample")
+    numbered = own.join(F.broadcast(wanted), "doc_id").withColumns({"h": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    found = settled(numbered, "labelled")
+    keys = [*[c for c in ("priority",) if c in found.columns], "doc_id", "label", "h"]
+    kept = found.groupBy(*keys).agg(F.min("row").alias("row")).orderBy(*order, "h").limit(sample_rows).select("row")
+    return found.join(F.broadcast(kept), "row").select("text", "label")

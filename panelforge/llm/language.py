@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import bounded_batches, in_fold, settled, training_rows
+from panelforge.llm.common import bounded_batches, in_fold, training_rows
 from panelforge.llm.text_kernels import CHUNK_BYTES, chunks
 
 SAMPLE_ROWS = 8_192
@@ -192,27 +192,15 @@ def sampled(rows: DataFrame, sample_rows: int) -> tuple[DataFrame, list[str]]:
     return training_rows(rows.select("doc_id", "text"), labels, sample_rows), names
 
 
-def tf_idf(text: Column, idf: np.ndarray, spark: SparkSession) -> Column:
-    """struct<buckets, values> of each text."""
-    shared = spark.sparkContext.broadcast(idf)
-
-    @F.arrow_udf("buckets array<int>, values array<double>")
-    def of(texts: pa.Array) -> pa.Array:
-        every = [(b.astype(np.int32), v) for b, v, _ in vectors(texts, shared.value)]
-        return pa.StructArray.from_arrays([pa.array([b for b, _ in every], pa.list_(pa.int32())), pa.array([v for _, v in every], pa.list_(pa.float64()))], ["buckets", "values"])
-
-    return of(text)
-
-
-def _examples(rows: pa.Table | pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
-    return [(np.asarray(b.values), np.asarray(v.values)) for b, v in zip(rows.column("buckets"), rows.column("values"), strict=True)]
+def _examples(texts: pa.ChunkedArray, idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(buckets, values) for buckets, values, _ in vectors(texts, idf)]
 
 
 def _trainer(state):
     def train(shard):
-        z, n, number = state.value
+        z, n, idf, number = state.value
         shard = shard.sort_by("h").combine_chunks()
-        z, n = train_shard(_examples(shard), [number[x] for x in shard.column("label").to_pylist()], z, n)
+        z, n = train_shard(_examples(shard.column("text"), idf), [number[x] for x in shard.column("label").to_pylist()], z, n)
         return pa.table({"z": pa.array([z.ravel()]), "n": pa.array([n.ravel()])})
 
     return train
@@ -228,14 +216,14 @@ def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, rounds: int = ROUNDS) -
     seen = document_frequencies(rows)
     idf = np.log((1 + seen[-1]) / (1 + seen[:-1])) + 1
     number = {n: k for k, n in enumerate(names)}
-    kept = sample.select(F.xxhash64("text", "label").alias("h"), "label", tf_idf(F.col("text"), idf, spark).alias("x")).select("h", "label", "x.*")
-    examples = settled(kept.withColumn("apart", F.pmod(F.xxhash64("h", F.lit(7)), F.lit(8)) == 0), "examples")
+    kept = sample.select(F.xxhash64("text", "label").alias("h"), "label", "text")
+    examples = kept.withColumn("apart", F.pmod(F.xxhash64("h", F.lit(7)), F.lit(8)) == 0)
     placed = examples.where("not apart")
     shards = max(1, -(-placed.count() // SHARD_ROWS))
     dealt = placed.withColumn("shard", F.pmod(F.xxhash64("h", F.lit(3)), F.lit(shards)))
     z, n = np.zeros((2, DIM + 1, len(names)))
     for _ in range(rounds):
-        train = _trainer(spark.sparkContext.broadcast((z, n, number)))
+        train = _trainer(spark.sparkContext.broadcast((z, n, idf, number)))
         parts = dealt.groupBy("shard").applyInArrow(train, "z array<double>, n array<double>").collect()  # one state for each shard of the sample
         if parts:
             z = np.mean([np.array(p["z"]) for p in parts], 0).reshape(z.shape)
@@ -247,7 +235,7 @@ def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, rounds: int = ROUNDS) -
 
     def apart(batches):
         for b in batches:
-            rows = [_logits(shared.value, *x) for x in _examples(b)]
+            rows = [_logits(shared.value, *x) for x in _examples(b.column("text"), shared.value.idf)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), b.column("label")], ["logits", "label"])
 
     judged = examples.where("apart").mapInArrow(apart, "logits array<double>, label string").collect()  # an eighth of the sample

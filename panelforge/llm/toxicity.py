@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import bounded_batches, in_fold, settled, training_rows
+from panelforge.llm.common import bounded_batches, in_fold, training_rows
 from panelforge.llm.text_kernels import Words, chunks, combine
 
 SAMPLE_ROWS = 12_288
@@ -86,17 +86,8 @@ def features(texts: pa.Array):
         yield row, len(offsets) - 1, np.concatenate(docs), (np.concatenate(found) >> _U(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def distinct_features(text: Column) -> Column:
-    """The sorted distinct buckets of each text."""
-
-    @F.arrow_udf("array<int>")
-    def of(texts: pa.Array) -> pa.Array:
-        return pa.array(_distinct(texts), pa.list_(pa.int32()))
-
-    return of(text)
-
-
 def _distinct(texts: pa.Array) -> list[np.ndarray]:
+    """The sorted distinct buckets of each text."""
     out: list[np.ndarray] = []
     for _, rows, doc, bucket in features(texts):
         key = np.unique(doc << BUCKET_BITS | bucket)
@@ -138,7 +129,7 @@ def averaged(states: list[State], start: State) -> State:
 def _trainer(start, l1: float):
     def train(shard):
         shard = shard.sort_by("h").combine_chunks()
-        new = train_shard([np.asarray(x.values) for x in shard.column("row").chunk(0)], shard.column("label").to_numpy(), start.value, l1)
+        new = train_shard(_distinct(shard.column("text")), shard.column("label").to_numpy(), start.value, l1)
         return pa.table({"buckets": pa.array([new.buckets]), "z": pa.array([new.z]), "n": pa.array([new.n])})
 
     return train
@@ -147,8 +138,7 @@ def _trainer(start, l1: float):
 def fit(labelled: DataFrame, rounds: int = ROUNDS) -> Linear:
     """The model of a bounded frame (text, label 0 or 1); ``training_rows`` makes one."""
     spark = labelled.sparkSession
-    kept = labelled.select(F.xxhash64("text", "label").alias("h"), distinct_features(F.col("text")).alias("row"), F.col("label").cast("double").alias("label"))
-    examples = settled(kept, "examples")
+    examples = labelled.select(F.xxhash64("text", "label").alias("h"), "text", F.col("label").cast("double").alias("label"))
     rows = examples.count()
     shards = max(1, -(-rows // SHARD_ROWS))
     l1 = L1_PER_ROOT * max(1.0, rows / shards) ** 0.5
