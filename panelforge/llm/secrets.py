@@ -6,8 +6,12 @@ between ``-``, ``_`` and ``/`` (so that dates, UUIDs and most paths have none),
 likelier under the model of random strings than under the one of ordinary identifiers by ``THRESHOLD`` nats for each
 character. Both models are bigram counts learned from labelled samples: values of base matches are random strings,
 longer words, identifiers and paths of documents without a base match are ordinary. Base matches are looked for in all documents; each label
-is then sampled by itself, from the ``SAMPLE_DOCS`` documents of its kind with the smallest hash. Without any base
-match, or any ordinary word, in the whole table no span is added.
+is then sampled by itself, from the ``SAMPLE_DOCS`` documents of its kind with the smallest hash (all documents with the last hash come along,
+so repeated rows and ties change nothing). Without any base match, or any ordinary word, in the whole table no span is added.
+
+A key that stands alone in a document must not teach the ordinary model what it is to be told from: an ordinary sample consists of pieces that read
+like words (``PIECE``), every value counts once however often it occurs, and the models are fitted twice, the second time without the ordinary samples
+that the first ones call random.
 
 Null texts count as empty and have no spans; positions are code points, ends exclusive. Repeated rows get the
 same spans, whatever their doc_id. Very long texts are scanned whole; an empty table gives no rows. Columns named ``_<spans>_...`` and the
@@ -41,6 +45,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 WIDTH = len(ALPHABET) + 1
 CANDIDATE = f"[A-Za-z0-9+/_=-]{{{RUN},}}"
 ORDINARY = "[A-Za-z0-9+/_=-]{8,}"
+#: What ordinary samples consist of: words, capitals, short numbers, separators.
+PIECE = "[A-Z]?[a-z]{3,}+|[A-Z]{3,}+|(?<![0-9])[0-9]{1,4}(?![0-9])|[-_/+=]"
 
 
 def _found(text: Column, pattern: str) -> Column:
@@ -94,7 +100,15 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float] | None:
     plain = base_spans(hashed.where(F.col("h") <= last)).where(F.size("spans") == 0)
     random, ordinary = kept.select(F.lit(1).alias("random"), "values"), plain.select(F.lit(0).alias("random"), _found(F.col("text"), ORDINARY).alias("values"))
     values = random.union(ordinary).select("random", F.explode("values").alias("value")).where(F.length("value") > 1)
-    counts = values.select("random", F.explode(_pairs(F.col("value"))).alias("pair")).groupBy("pair").agg(F.sum("random").alias("r"), F.sum(1 - F.col("random")).alias("o"))
+    reads = F.regexp_replace("value", PIECE, "") == ""
+    samples = settled(values.where((F.col("random") == 1) | reads).distinct(), "samples")
+    first = _ratios(samples)
+    return first and _ratios(samples.where((F.col("random") == 1) | ~_looks_random(F.array("value"), first)))
+
+
+def _ratios(samples: DataFrame) -> list[float] | None:
+    """Log-likelihood ratio of each pair of characters from samples (random, value)."""
+    counts = samples.select("random", F.explode(_pairs(F.col("value"))).alias("pair")).groupBy("pair").agg(F.sum("random").alias("r"), F.sum(1 - F.col("random")).alias("o"))
     seen = {row["pair"]: (row["r"], row["o"]) for row in counts.collect()}  # WIDTH squared rows at most
     if not all(any(v[k] for v in seen.values()) for k in (0, 1)):
         return None
@@ -102,6 +116,14 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float] | None:
     return [math.log(r / o) for r, o in zip(random, ordinary, strict=True)]
 
 
+def _looks_random(parts: Column, model: list[float]) -> Column:
+    """Whether the pairs of all parts together are likelier under the model of random strings by THRESHOLD a pair."""
+    ratios = F.from_json(F.lit(json.dumps(model)), "array<double>")
+    sums = F.aggregate(F.flatten(F.transform(parts, _pairs)), F.lit(0.0), lambda a, p: a + F.get(ratios, p))
+    pairs = F.aggregate(parts, F.lit(0), lambda a, p: a + F.length(p) - 1)
+    return (pairs > 0) & (sums >= THRESHOLD * pairs)
+
+
 def _conditional(counts: list[list[int]]) -> list[float]:
     """Probability of each second character after each first one, from counts of pairs, drawn to that of the second alone as if by SMOOTH more pairs."""
     total = sum(map(sum, counts)) + 0.5 * WIDTH
@@ -129,13 +151,10 @@ def scan(docs: DataFrame, model: list[float] | None, text: str = "text", spans:
     if model is None:
         return base
     t = F.coalesce(F.col(text), F.lit(""))
-    ratios = F.from_json(F.lit(json.dumps(model)), "array<double>")
     runs = _spans(t, F.col(f"_{spans}_runs"), CANDIDATE, 3)
     between = lambda s: F.flatten(F.transform(s, lambda r: _left_over(r, F.filter(spans, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))))
     parts = lambda s: F.filter(F.split(s["value"], "[-_/]"), lambda p: F.length(p) >= PART)
-    sums = lambda s: F.aggregate(F.flatten(F.transform(parts(s), _pairs)), F.lit(0.0), lambda a, p: a + F.get(ratios, p))
-    pairs = lambda s: F.aggregate(parts(s), F.lit(0), lambda a, p: a + F.length(p) - 1)
-    added = F.filter(between(runs), lambda s: (pairs(s) > 0) & (sums(s) >= THRESHOLD * pairs(s)))
+    added = F.filter(between(runs), lambda s: _looks_random(parts(s), model))
     found = base.withColumn(f"_{spans}_runs", _found(t, CANDIDATE))
     return found.withColumn(spans, F.when(F.size(f"_{spans}_runs") > 0, F.array_sort(F.concat(spans, added))).otherwise(F.col(spans))).drop(f"_{spans}_runs")
 
