@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.llm import url_rules
+from panelforge.llm import filter_audit, url_rules
 from panelforge.llm.bpe import op6_bpe
 from panelforge.llm.decontaminate import op9_decontaminate
 from panelforge.llm.fingerprint import op2_fingerprint
@@ -32,8 +32,12 @@ def queries() -> dict[str, Query]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_decontaminate": op9_decontaminate,
         "op10_quality": op10_quality,
+        "op12_filter_audit": filter_audit.op12_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_rules": url_rules.ORACLE_SQL}
+    return {
+        "op3_url_rules": url_rules.ORACLE_SQL,
+        "op12_filter_audit": filter_audit.ORACLE_SQL,
+    }
