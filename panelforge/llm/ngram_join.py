@@ -30,6 +30,7 @@ their names, are carried along unread. The search within a group of unlike texts
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -58,21 +59,21 @@ BLOCK_ROWS = 4096
 BLOCK_BYTES = 8 << 20
 #: Pairs of one node that meet in a verification block at most; more are spread over several.
 HUB = 256
-#: Nodes whose keys a broadcast carries at most (16 MB); more are joined by a shuffle.
+#: Rows of nodes and buckets that a broadcast carries at most (some 40 MB); more are joined by a shuffle.
 CARRIED_NODES = 1_000_000
 _U = np.uint64
 
 
-def shingle_sets(texts: pa.Array):
-    """The sorted distinct shingle hashes of each text."""
+def shingle_sets(texts: pa.Array, size: int = SHINGLE):
+    """The sorted distinct hashes of each text's shingles of ``size`` words."""
     for _, data, offsets in chunks(texts):
         w = Words(data, offsets)
         h = w.hashes()
-        n = len(h) - SHINGLE + 1
-        grams = combine([h[k : k + n] for k in range(SHINGLE)], 5) if n > 0 else np.zeros(0, np.uint64)
+        n = len(h) - size + 1
+        grams = combine([h[k : k + n] for k in range(size)], size) if n > 0 else np.zeros(0, np.uint64)
         for a, b in zip(w.first[:-1], w.first[1:], strict=True):
-            if b - a >= SHINGLE:
-                yield np.unique(grams[a : b - SHINGLE + 1])
+            if b - a >= size:
+                yield np.unique(grams[a : b - size + 1])
             elif b > a:
                 yield combine([h[k : k + 1] for k in range(a, b)], int(100 + b - a))
             else:
@@ -394,13 +395,13 @@ def _once(batches):
 _LINK = pa.schema([(c, pa.int64()) for c in ("a1", "a2", "b1", "b2")])
 
 
-def _linked(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+def _linked(pairs: pa.Table, texts: pa.Table, size: int) -> pa.Table:
     """Those of the pairs whose sets link."""
     at: dict[tuple, int] = {}
     for k, key in enumerate(zip(texts.column("h1").to_pylist(), texts.column("h2").to_pylist(), strict=True)):
         at.setdefault(key, k)
     rows = pa.array(list(at.values()), pa.int64())
-    sets = dict(zip(at, shingle_sets(texts.column("text").take(rows)), strict=True))
+    sets = dict(zip(at, shingle_sets(texts.column("text").take(rows), size), strict=True))
     ends = [pairs.column(c).to_pylist() for c in ("a", "a2", "b", "b2")]
     kept = []
     for k, (a, a2, b, b2) in enumerate(zip(*ends, strict=True)):
@@ -411,10 +412,10 @@ def _linked(pairs: pa.Table, texts: pa.Table) -> pa.Table:
     return pa.table([pairs.column(c).take(pa.array(kept, pa.int64())) for c in ("a", "a2", "b", "b2")], schema=_LINK)
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, size: int = SHINGLE) -> DataFrame:
     """Those of the distinct pairs (a, b: h1 of nodes) that link, as (a1, a2, b1, b2); nodes that share h1 are all tried.
 
-    Pairs are dealt into buckets by the end with more pairs, and the text of a node goes once to each bucket that needs it.
+    Pairs are dealt into buckets by the end with more pairs, and the text of a node goes once to each bucket that needs it. Shingles have ``size`` words.
     """
     side = lambda s: nodes.select(F.col("h1").alias(s), F.col("h2").alias(f"{s}2"), F.col("n").alias(f"{s}n"), F.col("key").alias(f"{s}k"))
     near = (100 * F.col("an") >= PERCENT * F.col("bn")) & (100 * F.col("bn") >= PERCENT * F.col("an"))
@@ -429,13 +430,13 @@ def _verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataF
     dealt = sized.select(bucket, "a", "a2", "b", "b2", "ak", "bk")
     end = lambda s: F.struct("bucket", F.col(s).alias("h1"), F.col(f"{s}2").alias("h2"), F.col(f"{s}k").alias("key"))
     wanted = dealt.select(F.explode(F.array(end("a"), end("b"))).alias("x")).select("x.*").distinct()
-    wanted = settled(wanted.groupBy("key.k1", "key.k2").agg(F.collect_list(F.struct("bucket", "h1", "h2")).alias("to")), "wanted")
+    wanted = settled(wanted.select("key.k1", "key.k2", "bucket", "h1", "h2"), "wanted")
     if wanted.count() <= CARRIED_NODES:
         wanted = F.broadcast(wanted)
     keyed = documents.select("text", *text_key(F.col("text")))
-    sent = keyed.join(wanted, ["k1", "k2"]).select(F.explode("to").alias("x"), "text").select("x.*", "text")
+    sent = keyed.join(wanted, ["k1", "k2"]).select("bucket", "h1", "h2", "text")
     texts = sent.mapInArrow(_once, "bucket bigint, h1 bigint, h2 bigint, text string")
-    return dealt.select("bucket", "a", "a2", "b", "b2").groupBy("bucket").cogroup(texts.groupBy("bucket")).applyInArrow(_linked, "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
+    return dealt.select("bucket", "a", "a2", "b", "b2").groupBy("bucket").cogroup(texts.groupBy("bucket")).applyInArrow(lambda some, of: _linked(some, of, size), "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
 
 
 def _nodes(documents: DataFrame) -> DataFrame:
@@ -486,8 +487,8 @@ def _candidates(shared: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFr
     return settled(found, "candidates"), groups
 
 
-def _across(shared: DataFrame, points: DataFrame, of: DataFrame, again: DataFrame, likeliest: bool) -> DataFrame:
-    """(a, b) of pairs of different classes in some groups (sig, size), settled: all whose bound fits, or every node's likeliest in its largest group."""
+def across(shared: DataFrame, points: DataFrame, of: DataFrame, again: DataFrame, likeliest: bool, search: Callable[[pa.Table, float], pa.Table] = _search_across) -> DataFrame:
+    """(a, b) of pairs of different classes in some groups (sig, size), settled: all that ``search`` finds in blocks of tiles, or every node's likeliest in its largest group."""
     most = -1.0 if likeliest else float("inf")
     inside = shared.join(again, "sig")
     inside = _largest_only(settled(inside, "inside"), 0) if likeliest else inside
@@ -507,11 +508,11 @@ def _across(shared: DataFrame, points: DataFrame, of: DataFrame, again: DataFram
     cells = F.explode(F.concat(as_outer, F.coalesce(as_inner, F.array().cast("array<struct<i:bigint,j:bigint,inner:boolean>>"))))
     dealt = inside.select("sig", "h1", "comp", "n", "point", cells.alias("cell")).select("sig", "h1", "comp", "n", "point", "cell.*")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("sig", "i", "j"), F.lit(blocks)))
-    found = dealt.groupBy("block").applyInArrow(lambda block: _search_across(block, most), "a bigint, b bigint, score double, dense bigint")
+    found = dealt.groupBy("block").applyInArrow(lambda block: search(block, most), "a bigint, b bigint, score double, dense bigint")
     return settled(found.where("a is not null").select("a", "b"), "across")
 
 
-def _first_classes(links: DataFrame) -> DataFrame:
+def first_classes(links: DataFrame) -> DataFrame:
     """(h1, component) of the nodes that links join; parts of a class that are far apart can still have different labels."""
     return settled(_joined_by(links, CLASS_ROUNDS).select(F.col("node.h1").alias("h1"), F.col("component.h1").alias("component")).dropDuplicates(["h1"]), "first")
 
@@ -530,28 +531,33 @@ def classes(documents: DataFrame, rows: DataFrame) -> DataFrame:
     best = likeliest("a", "b").union(likeliest("b", "a")).groupBy("node").agg(F.max("to").alias("to"))
     ends = best.select(F.least("node", "to.other").alias("a"), F.greatest("node", "to.other").alias("b"))
     tested = settled(ends.distinct(), "tested")
-    links = settled(_verified(tested, nodes, documents), "links")
-    of = _first_classes(links)
+    links = settled(verified(tested, nodes, documents), "links")
+    of = first_classes(links)
     marked = found.where("dense is not null").select(F.col("dense").alias("sig"), F.lit(True).alias("marked")).distinct()
     again = settled(groups.join(marked, "sig", "left").where(F.col("marked") | (F.col("size") > min(LARGE, TILE))).select("sig", "size"), "again")
     there = not again.isEmpty()
     if there:
-        likely = settled(_across(shared, points, of, again, True).distinct().join(tested, ["a", "b"], "left_anti"), "likely")
-        links, tested = settled(links.union(_verified(likely, nodes, documents)), "links"), tested.union(likely)
-        of = _first_classes(links)
+        likely = settled(across(shared, points, of, again, True).distinct().join(tested, ["a", "b"], "left_anti"), "likely")
+        links, tested = settled(links.union(verified(likely, nodes, documents)), "links"), tested.union(likely)
+        of = first_classes(links)
     class_of = lambda s: of.select(F.col("h1").alias(s), F.col("component").alias(f"{s}c"))
     apart = F.coalesce("ac", "a") != F.coalesce("bc", "b")
     more = pairs.select("a", "b").join(class_of("a"), "a", "left").join(class_of("b"), "b", "left").where(apart).select("a", "b")
     mates = shared.join(shared.join(F.broadcast(twins), "h1").select("sig", F.col("h1").alias("twin")), "sig").where("h1 <> twin")
     more = more.union(mates.select(F.least("h1", "twin").alias("a"), F.greatest("h1", "twin").alias("b")))
     if there:
-        more = more.union(_across(shared, points, of, again, False))
+        more = more.union(across(shared, points, of, again, False))
     more = settled(more.distinct().join(tested, ["a", "b"], "left_anti"), "more")
-    links = settled(links.union(_verified(more, nodes, documents)), "links")
+    links = settled(links.union(verified(more, nodes, documents)), "links")
+    return named(nodes, links)
+
+
+def named(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(h1, h2, component_id) of all nodes (h1, h2, label): the smallest label of what links (a1, a2, b1, b2) join."""
     of = settled(_joined_by(links).select(F.col("node.h1").alias("h1"), F.col("node.h2").alias("h2"), "component"), "components")
-    named = nodes.select("h1", "h2", "label").join(of, ["h1", "h2"], "left")
-    least = settled(named.where("component is not null").groupBy("component").agg(F.min("label").alias("least")), "least")
-    return settled(named.join(least, "component", "left").select("h1", "h2", F.coalesce("least", "label").alias("component_id")), "classes")
+    own = nodes.select("h1", "h2", "label").join(of, ["h1", "h2"], "left")
+    least = settled(own.where("component is not null").groupBy("component").agg(F.min("label").alias("least")), "least")
+    return settled(own.join(least, "component", "left").select("h1", "h2", F.coalesce("least", "label").alias("component_id")), "classes")
 
 
 def joined(documents: DataFrame) -> DataFrame:

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.llm import filter_audit, url_rules
+from panelforge.llm import filter_audit, merkle, url_rules
 from panelforge.llm.bpe import op6_bpe
 from panelforge.llm.decontaminate import op9_decontaminate
 from panelforge.llm.fingerprint import op2_fingerprint
 from panelforge.llm.language import op5_language
+from panelforge.llm.minhash import op13_minhash
 from panelforge.llm.ngram_join import op4_ngram_join
 from panelforge.llm.quality import op10_quality
 from panelforge.llm.secrets import op7_secrets
@@ -32,12 +33,15 @@ def queries() -> dict[str, Query]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_decontaminate": op9_decontaminate,
         "op10_quality": op10_quality,
+        "op11_merkle_manifest": merkle.op11_merkle_manifest,
         "op12_filter_audit": filter_audit.op12_filter_audit,
+        "op13_minhash": op13_minhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_url_rules": url_rules.ORACLE_SQL,
+        "op11_merkle_manifest": merkle.ORACLE_SQL,
         "op12_filter_audit": filter_audit.ORACLE_SQL,
     }

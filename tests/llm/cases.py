@@ -81,16 +81,16 @@ def contamination(texts: list[str], items: dict[int, str], size: int = 10):
     return out
 
 
-def shingles(text: str | None) -> frozenset:
+def shingles(text: str | None, size: int = 5) -> frozenset:
     words = re.findall(r"[^\x20\x09-\x0D]+", lower(text or ""))
     if not words:
         return frozenset()
-    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+    return frozenset(tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1)))
 
 
-def linked(rows: list[tuple[int, str | None]], percent: int = 80) -> dict[int, tuple[int, int]]:
+def linked(rows: list[tuple[int, str | None]], percent: int = 80, size: int = 5) -> dict[int, tuple[int, int]]:
     """doc_id -> (set size, component) by comparing all pairs."""
-    sets = [(i, shingles(t)) for i, t in rows]
+    sets = [(i, shingles(t, size)) for i, t in rows]
     parent = {i: i for i, _ in rows}
 
     def top(i):
