@@ -46,8 +46,17 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _closeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """1 / (1 + distance), some rows at a time."""
-    return np.concatenate([np.zeros((0, len(b))), *[1 / (1 + np.sqrt(((a[lo : lo + 64, None] - b[None]) ** 2).sum(2))) for lo in range(0, len(a), 64)]])
+    """1 / (1 + distance); distances by one product, of vectors taken from their mean so that little is lost in the difference."""
+    middle = b.mean(0) if len(b) else 0.0
+    a, b = a - middle, b - middle
+    square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T
+    # Where the difference has lost its digits (near copies) the distance is taken by itself.
+    lost = square < 1e-6 * ((a * a).sum(1)[:, None] + (b * b).sum(1)[None])
+    i, j = np.nonzero(lost)
+    for lo in range(0, len(i), 1 << 14):
+        x, y = i[lo : lo + (1 << 14)], j[lo : lo + (1 << 14)]
+        square[x, y] = ((a[x] - b[y]) ** 2).sum(1)
+    return 1 / (1 + np.sqrt(np.maximum(square, 0)))
 
 
 def _jaccards(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -61,20 +70,41 @@ def _jaccards(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 METRICS = {"cosine": _cosines, "euclidean": _closeness, "jaccard": _jaccards}
 
 
-def nearest(df: DataFrame, key: str, vector: str, k: int, block: int = BLOCK, metric: str = "cosine", weights: list[float] | None = None) -> DataFrame:
-    """(key, peer, similarity): the k rows most like each row by ``metric``, exact; with ``weights`` for the dimensions.
-
-    Rows are dealt into blocks; every pair of blocks is one group, in which a matrix product gives the k best of
+def _blocked(df: DataFrame, key: str, vector: str, block: int, queries: DataFrame | None) -> DataFrame:
+    """(id, v, query, i, j): queries of block i and points of block j of every pair of blocks."""
+    blocks = max(1, -(-df.count() // block))
+    asked = blocks if queries is None else max(1, -(-queries.count() // block))
+    dealt = df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = dealt if queries is None else dealt.join(queries.select(F.col(key).alias("id")), "id", "left_semi")
+    points = dealt.select("id", "v", F.lit(False).alias("query"), every(asked).alias("i"), place(blocks).alias("j"))
+    return own.select("id", "v", F.lit(True).alias("query"), place(asked).alias("i"), every(blocks).alias("j")).unionByName(points)
+
+
+def nearest(
+    df: DataFrame, key: str, vector: str, k: int, block: int = BLOCK, metric: str = "cosine", weights: list[float] | None = None,
+    queries: DataFrame | None = None, approximate: bool = False,
+) -> DataFrame:
+    """(key, peer, similarity): the k rows most like each row (or those of ``queries``, a frame of keys) by ``metric``; with ``weights`` for the dimensions.
+
+    The exact search deals rows into blocks; every pair of blocks is one group, in which a matrix product gives the k best of
     each row, and the best of all its groups are kept. Groups grow in number with the square of the rows, which an exact
-    search can't avoid; no group grows.
+    search can't avoid; no group grows. ``approximate`` looks into bucket tables instead (cosine of all rows, see ``neighbours``).
     """
     from panelforge.operators.ranking import top
 
-    blocks = max(1, -(-df.count() // block))
-    dealt = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("b"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    queries = dealt.select("id", "v", F.lit(True).alias("query"), F.col("b").cast("int").alias("i"), other.alias("j"))
-    points = dealt.select("id", "v", F.lit(False).alias("query"), other.alias("i"), F.col("b").cast("int").alias("j"))
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric: {metric}")
+    if approximate:
+        from panelforge.operators import neighbours
+
+        if metric != "cosine" or queries is not None:
+            raise ValueError("the bucket tables are for the cosine of all rows")
+        if weights is not None:
+            scaled = F.zip_with(F.col(vector).cast("array<double>"), F.array(*map(F.lit, weights)), lambda x, w: x * w)
+            df = df.select(key, scaled.alias(vector))
+        return neighbours.approximate(df, key, vector, k)
 
     def best(t: pa.Table) -> pa.Table:
         ids = t.column("id").to_numpy()
@@ -88,13 +118,46 @@ def nearest(df: DataFrame, key: str, vector: str, k: int, block: int = BLOCK, me
         keep = np.isfinite(s)
         return pa.table({"id": np.broadcast_to(ids[q][:, None], s.shape)[keep], "peer": peer[keep], "similarity": s[keep]})
 
-    found = queries.unionByName(points).groupBy("i", "j").applyInArrow(best, "id bigint, peer bigint, similarity double")
+    found = _blocked(df, key, vector, block, queries).groupBy("i", "j").applyInArrow(best, "id bigint, peer bigint, similarity double")
     return top(found, "similarity", "peer", k, ["id"]).select(F.col("id").alias(key), "peer", "similarity")
 
 
-def peer_excess(df: DataFrame, key: str, vector: str, value: str, k: int) -> DataFrame:
+def mean_filled(df: DataFrame, key: str, columns: list[str], out: str = "vector") -> DataFrame:
+    """(key, vector) of columns, nulls replaced by the column's mean (0 for a column without values). Columns that df lacks are left out; without any it is an error."""
+    there = [c for c in columns if c in df.columns]
+    if not there:
+        raise ValueError("no feature columns available")
+    means = df.agg(*[F.avg(c).alias(f"_m{k}") for k, c in enumerate(there)])  # one row
+    filled = [F.coalesce(F.col(c).cast("double"), F.col(f"_m{k}"), F.lit(0.0)) for k, c in enumerate(there)]
+    return df.select(key, *there).crossJoin(F.broadcast(means)).select(key, F.array(*filled).alias(out))
+
+
+def extremes(df: DataFrame, key: str, vector: str, block: int = BLOCK, metric: str = "cosine", weights: list[float] | None = None) -> DataFrame:
+    """(low, high): the least and the largest similarity of any two rows, a row with itself included; two numbers from each pair of blocks."""
+
+    def ends(t: pa.Table) -> pa.Table:
+        v = np.array(t.column("v").to_pylist(), float).reshape(t.num_rows, -1)
+        v = v * np.array(weights) if weights is not None and len(v) else v
+        q = t.column("query").to_numpy(zero_copy_only=False).astype(bool)
+        sim = np.round(METRICS[metric](v[q], v[~q]), 9)
+        return pa.table({"low": [float(sim.min())], "high": [float(sim.max())]} if sim.size else {"low": pa.array([], pa.float64()), "high": pa.array([], pa.float64())})
+
+    found = _blocked(df, key, vector, block, None).groupBy("i", "j").applyInArrow(ends, "low double, high double")
+    return found.agg(F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def rescaled(near: DataFrame, ends: DataFrame, low: float, high: float, value: str = "similarity") -> DataFrame:
+    """near with its similarities brought from the range of all pairs (``ends``) to [low, high]; unchanged for 0 to 1, or where all are alike."""
+    if (low, high) == (0.0, 1.0):
+        return near
+    to = (F.col(value) - F.col("_low")) / (F.col("_high") - F.col("_low")) * (high - low) + low
+    both = near.crossJoin(F.broadcast(ends.select(F.col("low").alias("_low"), F.col("high").alias("_high"))))  # one row
+    return both.withColumn(value, F.when(F.col("_high") > F.col("_low"), to).otherwise(F.col(value))).drop("_low", "_high")
+
+
+def peer_excess(df: DataFrame, key: str, vector: str, value: str, k: int, approximate: bool = False) -> DataFrame:
     """(key, excess): a value less the mean of the k nearest peers', brought to 0..1 over all rows; 0.5 if all are alike."""
-    peers = nearest(df, key, vector, k).join(df.select(F.col(key).alias("peer"), F.col(value).alias("_p")), "peer").groupBy(key).agg(F.avg("_p").alias("_m"))
+    peers = nearest(df, key, vector, k, approximate=approximate).join(df.select(F.col(key).alias("peer"), F.col(value).alias("_p")), "peer").groupBy(key).agg(F.avg("_p").alias("_m"))
     raw = df.select(key, value).join(peers, key).select(key, (F.col(value) - F.col("_m")).alias("_x"))
     s = raw.agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
     return raw.crossJoin(F.broadcast(s)).select(key, F.when(F.col("_hi") > F.col("_lo"), (F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.5).alias("excess"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("clean", "score", "wider_scores", "portfolios", "tests_and_fits", "series_and_weights", "multivariate", "more_tests", "wider_analysis", "small_tables")
+MODULES = ("clean", "score", "wider_scores", "portfolios", "tests_and_fits", "series_and_weights", "multivariate", "more_tests", "wider_analysis", "small_tables", "peers")
 
 
 def registered() -> dict:
