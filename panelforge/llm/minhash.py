@@ -11,9 +11,11 @@ when their sets' Jaccard similarity is 80/100 or more.
    threshold is lost with a probability of at most MISS a batch, and most others go after the first.
 4. What is left is verified on the full sets, from the texts.
 
-Pairs within a class are not all needed. Every bucket first gives a star: all its nodes against one of them, then, where links leave it in several classes,
-stars around others; last, all pairs of different classes in such buckets, in tiles. So all candidates whose ends end up in different classes are
-tested, and a bucket of near copies of any size costs a few pairs a node. Buckets of unlike texts are compared in tiles, in time quadratic in their size.
+Pairs within a class are not all needed. Every bucket first gives a star: all its nodes against one of them, then, while the pairs of different classes that
+buckets hold are more than ``SEARCHED`` for each of their nodes, stars around others; last, all pairs of different classes in a bucket, in tiles that hold signatures and texts, each pair in the first bucket that it
+shares. A tile verifies what the batches leave and joins classes as it goes, so it gives a link for each joining and no pairs. So all candidates whose
+ends end up in different classes are tested, and a bucket of near copies of any size costs a few pairs a node. Nodes of a bucket that link with nothing are
+compared with all of it, in time quadratic in their number.
 
 Null and empty texts, and those without words, have an empty set and link with nothing. Repeated rows (and rows with repeated or null doc_ids) are in
 the class of their set; component_id is the smallest doc_id of the class, null where all are null (then all of them are kept). Ties between centres of
@@ -37,8 +39,9 @@ SHINGLE = 4
 BANDS, ROWS = 56, 6
 BATCH = 48
 MISS = 1e-7
-#: Stars before the pairs that are left are compared in tiles.
-STARS = 3
+#: Stars at most before the pairs that are left are compared in tiles, and pairs for each node of a bucket that are compared so without a further star.
+STARS = 4
+SEARCHED = 1000
 #: A bucket or node with more than this part of all rows (there are fewer such than this) is broadcast or spread over places of HUB rows.
 CARRIED = 10_000
 HUB = 4096
@@ -145,24 +148,86 @@ def _sifted(batches):
             yield batch.select(["a", "b"]).take(pa.array(kept))
 
 
-def _search_tiles(block: pa.Table, _most: float) -> pa.Table:
-    """Pairs (a < b) of inner with outer rows of other classes that batches of minima leave, in the tiles (sig, i, j) of a block."""
-    sig, i, j, h1, comp, n, inner = (block.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "i", "j", "h1", "comp", "n", "inner"))
-    points = _points(block.column("point"))
-    by = np.lexsort((n, j, i, sig))
+def _shared_least(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest band key that each pair of rows shares: the bucket in which the pair is compared."""
+    return np.where(a == b, a, np.iinfo(np.int64).max).min(1)
+
+
+def _overlaps(x: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """How many members each set shares with the sorted set x."""
+    every = np.concatenate(sets)
+    at = np.minimum(np.searchsorted(x, every), len(x) - 1)
+    return np.add.reduceat((x[at] == every).astype(np.int64), np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]]))
+
+
+_LINK = pa.schema([(c, pa.int64()) for c in ("a1", "a2", "b1", "b2")])
+
+
+def _linked_across(cells: pa.Table, texts: pa.Table) -> pa.Table:
+    """Links between classes in the tiles (sig, i, j) of a block: inner with outer rows that the batches of minima leave, verified on the sets; pairs of
+    classes that the block has already joined are left out."""
+    sig, i, j, h1, h2, comp, n, inner = (cells.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "i", "j", "h1", "h2", "comp", "n", "inner"))
+    points = _points(cells.column("point"))
+    keys = cells.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    rows = {key: k for k, key in reversed(list(enumerate(zip(texts.column("h1").to_pylist(), texts.column("h2").to_pylist(), strict=True))))}
+    sets = dict(zip(rows, ngram_join.shingle_sets(texts.column("text").take(pa.array(list(rows.values()), pa.int64())), SHINGLE), strict=True))
+    joined: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while (up := joined.get(c, c)) != c:
+            joined[c] = joined.get(up, up)
+            c = up
+        return c
+
+    by = np.lexsort((h1, j, i, sig))
     new = np.ones(len(by), bool)
     new[1:] = (sig[by][1:] != sig[by][:-1]) | (i[by][1:] != i[by][:-1]) | (j[by][1:] != j[by][:-1])
-    first, found = np.flatnonzero(new), [np.zeros((0, 2), np.int64)]
+    first, found = np.flatnonzero(new), []
     for lo, hi in zip(first, np.append(first[1:], len(by)), strict=True):
         own = by[lo:hi]
-        others, ours = own[~inner[own]], own[inner[own]]
-        theirs = points[others]
-        for x in ours:
+        others, theirs = own[~inner[own]], points[own[~inner[own]]]
+        for x in own[inner[own]]:
             at = np.flatnonzero((comp[others] != comp[x]) & _near(n[others], n[x]))
-            kept = at[survivors(points[x : x + 1], theirs, np.zeros(len(at), np.int64), at)]
-            found.append(np.column_stack([np.full(len(kept), h1[x]), h1[others[kept]]]))
-    pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-    return pa.table([pairs[:, 0], pairs[:, 1], pa.nulls(len(pairs), pa.float64()), pa.nulls(len(pairs), pa.int64())], schema=ngram_join._PAIRS)
+            at = at[survivors(points[x : x + 1], theirs, np.zeros(len(at), np.int64), at)]
+            at = others[at[_shared_least(keys[x], keys[others[at]]) == sig[x]]]
+            at = at[[top(c) != top(comp[x]) for c in comp[at].tolist()]] if len(at) else at
+            if not len(at):
+                continue
+            mine = sets[h1[x], h2[x]]
+            both = _overlaps(mine, [sets[h1[y], h2[y]] for y in at])
+            for y in at[100 * both >= ngram_join.PERCENT * (n[x] + n[at] - both)]:
+                if (a := top(int(comp[x]))) != (b := top(int(comp[y]))):
+                    joined[max(a, b)] = min(a, b)
+                    found.append((h1[x], h2[x], h1[y], h2[y]))
+    columns = np.array(found, np.int64).reshape(-1, 4).T
+    return pa.table(list(map(pa.array, columns)), schema=_LINK)
+
+
+def _across(members: DataFrame, marks: DataFrame, of: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """Links (a1, a2, b1, b2) between nodes of different classes in the same bucket, so many that they join what all such links would join.
+
+    A bucket's nodes outside its largest class (inner) meet all of its nodes (outer), in tiles of TILE of both, with their signatures and texts."""
+    tile, block = ngram_join.TILE, ngram_join.BLOCK_ROWS
+    classed = settled(members.join(of, "h1", "left").select("sig", "h1", F.coalesce("component", "h1").alias("comp")), "classed")
+    by_class = classed.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("many"))
+    largest = by_class.groupBy("sig").agg(F.max(F.struct("many", "comp")).alias("top"), F.sum("many").alias("size"))
+    mixed = largest.select("sig", "size", F.col("top.comp").alias("main"), F.ceil((F.col("size") - F.col("top.many")) / tile).alias("is"), F.ceil(F.col("size") / tile).alias("js")).where("`is` > 0")
+    mixed = settled(mixed, "mixed")
+    total = classed.count()
+    inside = _by_size(classed, mixed, "sig", total)
+    numbers = lambda c: F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1)
+    i, j = F.pmod(F.xxhash64("h1", F.lit(9)), F.col("is")), F.pmod(F.xxhash64("h1", F.lit(5)), F.col("js"))
+    cell = lambda i, j, inner: F.struct(i.cast("bigint").alias("i"), j.cast("bigint").alias("j"), F.lit(inner).alias("inner"))
+    as_outer = F.transform(numbers("is"), lambda x: cell(x, j, False))
+    as_inner = F.when(F.col("comp") != F.col("main"), F.transform(numbers("js"), lambda x: cell(i, x, True)))
+    every = F.concat(as_outer, F.coalesce(as_inner, F.array().cast("array<struct<i:bigint,j:bigint,inner:boolean>>")))
+    rows = settled(inside.select("sig", "h1", "comp", F.explode(every).alias("c")).select("sig", "h1", "comp", "c.*"), "cells")
+    blocks = max(1, -(-rows.count() // block))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("sig", "i", "j"), F.lit(blocks)))
+    wanted = rows.select("block", "h1").distinct().join(nodes.select("h1", "h2", "key.k1", "key.k2"), "h1").select("k1", "k2", "block", "h1", "h2")
+    texts = ngram_join.sent_texts(documents, settled(wanted, "wanted"))
+    dealt = rows.join(marks, "h1").select("block", "sig", "i", "j", "inner", "h1", "h2", "comp", "n", "point", "bands")
+    return dealt.groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(_linked_across, "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
 
 
 def _by_size(left: DataFrame, right: DataFrame, on: str, total: int) -> DataFrame:
@@ -194,6 +259,13 @@ def _star(members: DataFrame, buckets: DataFrame, of: DataFrame | None, number:
     return pairs.select(F.least("h1", "centre").alias("a"), F.greatest("h1", "centre").alias("b")).distinct()
 
 
+def _pairs_left(members: DataFrame, of: DataFrame) -> int:
+    """Pairs of nodes of different classes that share a bucket, counted once a bucket."""
+    classes = members.join(of, "h1", "left").groupBy("sig", F.coalesce("component", "h1")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    pairs = classes.groupBy("sig").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("pairs"))
+    return int(pairs.agg(F.sum("pairs")).head()[0] or 0) // 2
+
+
 def sifted(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     """Those of the distinct pairs (a, b: h1 of nodes) that the sequential test leaves; a node of many pairs meets them in several places."""
     pairs = settled(pairs, "pairs")
@@ -218,22 +290,23 @@ def classes(documents: DataFrame, rows: DataFrame) -> DataFrame:
     """(h1, h2, component_id) for every non-empty set of the documents, whose nodes are ``rows``: the smallest doc_id of its class."""
     own = rows.where("n > 0")
     nodes = settled(own.groupBy("h1", "h2").agg(F.min("doc_id").alias("label"), F.max("n").alias("n"), F.min(F.struct("k1", "k2")).alias("key")), "nodes")
-    marks = settled(own.where("point is not null").select("h1", "h2", "n", "point", "bands").dropDuplicates(["h1", "h2"]).drop("h2"), "marks")
+    marks = settled(own.where("point is not null").select("h1", "h2", "n", "point", "bands").dropDuplicates(["h1", "h2"]), "marks")
     members, buckets = _buckets(marks)
     points = marks.select("h1", "n", "point")
     # Sets whose keys differ in their second half only share a node name: they are verified with each other.
-    twins = nodes.groupBy("h1").count().where("count > 1").select(F.col("h1").alias("a"), F.col("h1").alias("b"))
-    links = settled(ngram_join.verified(twins, nodes, documents, SHINGLE), "links")
-    tested, of = twins, None
+    twins = settled(nodes.groupBy("h1").count().where("count > 1").select(F.col("h1").alias("a"), F.col("h1").alias("b")), "twins")
+    tested, of, links = twins, None, documents.sparkSession.createDataFrame([], "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
+    if not twins.isEmpty():
+        links = settled(ngram_join.verified(twins, nodes, documents, SHINGLE), "links")
     for number in range(STARS):
-        star = _star(members, buckets, of, number).join(tested, ["a", "b"], "left_anti")
-        left = sifted(star, points)
+        left = sifted(_star(members, buckets, of, number).join(tested, ["a", "b"], "left_anti"), points)
         links = settled(links.union(ngram_join.verified(left, nodes, documents, SHINGLE)), "links")
         tested, of = settled(tested.union(left), "tested"), ngram_join.first_classes(links)
-    # A class in parts whose labels have not met yet only means more pairs here.
+        if _pairs_left(members, of) <= SEARCHED * members.count():
+            break
     of = ngram_join.first_classes(links) if of is None else of
-    left = ngram_join.across(members, points, of, buckets, False, _search_tiles).distinct().join(tested, ["a", "b"], "left_anti")
-    links = settled(links.union(ngram_join.verified(settled(left, "left"), nodes, documents, SHINGLE)), "links")
+    # A class in parts whose labels have not met yet only means more pairs here.
+    links = settled(links.union(_across(members, marks, of, nodes, documents)), "links")
     return ngram_join.named(nodes, links)
 
 

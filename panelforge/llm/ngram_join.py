@@ -30,7 +30,6 @@ their names, are carried along unread. The search within a group of unlike texts
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -380,12 +379,12 @@ def _search_across(block: pa.Table, most: float) -> pa.Table:
     return _as_pairs(found, dense, n, h1)
 
 
-def _once(batches):
-    """Rows (bucket, h1, h2, text) without those that the task has already given."""
+def once(batches):
+    """Rows (block, h1, h2, text) without those that the task has already given."""
     seen = set()
     for b in batches:
         keep = []
-        for i, key in enumerate(zip(*(b.column(c).to_pylist() for c in ("bucket", "h1", "h2")), strict=True)):
+        for i, key in enumerate(zip(*(b.column(c).to_pylist() for c in ("block", "h1", "h2")), strict=True)):
             if key not in seen:
                 seen.add(key)
                 keep.append(i)
@@ -412,6 +411,13 @@ def _linked(pairs: pa.Table, texts: pa.Table, size: int) -> pa.Table:
     return pa.table([pairs.column(c).take(pa.array(kept, pa.int64())) for c in ("a", "a2", "b", "b2")], schema=_LINK)
 
 
+def sent_texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(block, h1, h2, text) of the rows (k1, k2, block, h1, h2) of a settled table, a task giving each once."""
+    wanted = F.broadcast(wanted) if wanted.count() <= CARRIED_NODES else wanted
+    sent = documents.select("text", *text_key(F.col("text"))).join(wanted, ["k1", "k2"]).select("block", "h1", "h2", "text")
+    return sent.mapInArrow(once, "block bigint, h1 bigint, h2 bigint, text string")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, size: int = SHINGLE) -> DataFrame:
     """Those of the distinct pairs (a, b: h1 of nodes) that link, as (a1, a2, b1, b2); nodes that share h1 are all tried.
 
@@ -430,13 +436,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, size: int
     dealt = sized.select(bucket, "a", "a2", "b", "b2", "ak", "bk")
     end = lambda s: F.struct("bucket", F.col(s).alias("h1"), F.col(f"{s}2").alias("h2"), F.col(f"{s}k").alias("key"))
     wanted = dealt.select(F.explode(F.array(end("a"), end("b"))).alias("x")).select("x.*").distinct()
-    wanted = settled(wanted.select("key.k1", "key.k2", "bucket", "h1", "h2"), "wanted")
-    if wanted.count() <= CARRIED_NODES:
-        wanted = F.broadcast(wanted)
-    keyed = documents.select("text", *text_key(F.col("text")))
-    sent = keyed.join(wanted, ["k1", "k2"]).select("bucket", "h1", "h2", "text")
-    texts = sent.mapInArrow(_once, "bucket bigint, h1 bigint, h2 bigint, text string")
-    return dealt.select("bucket", "a", "a2", "b", "b2").groupBy("bucket").cogroup(texts.groupBy("bucket")).applyInArrow(lambda some, of: _linked(some, of, size), "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
+    texts = sent_texts(documents, settled(wanted.select("key.k1", "key.k2", F.col("bucket").alias("block"), "h1", "h2"), "wanted"))
+    return dealt.select("bucket", "a", "a2", "b", "b2").groupBy("bucket").cogroup(texts.groupBy("block")).applyInArrow(lambda some, of: _linked(some, of, size), "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
 
 
 def _nodes(documents: DataFrame) -> DataFrame:
@@ -487,8 +488,8 @@ def _candidates(shared: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFr
     return settled(found, "candidates"), groups
 
 
-def across(shared: DataFrame, points: DataFrame, of: DataFrame, again: DataFrame, likeliest: bool, search: Callable[[pa.Table, float], pa.Table] = _search_across) -> DataFrame:
-    """(a, b) of pairs of different classes in some groups (sig, size), settled: all that ``search`` finds in blocks of tiles, or every node's likeliest in its largest group."""
+def _across(shared: DataFrame, points: DataFrame, of: DataFrame, again: DataFrame, likeliest: bool) -> DataFrame:
+    """(a, b) of pairs of different classes in some groups (sig, size), settled: all whose bound fits, or every node's likeliest in its largest group."""
     most = -1.0 if likeliest else float("inf")
     inside = shared.join(again, "sig")
     inside = _largest_only(settled(inside, "inside"), 0) if likeliest else inside
@@ -508,7 +509,7 @@ def across(shared: DataFrame, points: DataFrame, of: DataFrame, again: DataFrame
     cells = F.explode(F.concat(as_outer, F.coalesce(as_inner, F.array().cast("array<struct<i:bigint,j:bigint,inner:boolean>>"))))
     dealt = inside.select("sig", "h1", "comp", "n", "point", cells.alias("cell")).select("sig", "h1", "comp", "n", "point", "cell.*")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("sig", "i", "j"), F.lit(blocks)))
-    found = dealt.groupBy("block").applyInArrow(lambda block: search(block, most), "a bigint, b bigint, score double, dense bigint")
+    found = dealt.groupBy("block").applyInArrow(lambda block: _search_across(block, most), "a bigint, b bigint, score double, dense bigint")
     return settled(found.where("a is not null").select("a", "b"), "across")
 
 
@@ -537,7 +538,7 @@ def classes(documents: DataFrame, rows: DataFrame) -> DataFrame:
     again = settled(groups.join(marked, "sig", "left").where(F.col("marked") | (F.col("size") > min(LARGE, TILE))).select("sig", "size"), "again")
     there = not again.isEmpty()
     if there:
-        likely = settled(across(shared, points, of, again, True).distinct().join(tested, ["a", "b"], "left_anti"), "likely")
+        likely = settled(_across(shared, points, of, again, True).distinct().join(tested, ["a", "b"], "left_anti"), "likely")
         links, tested = settled(links.union(verified(likely, nodes, documents)), "links"), tested.union(likely)
         of = first_classes(links)
     class_of = lambda s: of.select(F.col("h1").alias(s), F.col("component").alias(f"{s}c"))
@@ -546,7 +547,7 @@ def classes(documents: DataFrame, rows: DataFrame) -> DataFrame:
     mates = shared.join(shared.join(F.broadcast(twins), "h1").select("sig", F.col("h1").alias("twin")), "sig").where("h1 <> twin")
     more = more.union(mates.select(F.least("h1", "twin").alias("a"), F.greatest("h1", "twin").alias("b")))
     if there:
-        more = more.union(across(shared, points, of, again, False))
+        more = more.union(_across(shared, points, of, again, False))
     more = settled(more.distinct().join(tested, ["a", "b"], "left_anti"), "more")
     links = settled(links.union(verified(more, nodes, documents)), "links")
     return named(nodes, links)

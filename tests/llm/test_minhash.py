@@ -36,7 +36,7 @@ def near_texts(seed: int = 11) -> list[str]:
     return texts + [texts[0].upper(), texts[3] + "  ", texts[5]]
 
 
-@pytest.mark.parametrize("settings", [{}, {"CARRIED": 20, "HUB": 3, "STARS": 0}, {"CARRIED": 20, "HUB": 3, "STARS": 1}])
+@pytest.mark.parametrize("settings", [{}, {"CARRIED": 20, "HUB": 3, "STARS": 0}, {"CARRIED": 20, "HUB": 3, "SEARCHED": 0}])
 def test_classes_equal_all_pairs(spark, tables, monkeypatch, settings):
     for name, value in settings.items():
         monkeypatch.setattr(minhash, name, value)
