@@ -62,6 +62,8 @@ def interpolated(x: Column, points: list[tuple[float, float]]) -> Column:
 
 def reweighted(df: DataFrame, key: str, target: str, indicators: list[str]) -> Column | None:
     """The mean of standardised indicators, weighted by the absolute rank correlation of each with the target; nulls count as 0. None without any correlation."""
+    if not indicators:
+        return None
     ics = rank_correlation(pair_rows(df, key, indicators, [target]), ["factor"]).where((F.col("n") >= LEAST_PAIRED) & F.col("rho").isNotNull() & ~F.isnan("rho"))
     weights = {r["factor"]: abs(r["rho"]) for r in ics.collect()}  # a row for each indicator
     total = sum(weights.values())

@@ -159,7 +159,7 @@ def approximate(df: DataFrame, key: str, vector: str, k: int, tables: int = TABL
     lists = offered.groupBy("node").agg(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("far"), "peer"))).alias("peers"))  # k + 1 each
     sized = lists.join(nodes.select("node", "size"), "node")
     total = nodes.agg(F.sum("size")).head()[0] or 0
-    own = join_counted(rows, settled(sized, "peers"), "node", "size", total)
+    own = join_counted(rows, settled(sized, "peers"), ["node"], "size", total)
     kept = settled(own.select("id", F.slice(F.filter("peers", lambda p: p["peer"] != F.col("id")), 1, k).alias("peers")), "kept")
     few = settled(kept.where(F.size("peers") < min(k, total - 1)).select("id"), "few")
     out = kept.select(F.col("id").alias(key), F.explode("peers").alias("p")).select(key, "p.peer", (-F.col("p.far")).alias("similarity"))

@@ -10,6 +10,7 @@ from panelforge.operators import resampling as W
 from panelforge.operators import scoring as S
 from panelforge.operators import series as T
 from panelforge.operators import similarity as M
+from panelforge.operators.draws import rank_correlations
 from panelforge.operators.inference import rank_correlation
 from panelforge.plans.clean import rounded
 from panelforge.plans.portfolios import BIN_SQL
@@ -233,7 +234,7 @@ def res_bootstrap_ic(spark, sf_dir):
     """Percentile interval of a rank correlation over bootstrap replicates."""
     rows = entity_panel(spark, sf_dir).select("entity_id", F.col("return_rate").alias("x"), F.col("momentum").alias("y")).where("x is not null and y is not null")
     rows = settled(rows, "pairs")
-    ics = W.in_batches(rows, DRAWS, lambda first, last: W.weighted_rank_correlation(W.bootstrap(rows, (first, last), 42), ["replicate"]))
+    ics = W.in_batches(rows, DRAWS, lambda first, last: rank_correlations(rows, (first, last), 42))
     return rounded(ics.agg(F.avg("rho").alias("mean"), F.stddev_samp("rho").alias("se"), F.expr("percentile(rho, 0.025)").alias("low"), F.expr("percentile(rho, 0.975)").alias("high")))
 
 
