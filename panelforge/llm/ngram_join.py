@@ -519,7 +519,7 @@ def first_classes(links: DataFrame) -> DataFrame:
 
 
 def classes(documents: DataFrame, rows: DataFrame) -> DataFrame:
-    """(h1, h2, component_id) for every non-empty set of the documents, whose nodes are ``rows``: the smallest doc_id of its class."""
+    """(h1, h2, c1, c2, component_id) for every non-empty set of the documents, whose nodes are ``rows``: the smallest set and doc_id of its class."""
     own = rows.where("n > 0")
     nodes = settled(own.groupBy("h1", "h2").agg(F.min("doc_id").alias("label"), F.max("n").alias("n"), F.min(F.struct("k1", "k2")).alias("key")), "nodes")
     shared = _groups(documents, sketches.summed_levels(rows.where("n < 0")))
@@ -554,20 +554,22 @@ def classes(documents: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def named(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(h1, h2, component_id) of all nodes (h1, h2, label): the smallest label of what links (a1, a2, b1, b2) join."""
+    """(h1, h2, c1, c2, component_id) of all nodes (h1, h2, label): the smallest node and the smallest label of what links (a1, a2, b1, b2) join."""
     of = settled(_joined_by(links).select(F.col("node.h1").alias("h1"), F.col("node.h2").alias("h2"), "component"), "components")
     own = nodes.select("h1", "h2", "label").join(of, ["h1", "h2"], "left")
     least = settled(own.where("component is not null").groupBy("component").agg(F.min("label").alias("least")), "least")
-    return settled(own.join(least, "component", "left").select("h1", "h2", F.coalesce("least", "label").alias("component_id")), "classes")
+    first = [F.coalesce(f"component.h{k}", f"h{k}").alias(f"c{k}") for k in (1, 2)]
+    return settled(own.join(least, "component", "left").select("h1", "h2", *first, F.coalesce("least", "label").alias("component_id")), "classes")
 
 
 def joined(documents: DataFrame) -> DataFrame:
-    """(row, n, component_id): every document as a struct, the size of its set and the smallest doc_id of its class (its own for an empty set)."""
+    """(row, k1, k2, c1, c2, n, component_id): every document as a struct, keys of its text and of the smallest set of its class (null for an empty set), the
+    size of its set and the smallest doc_id of its class (its own for an empty set)."""
     rows = _nodes(documents)
     keys = rows.where("n >= 0").groupBy("k1", "k2").agg(F.max("h1").alias("h1"), F.max("h2").alias("h2"), F.max("n").alias("n"))
-    found = settled(keys.join(classes(documents, rows), ["h1", "h2"], "left").select("k1", "k2", "n", "component_id"), "found")
+    found = settled(keys.join(classes(documents, rows), ["h1", "h2"], "left").select("k1", "k2", "c1", "c2", "n", "component_id"), "found")
     both = documents.select(packed(documents).alias("row"), *text_key(F.col("text"))).join(found, ["k1", "k2"], "left")
-    return both.select("row", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("row.doc_id")).alias("component_id"))
+    return both.select("row", "k1", "k2", "c1", "c2", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("row.doc_id")).alias("component_id"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,6 +57,24 @@ def test_near_duplicates(spark, given):
     assert sorted(r["doc_id"] for r in out.select("doc_id").collect()) == sorted(i for i, (_, c) in classes.items() if c == i)
 
 
+def test_near_copies_with_one_id_or_none(spark, given):
+    """Three near copies: one row stays, the same one whatever the order of the rows."""
+    text = " ".join(f"w{k}" for k in range(60))
+    texts = [text, text + " x", text + " y"]
+    docs = given[0].limit(1)
+    row = lambda i, t, s: docs.withColumns({"doc_id": F.lit(i).cast("bigint"), "text": F.lit(t), "source": F.lit(s)})
+    for ids in ((None, None, None), (7, 7, 7), (7, 8, 9), (9, None, 7), (None, None, 8)):
+        found = set()
+        for order in ((0, 1, 2), (2, 1, 0)):
+            frames = [row(ids[k], texts[k], f"s{k}") for k in order]
+            kept = stage("near_duplicates", spark, given, frames[0].union(frames[1]).union(frames[2]).union(frames[0])).collect()
+            assert len(kept) == 1 and kept[0]["doc_id"] == min((i for i in ids if i is not None), default=None)
+            found.add((kept[0]["text"], kept[0]["source"]))
+        assert len(found) == 1
+    # One text and id, other columns: still one row.
+    assert stage("near_duplicates", spark, given, row(1, text, "a").union(row(1, text, "b"))).count() == 1
+
+
 def test_benchmark_leaks(spark, given):
     _, texts, benchmark, _ = given
     out = stage("benchmark_leaks", spark, given)
