@@ -5,7 +5,8 @@ docs of the next. All but the last return the columns of ``documents``. Each sta
 models and statistics are learned from the documents it is given.
 
 A null text has no letter and goes in the first stage; so do empty texts. Later stages keep null and empty texts: they have no near copies, leaks or
-secrets and no tokens. Nulls in other columns are carried along; rows with a null doc_id are learned from by no model. Repeated rows count as near copies. Very long texts are
+secrets and no tokens. Nulls in other columns are carried along; rows with a null doc_id are learned from by no model. Repeated rows count as near copies,
+and of a class of near copies one row stays whatever its ids: the smallest, one of several with the same id, one of several without any. Very long texts are
 read whole, in segments. Empty tables give no rows. Columns of any further name are carried along: every stage packs the row it is given.
 """
 
@@ -31,14 +32,21 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of every near-duplicate class; rows with one doc_id that stay are told apart by their text."""
+    """One document of every near-duplicate class: the one with the smallest doc_id (null last), then by keys of its text and of the whole row.
+
+    Texts without words have no class but their own: of them, rows with the same doc_id and text count as one."""
     bounded_batches(spark)
     joined = ngram_join.joined(docs)
-    kept = settled(joined.where((F.col("n") == 0) | F.col("row.doc_id").eqNullSafe(F.col("component_id"))).select("row"), "kept")
-    again = settled(kept.groupBy("row.doc_id").count().where("count > 1").select("doc_id"), "again")
-    same = kept["row.doc_id"].eqNullSafe(again["doc_id"])
-    repeated = kept.join(again, same, "left_semi").withColumn("id", F.col("row.doc_id")).withColumn("text", F.col("row.text")).dropDuplicates(["id", "text"])
-    return kept.join(again, same, "left_anti").union(repeated.select("row")).select(*unpacked("row", docs.columns))
+    words = F.col("n") > 0
+    of = [words.alias("words"), F.when(words, F.col("c1")).otherwise(F.col("k1")).alias("c1"), F.when(words, F.col("c2")).otherwise(F.col("k2")).alias("c2"), F.when(~words, F.col("row.doc_id")).alias("id")]
+    order = F.struct(F.col("row.doc_id").isNull().alias("without"), F.col("row.doc_id").alias("doc_id"), "k1", "k2", F.xxhash64("row").alias("h"))
+    placed = settled(joined.select("row", *of, order.alias("place")), "placed")
+    group = ["words", "c1", "c2", "id"]
+    best = settled(placed.groupBy(*group).agg(F.min("place").alias("place")), "best")
+    a, b = placed.alias("a"), best.alias("b")
+    # The place is part of the key, so a large class does not meet in one task.
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*group, "place")]
+    return a.join(b, same, "left_semi").dropDuplicates([*group, "place"]).select(*unpacked("row", docs.columns))
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
