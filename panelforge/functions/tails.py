@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from panelforge.functions.expressions import normal_cdf
+
 #: Lanczos coefficients of the gamma function (g = 7).
 LANCZOS = (
     0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059,
@@ -17,6 +19,8 @@ LANCZOS = (
 STEPS = 400
 #: From this many degrees of freedom on, F is brought to chi-square by Li and Martin's shrinking factor (error below 1e-8).
 MANY = 10_000
+#: From this shape on, the incomplete gamma function is taken from Temme's uniform expansion (error below 1e-7); below it STEPS terms are enough.
+LARGE_SHAPE = 2_000
 _TINY = 1e-300
 
 
@@ -35,6 +39,15 @@ def _away_from_zero(x: Column) -> Column:
     return F.when(F.abs(x) < _TINY, F.lit(_TINY)).otherwise(x)
 
 
+def large_gamma_tail(a: Column, x: Column) -> Column:
+    """Q(a, x) for a large a and x above 0: the normal tail of the place at which the density has fallen as far, and a correction of the order of 1 / sqrt(a)."""
+    away = (x - a) / a
+    depth = F.greatest(F.lit(0.0), away - F.log1p(away))
+    eta = F.signum(away) * F.sqrt(2 * depth)
+    first = F.when(F.abs(eta) < 1e-3, -1 / 3 + eta / 12).otherwise(1 / F.when(away != 0, away) - 1 / F.when(eta != 0, eta))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), normal_cdf(-eta * F.sqrt(a)) + F.exp(-a * depth) / F.sqrt(2 * 3.141592653589793 * a) * first))
+
+
 def gamma_tail(a: Column, x: Column) -> Column:
     """Upper regularised incomplete gamma function Q(a, x)."""
     front = F.exp(-x + a * F.log(x) - log_gamma(a))
@@ -56,7 +69,7 @@ def gamma_tail(a: Column, x: Column) -> Column:
         return F.struct(c.alias("c"), d.alias("d"), (s["h"] * d * c).alias("h"))
 
     fraction = front * F.aggregate(_steps(), begin, step, lambda s: s["h"])
-    return F.when(x <= 0, 1.0).when(x < a + 1, series).otherwise(fraction)
+    return F.when(x <= 0, 1.0).when(a > LARGE_SHAPE, large_gamma_tail(a, x)).when(x < a + 1, series).otherwise(fraction)
 
 
 def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
