@@ -313,31 +313,36 @@ def adjusted_p(ps: DataFrame, p: str = "p") -> DataFrame:
     return raw.withColumn("bh", F.least(F.lit(1.0), F.min("_q").over(every.orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, 0)))).drop("_q")
 
 
-#: Ranges of light values on a side of the grid of ``pair_sign``; a value with more rows than a range would have is a range of its own.
+#: Least and most ranges of light values on a side of the grid of ``pair_sign``, and rows of a range between these; a value with more rows than a range would
+#: have is a range of its own. One task counts the grid's cells, 4 times the ranges squared, so beyond RANGE_ROWS * MOST_RANGES rows ranges grow instead.
 GRID_RANGES = 256
+MOST_RANGES = 1024
+RANGE_ROWS = 1_000_000
 
 
-def _numbered(cells: DataFrame, c: str) -> DataFrame:
+def _numbered(cells: DataFrame, c: str, ranges: int) -> DataFrame:
     """cells with ``r{c}``, the number of its value's range in order of the values: even for ranges of several light values, odd for one heavy value."""
     counts = cumulative(cells.select(F.col(c).alias("v")), [], "v")
-    heavy = F.col("n") * GRID_RANGES >= F.col("total")
-    place = counts.select(F.col("v").alias(c), (2 * F.floor(F.col("below") * GRID_RANGES / F.col("total")) + heavy.cast("int")).cast("int").alias(f"r{c}"))
+    heavy = F.col("n") * ranges >= F.col("total")
+    place = counts.select(F.col("v").alias(c), (2 * F.floor(F.col("below") * ranges / F.col("total")) + heavy.cast("int")).cast("int").alias(f"r{c}"))
     return cells.join(place, c)
 
 
 def pair_sign(rows: DataFrame) -> DataFrame:
-    """(s): sum over pairs of rows (x, y) of sign(x - x') sign(y - y'), by a grid of GRID_RANGES squared cells.
+    """(s): sum over pairs of rows (x, y) of sign(x - x') sign(y - y'), by a grid of value ranges.
 
     Pairs of rows in different ranges of both values are counted from the grid's cell totals; pairs that share the range of one value
     are counted in that range alone, in order of the other value, so no step meets all pairs of rows."""
     cells = rows.groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    placed = settled(_numbered(_numbered(cells, "x"), "y"), "grid")
+    cells = settled(cells, "cells")
+    ranges = min(MOST_RANGES, max(GRID_RANGES, -(-cells.count() // RANGE_ROWS)))
+    placed = settled(_numbered(_numbered(cells, "x", ranges), "y", ranges), "grid")
     grid = placed.groupBy("rx", "ry").agg(F.sum("n").alias("n"))
 
     def between(t):
-        total = np.zeros((2 * GRID_RANGES, 2 * GRID_RANGES))
+        total = np.zeros((2 * ranges, 2 * ranges))
         np.add.at(total, (t.column("rx").to_numpy(), t.column("ry").to_numpy()), t.column("n").to_numpy())
-        up = np.zeros((2 * GRID_RANGES + 1, 2 * GRID_RANGES + 1))
+        up = np.zeros((2 * ranges + 1, 2 * ranges + 1))
         up[1:, 1:] = total.cumsum(0).cumsum(1)
         left = up[:-1, -1:]  # all with a smaller range of x
         below, above = up[:-1, :-1], left - up[:-1, 1:]
@@ -363,39 +368,34 @@ def merge_sign(a: np.ndarray, b: np.ndarray, n: np.ndarray, other: np.ndarray |
         order = np.argsort(other, kind="stable")
         cut = np.flatnonzero(np.diff(other[order])) + 1
         return whole - sum(merge_sign(a[k], b[k], n[k]) for k in np.split(order, cut) if len(k) > 1)
+    if not len(a):
+        return 0.0
     order = np.lexsort((b, a))
-    a, rank, n = a[order], np.unique(b[order], return_inverse=True)[1], n[order]
-    tree = np.zeros(int(rank.max(initial=-1)) + 2)
-
-    def upto(i: int) -> float:
-        out = 0.0
-        while i > 0:
-            out += tree[i]
-            i &= i - 1
-        return out
-
-    total, s, lo = 0.0, 0.0, 0
-    for hi in np.append(np.flatnonzero(np.diff(a)) + 1, len(a)):
-        for k in range(lo, hi):
-            below, same = upto(rank[k]), upto(rank[k] + 1)
-            s += n[k] * (below - (total - same))
-        for k in range(lo, hi):
-            i = rank[k] + 1
-            while i < len(tree):
-                tree[i] += n[k]
-                i += i & -i
-            total += n[k]
-        lo = hi
-    return s
+    a, rank, n = a[order], np.unique(b[order], return_inverse=True)[1], n[order].astype(float)
+    first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+    cell = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (rank[1:] != rank[:-1])]))
+    # Pairs that are equal in a come in order of b below, so they are taken off: all but those equal in both.
+    s = -((np.add.reduceat(n, first) ** 2).sum() - (np.add.reduceat(n, cell) ** 2).sum()) / 2
+    # From the highest bit of the ranks on: pairs that differ in this bit first, counted by running sums among those with the same higher bits.
+    for bit in range(int(rank.max()).bit_length() - 1, -1, -1):
+        above = rank >> (bit + 1)
+        new = np.flatnonzero(np.concatenate([[True], above[1:] != above[:-1]]))
+        size = np.diff(np.append(new, len(rank)))
+        one = (rank >> bit & 1).astype(float)
+        before = lambda w: (c := np.cumsum(w) - w) - np.repeat(c[new], size)
+        s += (n * one * before(n * (1 - one))).sum() - (n * (1 - one) * before(n * one)).sum()
+        order = np.argsort(rank >> bit, kind="stable")
+        rank, n = rank[order], n[order]
+    return float(s)
 
 
 def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
-    """(tau_b, z, p, n) from concordant less discordant pairs (``pair_sign``) and the pairs tied in either; z with the variance for ties."""
+    """(tau_b, z, p, n) from concordant less discordant pairs (``pair_sign``) and the pairs tied in either; z with the variance for ties, null up to two rows."""
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     t = F.col("n")
     sums = lambda c: d.groupBy(c).agg(F.count(F.lit(1)).cast("double").alias("n")).agg(F.sum("n").alias(f"n{c}"), F.sum(t * (t - 1) / 2).alias(f"t{c}"), F.sum(t * (t - 1) * (t - 2)).alias(f"u{c}"), F.sum(t * (t - 1) * (2 * t + 5)).alias(f"w{c}"))
     one = pair_sign(d).crossJoin(F.broadcast(sums("x"))).crossJoin(F.broadcast(sums("y")))
     n, m = F.col("nx"), F.col("nx") * (F.col("nx") - 1)
-    var = (m * (2 * n + 5) - F.col("wx") - F.col("wy")) / 18 + 2 * F.col("tx") * F.col("ty") / m + F.col("ux") * F.col("uy") / (9 * m * (n - 2))
-    z = F.col("s") / F.sqrt(var)
+    var = (m * (2 * n + 5) - F.col("wx") - F.col("wy")) / 18 + ratio(2 * F.col("tx") * F.col("ty"), m) + ratio(F.col("ux") * F.col("uy"), 9 * m * (n - 2))
+    z = F.when(var > 0, F.col("s") / F.sqrt(F.when(var > 0, var)))
     return one.select(ratio(F.col("s"), F.sqrt((m / 2 - F.col("tx")) * (m / 2 - F.col("ty")))).alias("tau_b"), z.alias("z"), two_sided(z).alias("p"), n.cast("bigint").alias("n"))
