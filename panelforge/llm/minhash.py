@@ -239,12 +239,14 @@ def _by_size(left: DataFrame, right: DataFrame, on: str, total: int) -> DataFram
 
 def _buckets(marks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sig, h1) of the nodes of each bucket, and (sig, size) of the buckets, one of those with the same nodes, settled."""
-    placed = marks.select(F.explode("bands").alias("sig"), "h1").distinct()
-    same = [F.bit_xor(F.xxhash64("h1", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
-    buckets = placed.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), *same).where("size > 1")
+    placed = marks.select(F.explode("bands").alias("sig"), "h1")
+    counts = settled(placed.groupBy("sig").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "counts")
+    total = counts.agg(F.sum("size")).head()[0] or 0
+    shared = settled(_by_size(placed, counts, "sig", total).select("sig", "h1"), "shared")
+    same = [F.bit_xor(F.xxhash64("h1", F.lit(1))).alias("x1"), F.sum(F.pmod(F.xxhash64("h1", F.lit(2)), F.lit(1 << 30))).alias("x2")]
+    buckets = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), *same)
     buckets = settled(buckets.groupBy("size", "x1", "x2").agg(F.min("sig").alias("sig")).select("sig", "size"), "buckets")
-    total = buckets.agg(F.sum("size")).head()[0] or 0
-    return settled(_by_size(placed, buckets, "sig", total).select("sig", "h1"), "members"), buckets
+    return settled(_by_size(shared, buckets, "sig", total).select("sig", "h1"), "members"), buckets
 
 
 def _star(members: DataFrame, buckets: DataFrame, of: DataFrame | None, number: int) -> DataFrame:
