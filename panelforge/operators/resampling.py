@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.expressions import uniform
 from panelforge.functions.tables import settled
-from panelforge.operators.ranking import cumulative, with_bin, with_rank
+from panelforge.operators.ranking import cumulative, numbered, with_bin, with_rank
 
 #: Rows (replicates x entities) that one batch of replicates makes at most.
 BATCH_ROWS = 200_000_000
@@ -200,15 +200,9 @@ def weights_cross_validated(scores: DataFrame, returns: DataFrame, folds: DataFr
 
 
 def folds(df: DataFrame, size: str, k: int, bins: int, key: str = "entity_id") -> DataFrame:
-    """df with ``fold`` 0..k-1: entities numbered by a hash within size bins, modulo k."""
-    binned = with_bin(df, size, bins, out="_bin")
-    return binned.withColumn("fold", (F.row_number().over(Window.partitionBy("_bin").orderBy(uniform(F.lit("fold"), F.col(key)), key)) - 1) % k).drop("_bin")
-
-
-def held_out(rows: DataFrame, group: str) -> DataFrame:
-    """rows repeated for every group that leaves them in (column ``held_out``); groups are few."""
-    names = rows.select(F.col(group).alias("held_out")).distinct()
-    return rows.join(F.broadcast(names), F.col(group) != F.col("held_out"))
+    """df with ``fold`` 0..k-1: entities numbered by a hash within size bins, modulo k; no task needs a whole bin."""
+    binned = with_bin(df, size, bins, out="_bin").withColumn("_u", uniform(F.lit("fold"), F.col(key)))
+    return numbered(binned, ["_bin"], ["_u", key], "_place").withColumn("fold", (F.col("_place") % k).cast("int")).drop("_bin", "_u", "_place")
 
 
 def restandardised(df: DataFrame, column: str, group: str) -> DataFrame:

@@ -239,8 +239,8 @@ def pillar_table(wide: DataFrame, pillars: dict[str, dict[str, tuple[float, list
     """wide (columns of z values) with ``<pillar>_score``, ``_coverage`` and ``_confidence``: category means of columns that are not constant, each
     category's weight cut by 0.7 times its share of ``uncalibrated`` columns, renormalised over the categories that a row has; scores stay on the z scale."""
     columns = sorted({c for categories in pillars.values() for _, cols in categories.values() for c in cols})
-    row = wide.agg(*[F.count_distinct(c).alias(c) for c in columns]).head()
-    varied = {c for c in columns if row[c] > 1}
+    row = wide.agg(*[(F.min(c) < F.max(c)).alias(c) for c in columns]).head()
+    varied = {c for c in columns if row[c]}
     out = wide
     for pillar, categories in pillars.items():
         names, weights = {}, {}

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from panelforge.functions.skew import join_counted
 from panelforge.functions.tables import settled
 from panelforge.operators.draws import _vectors, value_counts
-from panelforge.operators.ranking import medians
+from panelforge.operators.ranking import medians, numbered
 
 BINS = 5
 LEAST_PAIRED, LEAST_BINNED = 10, 15
@@ -28,22 +28,6 @@ _SUMS = ["n", "x", "y", "xx", "yy", "xy", "low_n", "low", "high_n", "high"]
 _ROWS = 2048
 
 
-def numbered(df: DataFrame, by: list[str], order: list[str], out: str = "place") -> DataFrame:
-    """df with ``out``, the number of each row (from 0) within its group in an order without ties; rows are dealt by ranges, so no task needs a whole group."""
-    dealt = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
-    dealt = settled(dealt.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "numbered")
-    # A row for each range and group in it; a group cut by range borders has as many as ranges.
-    parts = dealt.groupBy("_part", *by).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_count"))
-    before = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))).orderBy("_part")
-    names = {c: f"_by{k}" for k, c in enumerate(by)}
-    add = (F.sum("_count").over(before) - F.col("_count") - F.col("_first")).alias("_add")
-    offsets = parts.select(F.col("_part").alias("_p"), add, *[F.col(c).alias(n) for c, n in names.items()])
-    same = F.col("_part") == F.col("_p")
-    for c, n in names.items():
-        same = same & F.col(c).eqNullSafe(F.col(n))
-    return dealt.join(offsets, same).withColumn(out, F.col("_at") + F.col("_add")).drop("_part", "_at", "_p", "_add", *names.values())
-
-
 def quasi_temporal_folds(df: DataFrame, size: str, order: str, k: int, key: str = "entity_id") -> DataFrame:
     """df with ``fold`` 0..k-1: rows in as many bins of equal count by size (2 to 5 bins), numbered within them in an order such as age, modulo k.
 

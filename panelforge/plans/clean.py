@@ -124,7 +124,7 @@ def dq_currency_plausibility(spark, sf_dir):
     panel = entity_panel(spark, sf_dir)
     box = quantiles(panel, ["country"], "revenue", {"p25": 0.25, "p75": 0.75})
     away = (F.col("revenue") > F.col("p75") + 1.5 * (F.col("p75") - F.col("p25"))) | (F.col("revenue") < F.col("p25") - 1.5 * (F.col("p75") - F.col("p25")))
-    return rounded(panel.join(F.broadcast(box), "country").groupBy("country").agg(F.max("p25").alias("p25"), F.max("p75").alias("p75"), F.sum(F.coalesce(away, F.lit(False)).cast("int")).alias("n_out")), 3)
+    return rounded(panel.join(box, "country").groupBy("country").agg(F.max("p25").alias("p25"), F.max("p75").alias("p75"), F.sum(F.coalesce(away, F.lit(False)).cast("int")).alias("n_out")), 3)
 
 
 DQ_CURRENCY = f"""WITH {PANEL_SQL}, b AS (SELECT country, quantile_cont(revenue, 0.25) AS p25, quantile_cont(revenue, 0.75) AS p75 FROM panel GROUP BY country)
@@ -218,7 +218,7 @@ TRF_SIGNED = f"""WITH {PANEL_SQL} SELECT entity_id, round(ln(1 + revenue), 5) AS
 def trf_currency(spark, sf_dir):
     """Monetary columns of some countries converted by a rate table."""
     rates = spark.createDataFrame([("ASIA", 0.012), ("EUROPE", 1.08)], "country string, rate double")
-    p = entity_panel(spark, sf_dir).join(F.broadcast(rates), "country", "left")
+    p = entity_panel(spark, sf_dir).join(rates, "country", "left")
     r = F.coalesce("rate", F.lit(1.0))
     return rounded(p.select("entity_id", "country", (F.col("revenue") * r).alias("revenue"), (F.col("acctbal") * r).alias("acctbal")), 3)
 
@@ -230,7 +230,7 @@ def trf_ratios(spark, sf_dir):
     """Derived ratios and each entity's share of its sector."""
     p = entity_panel(spark, sf_dir)
     whole = p.groupBy("sector").agg(F.sum("revenue").alias("_all"))
-    return rounded(p.join(F.broadcast(whole), "sector").select("entity_id", (F.col("revenue") / F.when(F.col("n_orders") > 0, F.col("n_orders"))).alias("per_order"), (F.col("quantity") / F.when(F.col("revenue") > 0, F.col("revenue"))).alias("turnover"), (100 * F.col("revenue") / F.col("_all")).alias("sector_share")), 6)
+    return rounded(p.join(whole, "sector").select("entity_id", (F.col("revenue") / F.when(F.col("n_orders") > 0, F.col("n_orders"))).alias("per_order"), (F.col("quantity") / F.when(F.col("revenue") > 0, F.col("revenue"))).alias("turnover"), (100 * F.col("revenue") / F.col("_all")).alias("sector_share")), 6)
 
 
 TRF_RATIOS = f"""WITH {PANEL_SQL} SELECT entity_id, round(revenue / nullif(n_orders, 0), 6) AS per_order, round(quantity / CASE WHEN revenue > 0 THEN revenue END, 6) AS turnover, round(100 * revenue / sum(revenue) OVER (PARTITION BY sector), 6) AS sector_share FROM panel"""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.expressions import normal_cdf
 from panelforge.functions.tails import chi_square_tail, chi_square_tail_sql, f_tail, f_tail_sql, t_two_sided, t_two_sided_sql
+from panelforge.functions.tables import settled
 from panelforge.operators import inference as I
 from panelforge.plans.clean import rounded
 from panelforge.plans.tests_and_fits import IC_SQL, XS, YS, normal_cdf_sql
@@ -29,10 +30,17 @@ def test_effects_by_country(spark, sf_dir):
     """Cohen's d of each factor, one country against the rest."""
     p = entity_panel(spark, sf_dir)
     rows = p.select("country", *XS).unpivot("country", XS, "factor", "x")
-    names = p.select(F.col("country").alias("place")).distinct()
-    inside = F.col("country") == F.col("place")
-    a, b = F.when(inside, F.col("x")), F.when(~inside, F.col("x"))
-    s = rows.join(F.broadcast(names)).groupBy("factor", "place").agg(F.count(a).alias("n1"), F.count(b).alias("n2"), (F.avg(a) - F.avg(b)).alias("_g"), F.var_samp(a).alias("_v1"), F.var_samp(b).alias("_v2"))
+    # The rest of the world is the total less the country's own sums; values are taken from their mean, so that squares lose nothing.
+    rows = settled(rows, "factors")
+    means = rows.groupBy("factor").agg(F.avg("x").alias("_m"))
+    x = F.col("x") - F.col("_m")
+    own = settled(rows.join(means, "factor").groupBy("factor", F.col("country").alias("place")).agg(F.count("x").alias("n1"), F.sum(x).alias("_s1"), F.sum(x * x).alias("_q1")), "sums")
+    whole = own.groupBy("factor").agg(F.sum("n1").alias("_n"), F.sum("_s1").alias("_s"), F.sum("_q1").alias("_q"))
+    n1, n2 = F.col("n1"), F.col("_n") - F.col("n1")
+    s2, q2 = F.col("_s") - F.col("_s1"), F.col("_q") - F.col("_q1")
+    var = lambda n, s, q: F.when(n > 1, (q - s * s / n) / (n - 1))
+    gap = F.when((n1 > 0) & (n2 > 0), F.col("_s1") / n1 - s2 / n2)
+    s = own.join(whole, "factor").select("factor", "place", "n1", n2.alias("n2"), gap.alias("_g"), var(n1, F.col("_s1"), F.col("_q1")).alias("_v1"), var(n2, s2, q2).alias("_v2"))
     pooled = ((F.col("n1") - 1) * F.col("_v1") + (F.col("n2") - 1) * F.col("_v2")) / (F.col("n1") + F.col("n2") - 2)
     return rounded(s.select("factor", "place", "n1", "n2", (F.col("_g") / F.sqrt(pooled)).alias("d")))
 

@@ -217,7 +217,7 @@ def agg_opportunities(spark, sf_dir):
     p = entity_panel(spark, sf_dir)
     m = R.quantiles(p, [], "revenue", {"med": 0.5})
     s = p.groupBy("sector").agg(F.avg("momentum").alias("avg"))
-    found = p.crossJoin(F.broadcast(m)).join(F.broadcast(s), "sector").where((F.col("revenue") > F.col("med")) & (F.col("momentum") > F.col("avg")))
+    found = p.crossJoin(F.broadcast(m)).join(s, "sector").where((F.col("revenue") > F.col("med")) & (F.col("momentum") > F.col("avg")))
     return found.groupBy("sector").agg(F.count(F.lit(1)).alias("n"))
 
 

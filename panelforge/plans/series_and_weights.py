@@ -10,8 +10,8 @@ from panelforge.operators import resampling as W
 from panelforge.operators import scoring as S
 from panelforge.operators import series as T
 from panelforge.operators import similarity as M
+from panelforge.operators import splits as V
 from panelforge.operators.draws import rank_correlations
-from panelforge.operators.inference import rank_correlation
 from panelforge.plans.clean import rounded
 from panelforge.plans.portfolios import BIN_SQL
 from panelforge.plans.score import FACTORS, PROFILES, RANKED_SQL, sql_rank
@@ -329,11 +329,17 @@ b AS (SELECT held, candidate, ir FROM r WHERE NOT test QUALIFY row_number() OVER
 SELECT b.held AS fold, b.candidate, round(b.ir, 4) AS train_ir, round(r.ir, 4) AS test_ir, round(hhi, 4) AS hhi, round(b.ir / nullif(r.ir, 0), 4) AS overfit FROM b LEFT JOIN r ON r.held = b.held AND r.candidate = b.candidate AND r.test JOIN h ON h.candidate = b.candidate"""
 
 
+def _outside(p, group: str, groups: list):
+    """(held_out, rho, n): the rank correlation of two indicators over all groups but one, for each."""
+    rows = p.select(F.lit("xy").alias("pair"), F.col(group).alias("group"), F.col("return_rate").alias("x"), F.col("momentum").alias("y"))
+    found = V.split_statistics(rows, ["xy"], groups, {str(g): [g] for g in groups})
+    return found.where("side = 'train'").select(F.col("split").alias("held_out"), "rho", "n")
+
+
 def res_folds(spark, sf_dir):
     """Size-stratified folds and the rank correlation outside each."""
     p = W.folds(entity_panel(spark, sf_dir).where("revenue is not null"), "revenue", 5, 5)
-    rows = W.held_out(p.select("entity_id", "fold", F.col("return_rate").alias("x"), F.col("momentum").alias("y")).where("x is not null and y is not null"), "fold")
-    return rounded(rank_correlation(rows, ["held_out"]).select(F.col("held_out").cast("int").alias("held_out"), "rho", "n"))
+    return rounded(_outside(p, "fold", list(range(5))).withColumn("held_out", F.col("held_out").cast("int")))
 
 
 RES_FOLDS = f"""WITH {PANEL_SQL}, b AS (SELECT *, {BIN_SQL.format(v="revenue")} AS bin FROM panel WHERE revenue IS NOT NULL), f AS (SELECT *, ((row_number() OVER (PARTITION BY bin ORDER BY {uniform_sql("'fold'", "entity_id::VARCHAR")}, entity_id) - 1) % 5)::INT AS fold FROM b),
@@ -342,8 +348,9 @@ SELECT held_out, round(corr(rx, ry), 5) AS rho, count(*) AS n FROM r GROUP BY he
 
 
 def res_leave_sector_out(spark, sf_dir):
-    rows = entity_panel(spark, sf_dir).select("entity_id", "sector", F.col("return_rate").alias("x"), F.col("momentum").alias("y")).where("x is not null and y is not null")
-    return rounded(rank_correlation(W.held_out(rows, "sector"), ["held_out"]).select("held_out", "rho", "n"))
+    p = settled(entity_panel(spark, sf_dir), "panel")
+    sectors = [r["sector"] for r in p.select("sector").distinct().orderBy("sector").collect()]  # a few sectors
+    return rounded(_outside(p, "sector", sectors))
 
 
 RES_LOSO = f"""WITH {PANEL_SQL}, h AS (SELECT g.sector AS held_out, return_rate AS x, momentum AS y FROM panel p JOIN (SELECT DISTINCT sector FROM panel) g ON p.sector <> g.sector WHERE return_rate IS NOT NULL AND momentum IS NOT NULL), r AS (SELECT held_out, {sql_rank("x", "held_out", False)} AS rx, {sql_rank("y", "held_out", False)} AS ry FROM h)
