@@ -13,7 +13,7 @@ def first_existing(spark: SparkSession, paths: list[str], **options) -> DataFram
     missing = None
     for path in paths:
         try:
-            return spark.read.csv(path, header=True, comment="#", **options) if path.endswith(".csv") else spark.read.parquet(path)
+            return spark.read.csv(path, **({"header": True, "comment": "#"} | options)) if path.endswith(".csv") else spark.read.parquet(path)
         except Exception as error:  # the reader says that it isn't there; the next one is tried
             if "PATH_NOT_FOUND" not in str(error):
                 raise
@@ -31,6 +31,7 @@ def write_table(df: DataFrame, path: str, caveat: str | None = None) -> None:
     (df.withColumn("caveat", F.lit(caveat)) if caveat else df).write.mode("overwrite").parquet(path)
 
 
+#: Layout of nested filing facts, and the units that a tag's values are taken from, in this order.
 FACTS_SCHEMA = "map<string, struct<units: map<string, array<struct<form: string, end: string, val: double>>>>>"
 UNIT_PRIORITY = ("USD", "pure", "shares", "USD/shares")
 
