@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +53,32 @@ def mahalanobis(df: DataFrame, columns: list[str], key: str = "entity_id") -> Da
     return whole.select(key, F.sqrt(F.greatest(square, F.lit(0.0))).alias("distance"))
 
 
+def chi_square_cutoff(dimensions: int, level: float) -> float:
+    """The quantile of chi-square with a whole number of degrees of freedom, by halving; its distribution function as the series of the incomplete gamma function."""
+
+    def share(x: float) -> float:
+        a, y = dimensions / 2, x / 2
+        term = total = 1 / a
+        k = 0
+        while term > 1e-17 * total:
+            k += 1
+            term *= y / (a + k)
+            total += term
+        return total * math.exp(-y + a * math.log(y) - math.lgamma(a)) if y > 0 else 0.0
+
+    low, high = 0.0, 10.0 * dimensions + 100
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if share(middle) < level else (low, middle)
+    return (low + high) / 2
+
+
+def mahalanobis_outliers(df: DataFrame, columns: list[str], level: float = 0.975, key: str = "entity_id") -> DataFrame:
+    """(key, distance, cutoff, outlier): rows whose squared distance is beyond the chi-square quantile of as many degrees as columns."""
+    cutoff = chi_square_cutoff(len(columns), level) ** 0.5
+    return mahalanobis(df, columns, key).withColumns({"cutoff": F.lit(cutoff), "outlier": F.col("distance") > cutoff})
+
+
 def winsorised(long: DataFrame, types: DataFrame) -> DataFrame:
     """long with ``value`` capped by its indicator's type (types: indicator, vtype): binary and ordinal rounded, percentages kept in 0..100, the rest capped at quantiles."""
     q = quantiles(long, ["indicator"], "value", {"_p1": 0.01, "_p25": 0.025, "_p975": 0.975, "_p99": 0.99})

@@ -222,6 +222,18 @@ def turnover(scores: DataFrame, replicates: int, share: float, n: int, seed: int
     return o.select("replicate", (1 - F.col("overlap")).alias("turnover"), ((1 - F.col("overlap")) * 2 * cost).alias("cost"))
 
 
+def turnover_levels(scores: DataFrame, levels: list[float], replicates: int, n: int, seed: int, key: str = "entity_id") -> DataFrame:
+    """(level, overlap, turnover, std, low, high): means over random changes of scores (key, score) by up to each level, the turnover's deviation and quartiles."""
+    spread = F.explode(F.array(*map(F.lit, levels))).alias("level")
+    rows = scores.select(key, "score", spread).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    move = 2 * uniform(F.lit(seed), F.col("level").cast("string"), F.col("replicate"), F.col(key)) - 1
+    moved = rows.select(key, "level", "replicate", F.round(F.col("score") * (1 + F.col("level") * move), 8).alias("score"))
+    o = overlap_with_base(moved, scores, n, ["level", "replicate"], key)
+    t = 1 - F.col("overlap")
+    quartile = lambda p: F.percentile(t, F.lit(p))
+    return o.groupBy("level").agg(F.avg("overlap").alias("overlap"), F.avg(t).alias("turnover"), F.stddev_pop(t).alias("std"), quartile(0.25).alias("low"), quartile(0.75).alias("high"))
+
+
 def market_impact(value: Column, volume: Column, volatility: Column) -> Column:
     """Square-root impact in basis points of trading ``value`` against daily ``volume``, sigma * 1e4 * sqrt(participation); 0 without value or volume."""
     return F.when((volume > 0) & (value > 0), 1e4 * volatility * F.sqrt(value / volume)).otherwise(0.0)
