@@ -309,3 +309,27 @@ def reranked(norms: DataFrame, key: str, base: dict[str, float], own: dict[str,
     ranked = with_rank(scores, "score", ["profile"], "rank", descending=True)
     of = lambda profile, c: F.max(F.when(F.col("profile") == profile, F.col(c)))
     return ranked.groupBy(key).agg(of("own", "score").alias("score"), of("own", "rank").alias("rank"), (of("base", "rank") - of("own", "rank")).alias("change"))
+
+
+#: Sources of an entity's cells in order of trust, with the label that each gives it; without any of them the last label.
+SOURCE_LABELS = (
+    ("real_epa", "real_epa"), ("real_sec", "real_sec"), ("real_yahoo", "real_yahoo"), ("financial_proxy", "proxy_calibrated"),
+    ("sector_imputed", "imputed"), ("cross_sector_imputed", "imputed"), ("missing", "imputed"),
+)
+
+
+def simple_pillars(df: DataFrame, key: str, pillars: dict[str, list[str]], sources: DataFrame, anchored: str, filed: str = "real_sec") -> DataFrame:
+    """(key, a mean of its columns for each pillar, source): plain means of what is there, one pillar lifted by filings.
+
+    The ``anchored`` pillar (50 if missing) is multiplied by 0.9 plus 0.2 times the share of its columns that ``sources`` (key, column, source) has as ``filed``,
+    and kept within 0 and 100. source is the label of the most trusted source of any cell. Columns that df lacks are left out; a pillar without any is null."""
+    there = {p: [c for c in columns if c in df.columns] for p, columns in pillars.items()}
+    rank = F.coalesce(*[F.when(F.col("source") == s, F.lit(k)) for k, (s, _) in enumerate(SOURCE_LABELS)])
+    own = sources.groupBy(key).agg(F.sum((F.col("column").isin(there[anchored]) & (F.col("source") == filed)).cast("int")).alias("_filed"), F.min(rank).alias("_rank"))
+    means = {p: row_mean(columns) if columns else F.lit(None).cast("double") for p, columns in there.items()}
+    joined = df.select(key, *[m.alias(p) for p, m in means.items()]).join(own, key, "left")
+    if there[anchored]:
+        share = F.coalesce("_filed", F.lit(0)) / len(there[anchored])
+        joined = joined.withColumn(anchored, clip(F.coalesce(F.col(anchored), F.lit(50.0)) * (0.9 + 0.2 * share), 0.0, 100.0))
+    label = F.coalesce(F.get(F.array(*[F.lit(name) for _, name in SOURCE_LABELS]), F.col("_rank")), F.lit(SOURCE_LABELS[-1][1]))
+    return joined.select(key, *pillars, label.alias("source"))
