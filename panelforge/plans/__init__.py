@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("clean", "score", "wider_scores", "portfolios", "tests_and_fits", "series_and_weights", "multivariate", "more_tests", "wider_analysis", "small_tables", "peers", "monotone", "intervals", "validation", "proxies", "round_trips", "full_counts")
+MODULES = ("clean", "score", "wider_scores", "portfolios", "tests_and_fits", "series_and_weights", "multivariate", "more_tests", "wider_analysis", "small_tables", "peers", "monotone", "intervals", "validation", "proxies", "round_trips", "full_counts", "provenance")
 
 
 def registered() -> dict:
