@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block; two blocks and their similarities are what one task holds.
-BLOCK = 1024
+from panelforge.functions.tables import settled
+
+#: Rows of a block at most; a task holds two blocks and the similarities of a strip of one with the other.
+BLOCK = 16384
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -70,16 +73,40 @@ def _jaccards(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 METRICS = {"cosine": _cosines, "euclidean": _closeness, "jaccard": _jaccards}
 
 
-def _blocked(df: DataFrame, key: str, vector: str, block: int, queries: DataFrame | None) -> DataFrame:
-    """(id, v, query, i, j): queries of block i and points of block j of every pair of blocks."""
-    blocks = max(1, -(-df.count() // block))
-    asked = blocks if queries is None else max(1, -(-queries.count() // block))
-    dealt = df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+#: Queries whose similarities with a block are held at once.
+STRIP = 256
+
+
+def _vectors(df: DataFrame, vector: str, metric: str) -> Column:
+    """What a metric looks at, in as few bytes as hold it: numbers as given, or 1 where they are above 0."""
+    if metric == "jaccard":
+        return F.transform(vector, lambda x: (x > 0).cast("float"))
+    return F.col(vector).cast("array<float>" if df.schema[vector].dataType.simpleString() == "array<float>" else "array<double>")
+
+
+def _blocked(points: DataFrame, asked: DataFrame, block: int) -> DataFrame:
+    """(node, first, v, query, i, j): queries of block i and points of block j of every pair of blocks."""
+    wide = points.select(F.size("v")).head()
+    # As many rows as 8 MB of doubles hold.
+    block = min(block, max(STRIP, (1 << 20) // max(1, wide[0]))) if wide else block
+    blocks = lambda df: max(1, -(-df.count() // block))
+    n, m = blocks(points), blocks(asked)
+    place = lambda n: F.pmod(F.xxhash64("node", F.lit(7)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    own = dealt if queries is None else dealt.join(queries.select(F.col(key).alias("id")), "id", "left_semi")
-    points = dealt.select("id", "v", F.lit(False).alias("query"), every(asked).alias("i"), place(blocks).alias("j"))
-    return own.select("id", "v", F.lit(True).alias("query"), place(asked).alias("i"), every(blocks).alias("j")).unionByName(points)
+    keep = ["node", "first", "v"]
+    own = asked.select(*keep, F.lit(True).alias("query"), place(m).alias("i"), every(n).alias("j"))
+    return own.unionByName(points.select(*keep, F.lit(False).alias("query"), every(m).alias("i"), place(n).alias("j")))
+
+
+def _parted(t: pa.Table, weights: list[float] | None) -> tuple[pa.Table, np.ndarray, pa.Table, np.ndarray]:
+    """Queries and points of a group with their vectors, points in the order of their first rows."""
+    own = t.column("query").combine_chunks()
+    out = []
+    for part in (t.filter(own), t.filter(pc.invert(own)).sort_by("first")):
+        values = part.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
+        v = values.reshape(part.num_rows, -1) if part.num_rows else np.zeros((0, 0))
+        out += [part, v * np.array(weights) if weights is not None and len(v) else v]
+    return tuple(out)
 
 
 def nearest(
@@ -88,17 +115,16 @@ def nearest(
 ) -> DataFrame:
     """(key, peer, similarity): the k rows most like each row (or those of ``queries``, a frame of keys) by ``metric``; with ``weights`` for the dimensions.
 
-    The exact search deals rows into blocks; every pair of blocks is one group, in which a matrix product gives the k best of
-    each row, and the best of all its groups are kept. Groups grow in number with the square of the rows, which an exact
-    search can't avoid; no group grows. ``approximate`` looks into bucket tables instead (cosine of all rows, see ``neighbours``).
+    Rows that a metric can't tell apart are one node with its smallest keys. The exact search deals nodes into blocks; every pair
+    of blocks is one group, in which matrix products give the best of each node, and the best of all its groups are kept. Groups grow in
+    number with the square of the different vectors, which an exact search of many dimensions can't avoid; no group grows, and what is
+    shuffled is n * n / block vectors. ``approximate`` looks into bucket tables instead (cosine of all rows, see ``neighbours``). Null vectors are left out.
     """
-    from panelforge.operators.ranking import top
+    from panelforge.operators import neighbours
 
     if metric not in METRICS:
         raise ValueError(f"unknown metric: {metric}")
     if approximate:
-        from panelforge.operators import neighbours
-
         if metric != "cosine" or queries is not None:
             raise ValueError("the bucket tables are for the cosine of all rows")
         if weights is not None:
@@ -107,19 +133,35 @@ def nearest(
         return neighbours.approximate(df, key, vector, k)
 
     def best(t: pa.Table) -> pa.Table:
-        ids = t.column("id").to_numpy()
-        v = np.array(t.column("v").to_pylist(), float).reshape(len(ids), -1)
-        q = t.column("query").to_numpy(zero_copy_only=False).astype(bool)
-        v = v * np.array(weights) if weights is not None and len(v) else v
-        sim = np.round(METRICS[metric](v[q], v[~q]), 9)
-        sim[ids[q][:, None] == ids[~q][None]] = -np.inf
-        order = np.lexsort((np.broadcast_to(ids[~q], sim.shape), -sim), axis=1)[:, :k] if sim.size else np.zeros((q.sum(), 0), int)
-        peer, s = ids[~q][order], np.take_along_axis(sim, order, 1)
-        keep = np.isfinite(s)
-        return pa.table({"id": np.broadcast_to(ids[q][:, None], s.shape)[keep], "peer": peer[keep], "similarity": s[keep]})
-
-    found = _blocked(df, key, vector, block, queries).groupBy("i", "j").applyInArrow(best, "id bigint, peer bigint, similarity double")
-    return top(found, "similarity", "peer", k, ["id"]).select(F.col("id").alias(key), "peer", "similarity")
+        asked, a, points, b = _parted(t, weights)
+        found = []
+        for lo in range(0, len(a) if len(b) else 0, STRIP):
+            sim = METRICS[metric](a[lo : lo + STRIP], b)
+            # The k + 1 best of some points bound those of all; what is just below may round to as much.
+            some = sim[:, : max(STRIP, 4 * (k + 1))]
+            least = np.partition(some, -(k + 1), axis=1)[:, -(k + 1)] if some.shape[1] > k else np.full(len(sim), -np.inf)
+            i, j = np.nonzero(sim >= (least - 1e-8)[:, None])
+            s = np.round(sim[i, j], 9)
+            order = np.lexsort((j, -s, i))
+            i, j, s = i[order], j[order], s[order]
+            keep = np.arange(len(i)) - np.searchsorted(i, i) <= k
+            found.append((i[keep] + lo, j[keep], s[keep]))
+        i, j, s = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        own, other = asked.column("node").take(pa.array(i)), points.select(["node", "first"]).take(pa.array(j))
+        return pa.table({"node": own, "other": other.column("node"), "first": other.column("first"), "similarity": s})
+
+    rows_of = df.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), _vectors(df, vector, metric).alias("v"))
+    nodes, seed = neighbours.distinct_vectors(rows_of, "v", "id")
+    rows = rows_of.select("id", F.xxhash64(F.lit(seed), "v").alias("node"))
+    asked, own = nodes, rows
+    if queries is not None:
+        own = settled(rows.join(queries.select(F.col(key).cast("bigint").alias("id")), "id", "left_semi"), "queries")
+        asked = nodes.join(own.select("node").distinct(), "node", "left_semi")
+    found = _blocked(nodes, asked, block).groupBy("i", "j").applyInArrow(best, "node bigint, other bigint, first bigint, similarity double")
+    ranked = Window.partitionBy("node").orderBy(F.desc("similarity"), "first")
+    near = found.withColumn("_n", F.row_number().over(ranked)).where(F.col("_n") <= k + 1).select("node", "other", "similarity")
+    kept, _ = neighbours.of_rows(near, nodes, rows, own, k)
+    return neighbours.listed(kept, key)
 
 
 def mean_filled(df: DataFrame, key: str, columns: list[str], out: str = "vector") -> DataFrame:
@@ -133,16 +175,17 @@ def mean_filled(df: DataFrame, key: str, columns: list[str], out: str = "vector"
 
 
 def extremes(df: DataFrame, key: str, vector: str, block: int = BLOCK, metric: str = "cosine", weights: list[float] | None = None) -> DataFrame:
-    """(low, high): the least and the largest similarity of any two rows, a row with itself included; two numbers from each pair of blocks."""
+    """(low, high): the least and the largest similarity of any two rows, a row with itself included; two numbers from each pair of blocks of different vectors."""
+    from panelforge.operators import neighbours
 
     def ends(t: pa.Table) -> pa.Table:
-        v = np.array(t.column("v").to_pylist(), float).reshape(t.num_rows, -1)
-        v = v * np.array(weights) if weights is not None and len(v) else v
-        q = t.column("query").to_numpy(zero_copy_only=False).astype(bool)
-        sim = np.round(METRICS[metric](v[q], v[~q]), 9)
-        return pa.table({"low": [float(sim.min())], "high": [float(sim.max())]} if sim.size else {"low": pa.array([], pa.float64()), "high": pa.array([], pa.float64())})
+        _, a, _, b = _parted(t, weights)
+        found = [(s.min(), s.max()) for lo in range(0, len(a) if len(b) else 0, STRIP) for s in [METRICS[metric](a[lo : lo + STRIP], b)]]
+        low, high = (np.round([f(x)], 9) if found else np.zeros(0) for f, x in zip((min, max), zip(*found, strict=True) if found else ((), ()), strict=True))
+        return pa.table({"low": low, "high": high})
 
-    found = _blocked(df, key, vector, block, None).groupBy("i", "j").applyInArrow(ends, "low double, high double")
+    nodes, _ = neighbours.distinct_vectors(df.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), _vectors(df, vector, metric).alias("v")), "v", "id")
+    found = _blocked(nodes, nodes, block).groupBy("i", "j").applyInArrow(ends, "low double, high double")
     return found.agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 

@@ -105,3 +105,33 @@ def test_distances_by_products_equal_plain_ones():
     b = np.concatenate([a[:20] + 1e-5, rng.normal(size=(30, 7))])
     plain = 1 / (1 + np.sqrt(((a[:, None] - b[None]) ** 2).sum(2)))
     assert np.allclose(similarity._closeness(a, b), plain, rtol=1e-7, atol=1e-9)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "jaccard"])
+def test_exact_search_compares_vectors_once_whatever_their_copies(spark, monkeypatch, metric):
+    rng = np.random.default_rng(6)
+    base = np.concatenate([rng.normal(size=(30, 5)), np.zeros((1, 5)), 1 + 1e-6 * rng.normal(size=(9, 5))])
+    v = base[np.concatenate([np.arange(40), rng.integers(0, 40, 360)])]
+    ids = rng.permutation(400)
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v, strict=True)] + [(900, None)], "id bigint, v array<double>")
+    moved, blocked = [], similarity._blocked
+
+    def counted(*args):
+        out = blocked(*args)
+        moved.append(out.count())
+        return out
+
+    monkeypatch.setattr(similarity, "_blocked", counted)
+    asked = df.where("id % 3 = 0")
+    got = {}
+    for r in similarity.nearest(df, "id", "v", 4, block=20, metric=metric).collect():
+        got.setdefault(r["id"], set()).add((r["peer"], r["similarity"]))
+    some = similarity.nearest(df.where("v is not null"), "id", "v", 4, block=20, metric=metric, queries=asked).collect()
+    sim = np.round(similarity.METRICS[metric](v, v), 9)
+    for row, i in enumerate(ids):
+        best = sorted((-s, int(j)) for s, j in zip(sim[row], ids, strict=True) if j != i)[:4]
+        assert got[int(i)] == {(j, -s) for s, j in best}
+        assert i % 3 or {(r["peer"], r["similarity"]) for r in some if r["id"] == i} == got[int(i)]
+    assert set(got) == set(range(400))
+    assert tuple(similarity.extremes(df, "id", "v", block=20, metric=metric).head()) == (sim.min(), sim.max())
+    assert max(moved) <= 2 * 2 * 40  # two blocks of 40 vectors; 400 rows made 20 blocks and 16,000 rows
