@@ -16,6 +16,11 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 
 
+def rounded_halves(x: Column, digits: int) -> Column:
+    """x rounded as SQL's ROUND does: scaled, and halves of the scaled number away from zero (F.round looks at the decimal digits of x)."""
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
 def uniform(*parts: Column | str) -> Column:
     """A portable uniform number in [0, 1): the first 8 hexadecimal digits of the md5 of the parts joined by '|'."""
     digits = F.substring(F.md5(F.concat_ws("|", *[p if isinstance(p, Column) else F.lit(p) for p in parts]).cast("binary")), 1, 8)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.functions.expressions import ratio
+from panelforge.functions.expressions import ratio, rounded_halves
 
 #: Indicators of the panel; momentum, unit_price, balance_ratio and late_share have nulls.
 INDICATORS = ["acctbal", "n_orders", "revenue", "mean_order", "quantity", "mean_discount", "return_rate", "urgent_share", "unit_price", "balance_ratio", "momentum"]
@@ -40,7 +40,7 @@ def entity_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         "mean_discount": F.col("mean_discount"), "return_rate": F.col("return_rate"), "urgent_share": F.col("urgent_share"), "unit_price": ratio(F.col("value"), F.col("quantity")),
         "balance_ratio": F.col("revenue") / positive, "momentum": ratio(F.col("recent"), F.col("before")) - 1,
     }
-    return joined.select(F.col("c_custkey").alias("entity_id"), F.col("c_mktsegment").alias("sector"), "country", *[F.round(v, 6).alias(k) for k, v in values.items()])
+    return joined.select(F.col("c_custkey").alias("entity_id"), F.col("c_mktsegment").alias("sector"), "country", *[rounded_halves(v, 6).alias(k) for k, v in values.items()])
 
 
 #: The same frame for an ANSI engine.
@@ -76,7 +76,7 @@ def price_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     daily = lines.join(parts, lines["l_partkey"] == parts["p_partkey"]).groupBy(F.col("p_brand").alias("entity"), F.to_date("l_shipdate").alias("day"))
     out = daily.agg(F.sum("l_extendedprice").alias("v"), F.sum("l_quantity").alias("volume"))
-    return out.select("entity", "day", F.round(F.col("v") / F.col("volume"), 6).alias("close"), F.round("volume", 6).alias("volume"))
+    return out.select("entity", "day", rounded_halves(F.col("v") / F.col("volume"), 6).alias("close"), rounded_halves(F.col("volume"), 6).alias("volume"))
 
 
 PRICES_SQL = """
