@@ -11,28 +11,53 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.functions.expressions import uniform
 from panelforge.functions.skew import join_counted
 from panelforge.functions.tables import settled
-from panelforge.operators.resampling import poisson_weight
+from panelforge.functions.uniforms import uniforms
 
 #: Cells (values x replicates) of a range, about, and of what a task holds before it passes it on.
 RANGE_CELLS = 4_000_000
 HELD_CELLS = 4_000_000
 
 
+#: Cells (rows x replicates) that are drawn at once.
+DRAWN_CELLS = 1_000_000
+
+
+def drawn(seed: int, replicates: range, ids: list[str], most: int = 8) -> np.ndarray:
+    """Keys x replicates: how often each is drawn, as ``resampling.poisson_weight`` counts it."""
+    limits, total, p = [], 0.0, 2.718281828459045**-1
+    for k in range(most):
+        total += p
+        limits.append(total)
+        p /= k + 1
+    return np.searchsorted(limits, uniforms(seed, replicates, ids), side="right")
+
+
 def with_draws(rows: DataFrame, replicates: tuple[int, int], seed: int, key: str = "entity_id") -> DataFrame:
     """rows with ``draws``: how often each is drawn in every replicate from first to last (Poisson bootstrap)."""
-    return rows.withColumn("draws", F.transform(F.sequence(F.lit(replicates[0]), F.lit(replicates[1])), lambda r: poisson_weight(uniform(F.lit(seed), r, F.col(key)))))
+    numbers = range(replicates[0], replicates[1] + 1)
+    names = [*rows.columns, "draws"]
+
+    def of(batches):
+        step = max(1, DRAWN_CELLS // len(numbers))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                b = batch.slice(lo, step)
+                d = drawn(seed, numbers, b.column("_id").to_pylist())
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists(d.astype(np.int32))], names)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.withColumn("_id", F.coalesce(F.col(key).cast("string"), F.lit(""))).mapInArrow(of, f"{fields}, draws array<int>")
 
 
-def _vectors(column: pa.ChunkedArray | pa.Array, dtype) -> np.ndarray:
+def vectors(column: pa.ChunkedArray | pa.Array, dtype) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(dtype)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def _lists(m: np.ndarray) -> pa.Array:
+def lists(m: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1], pa.int32()), pa.array(m.ravel()))
 
 
@@ -50,13 +75,13 @@ def _summed(batches):
 
     def out():
         part, v, d, n = _by_value(*map(np.concatenate, (parts, values, draws, counts)))
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(v), _lists(d), pa.array(n)], ["part", "value", "draws", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(v), lists(d), pa.array(n)], ["part", "value", "draws", "n"])
 
     for b in batches:
         if b.num_rows:
             parts.append(b.column("part").to_numpy(zero_copy_only=False))
             values.append(b.column("value").to_numpy(zero_copy_only=False))
-            draws.append(_vectors(b.column("draws"), np.int64))
+            draws.append(vectors(b.column("draws"), np.int64))
             counts.append(b.column("n").to_numpy(zero_copy_only=False))
             cells += draws[-1].size
         if cells > HELD_CELLS:
@@ -70,7 +95,7 @@ def _totals(batches):
     """The sum of the draws of each range in a task, as rows (_range, replicate, total)."""
     sums: dict[int, np.ndarray] = {}
     for b in batches:
-        own, d = b.column("_range").to_numpy(), _vectors(b.column("draws"), np.int64)
+        own, d = b.column("_range").to_numpy(), vectors(b.column("draws"), np.int64)
         for r in np.unique(own).tolist():
             sums[r] = sums.get(r, 0) + d[own == r].sum(0)
     for r, s in sums.items():
@@ -81,9 +106,9 @@ def _counted(values: pa.Table, offsets: pa.Table) -> pa.Table:
     """For the parts and values of a range, the draws of smaller ones and their own, and how many rows have them."""
     columns = [values.column(c).to_numpy() for c in ("part", "value")]
     # Parts of a value that several tasks have summed meet here.
-    part, v, d, n = _by_value(*columns, _vectors(values.column("draws"), np.int64), values.column("n").to_numpy())
-    below = np.cumsum(d, axis=0) - d + _vectors(offsets.column("offset"), np.int64)
-    return pa.table({"part": pa.array(part), "value": pa.array(v), "below": _lists(below), "own": _lists(d), "n": pa.array(n)})
+    part, v, d, n = _by_value(*columns, vectors(values.column("draws"), np.int64), values.column("n").to_numpy())
+    below = np.cumsum(d, axis=0) - d + vectors(offsets.column("offset"), np.int64)
+    return pa.table({"part": pa.array(part), "value": pa.array(v), "below": lists(below), "own": lists(d), "n": pa.array(n)})
 
 
 def value_counts(drawn: DataFrame, value: str, part: str | None = None) -> DataFrame:
@@ -122,7 +147,7 @@ def _moments(batches):
     sums = None
     for b in batches:
         if b.num_rows:
-            m, x, y = (_vectors(b.column(c), float) for c in ("draws", "rx", "ry"))
+            m, x, y = (vectors(b.column(c), float) for c in ("draws", "rx", "ry"))
             own = np.stack([m.sum(0), (m * x).sum(0), (m * y).sum(0), (m * x * x).sum(0), (m * y * y).sum(0), (m * x * y).sum(0)])
             sums = own if sums is None else sums + own
     if sums is not None:

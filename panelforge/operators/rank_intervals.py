@@ -1,66 +1,154 @@
-"""Intervals of every entity's rank, over bootstrap draws of the entities and over random (Dirichlet) weights of their scores."""
+"""Intervals of every entity's rank, over bootstrap draws of the entities and over random (Dirichlet) weights of their scores.
+
+Entities are dealt into chunks in the order of their scores. Bootstrap draws keep that order, so totals of chunks, a vector each, give the ranks; random weights
+do not, so a chunk sends its distinct weighted scores, by replicates and ranges of values, and gets their ranks back. Both are drawn again where they are needed.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.expressions import uniform
-from panelforge.functions.skew import join_counted
 from panelforge.functions.tables import settled
-from panelforge.operators.draws import average_ranks, value_counts, with_draws
-from panelforge.operators.ranking import medians, with_rank
-from panelforge.operators.resampling import in_batches
+from panelforge.functions.uniforms import uniforms
+from panelforge.operators.draws import drawn, lists, vectors
+from panelforge.operators.ranking import medians, numbered
 
 #: Entities that are drawn in fewer replicates have no interval.
 LEAST = 10
 STEADY, RELAXED, STRICT, MODERATE = 5.0, 0.15, 0.20, 0.35
-
-
-def _mean(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
-
-
-def _deviation(a: Column) -> Column:
-    m = _mean(a)
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x) / F.size(a) - m * m))
-
-
-def _quantile(ordered: Column, p: float) -> Column:
-    """Of a sorted array, linear between its values."""
-    place = (F.size(ordered) - 1) * F.lit(p)
-    low = F.get(ordered, F.floor(place).cast("int"))
-    return low + (F.get(ordered, F.ceil(place).cast("int")) - low) * (place - F.floor(place))
-
-
-def drawn_ranks(scores: DataFrame, replicates: int, seed: int, key: str = "entity_id") -> DataFrame:
-    """(key, ranks): descending average ranks in the bootstrap replicates that draw an entity, from scores (key, score)."""
-
-    def of(first: int, last: int) -> DataFrame:
-        drawn = settled(with_draws(scores, (first, last), seed, key), "drawn")
-        ranks = value_counts(drawn, "score").select(F.col("value").alias("_score"), average_ranks().alias("ranks"), "n")
-        total = ranks.agg(F.sum("n")).head()[0] or 0
-        # Entities drawn at all, replicate by replicate: one row with as many numbers as replicates.
-        count = drawn.where("score is not null").select(F.posexplode("draws").alias("r", "m")).groupBy("r").agg(F.sum("m").alias("m"))
-        counts = count.agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "m"))), lambda x: x["m"]).alias("_counts"))
-        own = join_counted(drawn.withColumn("_score", F.col("score")), ranks, ["_score"], "n", total).crossJoin(F.broadcast(counts))
-        down = F.zip_with("_counts", "ranks", lambda c, r: c + 1 - r)
-        kept = F.transform(F.filter(F.arrays_zip("draws", down.alias("down")), lambda x: x["draws"] > 0), lambda x: x["down"])
-        return own.select(key, kept.alias("ranks"))
-
-    return in_batches(scores, replicates, of).groupBy(key).agg(F.flatten(F.collect_list("ranks")).alias("ranks"))  # as many numbers as replicates
-
-
-def weighted_ranks(scores: DataFrame, replicates: int, seed: int, key: str = "entity_id") -> DataFrame:
-    """(key, ranks): descending average ranks of scores times random weights (exponential numbers: Dirichlet weights but for their sum, which moves no rank)."""
-
-    def of(first: int, last: int) -> DataFrame:
-        repeated = scores.withColumn("replicate", F.explode(F.sequence(F.lit(first), F.lit(last))))
-        weight = -F.log(F.greatest(uniform(F.lit(seed), F.col("replicate"), F.col(key)), F.lit(1e-12)))
-        moved = settled(repeated.select(key, "replicate", F.round(F.col("score") * weight, 8).alias("score")), "weighted")
-        return with_rank(moved, "score", ["replicate"], "rank", descending=True).groupBy(key).agg(F.collect_list("rank").alias("ranks"))
-
-    return in_batches(scores, replicates, of).groupBy(key).agg(F.flatten(F.collect_list("ranks")).alias("ranks"))
+#: Entities of a chunk, entities of a range of weighted scores, and weighted scores of a group that are ranked at once, about.
+CHUNK, RANGE, CELLS = 4096, 1_000_000, 2_000_000
+
+
+def _chunks(scores: DataFrame, key: str) -> DataFrame:
+    """(chunk, keys, ids, scores), settled: entities in the order of their scores."""
+    placed = numbered(scores, [], ["score", key], "_place").withColumn("chunk", F.floor(F.col("_place") / CHUNK).cast("int"))
+    rows = placed.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("_place", F.col(key).alias("key"), "score"))).alias("e"))
+    ids = F.transform("e.key", lambda k: k.cast("string"))
+    return settled(rows.select("chunk", F.col("e.key").alias("keys"), ids.alias("ids"), F.col("e.score").alias("scores")), "chunks")
+
+
+def _draws(ids: list[str], replicates: int, seed: int) -> np.ndarray:
+    """Draws of a chunk's entities in every replicate, and a last column of ones for the given scores."""
+    return np.concatenate([drawn(seed, range(replicates), ids), np.ones((len(ids), 1), np.int64)], axis=1)
+
+
+def _borders(chunks: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """(chunk, before, whole, head_before, head_whole, tail_whole): vectors over the replicates of what smaller chunks and all hold, and what holds the chunk's first
+    and last value, which may go on in other chunks."""
+
+    def totals(batches):
+        for b in batches:
+            for chunk, ids, scores in zip(b.column("chunk").to_pylist(), b.column("ids").to_pylist(), b.column("scores"), strict=True):
+                d, v = _draws(ids, replicates, seed), scores.values.to_numpy(zero_copy_only=False)
+                head, tail = d[v == v[0]].sum(0), d[v == v[-1]].sum(0)
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()), "total": lists(d.sum(0)[None]), "first": v[:1], "last": v[-1:], "head": lists(head[None]), "tail": lists(tail[None])})
+
+    t = settled(chunks.mapInArrow(totals, "chunk int, total array<bigint>, first double, last double, head array<bigint>, tail array<bigint>"), "chunk_totals")
+    upto = lambda w: w.orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("r", c))), lambda x: x[c])
+    own = Window.partitionBy("r")
+    sums = t.select("chunk", F.posexplode("total").alias("r", "s")).select("chunk", "r", (F.sum("s").over(upto(own)) - F.col("s")).alias("before"), F.sum("s").over(own).alias("whole"))
+    sums = sums.groupBy("chunk").agg(listed("before").alias("before"), listed("whole").alias("whole"))
+    ends = t.select("chunk", F.lit(True).alias("is_head"), F.col("first").alias("value"), F.posexplode("head").alias("r", "s"))
+    ends = ends.unionByName(t.where("last > first").select("chunk", F.lit(False).alias("is_head"), F.col("last").alias("value"), F.posexplode("tail").alias("r", "s")))
+    same = Window.partitionBy("value", "r")
+    ends = ends.select("chunk", "is_head", "r", (F.sum("s").over(upto(same)) - F.col("s")).alias("before"), F.sum("s").over(same).alias("whole"))
+    ends = ends.groupBy("chunk", "is_head").agg(listed("before").alias("_before"), listed("whole").alias("_whole"))
+    head = ends.where("is_head").select("chunk", F.col("_before").alias("head_before"), F.col("_whole").alias("head_whole"))
+    return sums.join(head, "chunk").join(ends.where("not is_head").select("chunk", F.col("_whole").alias("tail_whole")), "chunk", "left")
+
+
+def _drawn_ranks(v: np.ndarray, d: np.ndarray, before, whole, head_before, head_whole, tail_whole) -> np.ndarray:
+    """Descending average ranks of a chunk's ascending values v with draws d."""
+    first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+    own = np.add.reduceat(d, first, axis=0)
+    below = np.cumsum(own, axis=0) - own + before
+    below[0] -= head_before
+    own[0] = head_whole
+    if len(first) > 1:
+        own[-1] = tail_whole
+    up = below + (own + 1) / 2
+    return (whole + 1 - up)[np.cumsum(np.bincount(first, minlength=len(v))) - 1]
+
+
+def _weighted(scores: np.ndarray, ids: list[str], replicates: range, seed: int, edges: list[float]):
+    """Scores by random weights (exponential numbers: Dirichlet weights but for their sum, which moves no rank) of a chunk in some replicates:
+    the distinct ones by replicate in order with their counts, replicates and ranges, and for each cell (replicates x entities) which one it is."""
+    x = scores[:, None] * -np.log(np.maximum(uniforms(seed, replicates, ids), 1e-12)) * 1e8
+    z = np.where(np.abs(x - np.trunc(x)) == 0.5, np.trunc(x) + np.copysign(1.0, x), np.rint(x)).T / 1e8 + 0.0
+    order = np.argsort(z, axis=1)
+    ordered = np.take_along_axis(z, order, axis=1)
+    new = np.ones(z.shape, bool)
+    new[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+    at = np.flatnonzero(new)
+    values = ordered.ravel()[at]
+    cell = np.empty(z.shape, np.int64)
+    np.put_along_axis(cell, order, np.cumsum(new).reshape(z.shape) - 1, axis=1)
+    return values, np.diff(np.append(at, z.size)), at // z.shape[1], np.searchsorted(edges, values, side="right"), cell
+
+
+def _blocks(replicates: int, n: int) -> list[range]:
+    """Ranges of replicates, so that a group has about CELLS weighted scores."""
+    size = max(1, CELLS // max(1, min(n, RANGE)))
+    return [range(a, min(a + size, replicates)) for a in range(0, replicates, size)]
+
+
+def _ranked(t: pa.Table) -> pa.Table:
+    """Twice the average ranks within a group, all chunks' values of some replicates and one range."""
+    sizes = vectors(t.column("sizes"), np.int64)
+    replicate = np.repeat(np.tile(np.arange(sizes.shape[1]), len(sizes)), sizes.ravel())
+    values, n = (t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("values", "n"))
+    n = n.astype(np.int64)
+    order = np.lexsort((values, replicate))
+    v, r, n = values[order], replicate[order], n[order]
+    ranks = np.empty(len(v), np.int32)
+    if len(v):
+        first = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (r[1:] != r[:-1])]))
+        own = np.add.reduceat(n, first)
+        below = np.cumsum(own) - own
+        start = np.searchsorted(r[first], r[first])
+        ranks[order] = np.repeat(2 * (below - below[start]) + own + 1, np.diff(np.append(first, len(v))))
+    held = np.bincount(r, weights=n, minlength=sizes.shape[1]).astype(np.int64)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes.sum(1))]).astype(np.int32))
+    out = pa.ListArray.from_arrays(offsets, pa.array(ranks))
+    return pa.table({"chunk": t.column("chunk"), "block": t.column("block"), "range": t.column("range"), "held": lists(np.repeat(held[None], len(sizes), 0)), "ranks": out})
+
+
+def _weighted_ranks(chunks: DataFrame, n: int, replicates: int, seed: int, edges: list[float]) -> DataFrame:
+    """(chunk, block, range, held, ranks): twice the ascending ranks, within their range, of a chunk's distinct weighted scores, and what the range holds in each replicate."""
+    blocks = _blocks(replicates, n)
+
+    def cells(batches):
+        for b in batches:
+            for chunk, ids, scores in zip(b.column("chunk").to_pylist(), b.column("ids").to_pylist(), b.column("scores"), strict=True):
+                for k, block in enumerate(blocks):
+                    values, count, r, q, _ = _weighted(scores.values.to_numpy(zero_copy_only=False), ids, block, seed, edges)
+                    for e in range(len(edges) + 1):
+                        own = q == e
+                        row = {"values": values[own], "n": count[own].astype(np.int32), "sizes": np.bincount(r[own], minlength=len(block)).astype(np.int32)}
+                        place = {c: pa.array([x], pa.int32()) for c, x in (("chunk", chunk), ("block", k), ("range", e))}
+                        yield pa.RecordBatch.from_pydict(place | {c: lists(x[None]) for c, x in row.items()})
+
+    sent = chunks.mapInArrow(cells, "chunk int, block int, range int, values array<double>, n array<int>, sizes array<int>")
+    # As many tasks as groups, or the usual number.
+    tasks = max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(blocks) * (len(edges) + 1) // 8)
+    return sent.repartition(tasks, "block", "range").groupBy("block", "range").applyInArrow(_ranked, "chunk int, block int, range int, held array<bigint>, ranks array<int>")
+
+
+def _quantiles(ordered: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
+    """Of the first n numbers of every ordered row, linear between them."""
+    place = np.maximum(n - 1, 0) * p
+    low = np.floor(place).astype(int)
+    a, b = (np.take_along_axis(ordered, i[:, None], 1)[:, 0] for i in (low, np.ceil(place).astype(int)))
+    return a + (b - a) * (place - low)
+
+
+STATISTICS = ("bootstrap_rank", "bootstrap_std", "bayesian_rank", "bayesian_std", "consensus_rank", "rank_std", "bootstrap_lower", "bootstrap_upper", "ci_lower", "ci_upper")
 
 
 def intervals(scores: DataFrame, replicates: int, seed: int, key: str = "entity_id") -> DataFrame:
@@ -71,16 +159,48 @@ def intervals(scores: DataFrame, replicates: int, seed: int, key: str = "entity_
     middle = medians(scores, [], "score", "_median")  # one row
     filled = settled(scores.crossJoin(F.broadcast(middle)).select(key, F.coalesce("score", "_median").cast("double").alias("score")), "scores")
     n = filled.count()
-    a = drawn_ranks(filled, replicates, seed, key).where(F.size("ranks") >= LEAST).select(key, F.array_sort("ranks").alias("_a"))
-    b = weighted_ranks(filled, replicates, seed + 17, key).select(key, F.col("ranks").alias("_b"))
-    own = with_rank(filled, "score", out="original_rank", descending=True).select(key, "original_rank")
-    both = settled(own.join(a, key).join(b, key).withColumn("_c", F.array_sort(F.concat("_a", "_b"))), "ranks")
-    quantiles = {f"{name}_{end}": _quantile(F.col(c), p) for name, c in (("bootstrap", "_a"), ("ci", "_c")) for end, p in (("lower", 0.025), ("upper", 0.975))}
-    out = both.select(
-        key, "original_rank", F.size("_a").alias("n_drawn"), _mean(F.col("_a")).alias("bootstrap_rank"), _deviation(F.col("_a")).alias("bootstrap_std"),
-        _mean(F.col("_b")).alias("bayesian_rank"), _deviation(F.col("_b")).alias("bayesian_std"), _mean(F.col("_c")).alias("consensus_rank"), _deviation(F.col("_c")).alias("rank_std"),
-        *[v.alias(k) for k, v in quantiles.items()],
-    )
+    chunks = _chunks(filled, key)
+    edges: list[float] = []
+    if n > RANGE:
+        one = filled.select((F.col("score") * -F.log(F.greatest(uniform(F.lit(seed + 17), F.lit(0), F.col(key)), F.lit(1e-12)))).alias("z"))
+        k = -(-n // RANGE)
+        edges = sorted(set(one.approxQuantile("z", [i / k for i in range(1, k)], 0.001)))
+    ranked = _weighted_ranks(chunks, n, replicates, seed + 17, edges)
+    blocks = _blocks(replicates, n)
+
+    def summaries(own: pa.Table, weighted: pa.Table) -> pa.Table:
+        ids, v = own.column("ids")[0].as_py(), own.column("scores").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        d = _draws(ids, replicates, seed)
+        names = ("before", "whole", "head_before", "head_whole", "tail_whole")
+        a = _drawn_ranks(v, d, *[np.array(own.column(c)[0].as_py()) for c in names])
+        original, a, m = a[:, -1], a[:, :-1], (d[:, :-1] > 0)
+        b = np.empty((len(ids), replicates))
+        rows = {(r["block"], r["range"]): i for i, r in enumerate(weighted.select(["block", "range"]).to_pylist())}
+        for k, block in enumerate(blocks):
+            values, _, r, q, cell = _weighted(v, ids, block, seed + 17, edges)
+            ranks, below = np.empty(len(values)), np.zeros(len(block))
+            for e in range(len(edges) + 1):
+                i, at = rows[k, e], q == e
+                ranks[at] = weighted.column("ranks")[i].values.to_numpy(zero_copy_only=False) / 2 + below[r[at]]
+                below += weighted.column("held")[i].values.to_numpy(zero_copy_only=False)
+            b[:, block.start : block.stop] = n + 1 - ranks[cell].T
+        size = m.sum(1)
+        shown = np.sort(np.where(m, a, np.inf), axis=1)
+        both = np.sort(np.concatenate([shown, b], axis=1), axis=1)
+
+        def moments(x: np.ndarray, count: np.ndarray):
+            inside = np.arange(x.shape[1]) < count[:, None]
+            mean = np.where(inside, x, 0.0).sum(1) / np.maximum(count, 1)
+            return mean, np.sqrt((np.where(inside, x - mean[:, None], 0.0) ** 2).sum(1) / np.maximum(count, 1))
+
+        whole = size + replicates
+        numbers = [*moments(shown, size), *moments(b, np.full(len(b), replicates)), *moments(both, whole)]
+        numbers += [_quantiles(x, c, p) for x, c in ((shown, size), (both, whole)) for p in (0.025, 0.975)]
+        out = pa.table({key: own.column("keys").combine_chunks().flatten(), "original_rank": original, "n_drawn": size.astype(np.int32)} | dict(zip(STATISTICS, numbers, strict=True)))
+        return out.filter(pa.array(size >= LEAST))
+
+    schema = f"{key} {filled.schema[key].dataType.simpleString()}, original_rank double, n_drawn int, {', '.join(f'{c} double' for c in STATISTICS)}"
+    out = settled(chunks.join(_borders(chunks, replicates, seed), "chunk").groupBy("chunk").cogroup(ranked.groupBy("chunk")).applyInArrow(summaries, schema), "ranks")
     width = F.col("ci_upper") - F.col("ci_lower")
     return out.select(
         "*", width.alias("ci_width"), (F.col("bootstrap_std") < STEADY).alias("stable"), (F.col("bootstrap_std") < RELAXED * n).alias("stable_relaxed"),

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.skew import join_counted
 from panelforge.functions.tables import settled
-from panelforge.operators.draws import _vectors, value_counts
+from panelforge.operators.draws import value_counts, vectors
 from panelforge.operators.ranking import medians, numbered
 
 BINS = 5
@@ -57,7 +57,7 @@ def _split_sums(batches, totals: np.ndarray, training: np.ndarray):
         for lo in range(0, whole.num_rows, _ROWS):
             b = whole.slice(lo, _ROWS)
             p, g, y = (b.column(c).to_numpy(zero_copy_only=False) for c in ("part", "group", "y"))
-            below_x, own_x, below_y, own_y = (_vectors(b.column(c), np.int64) for c in ("x_below", "x_own", "y_below", "y_own"))
+            below_x, own_x, below_y, own_y = (vectors(b.column(c), np.int64) for c in ("x_below", "x_own", "y_below", "y_own"))
             inside = sides.T[g]
             bx = (below_x - base[p]) @ sides.T
             # Ranks from their mean, so that squares stay small.

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from panelforge.functions import uniforms
 from panelforge.operators import draws, rank_intervals, resampling
 
 
@@ -75,6 +76,23 @@ def test_empty_rows(spark):
     assert draws.rank_correlations(rows, (0, 3), 1).count() == 0
 
 
+def test_uniforms_are_the_portable_ones():
+    keys = ["", "7", "123", "x" * 60, "\u00e4"]
+    got = uniforms.uniforms(42, range(8, 12), keys)
+    assert got.tolist() == [[uniform(42, r, k) for r in range(8, 12)] for k in keys]
+
+
+def test_chunks_and_ranges_change_no_rank(spark, scores, monkeypatch):
+    """Values that several chunks share, several ranges and replicates in groups, against one chunk and one range."""
+    x, _ = scores
+    rows = spark.createDataFrame([(f"k{i}", 0.5 if i % 3 == 0 else float(x[i])) for i in range(50)] + [("null", None)], "entity_id string, score double")
+    whole = sorted(map(tuple, rank_intervals.intervals(rows, 30, 1).collect()))
+    for name, size in (("CHUNK", 4), ("RANGE", 20), ("CELLS", 60)):
+        monkeypatch.setattr(rank_intervals, name, size)
+    parted = sorted(map(tuple, rank_intervals.intervals(rows, 30, 1).collect()))
+    assert len(whole) == 51 and parted == whole
+
+
 def test_rank_intervals(spark, scores):
     x, _ = scores
     n, replicates = 30, 40
