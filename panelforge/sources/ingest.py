@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+from math import comb, floor
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelforge.functions.tables import settled
+
 NAME_SUFFIXES = ("inc", "corp", "corporation", "company", "co", "ltd", "limited", "plc", "llc")
 
 
@@ -74,6 +82,33 @@ def plain_name(x: Column) -> Column:
 
 #: Names of one side that a tile of a hot key holds at most.
 HOT_NAMES = 2_000
+#: Steps in which the edits allowed grow, and ways to shorten a name beyond which it is cut into pieces instead.
+STEPS, WAYS = 3, 2_000
+
+
+def _shortened(names: DataFrame, name: str, dropped: dict[int, set[tuple[int, int, int]]]) -> DataFrame:
+    """(name, key): numbers of what is left of a name without some of its characters, for ``dropped`` (length -> (own part of the key, two numbers; characters left out)).
+
+    Two names of given lengths with at most t edits have a part in common that leaves out t characters of the longer and t less the difference of the shorter."""
+
+    def of(batches):
+        for b in batches:
+            column = b.column(0).to_pylist()
+            sizes = np.array([len(x) for x in column])
+            for size in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == size)
+                own = [column[i] for i in at]
+                codes = np.frombuffer("".join(own).encode("utf-32-le"), np.uint32).reshape(len(own), size).astype(np.uint64)
+                for one, other, out in sorted(dropped.get(size, ())):
+                    kept = np.array(list(combinations(range(size), size - out)), dtype=int).reshape(comb(size, out), size - out)
+                    factors = np.random.default_rng([one, other]).integers(1, 1 << 63, size - out + 1, dtype=np.uint64) | np.uint64(1)
+                    step = max(1, (1 << 20) // max(1, kept.size))
+                    for lo in range(0, len(own), step):
+                        keys = (codes[lo : lo + step, kept] * factors[1:]).sum(-1, dtype=np.uint64) + factors[0]
+                        offsets = np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1]
+                        yield pa.RecordBatch.from_arrays([pa.array(own[lo : lo + step]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64)))], [name, "_k"])
+
+    return names.mapInArrow(of, f"{name} string, _k array<bigint>").select(name, F.explode(F.array_distinct("_k")).alias("_k"))
 
 
 def _likeness_keys(names: DataFrame, name: str, least: float, indexed: bool) -> DataFrame:
@@ -98,29 +133,65 @@ def _likeness_keys(names: DataFrame, name: str, least: float, indexed: bool) ->
     return k.select(name, F.concat_ws("|", "_n", "_i", F.substring(F.col(name), F.col("_p") + 1, F.col("_s"))).alias("_k")).distinct()
 
 
-def fuzzy_match(left: DataFrame, right: DataFrame, left_name: str, right_name: str, least: float = 0.78) -> DataFrame:
-    """left with the right name most like its own (1 - edit distance / longer length, at least ``least``, which is above 0) among all; ties go to the smaller name.
-
-    Names meet by pieces of which every pair that is alike shares one; keys of many names are dealt to tiles.
-    """
-    a = left.select(F.col(left_name).alias("_l")).distinct().select("_l", plain_name(F.col("_l")).alias("_a")).where("_a is not null")
-    b = right.select(plain_name(F.col(right_name)).alias("_b"), F.col(right_name).alias("_r")).where("_b is not null").groupBy("_b").agg(F.min("_r").alias("_r"))
-    probes = _likeness_keys(a.select("_a").distinct(), "_a", least, indexed=False)
-    pieces = _likeness_keys(b.select("_b"), "_b", least, indexed=True)
+def _near(a: DataFrame, b: DataFrame, least: float, lengths: list[tuple[int, int]]) -> DataFrame:
+    """(_a, _m): for names _a the best (match, ratio) among names (_b, _r), of the pairs that are at least ``least`` alike; lengths are those of pairs there may be."""
+    short: tuple[dict, dict] = ({}, {})
+    long: tuple[set, set] = (set(), set())
+    for m, n in lengths:
+        t = floor(max(m, n) * (1 - least) + 1e-9)
+        drop = (t - max(0, n - m), t - max(0, m - n))
+        if min(drop) < 0:
+            continue
+        few = max(comb(m, drop[0]), comb(n, drop[1])) <= WAYS
+        for side, own in enumerate((m, n)):
+            if few:
+                short[side].setdefault(own, set()).add((m, n, drop[side]))
+            else:
+                long[side].add(own)
+
+    def keys(names: DataFrame, name: str, side: int) -> DataFrame:
+        sized = lambda of: names.where(F.length(name).isin(*of))
+        pieces = _likeness_keys(sized(long[side]), name, least, indexed=side == 1).select(name, F.xxhash64("_k").alias("_k"))
+        return reduce(DataFrame.unionByName, [x for x, used in ((_shortened(sized(short[side]), name, short[side]), short[side]), (pieces, long[side])) if used])
+
+    if not short[0] and not long[0]:
+        return a.sparkSession.createDataFrame([], "_a string, _m struct<_r: string, ratio: double>")
+    probes, indexed = keys(a, "_a", 0), keys(b.select("_b"), "_b", 1)
     tiles = lambda n: F.ceil(F.col(n) / HOT_NAMES).cast("int")
     size = lambda df, n: df.groupBy("_k").agg(F.count(F.lit(1)).alias(n))
-    hot = size(probes, "_na").join(size(pieces, "_nb"), "_k").where(F.greatest("_na", "_nb") > HOT_NAMES).select("_k", tiles("_na").alias("_ta"), tiles("_nb").alias("_tb"))
+    hot = size(probes, "_na").join(size(indexed, "_nb"), "_k").where(F.greatest("_na", "_nb") > HOT_NAMES).select("_k", tiles("_na").alias("_ta"), tiles("_nb").alias("_tb"))
 
     def dealt(df: DataFrame, name: str, own: str, other: str) -> DataFrame:
         t = lambda side: F.coalesce(f"_t{side}", F.lit(1))
         return df.join(hot, "_k", "left").select(name, "_k", F.pmod(F.xxhash64(name), t(own)).cast("int").alias(f"_x{own}"), F.explode(F.sequence(F.lit(0), t(other) - 1)).alias(f"_x{other}"))
 
-    pairs = dealt(probes, "_a", "a", "b").join(dealt(pieces, "_b", "b", "a"), ["_k", "_xa", "_xb"])
+    pairs = dealt(probes, "_a", "a", "b").join(dealt(indexed, "_b", "b", "a"), ["_k", "_xa", "_xb"])
     like = 1 - F.levenshtein("_a", "_b") / F.greatest(F.length("_a"), F.length("_b"), F.lit(1))
-    near = pairs.select("_a", "_b", like.alias("ratio")).where(F.col("ratio") >= least).distinct()
-    best = near.join(b, "_b").groupBy("_a").agg(F.min_by(F.struct("_r", "ratio"), F.struct((-F.col("ratio")).alias("x"), "_r")).alias("_m"))
-    found = a.join(best, "_a").select("_l", "_m")
-    return left.join(found, left[left_name] == found["_l"], "left").select(left["*"], F.col("_m._r").alias("match"), F.col("_m.ratio").alias("ratio"))
+    near = pairs.select("_a", "_b", like.alias("ratio")).where(F.col("ratio") >= least)
+    # The best of a task's pairs first: the same pair may come by several keys, which changes no best.
+    best = near.groupBy("_a", "ratio", "_b").agg(F.lit(1).alias("_one")).join(b, "_b")
+    return best.groupBy("_a").agg(F.min_by(F.struct("_r", "ratio"), F.struct((-F.col("ratio")).alias("x"), "_r")).alias("_m"))
+
+
+def fuzzy_match(left: DataFrame, right: DataFrame, left_name: str, right_name: str, least: float = 0.78) -> DataFrame:
+    """left with the right name most like its own (1 - edit distance / longer length, at least ``least``, which is above 0) among all; ties go to the smaller name.
+
+    Names meet by what is left of them without some characters, long ones by pieces, of which every pair that is alike shares one; keys of many names are dealt
+    to tiles. The likeness asked for sinks in steps, and a name that has found its best is not looked at again.
+    """
+    a = settled(left.select(F.col(left_name).alias("_l")).distinct().select("_l", plain_name(F.col("_l")).alias("_a")).where("_a is not null"), "left_names")
+    b = settled(right.select(plain_name(F.col(right_name)).alias("_b"), F.col(right_name).alias("_r")).where("_b is not null").groupBy("_b").agg(F.min("_r").alias("_r")), "right_names")
+    # Lengths of names: as many as the longest name has characters.
+    own, other = ([r[0] for r in df.select(F.length(n)).distinct().collect()] for df, n in ((a, "_a"), (b, "_b")))
+    lengths = [(m, n) for m in own for n in other]
+    names, found = a.select("_a").distinct(), []
+    for step in range(1, STEPS + 1):
+        at_least = least if step == STEPS else 1 - (1 - least) * step / STEPS
+        found.append(settled(_near(names, b, at_least, lengths), "matches"))
+        if step < STEPS:
+            names = settled(names.join(found[-1], "_a", "left_anti"), "unmatched")
+    matched = a.join(reduce(DataFrame.unionByName, found), "_a").select("_l", "_m")
+    return left.join(matched, left[left_name] == matched["_l"], "left").select(left["*"], F.col("_m._r").alias("match"), F.col("_m.ratio").alias("ratio"))
 
 
 def merged(base: DataFrame, others: list[DataFrame], key: str) -> DataFrame:

@@ -187,3 +187,22 @@ def test_fuzzy_names_equal_all_pairs(spark, monkeypatch, hot):
 
 def test_fuzzy_query_reads_every_customer(spark, sf_dir):
     test_query_equals_sql(spark, sf_dir, "src_fuzzy_all")
+
+
+@pytest.mark.parametrize("ways", [2_000, 1])
+def test_fuzzy_names_by_shortened_names_and_by_pieces(spark, monkeypatch, ways):
+    """Numbers behind a prefix that all names share; with one way to shorten, all go by pieces."""
+    monkeypatch.setattr(ingest, "WAYS", ways)
+    left, right = [f"Acme {i * 37:09d} Corp." for i in range(60)], [f"ACME {i * 11:09d}x Inc" for i in range(40)]
+    plain = lambda n: " ".join(n.lower().split()[:2])
+    like = lambda a, b: 1 - edits(a, b) / max(len(a), len(b))
+    best = [min(((-r, m) for m in right if (r := like(plain(n), plain(m))) >= 0.78), default=(None, None))[1] for n in left]
+    rows = ingest.fuzzy_match(spark.createDataFrame(list(enumerate(left)), "id int, name string"), spark.createDataFrame([(r,) for r in right], "firm string"), "name", "firm").collect()
+    assert {r["id"]: r["match"] for r in rows} == dict(enumerate(best))
+
+
+def test_shortened_names_are_few(spark):
+    """Candidates of a number's name: not every name with the same prefix."""
+    names = spark.createDataFrame([(f"acme {i:09d}",) for i in range(50)], "_a string")
+    keys = ingest._shortened(names, "_a", {14: {(14, 15, 0)}}).groupBy("_k").count()
+    assert keys.count() == 50 and keys.agg({"count": "max"}).head()[0] == 1
