@@ -58,7 +58,7 @@ def _features(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def elbow(df: DataFrame, columns: list[str], ks: list[int], seed: int = 42) -> DataFrame:
     """(k, inertia, silhouette) of k-means; silhouette by squared Euclidean distance."""
-    x = _features(df, columns)
+    x = settled(_features(df, columns).select("features"), "features")  # read again by every pass of every k
     rows = []
     for k in ks:
         model = KMeans(k=k, seed=seed, maxIter=20).fit(x)

@@ -31,7 +31,7 @@ def mv_projection(spark, sf_dir):
 
 
 def mv_elbow(spark, sf_dir):
-    return rounded(M.elbow(_panel(spark, sf_dir), COLUMNS, list(range(2, 10))), 4)
+    return rounded(M.elbow(settled(_panel(spark, sf_dir).select(*COLUMNS), "panel"), COLUMNS, list(range(2, 10))), 4)
 
 
 def mv_clusters(spark, sf_dir):
