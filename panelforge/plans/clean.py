@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelforge.functions.tables import settled
 from panelforge.operators import cleaning as C
 from panelforge.operators import profiling as P
 from panelforge.sources.panels import INDICATORS, PANEL_SQL, entity_panel, long_panel, long_sql
@@ -132,7 +133,7 @@ SELECT country, round(max(p25), 3) AS p25, round(max(p75), 3) AS p75, sum(coales
 
 
 def out_consensus(spark, sf_dir):
-    return C.consensus_outliers(long_panel(entity_panel(spark, sf_dir)))
+    return C.consensus_outliers(long_panel(settled(entity_panel(spark, sf_dir), "panel")))
 
 
 OUT_CONSENSUS = f"""{LONG_SQL}, s AS (SELECT indicator, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3, quantile_cont(value, 0.5) AS med, avg(value) AS m, stddev_samp(value) AS sd FROM cells GROUP BY indicator),
@@ -168,7 +169,9 @@ SELECT entity_id, indicator, round(CASE WHEN value < lo THEN lo WHEN value > hi
 
 
 def imp_group_median(spark, sf_dir):
-    return rounded(C.filled_by_group(long_panel(entity_panel(spark, sf_dir), ["momentum", "balance_ratio", "unit_price"]), "sector").select("entity_id", "indicator", "value", "filled"), 4)
+    columns = ["momentum", "balance_ratio", "unit_price"]
+    panel = settled(entity_panel(spark, sf_dir).select("entity_id", "sector", "country", *columns), "panel")
+    return rounded(C.filled_by_group(long_panel(panel, columns), "sector").select("entity_id", "indicator", "value", "filled"), 4)
 
 
 IMP_GROUP_MEDIAN = f"""WITH {PANEL_SQL}, cells AS ({long_sql(["momentum", "balance_ratio", "unit_price"])}), g AS (SELECT indicator, sector, quantile_cont(value, 0.5) AS g FROM cells GROUP BY indicator, sector), a AS (SELECT indicator, quantile_cont(value, 0.5) AS a FROM cells GROUP BY indicator)
