@@ -159,6 +159,7 @@ SCR_COMPOSITE = f"{COMPOSITE_SQL} SELECT entity_id, round(composite, 5) AS compo
 
 def scr_shrunk(spark, sf_dir):
     c = _composite(spark, sf_dir).withColumn("confidence", F.when(F.col("country") == "ASIA", 0.2).otherwise(0.9))
+    c = settled(c.select("entity_id", "sector", "composite", "confidence"), "composites")
     return rounded(S.shrunk(c, "composite", "confidence", "sector", "shrunk").select("entity_id", "shrunk"))
 
 
