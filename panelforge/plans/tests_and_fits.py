@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelforge.functions.tables import settled
 from panelforge.functions.tails import chi_square_tail_sql, f_tail_sql, t_two_sided, t_two_sided_sql
 from panelforge.operators import inference as I
 from panelforge.plans.clean import LONG_SQL, rounded
@@ -48,8 +49,8 @@ CORR_RANK_IC = f"{IC_SQL} SELECT factor, target, round(rho, 5) AS rho, n, round(
 
 
 def corr_shrunk(spark, sf_dir):
-    rows = I.pair_rows(entity_panel(spark, sf_dir), "entity_id", XS, YS)
-    return rounded(I.shrunken(I.rank_correlation(rows, ["factor", "target"])).select("factor", "target", "shrunk", "intensity"))
+    rows = I.pair_rows(settled(entity_panel(spark, sf_dir).select("entity_id", *XS, *YS), "panel"), "entity_id", XS, YS)
+    return rounded(I.shrunken(settled(I.rank_correlation(rows, ["factor", "target"]), "correlations")).select("factor", "target", "shrunk", "intensity"))
 
 
 CORR_SHRUNK = f"""{IC_SQL}, m AS (SELECT avg(rho) AS m, count(*) AS k, avg(1.0 / greatest(n - 3, 1)) AS v FROM z), q AS (SELECT sum((rho - m) ** 2) AS q FROM z, m),
