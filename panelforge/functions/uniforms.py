@@ -1,4 +1,4 @@
-"""The portable uniform numbers of ``expressions.uniform`` for whole blocks of keys and replicates, in numpy."""
+"""The portable uniform numbers of ``expressions.uniform`` for whole blocks of keys and replicates, and rounding, in numpy."""
 
 from __future__ import annotations
 
@@ -17,6 +17,13 @@ ONE_BLOCK = 55
 MESSAGES = 1 << 14
 
 
+def rounded_numbers(x: np.ndarray, digits: int) -> np.ndarray:
+    """x rounded as SQL's ROUND does: scaled, and halves of the scaled numbers away from zero."""
+    x = x * 10.0**digits
+    whole = np.trunc(x)
+    return np.where(np.abs(x - whole) == 0.5, whole + np.copysign(1.0, x), np.rint(x)) / 10.0**digits + 0.0
+
+
 def _first_words(words: np.ndarray) -> np.ndarray:
     """The first word of the digest of messages of one block, 16 words each (words x messages)."""
     a, b, c, d = (np.full(words.shape[1], s, np.uint32) for s in _START)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.expressions import uniform
 from panelforge.functions.tables import settled
-from panelforge.functions.uniforms import uniforms
+from panelforge.functions.uniforms import rounded_numbers, uniforms
 from panelforge.operators.draws import drawn, lists, vectors
 from panelforge.operators.ranking import medians, numbered
 
@@ -79,8 +79,7 @@ def _drawn_ranks(v: np.ndarray, d: np.ndarray, before, whole, head_before, head_
 def _weighted(scores: np.ndarray, ids: list[str], replicates: range, seed: int, edges: list[float]):
     """Scores by random weights (exponential numbers: Dirichlet weights but for their sum, which moves no rank) of a chunk in some replicates:
     the distinct ones by replicate in order with their counts, replicates and ranges, and for each cell (replicates x entities) which one it is."""
-    x = scores[:, None] * -np.log(np.maximum(uniforms(seed, replicates, ids), 1e-12)) * 1e8
-    z = np.where(np.abs(x - np.trunc(x)) == 0.5, np.trunc(x) + np.copysign(1.0, x), np.rint(x)).T / 1e8 + 0.0
+    z = rounded_numbers(scores[:, None] * -np.log(np.maximum(uniforms(seed, replicates, ids), 1e-12)), 8).T
     order = np.argsort(z, axis=1)
     ordered = np.take_along_axis(z, order, axis=1)
     new = np.ones(z.shape, bool)

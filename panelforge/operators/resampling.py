@@ -5,15 +5,20 @@ from __future__ import annotations
 from functools import reduce
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.expressions import uniform
 from panelforge.functions.tables import settled
+from panelforge.functions.uniforms import rounded_numbers, uniforms
 from panelforge.operators.ranking import cumulative, numbered, with_bin, with_rank
 
 #: Rows (replicates x entities) that one batch of replicates makes at most.
 BATCH_ROWS = 200_000_000
+#: Cells (rows x replicates or candidates) that a task works on at once.
+CELLS = 1_000_000
 
 
 def weight_rows(spark, candidates: dict[str, dict[str, float]]) -> DataFrame:
@@ -129,6 +134,63 @@ def subsample(rows: DataFrame, replicates: tuple[int, int], share: float, seed:
     return _repeated(rows, *replicates).where(uniform(F.lit(seed), F.col("replicate"), F.col(key)) < share)
 
 
+def subsample_tops(scores: DataFrame, replicates: int, share: float, n: int, seed: int, key: str = "entity_id") -> DataFrame:
+    """(key, drawn, n) of scores (key, score): how many subsamples (see ``subsample``) an entity is in, and how many have it among their n best.
+
+    A task counts its rows and passes on the n best of each batch in each replicate; no row is copied for the replicates."""
+
+    def of(batches):
+        for batch in batches:
+            t = pa.Table.from_batches([batch]).sort_by([("score", "descending"), (key, "ascending")])
+            ids, drawn, tops = t.column("_id").to_pylist(), np.zeros(t.num_rows, np.int64), []
+            step = max(1, CELLS // max(1, t.num_rows))
+            for lo in range(0, replicates, step):
+                numbers = range(lo, min(lo + step, replicates))
+                inside = uniforms(seed, numbers, ids) < share
+                drawn += inside.sum(1)
+                r, i = np.nonzero((inside & (np.cumsum(inside, axis=0) <= n)).T)
+                tops.append((r + lo, i))
+            if t.num_rows:
+                replicate, i = map(np.concatenate, zip(*tops, strict=True))
+                rows = t.select([key, "score"])
+                yield from rows.append_column("drawn", pa.array(drawn)).append_column("replicate", pa.nulls(len(drawn), pa.int32())).to_batches()
+                yield from rows.take(pa.array(i)).append_column("drawn", pa.nulls(len(i), pa.int64())).append_column("replicate", pa.array(replicate.astype(np.int32))).to_batches()
+
+    kind = scores.schema[key].dataType.simpleString()
+    rows = scores.select(key, F.col("score").cast("double").alias("score"), F.col(key).cast("string").alias("_id"))
+    both = settled(rows.mapInArrow(of, f"`{key}` {kind}, score double, drawn bigint, replicate int"), "subsamples")
+    inside = top_sets(both.where("replicate is not null"), n, ["replicate"], key).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return both.where("drawn > 0").select(key, "drawn").join(inside, key, "left").fillna(0, ["n"])
+
+
+def candidate_tops(long: DataFrame, weights: DataFrame, n: int, key: str = "entity_id") -> DataFrame:
+    """(candidate, key, score) of long (key, factor, x): rows of ``evaluated`` that hold each candidate's n best (smaller keys first among equals).
+
+    Each task multiplies its rows with all weight vectors and passes on the n best of each batch, so no row is copied for the candidates."""
+    given = weights.groupBy("candidate").agg(F.map_from_entries(F.collect_list(F.struct("factor", "w"))).alias("w")).collect()  # the weight vectors, which every task gets
+    names = [r["candidate"] for r in given]
+    factors = sorted({f for r in given for f in r["w"]})
+    w = np.array([[r["w"].get(f, 0.0) for f in factors] for r in given]).reshape(len(names), len(factors))
+    wide = long.where(F.col("factor").isin(factors)).groupBy(key).agg(*[F.max(F.when(F.col("factor") == f, F.col("x"))).alias(f"_x{k}") for k, f in enumerate(factors)])
+
+    def of(batches):
+        for batch in batches:
+            t = pa.Table.from_batches([batch]).sort_by(key)
+            x = [np.nan_to_num(t.column(f"_x{k}").to_numpy()) for k in range(len(factors))]
+            step = max(1, CELLS // max(1, t.num_rows))
+            for lo in range(0, len(names) if t.num_rows else 0, step):
+                score = rounded_numbers(sum((w[lo : lo + step, k, None] * x[k] for k in range(len(factors))), 0.0), 8)
+                least = np.partition(score, -n, axis=1)[:, -n] if t.num_rows > n else np.full(len(score), -np.inf)
+                c, i = np.nonzero(score >= least[:, None])
+                s = score[c, i]
+                order = np.lexsort((i, -s, c))
+                c, i, s = c[order], i[order], s[order]
+                kept = np.arange(len(c)) - np.searchsorted(c, c) < n
+                yield pa.RecordBatch.from_arrays([pa.array([names[lo + j] for j in c[kept]]), t.column(key).take(pa.array(i[kept])).combine_chunks(), pa.array(s[kept])], ["candidate", key, "score"])
+
+    return wide.mapInArrow(of, f"candidate string, `{key}` {long.schema[key].dataType.simpleString()}, score double")
+
+
 def rank_stability(long: DataFrame, weights: DataFrame, replicates: int, share: float, n: int, seed: int, steady: float = 5.0, key: str = "entity_id") -> DataFrame:
     """(key, mean_rank, std_rank, low_rank, high_rank, kept, stable) of every entity over replicates of changed weights: ``kept`` is the share that has it among the n best, ``stable`` a deviation below ``steady``."""
 

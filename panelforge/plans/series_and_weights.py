@@ -259,14 +259,7 @@ def _even(spark, sf_dir):
 
 def res_subsample(spark, sf_dir):
     """How often an entity is among the 20 best of 80 pct subsamples, of all of them and of those that it is in."""
-    base = _even(spark, sf_dir)
-
-    def of(first, last):
-        sub = W.subsample(base, (first, last), 0.8, 7)
-        inside = W.top_sets(sub, TOP, ["replicate"]).groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
-        return sub.groupBy("entity_id").agg(F.count(F.lit(1)).alias("drawn")).join(inside, "entity_id", "left")
-
-    out = W.in_batches(base, SUBSAMPLES, of).groupBy("entity_id").agg(F.sum("drawn").alias("drawn"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    out = W.subsample_tops(_even(spark, sf_dir), SUBSAMPLES, 0.8, TOP, 7)
     return rounded(out.select("entity_id", "n", (F.col("n") / SUBSAMPLES).alias("share"), (F.col("n") / F.col("drawn")).alias("share_where_drawn")))
 
 
@@ -305,7 +298,7 @@ TILTS = 1000
 def res_tilts(spark, sf_dir):
     """Of 1,000 random weight vectors those with the best ratio, the least deviation and the largest mean return of the 20 best."""
     long = settled(_factors(spark, sf_dir), "factors")
-    s = W.evaluated(long, W.random_weights(spark, FACTORS, TILTS, 13))
+    s = W.candidate_tops(long, W.random_weights(spark, FACTORS, TILTS, 13), TOP)
     return rounded(W.best_candidates(settled(W.ratio_of_top(s, _returns(spark, sf_dir), TOP, ["candidate"]), "ratios")))
 
 
