@@ -12,7 +12,7 @@ when their sets' Jaccard similarity is 80/100 or more.
 4. What is left is verified on the full sets, from the texts.
 
 Pairs within a class are not all needed. Every bucket first gives a star: all its nodes against one of them, then, while the pairs of different classes that
-buckets hold are more than ``SEARCHED`` for each of their nodes, stars around others; last, all pairs of different classes in a bucket, in tiles that hold signatures and texts, each pair in the first bucket that it
+buckets hold are more than ``SEARCHED`` for each of their nodes, stars around others; last, all pairs of different classes in a bucket, in tiles that hold texts of nodes whose first minima meet another class, each pair in the first bucket that it
 shares. A tile verifies what the batches leave and joins classes as it goes, so it gives a link for each joining and no pairs. So all candidates whose
 ends end up in different classes are tested, and a bucket of near copies of any size costs a few pairs a node. Nodes of a bucket that link with nothing are
 compared with all of it, in time quadratic in their number.
@@ -39,6 +39,8 @@ SHINGLE = 4
 BANDS, ROWS = 56, 6
 BATCH = 48
 MISS = 1e-7
+#: Minima by which tiles first tell the nodes that meet another class; only the texts of these are sent.
+FIRST = 3 * BATCH
 #: Stars at most before the pairs that are left are compared in tiles, and pairs for each node of a bucket that are compared so without a further star.
 STARS = 4
 SEARCHED = 1000
@@ -107,6 +109,15 @@ def _near(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return (100 * n >= ngram_join.PERCENT * m) & (100 * m >= ngram_join.PERCENT * n)
 
 
+def _measured(sets: list[np.ndarray], which: list[int]):
+    """(numbers, signatures, band keys) of the named sets (not empty), about TOGETHER shingles at a time."""
+    while len(which):
+        size = np.cumsum([len(sets[k]) for k in which])
+        some, which = np.split(np.array(which), [max(1, int(np.searchsorted(size, TOGETHER)))])
+        least = minima([sets[k] for k in some])
+        yield some, signature(least), bands(least).view(np.int64)
+
+
 _NODE = pa.schema([*[(c, pa.int64()) for c in ("doc_id", "k1", "k2", "h1", "h2", "n")], ("point", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
@@ -122,21 +133,17 @@ def _node_rows(batches):
                 seen.add(key)
                 new.append(k)
         points, places = [None] * len(sets), [None] * len(sets)
-        while new:
-            size = np.cumsum([len(sets[k]) for k in new])
-            some, new = np.split(np.array(new), [max(1, int(np.searchsorted(size, TOGETHER)))])
-            least = minima([sets[k] for k in some])
-            for k, own, key in zip(some, signature(least), bands(least).view(np.int64), strict=True):
-                points[k], places[k] = own.tobytes(), key
-            new = new.tolist()
+        for some, own, key in _measured(sets, new):
+            for k, x, y in zip(some, own, key, strict=True):
+                points[k], places[k] = x.tobytes(), y
         h = np.array(keys, np.int64).reshape(-1, 2)
         columns = [pa.array(x, pa.int64()) for x in (h[:, 0], h[:, 1], [len(s) for s in sets])]
         own = [b.column(c).cast(pa.int64()) for c in ("doc_id", "k1", "k2")]
         yield pa.RecordBatch.from_arrays([*own, *columns, pa.array(points, pa.binary()), pa.array(places, pa.list_(pa.int64()))], schema=_NODE)
 
 
-def _points(raw: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+def _points(raw: pa.ChunkedArray, width: int = BANDS * ROWS) -> np.ndarray:
+    return np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(-1, width)
 
 
 def _sifted(batches):
@@ -160,6 +167,36 @@ def _overlaps(x: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat((x[at] == every).astype(np.int64), np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]]))
 
 
+def _tiles(sig: np.ndarray, i: np.ndarray, j: np.ndarray, h1: np.ndarray):
+    """Row numbers of each tile (sig, i, j) of a block."""
+    by = np.lexsort((h1, j, i, sig))
+    new = np.ones(len(by), bool)
+    new[1:] = (sig[by][1:] != sig[by][:-1]) | (i[by][1:] != i[by][:-1]) | (j[by][1:] != j[by][:-1])
+    first = np.flatnonzero(new)
+    for lo, hi in zip(first, np.append(first[1:], len(by)), strict=True):
+        yield by[lo:hi]
+
+
+def _met(point: np.ndarray, theirs: np.ndarray, apart: np.ndarray, sizes: np.ndarray, size: int) -> np.ndarray:
+    """Which of a tile's outer rows are of another class, near in size and not left out by minima."""
+    at = np.flatnonzero(apart & _near(sizes, size))
+    return at[survivors(point[None], theirs, np.zeros(len(at), np.int64), at)]
+
+
+def _meeting(cells: pa.Table) -> pa.Table:
+    """Those rows of the tiles of a block that meet a row of another class by their FIRST minima."""
+    sig, i, j, h1, comp, n, inner = (cells.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "i", "j", "h1", "comp", "n", "inner"))
+    points = _points(cells.column("point"), FIRST)
+    kept = np.zeros(len(sig), bool)
+    for own in _tiles(sig, i, j, h1):
+        others, theirs = own[~inner[own]], points[own[~inner[own]]]
+        for x in own[inner[own]]:
+            at = others[_met(points[x], theirs, comp[others] != comp[x], n[others], n[x])]
+            kept[at] = True
+            kept[x] |= len(at) > 0
+    return cells.select(["sig", "h1", "comp", "i", "j", "inner"]).filter(pa.array(kept))
+
+
 _LINK = pa.schema([(c, pa.int64()) for c in ("a1", "a2", "b1", "b2")])
 
 
@@ -167,10 +204,12 @@ def _linked_across(cells: pa.Table, texts: pa.Table) -> pa.Table:
     """Links between classes in the tiles (sig, i, j) of a block: inner with outer rows that the batches of minima leave, verified on the sets; pairs of
     classes that the block has already joined are left out."""
     sig, i, j, h1, h2, comp, n, inner = (cells.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "i", "j", "h1", "h2", "comp", "n", "inner"))
-    points = _points(cells.column("point"))
-    keys = cells.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
     rows = {key: k for k, key in reversed(list(enumerate(zip(texts.column("h1").to_pylist(), texts.column("h2").to_pylist(), strict=True))))}
-    sets = dict(zip(rows, ngram_join.shingle_sets(texts.column("text").take(pa.array(list(rows.values()), pa.int64())), SHINGLE), strict=True))
+    sets = list(ngram_join.shingle_sets(texts.column("text").take(pa.array(list(rows.values()), pa.int64())), SHINGLE))
+    measured = list(_measured(sets, list(range(len(sets)))))
+    points, keys = (np.concatenate([m[k] for m in measured]) if measured else np.zeros((0, width), kind) for k, width, kind in ((1, BANDS * ROWS, np.uint8), (2, BANDS, np.int64)))
+    number = {key: k for k, key in enumerate(rows)}
+    at_set = np.array([number[key] for key in zip(h1.tolist(), h2.tolist(), strict=True)], np.int64)
     joined: dict[int, int] = {}
 
     def top(c: int) -> int:
@@ -179,22 +218,17 @@ def _linked_across(cells: pa.Table, texts: pa.Table) -> pa.Table:
             c = up
         return c
 
-    by = np.lexsort((h1, j, i, sig))
-    new = np.ones(len(by), bool)
-    new[1:] = (sig[by][1:] != sig[by][:-1]) | (i[by][1:] != i[by][:-1]) | (j[by][1:] != j[by][:-1])
-    first, found = np.flatnonzero(new), []
-    for lo, hi in zip(first, np.append(first[1:], len(by)), strict=True):
-        own = by[lo:hi]
-        others, theirs = own[~inner[own]], points[own[~inner[own]]]
+    found = []
+    for own in _tiles(sig, i, j, h1):
+        others = own[~inner[own]]
+        theirs = points[at_set[others]]
         for x in own[inner[own]]:
-            at = np.flatnonzero((comp[others] != comp[x]) & _near(n[others], n[x]))
-            at = at[survivors(points[x : x + 1], theirs, np.zeros(len(at), np.int64), at)]
-            at = others[at[_shared_least(keys[x], keys[others[at]]) == sig[x]]]
+            at = others[_met(points[at_set[x]], theirs, comp[others] != comp[x], n[others], n[x])]
+            at = at[_shared_least(keys[at_set[x]], keys[at_set[at]]) == sig[x]]
             at = at[[top(c) != top(comp[x]) for c in comp[at].tolist()]] if len(at) else at
             if not len(at):
                 continue
-            mine = sets[h1[x], h2[x]]
-            both = _overlaps(mine, [sets[h1[y], h2[y]] for y in at])
+            both = _overlaps(sets[at_set[x]], [sets[k] for k in at_set[at]])
             for y in at[100 * both >= ngram_join.PERCENT * (n[x] + n[at] - both)]:
                 if (a := top(int(comp[x]))) != (b := top(int(comp[y]))):
                     joined[max(a, b)] = min(a, b)
@@ -206,7 +240,8 @@ def _linked_across(cells: pa.Table, texts: pa.Table) -> pa.Table:
 def _across(members: DataFrame, marks: DataFrame, of: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
     """Links (a1, a2, b1, b2) between nodes of different classes in the same bucket, so many that they join what all such links would join.
 
-    A bucket's nodes outside its largest class (inner) meet all of its nodes (outer), in tiles of TILE of both, with their signatures and texts."""
+    A bucket's nodes outside its largest class (inner) meet all of its nodes (outer), in tiles of TILE of both: first with the first of their minima, which
+    leave out nodes that meet nothing, then what is left with texts, from which a block has signatures again: a text is sent once a block, a signature never."""
     tile, block = ngram_join.TILE, ngram_join.BLOCK_ROWS
     classed = settled(members.join(of, "h1", "left").select("sig", "h1", F.coalesce("component", "h1").alias("comp")), "classed")
     by_class = classed.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("many"))
@@ -222,11 +257,13 @@ def _across(members: DataFrame, marks: DataFrame, of: DataFrame, nodes: DataFram
     as_inner = F.when(F.col("comp") != F.col("main"), F.transform(numbers("js"), lambda x: cell(i, x, True)))
     every = F.concat(as_outer, F.coalesce(as_inner, F.array().cast("array<struct<i:bigint,j:bigint,inner:boolean>>")))
     rows = settled(inside.select("sig", "h1", "comp", F.explode(every).alias("c")).select("sig", "h1", "comp", "c.*"), "cells")
-    blocks = max(1, -(-rows.count() // block))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("sig", "i", "j"), F.lit(blocks)))
+    dealt_out = lambda rows: rows.withColumn("block", F.pmod(F.xxhash64("sig", "i", "j"), F.lit(max(1, -(-rows.count() // block)))))
+    brief = marks.select("h1", "n", F.substring("point", 1, FIRST).alias("point"))
+    met = dealt_out(rows).join(brief, "h1").groupBy("block").applyInArrow(_meeting, "sig bigint, h1 bigint, comp bigint, i bigint, j bigint, inner boolean")
+    rows = dealt_out(settled(met, "met"))
     wanted = rows.select("block", "h1").distinct().join(nodes.select("h1", "h2", "key.k1", "key.k2"), "h1").select("k1", "k2", "block", "h1", "h2")
     texts = ngram_join.sent_texts(documents, settled(wanted, "wanted"))
-    dealt = rows.join(marks, "h1").select("block", "sig", "i", "j", "inner", "h1", "h2", "comp", "n", "point", "bands")
+    dealt = rows.join(nodes.select("h1", "h2", "n"), "h1").select("block", "sig", "i", "j", "inner", "h1", "h2", "comp", "n")
     return dealt.groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(_linked_across, "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from panelforge.llm import minhash, ngram_join
+from panelforge.llm import components, minhash, ngram_join
 from tests.llm import cases
 
 
@@ -119,3 +119,23 @@ def test_survivors_drop_pair_by_pair_what_a_plain_loop_drops():
 def test_shingles_of_any_size():
     batch = pa.array(["a b c d e", "a b", "", None])
     assert [[len(s) for s in ngram_join.shingle_sets(batch, k)] for k in (1, 4, 5)] == [[5, 2, 0, 0], [2, 1, 0, 0], [1, 1, 0, 0]]
+
+
+def test_only_rows_that_meet_another_class_go_on():
+    """Rows 11 and 13 have the same first minima and differ in class; 12 and 15 do too but are of one class."""
+    points = np.random.default_rng(5).integers(0, 256, (6, minhash.FIRST)).astype(np.uint8)
+    points[3], points[5] = points[1], points[2]
+    same = {"block": 0, "sig": 9, "i": 0, "j": 0, "n": 50}
+    own = {"h1": [10, 11, 12, 13, 14, 15], "comp": [1, 2, 3, 4, 5, 3], "inner": [True, True, True, False, False, False], "point": [p.tobytes() for p in points]}
+    cells = pa.table({**{c: [v] * 6 for c, v in same.items()}, **own})
+    assert minhash._meeting(cells).column("h1").to_pylist() == [11, 13]
+
+
+def test_small_and_large_components_agree(spark, monkeypatch):
+    edges = [(k, k + 1) for k in range(20)] + [(40, 41), (41, 45), (60, 60), (None, 3)]
+    frame = spark.createDataFrame(edges, "a bigint, b bigint")
+    got = []
+    for small in (0, 1000):
+        monkeypatch.setattr(components, "SMALL", small)
+        got.append(sorted(map(tuple, components.components(frame).collect())))
+    assert got[0] == got[1] == [(k, 0) for k in range(21)] + [(40, 40), (41, 40), (45, 40)]
