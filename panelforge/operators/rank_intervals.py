@@ -24,12 +24,17 @@ STEADY, RELAXED, STRICT, MODERATE = 5.0, 0.15, 0.20, 0.35
 CHUNK, RANGE, CELLS = 4096, 1_000_000, 2_000_000
 
 
+def _dealt(chunks: DataFrame) -> DataFrame:
+    """chunks, settled in as many files as the usual number of tasks: a chunk is small but takes long to draw."""
+    return settled(chunks.repartition(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk"), "chunks")
+
+
 def _chunks(scores: DataFrame, key: str) -> DataFrame:
     """(chunk, keys, ids, scores), settled: entities in the order of their scores."""
     placed = numbered(scores, [], ["score", key], "_place").withColumn("chunk", F.floor(F.col("_place") / CHUNK).cast("int"))
     rows = placed.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("_place", F.col(key).alias("key"), "score"))).alias("e"))
     ids = F.transform("e.key", lambda k: k.cast("string"))
-    return settled(rows.select("chunk", F.col("e.key").alias("keys"), ids.alias("ids"), F.col("e.score").alias("scores")), "chunks")
+    return _dealt(rows.select("chunk", F.col("e.key").alias("keys"), ids.alias("ids"), F.col("e.score").alias("scores")))
 
 
 def _draws(ids: list[str], replicates: int, seed: int) -> np.ndarray:
@@ -37,14 +42,14 @@ def _draws(ids: list[str], replicates: int, seed: int) -> np.ndarray:
     return np.concatenate([drawn(seed, range(replicates), ids), np.ones((len(ids), 1), np.int64)], axis=1)
 
 
-def _borders(chunks: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """(chunk, before, whole, head_before, head_whole, tail_whole): vectors over the replicates of what smaller chunks and all hold, and what holds the chunk's first
-    and last value, which may go on in other chunks."""
+def _borders(chunks: DataFrame, draws) -> DataFrame:
+    """(chunk, before, whole, head_before, head_whole, tail_whole): vectors over the replicates (``draws(ids)``: entities x replicates) of what smaller chunks and all hold,
+    and what holds the chunk's first and last value, which may go on in other chunks."""
 
     def totals(batches):
         for b in batches:
             for chunk, ids, scores in zip(b.column("chunk").to_pylist(), b.column("ids").to_pylist(), b.column("scores"), strict=True):
-                d, v = _draws(ids, replicates, seed), scores.values.to_numpy(zero_copy_only=False)
+                d, v = draws(ids), scores.values.to_numpy(zero_copy_only=False)
                 head, tail = d[v == v[0]].sum(0), d[v == v[-1]].sum(0)
                 yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()), "total": lists(d.sum(0)[None]), "first": v[:1], "last": v[-1:], "head": lists(head[None]), "tail": lists(tail[None])})
 
@@ -76,10 +81,38 @@ def _drawn_ranks(v: np.ndarray, d: np.ndarray, before, whole, head_before, head_
     return (whole + 1 - up)[np.cumsum(np.bincount(first, minlength=len(v))) - 1]
 
 
-def _weighted(scores: np.ndarray, ids: list[str], replicates: range, seed: int, edges: list[float]):
-    """Scores by random weights (exponential numbers: Dirichlet weights but for their sum, which moves no rank) of a chunk in some replicates:
-    the distinct ones by replicate in order with their counts, replicates and ranges, and for each cell (replicates x entities) which one it is."""
-    z = rounded_numbers(scores[:, None] * -np.log(np.maximum(uniforms(seed, replicates, ids), 1e-12)), 8).T
+def successive(scores: DataFrame, draws, near: int, key: str) -> DataFrame:
+    """(replicate, drawn, both, within, low, high) of scores (key, score) without nulls: entities in each draw of ``draws(ids)`` (entities x replicates, 0 or 1), those
+    in the one before as well, how many of these are within ``near`` ranks of it, and their least and largest score. A row for each chunk and replicate is sent."""
+    chunks = _chunks(scores, key)
+    names = ("before", "whole", "head_before", "head_whole", "tail_whole")
+
+    def steps(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                v, d = b.column("scores")[i].values.to_numpy(zero_copy_only=False), draws(b.column("ids")[i].as_py())
+                ranks = _drawn_ranks(v, d, *[np.array(b.column(c)[i].as_py()) for c in names])
+                both = np.zeros(d.shape, bool)
+                both[:, 1:] = (d[:, 1:] > 0) & (d[:, :-1] > 0)
+                near_by = both[:, 1:] & (np.abs(np.diff(ranks, axis=1)) <= near)
+                none = ~both.any(0)
+                ends = [pa.array(v[at], mask=none) for at in (both.argmax(0), len(v) - 1 - both[::-1].argmax(0))]
+                counts = [d.sum(0), both.sum(0), np.concatenate([[0], near_by.sum(0)])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(d.shape[1], dtype=np.int32)), *map(pa.array, counts), *ends], ["replicate", "drawn", "both", "within", "low", "high"])
+
+    rows = chunks.join(_borders(chunks, draws), "chunk").select("ids", "scores", *names).mapInArrow(steps, "replicate int, drawn bigint, both bigint, within bigint, low double, high double")
+    total = [F.sum(c).alias(c) for c in ("drawn", "both", "within")]
+    return settled(rows.groupBy("replicate").agg(*total, F.min("low").alias("low"), F.max("high").alias("high")), "steps")
+
+
+def _exponential(scores: np.ndarray, ids: list[str], replicates: range, seed: int) -> np.ndarray:
+    """Replicates x entities: scores by random weights (exponential numbers: Dirichlet weights but for their sum, which moves no rank)."""
+    return rounded_numbers(scores[:, None] * -np.log(np.maximum(uniforms(seed, replicates, ids), 1e-12)), 8).T
+
+
+def _weighted(z: np.ndarray, edges: list[float]):
+    """Of weighted scores z (replicates x entities) of a chunk: the distinct ones by replicate in order with their counts, replicates and ranges, and for each
+    cell which one it is."""
     order = np.argsort(z, axis=1)
     ordered = np.take_along_axis(z, order, axis=1)
     new = np.ones(z.shape, bool)
@@ -118,15 +151,18 @@ def _ranked(t: pa.Table) -> pa.Table:
     return pa.table({"chunk": t.column("chunk"), "block": t.column("block"), "range": t.column("range"), "held": lists(np.repeat(held[None], len(sizes), 0)), "ranks": out})
 
 
-def _weighted_ranks(chunks: DataFrame, n: int, replicates: int, seed: int, edges: list[float]) -> DataFrame:
-    """(chunk, block, range, held, ranks): twice the ascending ranks, within their range, of a chunk's distinct weighted scores, and what the range holds in each replicate."""
+def _weighted_ranks(chunks: DataFrame, n: int, replicates: int, scored, edges: list[float]) -> DataFrame:
+    """(chunk, block, range, held, ranks): twice the ascending ranks, within their range, of a chunk's distinct weighted scores, and what the range holds in each replicate.
+
+    ``scored(table, row)`` gives the function from a range of replicates to the weighted scores (replicates x entities) of that row of chunks."""
     blocks = _blocks(replicates, n)
 
     def cells(batches):
         for b in batches:
-            for chunk, ids, scores in zip(b.column("chunk").to_pylist(), b.column("ids").to_pylist(), b.column("scores"), strict=True):
+            for i, chunk in enumerate(b.column("chunk").to_pylist()):
+                z = scored(b, i)
                 for k, block in enumerate(blocks):
-                    values, count, r, q, _ = _weighted(scores.values.to_numpy(zero_copy_only=False), ids, block, seed, edges)
+                    values, count, r, q, _ = _weighted(z(block), edges)
                     for e in range(len(edges) + 1):
                         own = q == e
                         row = {"values": values[own], "n": count[own].astype(np.int32), "sizes": np.bincount(r[own], minlength=len(block)).astype(np.int32)}
@@ -139,6 +175,54 @@ def _weighted_ranks(chunks: DataFrame, n: int, replicates: int, seed: int, edges
     return sent.repartition(tasks, "block", "range").groupBy("block", "range").applyInArrow(_ranked, "chunk int, block int, range int, held array<bigint>, ranks array<int>")
 
 
+def _ascending(weighted: pa.Table, z, blocks: list[range], edges: list[float]) -> np.ndarray:
+    """Entities x replicates: average ranks of a chunk's weighted scores ``z`` among all, from its rows of ``_weighted_ranks``."""
+    rows = {(r["block"], r["range"]): i for i, r in enumerate(weighted.select(["block", "range"]).to_pylist())}
+    out = []
+    for k, block in enumerate(blocks):
+        values, _, r, q, cell = _weighted(z(block), edges)
+        ranks, below = np.empty(len(values)), np.zeros(len(block))
+        for e in range(len(edges) + 1):
+            i, at = rows[k, e], q == e
+            ranks[at] = weighted.column("ranks")[i].values.to_numpy(zero_copy_only=False) / 2 + below[r[at]]
+            below += weighted.column("held")[i].values.to_numpy(zero_copy_only=False)
+        out.append(ranks[cell].T)
+    return np.concatenate(out, axis=1)
+
+
+def weighted_sums(x: list[np.ndarray], w: np.ndarray) -> np.ndarray:
+    """Replicates x entities: sums of columns x by the weights w (replicates x columns), to 8 digits; missing numbers count as 0."""
+    return rounded_numbers(sum((w[:, k, None] * np.nan_to_num(c) for k, c in enumerate(x)), 0.0), 8)
+
+
+def ranks_by_weights(wide: DataFrame, columns: list[str], w: np.ndarray, key: str) -> DataFrame:
+    """(key, mean, std, lo, hi) of wide (key, columns): mean, deviation, least and largest of an entity's descending average ranks by each row of the weights w
+    (replicates x columns). Values go by replicates and ranges and ranks come back, so no row is copied for the replicates."""
+    rows = settled(wide.select(F.col(key).alias("key"), F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]).alias("x")), "wide")
+    n, many = rows.count(), len(columns)
+    chunk = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-n // CHUNK)))).cast("int").alias("chunk")
+    chunks = _dealt(rows.groupBy(chunk).agg(F.collect_list(F.struct("key", "x")).alias("e")).select("chunk", F.col("e.key").alias("keys"), F.flatten("e.x").alias("x")))
+    edges: list[float] = []
+    if n > RANGE:
+        middle, k = w.mean(0), -(-n // RANGE)
+        score = sum((float(m) * F.get("x", F.lit(i)) for i, m in enumerate(middle)), F.lit(0.0)).alias("z")
+        edges = sorted(set(rows.select(score).approxQuantile("z", [i / k for i in range(1, k)], 0.001)))
+    blocks = _blocks(len(w), n)
+
+    def scored(t, i: int):
+        x = list(t.column("x")[i].values.to_numpy(zero_copy_only=False).reshape(-1, many).T)
+        return lambda block: weighted_sums(x, w[block.start : block.stop])
+
+    def summaries(own: pa.Table, weighted: pa.Table) -> pa.Table:
+        ranks = n + 1 - _ascending(weighted, scored(own, 0), blocks, edges)
+        numbers = {"mean": ranks.mean(1), "std": ranks.std(1), "lo": ranks.min(1), "hi": ranks.max(1)}
+        return pa.table({key: own.column("keys").combine_chunks().flatten()} | numbers)
+
+    ranked = _weighted_ranks(chunks, n, len(w), scored, edges)
+    schema = f"`{key}` {wide.schema[key].dataType.simpleString()}, mean double, std double, lo double, hi double"
+    return chunks.groupBy("chunk").cogroup(ranked.groupBy("chunk")).applyInArrow(summaries, schema)
+
+
 def _quantiles(ordered: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
     """Of the first n numbers of every ordered row, linear between them."""
     place = np.maximum(n - 1, 0) * p
@@ -164,25 +248,21 @@ def intervals(scores: DataFrame, replicates: int, seed: int, key: str = "entity_
         one = filled.select((F.col("score") * -F.log(F.greatest(uniform(F.lit(seed + 17), F.lit(0), F.col(key)), F.lit(1e-12)))).alias("z"))
         k = -(-n // RANGE)
         edges = sorted(set(one.approxQuantile("z", [i / k for i in range(1, k)], 0.001)))
-    ranked = _weighted_ranks(chunks, n, replicates, seed + 17, edges)
     blocks = _blocks(replicates, n)
 
+    def scored(t, i: int):
+        v, ids = t.column("scores")[i].values.to_numpy(zero_copy_only=False), t.column("ids")[i].as_py()
+        return lambda block: _exponential(v, ids, block, seed + 17)
+
+    ranked = _weighted_ranks(chunks, n, replicates, scored, edges)
+
     def summaries(own: pa.Table, weighted: pa.Table) -> pa.Table:
         ids, v = own.column("ids")[0].as_py(), own.column("scores").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         d = _draws(ids, replicates, seed)
         names = ("before", "whole", "head_before", "head_whole", "tail_whole")
         a = _drawn_ranks(v, d, *[np.array(own.column(c)[0].as_py()) for c in names])
         original, a, m = a[:, -1], a[:, :-1], (d[:, :-1] > 0)
-        b = np.empty((len(ids), replicates))
-        rows = {(r["block"], r["range"]): i for i, r in enumerate(weighted.select(["block", "range"]).to_pylist())}
-        for k, block in enumerate(blocks):
-            values, _, r, q, cell = _weighted(v, ids, block, seed + 17, edges)
-            ranks, below = np.empty(len(values)), np.zeros(len(block))
-            for e in range(len(edges) + 1):
-                i, at = rows[k, e], q == e
-                ranks[at] = weighted.column("ranks")[i].values.to_numpy(zero_copy_only=False) / 2 + below[r[at]]
-                below += weighted.column("held")[i].values.to_numpy(zero_copy_only=False)
-            b[:, block.start : block.stop] = n + 1 - ranks[cell].T
+        b = n + 1 - _ascending(weighted, scored(own, 0), blocks, edges)
         size = m.sum(1)
         shown = np.sort(np.where(m, a, np.inf), axis=1)
         both = np.sort(np.concatenate([shown, b], axis=1), axis=1)
@@ -199,7 +279,7 @@ def intervals(scores: DataFrame, replicates: int, seed: int, key: str = "entity_
         return out.filter(pa.array(size >= LEAST))
 
     schema = f"{key} {filled.schema[key].dataType.simpleString()}, original_rank double, n_drawn int, {', '.join(f'{c} double' for c in STATISTICS)}"
-    out = settled(chunks.join(_borders(chunks, replicates, seed), "chunk").groupBy("chunk").cogroup(ranked.groupBy("chunk")).applyInArrow(summaries, schema), "ranks")
+    out = settled(chunks.join(_borders(chunks, lambda ids: _draws(ids, replicates, seed)), "chunk").groupBy("chunk").cogroup(ranked.groupBy("chunk")).applyInArrow(summaries, schema), "ranks")
     width = F.col("ci_upper") - F.col("ci_lower")
     return out.select(
         "*", width.alias("ci_width"), (F.col("bootstrap_std") < STEADY).alias("stable"), (F.col("bootstrap_std") < RELAXED * n).alias("stable_relaxed"),

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.expressions import uniform
 from panelforge.functions.tables import settled
-from panelforge.functions.uniforms import rounded_numbers, uniforms
-from panelforge.operators.ranking import cumulative, numbered, with_bin, with_rank
+from panelforge.functions.uniforms import uniforms
+from panelforge.operators import rank_intervals
+from panelforge.operators.ranking import cumulative, numbered, with_bin
 
 #: Rows (replicates x entities) that one batch of replicates makes at most.
 BATCH_ROWS = 200_000_000
@@ -167,19 +168,33 @@ def candidate_tops(long: DataFrame, weights: DataFrame, n: int, key: str = "enti
     """(candidate, key, score) of long (key, factor, x): rows of ``evaluated`` that hold each candidate's n best (smaller keys first among equals).
 
     Each task multiplies its rows with all weight vectors and passes on the n best of each batch, so no row is copied for the candidates."""
-    given = weights.groupBy("candidate").agg(F.map_from_entries(F.collect_list(F.struct("factor", "w"))).alias("w")).collect()  # the weight vectors, which every task gets
+    names, factors, w = _weight_vectors(weights)
+    return _tops(_wide(long, factors, key), names, w, n, key)
+
+
+def _weight_vectors(weights: DataFrame) -> tuple[list[str], list[str], np.ndarray]:
+    """Candidates, factors and the weights of each candidate, which every task gets."""
+    given = weights.groupBy("candidate").agg(F.map_from_entries(F.collect_list(F.struct("factor", "w"))).alias("w")).collect()
     names = [r["candidate"] for r in given]
     factors = sorted({f for r in given for f in r["w"]})
-    w = np.array([[r["w"].get(f, 0.0) for f in factors] for r in given]).reshape(len(names), len(factors))
-    wide = long.where(F.col("factor").isin(factors)).groupBy(key).agg(*[F.max(F.when(F.col("factor") == f, F.col("x"))).alias(f"_x{k}") for k, f in enumerate(factors)])
+    return names, factors, np.array([[r["w"].get(f, 0.0) for f in factors] for r in given]).reshape(len(names), len(factors))
+
+
+def _wide(long: DataFrame, factors: list[str], key: str) -> DataFrame:
+    """(key, _x0, _x1, ...): a column for each factor."""
+    return long.where(F.col("factor").isin(factors)).groupBy(key).agg(*[F.max(F.when(F.col("factor") == f, F.col("x"))).alias(f"_x{k}") for k, f in enumerate(factors)])
+
+
+def _tops(wide: DataFrame, names: list[str], w: np.ndarray, n: int, key: str) -> DataFrame:
+    """See ``candidate_tops``; of wide rows and weights w (names x factors)."""
 
     def of(batches):
         for batch in batches:
             t = pa.Table.from_batches([batch]).sort_by(key)
-            x = [np.nan_to_num(t.column(f"_x{k}").to_numpy()) for k in range(len(factors))]
+            x = [t.column(f"_x{k}").to_numpy() for k in range(w.shape[1])]
             step = max(1, CELLS // max(1, t.num_rows))
             for lo in range(0, len(names) if t.num_rows else 0, step):
-                score = rounded_numbers(sum((w[lo : lo + step, k, None] * x[k] for k in range(len(factors))), 0.0), 8)
+                score = rank_intervals.weighted_sums(x, w[lo : lo + step])
                 least = np.partition(score, -n, axis=1)[:, -n] if t.num_rows > n else np.full(len(score), -np.inf)
                 c, i = np.nonzero(score >= least[:, None])
                 s = score[c, i]
@@ -188,46 +203,41 @@ def candidate_tops(long: DataFrame, weights: DataFrame, n: int, key: str = "enti
                 kept = np.arange(len(c)) - np.searchsorted(c, c) < n
                 yield pa.RecordBatch.from_arrays([pa.array([names[lo + j] for j in c[kept]]), t.column(key).take(pa.array(i[kept])).combine_chunks(), pa.array(s[kept])], ["candidate", key, "score"])
 
-    return wide.mapInArrow(of, f"candidate string, `{key}` {long.schema[key].dataType.simpleString()}, score double")
+    return wide.mapInArrow(of, f"candidate string, `{key}` {wide.schema[key].dataType.simpleString()}, score double")
 
 
 def rank_stability(long: DataFrame, weights: DataFrame, replicates: int, share: float, n: int, seed: int, steady: float = 5.0, key: str = "entity_id") -> DataFrame:
     """(key, mean_rank, std_rank, low_rank, high_rank, kept, stable) of every entity over replicates of changed weights: ``kept`` is the share that has it among the n best, ``stable`` a deviation below ``steady``."""
 
-    def of(first: int, last: int) -> DataFrame:
-        s = settled(evaluated(long, perturbed(weights, (first, last), share, seed), key), "scores")
-        ranked = with_rank(s, "score", ["replicate"], "rank", descending=True)
-        sums = ranked.groupBy(key).agg(F.count("rank").alias("k"), F.sum("rank").alias("s"), F.sum(F.col("rank") * F.col("rank")).alias("q"), F.min("rank").alias("lo"), F.max("rank").alias("hi"))
-        return sums.join(top_sets(s, n, ["replicate"], key).groupBy(key).agg(F.count(F.lit(1)).alias("in")), key, "left")
-
-    each = in_batches(long, replicates, of).groupBy(key).agg(*[f(c).alias(c) for c, f in (("k", F.sum), ("s", F.sum), ("q", F.sum), ("lo", F.min), ("hi", F.max), ("in", F.sum))])
-    mean = F.col("s") / F.col("k")
-    std = F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("k") - mean * mean))
-    return each.select(key, mean.alias("mean_rank"), std.alias("std_rank"), F.col("lo").alias("low_rank"), F.col("hi").alias("high_rank"), (F.coalesce("in", F.lit(0)) / replicates).alias("kept"), (std < steady).alias("stable"))
+    moved = perturbed(weights, (0, replicates - 1), share, seed).select(F.col("replicate").cast("string").alias("candidate"), "factor", "w")
+    names, factors, w = _weight_vectors(moved)
+    wide = settled(_wide(long, factors, key), "factors")
+    scored = wide.where(F.coalesce(*[f"_x{k}" for k in range(len(factors))]).isNotNull())
+    ranks = rank_intervals.ranks_by_weights(scored, [f"_x{k}" for k in range(len(factors))], w, key)
+    inside = top_sets(_tops(scored, names, w, n, key), n, ["candidate"], key).groupBy(key).agg(F.count(F.lit(1)).alias("in"))
+    each = wide.select(key).join(ranks, key, "left").join(inside, key, "left")
+    std = F.col("std")
+    return each.select(key, F.col("mean").alias("mean_rank"), std.alias("std_rank"), F.col("lo").alias("low_rank"), F.col("hi").alias("high_rank"), (F.coalesce("in", F.lit(0)) / replicates).alias("kept"), (std < steady).alias("stable"))
 
 
 def draw_stability(scores: DataFrame, replicates: int, seed: int, tops: tuple[int, ...] = (10, 20), near: int = 10, key: str = "entity_id") -> DataFrame:
-    """(metric, value) over bootstrap draws of scores (key, score), every entity counted once: mean overlap of each draw's best with the best of all, and
-    mean and deviation of the rank correlation of successive draws and of the share of entities within ``near`` ranks."""
-    present = 1 - 2.718281828459045**-1  # of a Poisson(1) draw
+    """(metric, mean, std) over bootstrap draws of scores (key, score), every entity counted once: overlap of each draw's best with the best of all, and
+    the rank correlation of successive draws and the share of entities within ``near`` ranks. Rows without a score are left out.
 
-    def of(first: int, last: int) -> DataFrame:
-        drawn = settled(subsample(scores, (max(first - 1, 0), last), present, seed, key), "drawn")
-        ranked = settled(with_rank(drawn, "score", ["replicate"], "rank", descending=True), "ranked")
-        frames = []
-        for n in tops:
-            best = scores.orderBy(F.desc("score"), key).limit(n).select(key, F.lit(1).alias("_in"))
-            inside = top_sets(drawn.where(F.col("replicate") >= first), n, ["replicate"], key).join(F.broadcast(best), key, "left")
-            frames.append(inside.groupBy("replicate").agg(F.count("_in").cast("double").alias("value")).withColumn("metric", F.lit(f"top{n}_overlap")))
-        before = ranked.select(key, (F.col("replicate") + 1).alias("replicate"), F.col("rank").alias("_before"))
-        pairs = ranked.join(before, [key, "replicate"]).where(F.col("replicate") >= max(first, 1))
-        both = settled(pairs.select("replicate", F.col("rank").alias("y"), F.col("_before").alias("x"), F.lit(1).alias("m")), "pairs")
-        frames.append(weighted_rank_correlation(both, ["replicate"]).select("replicate", F.col("rho").alias("value"), F.lit("successive_correlation").alias("metric")))
-        within = (100 * F.avg((F.abs(F.col("y") - F.col("x")) <= near).cast("int"))).alias("value")
-        frames.append(both.groupBy("replicate").agg(within).withColumn("metric", F.lit(f"pct_within_{near}")))
-        return reduce(lambda a, b: a.unionByName(b), frames)
-
-    return in_batches(scores, replicates, of).groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    No row is copied for the draws: a draw's best that are among the best of all are those of them that are drawn, ranks come from totals of chunks in the order
+    of scores, and as ranks of both draws fall with the score, those of the entities in both are the same, their correlation 1 wherever two scores differ."""
+    present = 1 - 2.718281828459045**-1  # of a Poisson(1) draw
+    rows = settled(scores.where("score is not null").select(key, F.col("score").cast("double").alias("score")), "scores")
+    steps = rank_intervals.successive(rows, lambda ids: (uniforms(seed, range(replicates), ids) < present).astype(np.int64), near, key)
+    frames = []
+    for n in tops:
+        best = rows.orderBy(F.desc("score"), key).limit(n)
+        inside = _repeated(best, 0, replicates - 1).groupBy("replicate").agg(F.sum((uniform(F.lit(seed), F.col("replicate"), F.col(key)) < present).cast("double")).alias("value"))
+        frames.append(inside.join(steps.where("drawn > 0"), "replicate").select("value", F.lit(f"top{n}_overlap").alias("metric")))
+    both = steps.where("both > 0")
+    frames.append(both.select(F.when(F.col("high") > F.col("low"), 1.0).alias("value"), F.lit("successive_correlation").alias("metric")))
+    frames.append(both.select((100 * F.col("within") / F.col("both")).alias("value"), F.lit(f"pct_within_{near}").alias("metric")))
+    return reduce(lambda a, b: a.unionByName(b), frames).groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
 
 
 def double_halve(base: dict[str, float], most: float = 0.5, least: float = 0.01) -> dict[str, dict[str, float]]:
