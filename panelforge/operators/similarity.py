@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -10,8 +12,10 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.tables import settled
 
-#: Rows of a block at most; a task holds two blocks and the similarities of a strip of one with the other.
+#: Rows of a block while pairs of blocks are fewer than tasks, and of the similarities of a strip that are held at once.
 BLOCK = 16384
+#: Rows and numbers (64 MB of doubles) of a block at most, where there are tasks enough: larger blocks are sent less often. A task holds two.
+MOST_ROWS, NUMBERS = 1 << 17, 1 << 23
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -87,10 +91,13 @@ def _vectors(df: DataFrame, vector: str, metric: str) -> Column:
 def _blocked(points: DataFrame, asked: DataFrame, block: int) -> DataFrame:
     """(node, first, v, query, i, j): queries of block i and points of block j of every pair of blocks."""
     wide = points.select(F.size("v")).head()
+    width = max(1, wide[0]) if wide else 1
     # As many rows as 8 MB of doubles hold.
-    block = min(block, max(STRIP, (1 << 20) // max(1, wide[0]))) if wide else block
-    blocks = lambda df: max(1, -(-df.count() // block))
-    n, m = blocks(points), blocks(asked)
+    block = min(block, max(STRIP, (1 << 20) // width))
+    most = max(block, min(MOST_ROWS, NUMBERS // width))
+    side = math.isqrt(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 1
+    blocks = lambda rows: max(1, min(-(-rows // block), side), -(-rows // most))
+    n, m = blocks(points.count()), blocks(asked.count())
     place = lambda n: F.pmod(F.xxhash64("node", F.lit(7)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     keep = ["node", "first", "v"]
@@ -109,6 +116,12 @@ def _parted(t: pa.Table, weights: list[float] | None) -> tuple[pa.Table, np.ndar
     return tuple(out)
 
 
+def _strips(a: np.ndarray, b: np.ndarray, metric: str):
+    """Strips of queries a, each as (its first row, its similarities with BLOCK points b at once as pairs of the first of them and a matrix)."""
+    for lo in range(0, len(a) if len(b) else 0, STRIP):
+        yield lo, ((at, METRICS[metric](a[lo : lo + STRIP], b[at : at + BLOCK])) for at in range(0, len(b), BLOCK))
+
+
 def nearest(
     df: DataFrame, key: str, vector: str, k: int, block: int = BLOCK, metric: str = "cosine", weights: list[float] | None = None,
     queries: DataFrame | None = None, approximate: bool = False,
@@ -117,8 +130,8 @@ def nearest(
 
     Rows that a metric can't tell apart are one node with its smallest keys. The exact search deals nodes into blocks; every pair
     of blocks is one group, in which matrix products give the best of each node, and the best of all its groups are kept. Groups grow in
-    number with the square of the different vectors, which an exact search of many dimensions can't avoid; no group grows, and what is
-    shuffled is n * n / block vectors. ``approximate`` looks into bucket tables instead (cosine of all rows, see ``neighbours``). Null vectors are left out.
+    number with the square of the different vectors, which an exact search of many dimensions can't avoid. Blocks grow up to MOST_ROWS and NUMBERS
+    once there are as many groups as tasks, and what is shuffled is 2 * n * n / rows of a block vectors. ``approximate`` looks into bucket tables instead (cosine of all rows, see ``neighbours``). Null vectors are left out.
     """
     from panelforge.operators import neighbours
 
@@ -135,13 +148,15 @@ def nearest(
     def best(t: pa.Table) -> pa.Table:
         asked, a, points, b = _parted(t, weights)
         found = []
-        for lo in range(0, len(a) if len(b) else 0, STRIP):
-            sim = METRICS[metric](a[lo : lo + STRIP], b)
-            # The k + 1 best of some points bound those of all; what is just below may round to as much.
-            some = sim[:, : max(STRIP, 4 * (k + 1))]
-            least = np.partition(some, -(k + 1), axis=1)[:, -(k + 1)] if some.shape[1] > k else np.full(len(sim), -np.inf)
-            i, j = np.nonzero(sim >= (least - 1e-8)[:, None])
-            s = np.round(sim[i, j], 9)
+        for lo, tiles in _strips(a, b, metric):
+            parts = []
+            for at, sim in tiles:
+                # The k + 1 best of some points bound those of all; what is just below may round to as much.
+                some = sim[:, : max(STRIP, 4 * (k + 1))]
+                least = np.partition(some, -(k + 1), axis=1)[:, -(k + 1)] if some.shape[1] > k else np.full(len(sim), -np.inf)
+                i, j = np.nonzero(sim >= (least - 1e-8)[:, None])
+                parts.append((i, j + at, np.round(sim[i, j], 9)))
+            i, j, s = map(np.concatenate, zip(*parts, strict=True))
             order = np.lexsort((j, -s, i))
             i, j, s = i[order], j[order], s[order]
             keep = np.arange(len(i)) - np.searchsorted(i, i) <= k
@@ -180,7 +195,7 @@ def extremes(df: DataFrame, key: str, vector: str, block: int = BLOCK, metric: s
 
     def ends(t: pa.Table) -> pa.Table:
         _, a, _, b = _parted(t, weights)
-        found = [(s.min(), s.max()) for lo in range(0, len(a) if len(b) else 0, STRIP) for s in [METRICS[metric](a[lo : lo + STRIP], b)]]
+        found = [(s.min(), s.max()) for _, tiles in _strips(a, b, metric) for _, s in tiles]
         low, high = (np.round([f(x)], 9) if found else np.zeros(0) for f, x in zip((min, max), zip(*found, strict=True) if found else ((), ()), strict=True))
         return pa.table({"low": low, "high": high})
 
