@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.expressions import ratio, rounded_halves
@@ -15,9 +15,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Where a row stands in its table: sums of doubles depend on their order, and those that lie halfway at the last digit on their last bit.
+PLACE = ("_file", "_row")
+
+
+def placed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A Parquet table with the PLACE of its rows."""
+    return table(spark, sf_dir, name).select("*", F.col("_metadata.file_name").alias(PLACE[0]), F.col("_metadata.row_index").alias(PLACE[1]))
+
+
+def sums_in_order(df: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
+    """(keys, values, n): sums of values and the number of rows of each group, added up row by row in the order of PLACE, whatever shuffle brought the rows.
+
+    Running sums over a sorted window, so a group of any size is streamed."""
+    rows = df.select(*keys, *PLACE, *[v.alias(k) for k, v in values.items()])
+    own = Window.partitionBy(*keys)
+    up_to = own.orderBy(*PLACE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = rows.select(*keys, *[F.sum(k).over(up_to).alias(k) for k in values], F.count(F.lit(1)).over(up_to).alias("n"), F.lead(F.lit(1)).over(own.orderBy(*PLACE)).alias("_next"))
+    return summed.where("_next is null").drop("_next")
+
+
 def entity_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each customer: entity_id, sector, country and INDICATORS, rounded to 6 digits."""
-    orders, lines = (table(spark, sf_dir, n) for n in ("orders", "lineitem"))
+    orders, lines = table(spark, sf_dir, "orders"), placed(spark, sf_dir, "lineitem")
     customers, nations, regions = (table(spark, sf_dir, n) for n in ("customer", "nation", "region"))
     last = orders.agg(F.max("o_orderdate").alias("last"))
     age = F.datediff("last", "o_orderdate")
@@ -28,9 +48,9 @@ def entity_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(F.when(age < 365, F.col("o_totalprice"))).alias("recent"),
         F.sum(F.when((age >= 365) & (age < 730), F.col("o_totalprice"))).alias("before"),
     )
-    sold = lines.join(orders.select("o_orderkey", "o_custkey"), lines["l_orderkey"] == orders["o_orderkey"]).groupBy("o_custkey").agg(
-        F.sum("l_quantity").alias("quantity"), F.avg("l_discount").alias("mean_discount"), F.avg((F.col("l_returnflag") == "R").cast("int")).alias("return_rate"), F.sum("l_extendedprice").alias("value")
-    )
+    sold = lines.join(orders.select("o_orderkey", "o_custkey"), lines["l_orderkey"] == orders["o_orderkey"])
+    summed = {"quantity": F.col("l_quantity"), "discounts": F.col("l_discount"), "discounted": F.col("l_discount").isNotNull().cast("int"), "returned": F.coalesce((F.col("l_returnflag") == "R").cast("int"), F.lit(0)), "value": F.col("l_extendedprice")}
+    sold = sums_in_order(sold, ["o_custkey"], summed).select("o_custkey", "quantity", ratio(F.col("discounts"), F.col("discounted")).alias("mean_discount"), (F.col("returned") / F.col("n")).alias("return_rate"), "value")
     places = nations.join(regions, nations["n_regionkey"] == regions["r_regionkey"]).select("n_nationkey", F.col("r_name").alias("country"))
     joined = customers.join(places, customers["c_nationkey"] == places["n_nationkey"], "left").join(per_order, customers["c_custkey"] == per_order["o_custkey"], "left").drop("o_custkey")
     joined = joined.join(sold, customers["c_custkey"] == sold["o_custkey"], "left")
