@@ -29,10 +29,25 @@ def pair_rows(df: DataFrame, key: str, xs: list[str], ys: list[str]) -> DataFram
     return df.select(key, F.explode(F.array(*pairs)).alias("p")).select(key, "p.*").where("x is not null and y is not null")
 
 
+def _whole_sum(x: Column) -> Column:
+    """The exact sum of products of ranks, which are whole numbers: as two sums, so that none overflows."""
+    return F.sum(F.shiftright(x, 24)).cast("decimal(38,0)") * F.lit(1 << 24).cast("decimal(9,0)") + F.sum(x.bitwiseAND(F.lit((1 << 24) - 1).cast("bigint"))).cast("decimal(38,0)")
+
+
+def _correlation_of_ranks(x: str, y: str) -> Column:
+    """Correlation of two columns of ranks, which are halves: sums are exact, so that a coefficient near 0 keeps its digits in any order of rows. Null where one doesn't vary."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = (F.when(both, (2 * F.col(c)).cast("bigint")) for c in (x, y))
+    n, one, two = F.count(F.when(both, F.lit(1))).cast("decimal(19,0)"), F.sum(a).cast("decimal(19,0)"), F.sum(b).cast("decimal(19,0)")
+    xy, xx, yy = (n * _whole_sum(p) - q for p, q in ((a * b, one * two), (a * a, one * one), (b * b, two * two)))
+    xx, yy = xx.cast("double"), yy.cast("double")
+    return F.when((xx > 0) & (yy > 0), xy.cast("double") / F.sqrt(xx * yy))
+
+
 def rank_correlation(rows: DataFrame, by: list[str]) -> DataFrame:
     """(by, rho, n, p, low, high): Spearman coefficient of (x, y), its normal-approximation p-value and Fisher interval."""
     ranked = with_rank(with_rank(rows, "x", by, "_rx"), "y", by, "_ry")
-    out = ranked.groupBy(*by).agg(F.corr("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+    out = ranked.groupBy(*by).agg(_correlation_of_ranks("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
     z, se = F.atanh(F.greatest(F.least("rho", F.lit(1 - 1e-12)), F.lit(-1 + 1e-12))), 1 / F.sqrt(F.col("n") - 3)
     return out.withColumns({"p": F.when(F.col("n") > 3, two_sided(z / se)), "low": F.when(F.col("n") > 3, F.tanh(z - 1.959963984540054 * se)), "high": F.when(F.col("n") > 3, F.tanh(z + 1.959963984540054 * se))})
 
