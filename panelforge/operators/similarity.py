@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.tables import settled
+from panelforge.operators import space
 
 #: Rows of a block while pairs of blocks are fewer than tasks, and of the similarities of a strip that are held at once.
 BLOCK = 16384
@@ -77,8 +78,8 @@ def _jaccards(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 METRICS = {"cosine": _cosines, "euclidean": _closeness, "jaccard": _jaccards}
 
 
-#: Queries whose similarities with a block are held at once.
-STRIP = 256
+#: Queries whose similarities with a tile are held at once, and points of a tile.
+STRIP, TILE = 256, 4096
 
 
 def _vectors(df: DataFrame, vector: str, metric: str) -> Column:
@@ -122,6 +123,167 @@ def _strips(a: np.ndarray, b: np.ndarray, metric: str):
         yield lo, ((at, METRICS[metric](a[lo : lo + STRIP], b[at : at + BLOCK])) for at in range(0, len(b), BLOCK))
 
 
+def _prepared(a: np.ndarray, b: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Queries and points as the metric compares them: of length 1, taken from the points' mean, or 1 where they are above 0."""
+    if metric == "cosine":
+        return tuple(np.divide(v, n := np.linalg.norm(v, axis=1, keepdims=True), out=np.zeros_like(v), where=n > 0) for v in (a, b))
+    if metric == "euclidean":
+        middle = b.mean(0) if len(b) else 0.0
+        return a - middle, b - middle
+    return (a > 0).astype(float), (b > 0).astype(float)
+
+
+def _of_pairs(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Similarities of prepared rows one by one."""
+    if metric == "euclidean":
+        return 1 / (1 + np.sqrt(((a - b) ** 2).sum(1)))
+    both = np.einsum("ij,ij->i", a, b)
+    if metric == "cosine":
+        return both
+    either = a.sum(1) + b.sum(1) - both
+    return np.divide(both, either, out=np.zeros_like(both), where=either > 0)
+
+
+class _Rough:
+    """Scores of prepared queries and points in single precision, and per query the score below which no similarity of a given size lies, errors included."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, metric: str):
+        self.metric = metric
+        # Scaled, so that squares stay within the range of single numbers.
+        self.scale = max(float(np.abs(x).max(initial=0.0)) for x in (a, b)) or 1.0
+        if metric == "euclidean":
+            a, b = a / self.scale, b / self.scale
+            self.own = (a * a).sum(1)
+            square = (b * b).sum(1)
+            self.slack = 2.0**-23 * (a.shape[1] + 10) * (np.sqrt(self.own * square.max(initial=0.0)) + square.max(initial=0.0))
+            a, b = np.hstack([a, np.ones((len(a), 1))]), np.hstack([b, -square[:, None] / 2])
+        else:
+            self.slack = np.full(len(a), 2.0**-23 * (a.shape[1] + 10) if metric == "cosine" else 1e-6)
+        self.a, self.b = a.astype(np.float32), b.astype(np.float32)
+        self.ones = [x.sum(1) for x in (self.a, self.b)]
+
+    def scores(self, q: slice, p: slice) -> np.ndarray:
+        both = self.a[q] @ self.b[p].T
+        if self.metric != "jaccard":
+            return both
+        either = self.ones[0][q, None] + self.ones[1][p] - both
+        return np.divide(both, either, out=np.zeros_like(both), where=either > 0)
+
+    def floor(self, q: slice, least: np.ndarray) -> np.ndarray:
+        """Below this score a similarity, rounded, is less than ``least``."""
+        s = least - 1e-9
+        if self.metric == "euclidean":
+            far = np.where(s > 0, 1 / np.where(s > 0, s, 1.0) - 1, np.inf) / self.scale
+            s = (self.own[q] - far * far * (1 + 1e-9)) / 2
+        return (s - self.slack[q]).astype(np.float32)
+
+
+def _best(a: np.ndarray, b: np.ndarray, metric: str, n: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, point, similarity) of the n points most like each query, earlier points first among equals; with ``least`` only those as similar.
+
+    Scores in single precision leave few pairs, whose similarities are taken one by one; the worst of what a query holds is its bar for the next tile."""
+    a, b = _prepared(a, b, metric)
+    rough, out = _Rough(a, b, metric), []
+    for lo in range(0, len(a) if len(b) else 0, STRIP):
+        q = slice(lo, min(lo + STRIP, len(a)))
+        bar = np.full(q.stop - lo, -np.inf) if least is None else least[q].astype(float)
+        i, j, s = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        at, width = 0, max(32, 2 * n)
+        while at < len(b):
+            p = slice(at, min(at + width, len(b)))
+            score = rough.scores(q, p)
+            mark = rough.floor(q, bar)
+            x, y = np.divmod(np.flatnonzero(score >= mark[:, None]), score.shape[1])
+            if len(x):
+                y += at
+                new = np.round(_of_pairs(a[x + lo], b[y], metric), 9)
+                good = new >= bar[x]
+                i, j, s = np.concatenate([i, x[good]]), np.concatenate([j, y[good]]), np.concatenate([s, new[good]])
+                order = np.lexsort((j, -s, i))
+                i, j, s = i[order], j[order], s[order]
+                place = np.arange(len(i)) - np.searchsorted(i, i)
+                last = place == n - 1
+                bar[i[last]] = np.maximum(bar[i[last]], s[last])
+                i, j, s = (z[place < n] for z in (i, j, s))
+            at, width = p.stop, min(4 * width, TILE)
+        out.append((i + lo, j, s))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
+def _space(nodes: DataFrame, metric: str, weights: list[float] | None) -> space.Space | None:
+    """Cells of many vectors of few dimensions; None where pairs of blocks are as good, or where vectors lie so that no cells part them."""
+    one = nodes.select(F.size("v")).head()
+    if metric not in space.METRICS or one is None or not 0 < one[0] <= space.NARROW:
+        return None
+    rows = nodes.count()
+    if rows <= 4 * space.CELL:
+        return None
+    parts = space.Space(nodes, rows, metric, weights)
+    return parts if parts.most <= MOST_ROWS else None
+
+
+def _in_space(parts: space.Space, n: int) -> DataFrame:
+    """(node, other, first, similarity): of every vector the n best of its own cell, and what is as good in the cells that can hold it."""
+    metric, weights = parts.metric, parts.weights
+
+    def own(t: pa.Table) -> pa.Table:
+        t = t.sort_by("first").combine_chunks()
+        v = space.matrix(t, weights)
+        i, j, s = _best(v, v, metric, n)
+        order = np.argsort(i, kind="stable")
+        i, j, s = i[order], j[order], s[order]
+        ends = np.searchsorted(i, np.arange(len(v) + 1)).astype(np.int32)
+        size = np.diff(ends)
+        least = np.full(len(v), -np.inf)
+        least[size == n] = s[ends[1:][size == n] - 1]
+        lists = [pa.ListArray.from_arrays(pa.array(ends), x) for x in (t.column("node").combine_chunks().take(pa.array(j)), t.column("first").combine_chunks().take(pa.array(j)), pa.array(s))]
+        return pa.table([*(t.column(c) for c in ("node", "first", "v", "cell")), pa.array(least), *lists], ["node", "first", "v", "cell", "least", "others", "firsts", "similarities"])
+
+    def visited(t: pa.Table) -> pa.Table:
+        asked, a, points, b = _parted(t, weights)
+        i, j, s = _best(a, b, metric, n, asked.column("least").to_numpy())
+        node, other = asked.column("node").take(pa.array(i)), points.select(["node", "first"]).take(pa.array(j))
+        return pa.table({"node": node, "other": other.column("node"), "first": other.column("first"), "similarity": s})
+
+    columns = "others array<bigint>, firsts array<bigint>, similarities array<double>"
+    first = settled(parts.placed.groupBy("cell").applyInArrow(own, f"{parts.schema}, least double, {columns}"), "own_cells")
+    near = first.select("node", F.explode(F.arrays_zip("others", "firsts", "similarities")).alias("p")).select("node", F.col("p.others").alias("other"), F.col("p.firsts").alias("first"), F.col("p.similarities").alias("similarity"))
+    beyond = parts.met(parts.sent(first, parts.beyond), MOST_ROWS).groupBy("cell", "tile").applyInArrow(visited, "node bigint, other bigint, first bigint, similarity double")
+    return near.unionByName(beyond)
+
+
+def _ends_in_space(parts: space.Space) -> DataFrame:
+    """(low, high) of all pairs: a vector is most like itself, and the least like pair lies in cells that the least similarity found so far does not rule out."""
+    metric, weights, spark = parts.metric, parts.weights, parts.placed.sparkSession
+
+    def least(t: pa.Table) -> pa.Table:
+        _, a, _, b = _parted(t, weights)
+        a, b = _prepared(a, b, metric)
+        rough, low = _Rough(a, b, metric), np.inf
+        for lo in range(0, len(a) if len(b) else 0, STRIP):
+            for at in range(0, len(b), TILE):
+                q, p = slice(lo, min(lo + STRIP, len(a))), slice(at, min(at + TILE, len(b)))
+                score = rough.scores(q, p)
+                # Of each query's pairs the least, errors included; their similarities one by one.
+                x, y = np.divmod(np.flatnonzero(score <= (score.min(1) + 2 * rough.slack[q] + 1e-9)[:, None]), score.shape[1])
+                low = min(low, float(_of_pairs(a[x + lo], b[y + at], metric).min(initial=np.inf)))
+        return pa.table({"low": np.round([low], 9) if np.isfinite(low) else np.zeros(0)})
+
+    def lowest(probes: DataFrame) -> float | None:
+        return parts.met(probes, MOST_ROWS).groupBy("cell", "tile").applyInArrow(least, "low double").agg(F.min("low")).head()[0]
+
+    # The farthest of every cell with the cell that is farthest from it: a bound for all others.
+    bounds = parts.least_similarity(parts.far * np.array(weights) if weights is not None else parts.far)
+    kind = parts.placed.schema["v"].dataType.simpleString()
+    some = spark.createDataFrame([(k, k, v.tolist(), 0.0, int(parts.cells[c])) for k, (v, c) in enumerate(zip(parts.far, bounds.argmin(1), strict=True))], f"node bigint, first bigint, v {kind}, least double, cell int")
+    low = lowest(some)
+    worth = lambda v, own, bar: parts.least_similarity(v) <= bar[:, None] + 1e-9
+    found = lowest(parts.sent(parts.placed.withColumn("least", F.lit(low)), worth))
+    ends = [low, *([found] if found is not None else []), *([0.0] if parts.zero and metric == "cosine" else [])]
+    high = 1.0 if metric == "euclidean" or parts.other else 0.0
+    return spark.createDataFrame([(min(ends), high)], "low double, high double")
+
+
 def nearest(
     df: DataFrame, key: str, vector: str, k: int, block: int = BLOCK, metric: str = "cosine", weights: list[float] | None = None,
     queries: DataFrame | None = None, approximate: bool = False,
@@ -131,7 +293,8 @@ def nearest(
     Rows that a metric can't tell apart are one node with its smallest keys. The exact search deals nodes into blocks; every pair
     of blocks is one group, in which matrix products give the best of each node, and the best of all its groups are kept. Groups grow in
     number with the square of the different vectors, which an exact search of many dimensions can't avoid. Blocks grow up to MOST_ROWS and NUMBERS
-    once there are as many groups as tasks, and what is shuffled is 2 * n * n / rows of a block vectors. ``approximate`` looks into bucket tables instead (cosine of all rows, see ``neighbours``). Null vectors are left out.
+    once there are as many groups as tasks, and what is shuffled is 2 * n * n / rows of a block vectors. Many vectors of few dimensions are searched
+    in cells instead (see ``space``; cosine and euclidean), with the same result. ``approximate`` looks into bucket tables instead (cosine of all rows, see ``neighbours``). Null vectors are left out.
     """
     from panelforge.operators import neighbours
 
@@ -147,21 +310,7 @@ def nearest(
 
     def best(t: pa.Table) -> pa.Table:
         asked, a, points, b = _parted(t, weights)
-        found = []
-        for lo, tiles in _strips(a, b, metric):
-            parts = []
-            for at, sim in tiles:
-                # The k + 1 best of some points bound those of all; what is just below may round to as much.
-                some = sim[:, : max(STRIP, 4 * (k + 1))]
-                least = np.partition(some, -(k + 1), axis=1)[:, -(k + 1)] if some.shape[1] > k else np.full(len(sim), -np.inf)
-                i, j = np.nonzero(sim >= (least - 1e-8)[:, None])
-                parts.append((i, j + at, np.round(sim[i, j], 9)))
-            i, j, s = map(np.concatenate, zip(*parts, strict=True))
-            order = np.lexsort((j, -s, i))
-            i, j, s = i[order], j[order], s[order]
-            keep = np.arange(len(i)) - np.searchsorted(i, i) <= k
-            found.append((i[keep] + lo, j[keep], s[keep]))
-        i, j, s = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        i, j, s = _best(a, b, metric, k + 1)
         own, other = asked.column("node").take(pa.array(i)), points.select(["node", "first"]).take(pa.array(j))
         return pa.table({"node": own, "other": other.column("node"), "first": other.column("first"), "similarity": s})
 
@@ -172,7 +321,11 @@ def nearest(
     if queries is not None:
         own = settled(rows.join(queries.select(F.col(key).cast("bigint").alias("id")), "id", "left_semi"), "queries")
         asked = nodes.join(own.select("node").distinct(), "node", "left_semi")
-    found = _blocked(nodes, asked, block).groupBy("i", "j").applyInArrow(best, "node bigint, other bigint, first bigint, similarity double")
+    parts = _space(nodes, metric, weights) if queries is None else None
+    if parts is None:
+        found = _blocked(nodes, asked, block).groupBy("i", "j").applyInArrow(best, "node bigint, other bigint, first bigint, similarity double")
+    else:
+        found = _in_space(parts, k + 1)
     ranked = Window.partitionBy("node").orderBy(F.desc("similarity"), "first")
     near = found.withColumn("_n", F.row_number().over(ranked)).where(F.col("_n") <= k + 1).select("node", "other", "similarity")
     kept, _ = neighbours.of_rows(near, nodes, rows, own, k)
@@ -200,6 +353,9 @@ def extremes(df: DataFrame, key: str, vector: str, block: int = BLOCK, metric: s
         return pa.table({"low": low, "high": high})
 
     nodes, _ = neighbours.distinct_vectors(df.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), _vectors(df, vector, metric).alias("v")), "v", "id")
+    parts = _space(nodes, metric, weights)
+    if parts is not None:
+        return _ends_in_space(parts)
     found = _blocked(nodes, nodes, block).groupBy("i", "j").applyInArrow(ends, "low double, high double")
     return found.agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
