@@ -25,17 +25,40 @@ def rounded_numbers(x: np.ndarray, digits: int) -> np.ndarray:
 
 
 def _first_words(words: np.ndarray) -> np.ndarray:
-    """The first word of the digest of messages of one block, 16 words each (words x messages)."""
-    a, b, c, d = (np.full(words.shape[1], s, np.uint32) for s in _START)
-    used = words.any(1)
-    for i in range(64):
-        f = (d ^ (b & (c ^ d)), c ^ (d & (b ^ c)), b ^ c ^ d, c ^ (b | ~d))[i // 16]
-        f = f + a + np.uint32(_SINES[i])
-        if used[_WORDS[i]]:
-            f += words[_WORDS[i]]
-        a, d, c = d, c, b
-        b = b + ((f << np.uint32(_TURNS[i])) | (f >> np.uint32(32 - _TURNS[i])))
-    return a + np.uint32(_START[0])
+    """The first word of the digest of messages of one block, 16 words each (words x messages).
+
+    A word that all messages share goes with the step's constant, the last three steps do not reach the first word, and the registers' memory is used again."""
+    n = words.shape[1]
+    a, b, c, d = (np.full(n, s, np.uint32) for s in _START)
+    f, g = np.empty(n, np.uint32), np.empty(n, np.uint32)
+    shared = [None if n == 0 or (w != w[0]).any() else int(w[0]) for w in words]
+    for i in range(61):
+        if i < 16:
+            np.bitwise_xor(c, d, out=f)
+            f &= b
+            f ^= d
+        elif i < 32:
+            np.bitwise_xor(b, c, out=f)
+            f &= d
+            f ^= c
+        elif i < 48:
+            np.bitwise_xor(b, c, out=f)
+            f ^= d
+        else:
+            np.invert(d, out=f)
+            f |= b
+            f ^= c
+        f += a
+        word = _WORDS[i]
+        if shared[word] is None:
+            f += words[word]
+        f += np.uint32((_SINES[i] + (shared[word] or 0)) & 0xFFFFFFFF)
+        np.left_shift(f, np.uint32(_TURNS[i]), out=g)
+        f >>= np.uint32(32 - _TURNS[i])
+        f |= g
+        f += b
+        a, d, c, b, f = d, c, b, f, a
+    return b + np.uint32(_START[0])
 
 
 def _of_lengths(prefixes: list[bytes], keys: np.ndarray) -> np.ndarray:

@@ -25,8 +25,8 @@ CHUNK, RANGE, CELLS = 4096, 1_000_000, 2_000_000
 
 
 def _dealt(chunks: DataFrame) -> DataFrame:
-    """chunks, settled in as many files as the usual number of tasks: a chunk is small but takes long to draw."""
-    return settled(chunks.repartition(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk"), "chunks")
+    """chunks, settled in as many files as the usual number of tasks, dealt evenly: a chunk is small but takes long to draw."""
+    return settled(chunks.repartitionByRange(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk"), "chunks")
 
 
 def _chunks(scores: DataFrame, key: str) -> DataFrame:
@@ -136,7 +136,12 @@ def _ranked(t: pa.Table) -> pa.Table:
     replicate = np.repeat(np.tile(np.arange(sizes.shape[1]), len(sizes)), sizes.ravel())
     values, n = (t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("values", "n"))
     n = n.astype(np.int64)
-    order = np.lexsort((values, replicate))
+    # Replicates by counting, then the values of each.
+    order = np.argsort(replicate.astype(np.int16 if sizes.shape[1] < 1 << 15 else np.int64), kind="stable")
+    ends = np.cumsum(np.bincount(replicate, minlength=sizes.shape[1]))
+    for lo, hi in zip(ends - np.diff(ends, prepend=0), ends, strict=True):
+        own = order[lo:hi]
+        order[lo:hi] = own[np.argsort(values[own])]
     v, r, n = values[order], replicate[order], n[order]
     ranks = np.empty(len(v), np.int32)
     if len(v):
