@@ -82,6 +82,8 @@ def plain_name(x: Column) -> Column:
 
 #: Names of one side that a tile of a hot key holds at most.
 HOT_NAMES = 2_000
+#: Joins of keys and names are by shuffle: plans take keys for as few as the names they come from, and a small file holds many names, so the driver would be handed tables for broadcast that it can't hold.
+BY_SHUFFLE = "merge"
 #: Steps in which the edits allowed grow, and ways to shorten a name beyond which it is cut into pieces instead.
 STEPS, WAYS = 3, 2_000
 
@@ -159,17 +161,17 @@ def _near(a: DataFrame, b: DataFrame, least: float, lengths: list[tuple[int, int
     probes, indexed = keys(a, "_a", 0), keys(b.select("_b"), "_b", 1)
     tiles = lambda n: F.ceil(F.col(n) / HOT_NAMES).cast("int")
     size = lambda df, n: df.groupBy("_k").agg(F.count(F.lit(1)).alias(n))
-    hot = size(probes, "_na").join(size(indexed, "_nb"), "_k").where(F.greatest("_na", "_nb") > HOT_NAMES).select("_k", tiles("_na").alias("_ta"), tiles("_nb").alias("_tb"))
+    hot = size(probes, "_na").join(size(indexed, "_nb").hint(BY_SHUFFLE), "_k").where(F.greatest("_na", "_nb") > HOT_NAMES).select("_k", tiles("_na").alias("_ta"), tiles("_nb").alias("_tb"))
 
     def dealt(df: DataFrame, name: str, own: str, other: str) -> DataFrame:
         t = lambda side: F.coalesce(f"_t{side}", F.lit(1))
-        return df.join(hot, "_k", "left").select(name, "_k", F.pmod(F.xxhash64(name), t(own)).cast("int").alias(f"_x{own}"), F.explode(F.sequence(F.lit(0), t(other) - 1)).alias(f"_x{other}"))
+        return df.join(hot.hint(BY_SHUFFLE), "_k", "left").select(name, "_k", F.pmod(F.xxhash64(name), t(own)).cast("int").alias(f"_x{own}"), F.explode(F.sequence(F.lit(0), t(other) - 1)).alias(f"_x{other}"))
 
-    pairs = dealt(probes, "_a", "a", "b").join(dealt(indexed, "_b", "b", "a"), ["_k", "_xa", "_xb"])
+    pairs = dealt(probes, "_a", "a", "b").join(dealt(indexed, "_b", "b", "a").hint(BY_SHUFFLE), ["_k", "_xa", "_xb"])
     like = 1 - F.levenshtein("_a", "_b") / F.greatest(F.length("_a"), F.length("_b"), F.lit(1))
     near = pairs.select("_a", "_b", like.alias("ratio")).where(F.col("ratio") >= least)
     # The best of a task's pairs first: the same pair may come by several keys, which changes no best.
-    best = near.groupBy("_a", "ratio", "_b").agg(F.lit(1).alias("_one")).join(b, "_b")
+    best = near.groupBy("_a", "ratio", "_b").agg(F.lit(1).alias("_one")).join(b.hint(BY_SHUFFLE), "_b")
     return best.groupBy("_a").agg(F.min_by(F.struct("_r", "ratio"), F.struct((-F.col("ratio")).alias("x"), "_r")).alias("_m"))
 
 
@@ -189,9 +191,9 @@ def fuzzy_match(left: DataFrame, right: DataFrame, left_name: str, right_name: s
         at_least = least if step == STEPS else 1 - (1 - least) * step / STEPS
         found.append(settled(_near(names, b, at_least, lengths), "matches"))
         if step < STEPS:
-            names = settled(names.join(found[-1], "_a", "left_anti"), "unmatched")
-    matched = a.join(reduce(DataFrame.unionByName, found), "_a").select("_l", "_m")
-    return left.join(matched, left[left_name] == matched["_l"], "left").select(left["*"], F.col("_m._r").alias("match"), F.col("_m.ratio").alias("ratio"))
+            names = settled(names.join(found[-1].hint(BY_SHUFFLE), "_a", "left_anti"), "unmatched")
+    matched = a.join(reduce(DataFrame.unionByName, found).hint(BY_SHUFFLE), "_a").select("_l", "_m")
+    return left.join(matched.hint(BY_SHUFFLE), left[left_name] == matched["_l"], "left").select(left["*"], F.col("_m._r").alias("match"), F.col("_m.ratio").alias("ratio"))
 
 
 def merged(base: DataFrame, others: list[DataFrame], key: str) -> DataFrame:
