@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.functions.expressions import ratio, rounded_halves
@@ -20,19 +20,19 @@ PLACE = ("_file", "_row")
 
 
 def placed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A Parquet table with the PLACE of its rows."""
-    return table(spark, sf_dir, name).select("*", F.col("_metadata.file_name").alias(PLACE[0]), F.col("_metadata.row_index").alias(PLACE[1]))
+    """A Parquet table with the PLACE of its rows; that of a single file needs no name."""
+    rows = table(spark, sf_dir, name)
+    file = F.col("_metadata.file_name") if len(rows.inputFiles()) > 1 else F.lit(0)
+    return rows.select("*", file.alias(PLACE[0]), F.col("_metadata.row_index").alias(PLACE[1]))
 
 
 def sums_in_order(df: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
     """(keys, values, n): sums of values and the number of rows of each group, added up row by row in the order of PLACE, whatever shuffle brought the rows.
 
-    Running sums over a sorted window, so a group of any size is streamed."""
+    Rows of a group lie in one task, sorted, and are added up there as they come, so a group of any size is streamed."""
     rows = df.select(*keys, *PLACE, *[v.alias(k) for k, v in values.items()])
-    own = Window.partitionBy(*keys)
-    up_to = own.orderBy(*PLACE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = rows.select(*keys, *[F.sum(k).over(up_to).alias(k) for k in values], F.count(F.lit(1)).over(up_to).alias("n"), F.lead(F.lit(1)).over(own.orderBy(*PLACE)).alias("_next"))
-    return summed.where("_next is null").drop("_next")
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, *PLACE)
+    return ordered.groupBy(*keys).agg(*[F.sum(k).alias(k) for k in values], F.count(F.lit(1)).alias("n"))
 
 
 def entity_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
